@@ -22,7 +22,7 @@ from .common import keyed, mix64, packed, powers, random_table, shuffle_parts, t
 #: Windows of one segment at most; longer runs are cut, windows are never lost.
 MAX_RUN = 4096
 #: Symbols handled at a time in one pass over a batch of texts.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 _BYTE_SYMBOL = random_table(256, 11)
 
 
@@ -37,6 +37,8 @@ def word_symbols(raw, off):
 
 def _kgrams(h: np.ndarray, k: int) -> np.ndarray:
     """Hash of the k symbols from each position; the last k-1 entries have no meaning."""
+    if len(h) < k:
+        return np.zeros_like(h)
     out, have, base = None, 0, np.uint64(0xD6E8FEB86659FD93)
     part, width, mult = h, 1, base
     while True:

@@ -23,7 +23,7 @@ SIZE = 400
 #: Bytes of the k-grams whose smallest hash deals out the windows.
 GRAM = 32
 #: Bytes of distinct candidate strings in one transform.
-BATCH = 3 << 20
+BATCH = 1 << 20
 
 
 def suffix_order(t: np.ndarray, depth: int) -> np.ndarray:

@@ -6,7 +6,7 @@ source a document is expected min(most, c * measure) times, where its measure gr
 logarithm of its size and c makes the expected words meet the target. Whole expected copies
 are certain; the fraction is its inclusion probability in a fixed-size sample: documents are
 ranked by random odds over inclusion odds and taken until the words left to the target are
-reached; then one document more is drawn, or one taken back, if that comes nearer. The place where a source's ranking is cut is found with two levels of bins, so no
+reached; then up to `CORRECTIONS` times one more is drawn, or one taken back, to come nearer. The place where a source's ranking is cut is found with two levels of bins, so no
 source is ever sorted in one task.
 
 Random numbers are hashes of seed, id, source and size, and all sums are of whole numbers:
@@ -26,6 +26,8 @@ WEIGHTS = (1, 2, 3)
 MOST = 3
 SEED = 17
 BINS = 4096
+#: Single draws that bring each source's sample nearer to its words.
+CORRECTIONS = 3
 #: Up to so many sources their table is broadcast; beyond, it is joined by shuffle.
 BROADCAST_ROWS = 50_000
 
@@ -103,13 +105,14 @@ def sample(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = SEED)
     rest = rows.where(~F.coalesce(border, F.lit(False))).withColumn("extra", F.coalesce((F.col("g").isNotNull() & (F.col("c1").isNull() | before)).cast("int"), F.lit(0)))
     both = written(rest.unionByName(edge).select("did", "rid", "id", "src", "size", "source_size", "target", "whole", "extra", "g"), "mix-drawn")
     # the sample is fixed in words: one draw more, or one taken back, whichever comes nearest to the target
-    gap = both.groupBy("src").agg((F.max("target") - F.sum((F.col("whole") + F.col("extra")) * F.col("size"))).alias("gap"))
-    near = _attach(both.where("g is not null"), gap, n).withColumn("d", F.when(F.col("extra") == 1, -F.col("size")).otherwise(F.col("size")))
-    near = near.withColumn("off", F.abs(F.col("gap") - F.col("d"))).where("off < abs(gap)")
-    last = near.groupBy("src").agg(F.min(F.struct("off", "g", "id", "rid")).alias("x")).select("src", F.col("x.g").alias("xg"), F.col("x.id").alias("xid"), F.col("x.rid").alias("xrid"))
-    both = _attach(both, written(last, "mix-last"), n)
-    hit = (F.col("g") == F.col("xg")) & F.col("id").eqNullSafe(F.col("xid")) & (F.col("rid") == F.col("xrid"))
-    both = both.withColumn("extra", F.when(F.coalesce(hit, F.lit(False)), 1 - F.col("extra")).otherwise(F.col("extra")))
+    for _ in range(CORRECTIONS):
+        gap = both.groupBy("src").agg((F.max("target") - F.sum((F.col("whole") + F.col("extra")) * F.col("size"))).alias("gap"))
+        near = _attach(both.where("g is not null"), gap, n).withColumn("d", F.when(F.col("extra") == 1, -F.col("size")).otherwise(F.col("size")))
+        near = near.withColumn("off", F.abs(F.col("gap") - F.col("d"))).where("off < abs(gap)")
+        last = near.groupBy("src").agg(F.min(F.struct("off", "g", "id", "rid")).alias("x")).select("src", F.col("x.g").alias("xg"), F.col("x.id").alias("xid"), F.col("x.rid").alias("xrid"))
+        hit = (F.col("g") == F.col("xg")) & F.col("id").eqNullSafe(F.col("xid")) & (F.col("rid") == F.col("xrid"))
+        both = _attach(both, written(last, "mix-last"), n)
+        both = both.withColumn("extra", F.when(F.coalesce(hit, F.lit(False)), 1 - F.col("extra")).otherwise(F.col("extra"))).drop("xg", "xid", "xrid")
     return both.select("did", "rid", "id", "size", "source_size", "target", (F.col("whole") + F.col("extra")).alias("copies"))
 
 

@@ -21,7 +21,7 @@ from .common import WORD, written
 
 WINDOW = 8
 #: Measure: (lower fence wanted, slack). Ratios are rounded so that any engine gives the same.
-MEASURES = {"symbol_ratio": (False, 0.05), "word_length": (True, 1.5), "dup_line_ratio": (False, 0.3), "repeat_ratio": (False, 0.1)}
+MEASURES = {"symbol_ratio": (False, 0.05), "word_length": (True, 1.5), "dup_line_ratio": (False, 0.5), "repeat_ratio": (False, 0.3)}
 REACH = 3.0
 FEWEST = 20
 #: Relative rank error of the quantile summaries is one over this.

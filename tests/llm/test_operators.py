@@ -143,7 +143,7 @@ def test_similarity_and_signatures():
         wa = r.integers(1, 6, 80)
         hb, wb = ha[keep], np.where(r.random(keep.sum()) < 0.8, wa[keep], r.integers(1, 6, keep.sum()))
         exact = minhash.similarity(ha, wa, hb, wb)
-        slow = brute_similarity(dict(zip(ha.tolist(), wa.tolist(), strict=True)), dict(zip(hb.tolist(), wb.tolist(), strict=True)))
+        slow = brute_similarity(Counter(dict(zip(ha.tolist(), wa.tolist(), strict=True))), Counter(dict(zip(hb.tolist(), wb.tolist(), strict=True))))
         assert abs(exact - slow) < 1e-9
         with np.errstate(over="ignore"):
             sig = minhash.signatures(np.repeat([0, 1], [len(ha), len(hb)]), np.concatenate([ha, hb]), np.concatenate([wa, wb]), 2)

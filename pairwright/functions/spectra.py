@@ -30,10 +30,6 @@ def _decay(t: float):
     return lambda x: F.exp(-x * t)
 
 
-def _bell(center: float, width: float):
-    return lambda x: F.exp(-0.5 * F.pow((x - center) / width, F.lit(2.0)))
-
-
 def mean(a: Column) -> Column:
     return total(a) / F.size(a)
 
@@ -241,13 +237,16 @@ def pair_features(a: Column, b: Column) -> Column:
     return F.concat(d, p, F.array(cos, norm(d)))
 
 
-def diagnostic_features(a: Column, bins: int = 32, sigma: float = 0.07, top: float = 2.0) -> Column:
+def with_diagnostics(df: DataFrame, a: str, out: str, bins: int = 32, sigma: float = 0.07, top: float = 2.0) -> DataFrame:
     """A smoothed density on a fixed grid (sums to 1) and 24 heat traces from 0.01 to 100."""
-    grid = np.linspace(0.0, top, bins)
-    raw = F.array(*[total(F.transform(a, _bell(float(g), sigma))) for g in grid])
-    mass = F.greatest(total(raw), F.lit(EPSILON))
-    heat = F.array(*[mean(F.transform(a, _decay(float(t)))) for t in np.logspace(-2, 2, 24)])
-    return F.concat(F.transform(raw, lambda x: x / mass), heat)
+    keep = df.columns
+    grid = F.array(*[F.lit(float(g)) for g in np.linspace(0.0, top, bins)])
+    times = F.array(*[F.lit(float(t)) for t in np.logspace(-2, 2, 24)])
+    raw = F.transform(grid, lambda g: total(F.transform(a, lambda x: F.exp(-0.5 * F.pow((x - g) / sigma, F.lit(2.0))))))
+    heat = F.transform(times, lambda t: mean(F.transform(a, lambda x: F.exp(-x * t))))
+    df = df.withColumn("_raw", raw).withColumn("_heat", heat)
+    df = df.withColumn("_mass", F.greatest(total(F.col("_raw")), F.lit(EPSILON)))
+    return df.select(*keep, F.concat(F.transform("_raw", lambda x: x / F.col("_mass")), "_heat").alias(out))
 
 
 def register(spark) -> None:

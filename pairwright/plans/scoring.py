@@ -70,12 +70,12 @@ def prefix_score(spark, sf_dir):
 
 
 @query(f"""{PSS_SQL}, f AS ({METRIC_SQL['fisher'].replace(W + ',', 'WITH', 1)})
-SELECT pss.left_id, pss.right_id, pss.label, round((pss.score + f.score) / 2, 6) AS score FROM pss JOIN f USING (left_id, right_id)""")
+SELECT pss.left_id, pss.right_id, pss.label, round((pss.score + f.score) / 2 + 1e-9::DOUBLE, 5) AS score FROM pss JOIN f USING (left_id, right_id)""")
 def fused_score(spark, sf_dir):
     """Late fusion: the mean of two scores of a pair."""
     df = S.pair_scores(A.pairs(spark, sf_dir), "pss", out="s1")
     df = S.pair_scores(df, "fisher", out="s2")
-    return df.select("left_id", "right_id", "label", F.round((F.round("s1", 6) + F.round("s2", 6)) / 2, 6).alias("score"))
+    return df.select("left_id", "right_id", "label", F.round((F.round("s1", 6) + F.round("s2", 6)) / 2 + 1e-9, 5).alias("score"))
 
 
 @query(f"""WITH {A.SQL_SPECTRA}
@@ -109,7 +109,7 @@ h AS (SELECT code_id, unnest(range(0, 24)) AS j, ev FROM spectra)
 SELECT code_id, i::INTEGER AS place, round(v / sum(v) OVER (PARTITION BY code_id), 6) AS value FROM d
 UNION ALL SELECT code_id, (32 + j)::INTEGER, round(list_avg(list_transform(ev, lambda x: exp(-x * pow(10.0::DOUBLE, -2 + j * 4.0::DOUBLE / 23)))), 6) FROM h""")
 def diagnostic_vectors(spark, sf_dir):
-    df = A.spectra(spark, sf_dir).withColumn("f", S.diagnostic_features(F.col("ev")))
+    df = S.with_diagnostics(A.spectra(spark, sf_dir), "ev", "f")
     return df.select("code_id", F.posexplode("f").alias("place", "v")).select("code_id", "place", F.round("v", 6).alias("value"))
 
 

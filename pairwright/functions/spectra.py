@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 HEAT_TIMES = (0.1, 0.5, 1.0, 2.0, 5.0, 10.0)
 EPSILON = 1e-12
@@ -91,10 +92,10 @@ def with_pss(df: DataFrame, a: str, b: str, out: str, gamma: float = 0.1, power:
 def with_wasserstein(df: DataFrame, a: str, b: str, out: str, gamma: float = 0.1) -> DataFrame:
     """Exponential of the first Wasserstein distance of two samples of any sizes."""
     keep = df.columns
-    df = df.withColumn("_a", F.array_sort(finite(F.col(a)))).withColumn("_b", F.array_sort(finite(F.col(b))))
+    df = df.withColumn("_a", F.sort_array(finite(F.col(a)))).withColumn("_b", F.sort_array(finite(F.col(b))))
     # one sweep over the merged values; each moves one distribution function by a step
     step = lambda c, s: F.transform(c, lambda x: F.struct(x.alias("x"), (s / F.size(c)).alias("w")))
-    df = df.withColumn("_m", F.array_sort(F.concat(step(F.col("_a"), F.lit(1.0)), step(F.col("_b"), F.lit(-1.0)))))
+    df = df.withColumn("_m", F.sort_array(F.concat(step(F.col("_a"), F.lit(1.0)), step(F.col("_b"), F.lit(-1.0)))))
     start = F.struct(F.lit(0.0).alias("d"), F.lit(0.0).alias("f"), F.lit(None).cast("double").alias("x"))
     area = F.aggregate("_m", start, lambda s, e: F.struct((s["d"] + F.abs(s["f"]) * (e["x"] - F.coalesce(s["x"], e["x"]))).alias("d"), (s["f"] + e["w"]).alias("f"), e["x"].alias("x")))["d"]
     s = F.when((F.size("_a") == 0) | (F.size("_b") == 0), 0.0).otherwise(_clip(F.exp(-area / gamma)))
@@ -138,7 +139,7 @@ def with_topk_largest(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
     keep = df.columns
     for k, c in (("_a", a), ("_b", b)):
         live = strip_zeros(F.col(c), 10)
-        df = df.withColumn(k, F.array_sort(F.when(F.size(live) == 0, F.array(F.lit(0.0))).otherwise(live)))
+        df = df.withColumn(k, F.sort_array(F.when(F.size(live) == 0, F.array(F.lit(0.0))).otherwise(live)))
     df = df.withColumn("_k", F.least(F.size("_a"), F.size("_b")))
     top = lambda k: F.slice(k, F.size(k) - F.col("_k") + 1, F.col("_k"))
     s = 1.0 / (1.0 + norm(F.zip_with(top("_a"), top("_b"), lambda x, y: x - y)))
@@ -174,7 +175,7 @@ def jensen_shannon(a, b, points: int = 512) -> float:
 
 
 def with_jensen_shannon(df: DataFrame, a: str, b: str, out: str, points: int = 512) -> DataFrame:
-    @F.pandas_udf("double")
+    @F.pandas_udf(DoubleType())
     def score(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([jensen_shannon(u, v, points) for u, v in zip(x, y, strict=True)], dtype="float64")
 
@@ -226,7 +227,7 @@ def graph_stats(nodes: Column, edges: Column) -> Column:
 
 def padded(a: Column, k: int) -> Column:
     """First k values of the sorted array, zeros after them."""
-    return F.slice(F.concat(F.array_sort(a), F.array_repeat(F.lit(0.0), k)), 1, k)
+    return F.slice(F.concat(F.sort_array(a), F.array_repeat(F.lit(0.0), k)), 1, k)
 
 
 def pair_features(a: Column, b: Column) -> Column:
@@ -251,4 +252,4 @@ def with_diagnostics(df: DataFrame, a: str, out: str, bins: int = 32, sigma: flo
 
 def register(spark) -> None:
     """Make the density-based similarity callable from SQL."""
-    spark.udf.register("jensenshannon_similarity", F.pandas_udf(lambda x, y: pd.Series([jensen_shannon(u, v) for u, v in zip(x, y, strict=True)], dtype="float64"), "double"))
+    spark.udf.register("jensenshannon_similarity", F.pandas_udf(lambda x, y: pd.Series([jensen_shannon(u, v) for u, v in zip(x, y, strict=True)], dtype="float64"), DoubleType()))

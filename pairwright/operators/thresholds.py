@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from .metrics import metric_columns, roc_auc
 
@@ -51,12 +52,12 @@ POLICIES: dict[str, Policy] = {
 }
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _just_below(t: pd.Series) -> pd.Series:
     return pd.Series(np.nextafter(t.to_numpy(dtype="float64"), -np.inf))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _just_above(t: pd.Series) -> pd.Series:
     return pd.Series(np.nextafter(t.to_numpy(dtype="float64"), np.inf))
 
@@ -88,9 +89,9 @@ def sweep(scores: DataFrame, keys: list[str], policy: Policy, lower_is_clone: bo
     """keys, threshold, tp, fp, fn, tn of every candidate."""
     df = scores.where(F.col("score").isNotNull() & ~F.isnan("score") & (F.abs("score") < float("inf"))).select(*keys, "label", "score")
     if policy.float32:
-        df = df.withColumn("score", F.col("score").cast("float").cast("double"))
+        df = df.withColumn("score", F.col("score").cast("float").cast(DoubleType()))
     cand = candidates(df, keys, policy)
-    ties = df.groupBy(*keys, F.col("score").alias("v")).agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") != 1).alias("n")).withColumn("threshold", F.lit(None).cast("double"))
+    ties = df.groupBy(*keys, F.col("score").alias("v")).agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") != 1).alias("n")).withColumn("threshold", F.lit(None).cast(DoubleType()))
     marks = cand.select(*keys, F.col("at").alias("v"), F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("n"), "threshold")
     # scores equal to a threshold stand before it in the pass, so they count as reached
     way = F.asc if lower_is_clone else F.desc

@@ -74,22 +74,25 @@ for _p in T.POLICIES:
         _metrics = tuple(T.POLICIES[_p].ranking)
     register(f"threshold_{_p}", lambda spark, sf_dir, p=_p, ms=_metrics: _chosen(A.scored(spark, sf_dir), p, ms), threshold_sql(_SCORED32 if _p == "grid_float32" else _SCORED, _p, _metrics))
 
-_PSS = f"{PSS_SQL}, s AS (SELECT label, score FROM pss)"
 
+# distinct scores with running counts; midpoints repeat the counts of the score above them
+_RUNNING = f"""{PSS_SQL}, u AS (SELECT score AS threshold, count(*) FILTER (label = 1) AS p, count(*) FILTER (label <> 1) AS n FROM pss GROUP BY score UNION ALL SELECT v, 0, 0 FROM (VALUES (0.0::DOUBLE), (1.0::DOUBLE)) AS e(v) WHERE v NOT IN (SELECT score FROM pss)),
+r AS (SELECT threshold, (sum(p) OVER w)::BIGINT AS tp, (sum(n) OVER w)::BIGINT AS fp, (sum(p) OVER ())::BIGINT AS pp, (sum(n) OVER ())::BIGINT AS nn FROM u WINDOW w AS (ORDER BY threshold DESC)),
+pts AS (SELECT *, {_METRICS} FROM (SELECT threshold, tp, fp, pp - tp AS fn, nn - fp AS tn FROM r))"""
 
-@query(threshold_sql(_PSS, "exact", ("f1", "accuracy")))
+
+@query(_RUNNING + " UNION ALL ".join(f"""(SELECT '{m}' AS metric, round(threshold, 6) AS threshold, round("{m}", 6) AS best_value, tp, fp, fn, tn FROM pts ORDER BY "{m}" DESC, threshold DESC LIMIT 1)""" for m in ("f1", "accuracy")).join([" ", ""]))
 def threshold_tune(spark, sf_dir):
-    """Exact threshold over the pair scores."""
-    return _chosen(scores(spark, sf_dir, "pss"), "exact", ("f1", "accuracy"))
+    """Exact threshold over the pair scores, which are computed once."""
+    return _chosen(scores(spark, sf_dir, "pss").persist(), "exact", ("f1", "accuracy"))
 
 
-@query(f"""{PSS_SQL}, c AS (SELECT threshold FROM (SELECT threshold, {_COUNTS.format(at='threshold')} FROM (SELECT DISTINCT score AS threshold FROM pss) CROSS JOIN pss GROUP BY threshold)
-ORDER BY CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE (2 * tp)::DOUBLE / (2 * tp + fp + fn) END DESC, threshold DESC LIMIT 1),
+@query(f"""{_RUNNING}, c AS (SELECT threshold FROM pts ORDER BY f1 DESC, threshold DESC LIMIT 1),
 g AS (SELECT CASE WHEN GROUPING(layer1) = 1 THEN 'ALL' ELSE layer1::VARCHAR END AS scope, {_COUNTS.format(at='threshold')} FROM pss, c GROUP BY GROUPING SETS ((layer1), ()))
 SELECT scope, tp, fp, fn, tn, round("precision", 6) AS "precision", round(recall, 6) AS recall, round(f1, 6) AS f1, round(accuracy, 6) AS accuracy FROM (SELECT *, {_METRICS} FROM g)""")
 def language_breakdown(spark, sf_dir):
     """The chosen threshold applied to all pairs: a row for each group and one for all."""
-    df = scores(spark, sf_dir, "pss")
+    df = scores(spark, sf_dir, "pss").persist()
     chosen = T.best(df, [], "pr_curve", "f1")
     rows = T.apply(df, chosen, [])
     cube = rows.groupingSets([[F.col("layer1")], []], F.col("layer1")).agg(F.grouping("layer1").alias("g"), F.count_if(F.expr("label = 1 and predicted = 1")).alias("tp"), F.count_if(F.expr("label <> 1 and predicted = 1")).alias("fp"), F.count_if(F.expr("label = 1 and predicted = 0")).alias("fn"), F.count_if(F.expr("label <> 1 and predicted = 0")).alias("tn"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
-MODULES = ("scoring",)
+MODULES = ("scoring", "evaluation", "sampling", "splits", "text")
 
 
 def query(sql: str | None = None):

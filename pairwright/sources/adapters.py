@@ -19,7 +19,7 @@ def codes(spark, sf_dir) -> DataFrame:
 
 def spectra(spark, sf_dir) -> DataFrame:
     """code_id, layer, label, ev: ascending non-negative values, 16 to 64 of them."""
-    ev = F.slice(F.array_sort(F.transform("embedding", lambda x: F.abs(x.cast("double")))), F.lit(1), (16 + F.col("vec_id") % 49).cast("int"))
+    ev = F.slice(F.sort_array(F.transform("embedding", lambda x: F.abs(x.cast("double")))), F.lit(1), (16 + F.col("vec_id") % 49).cast("int"))
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("code_id"), (F.col("vec_id") % 4).cast("int").alias("layer"), "label", ev.alias("ev"))
 
 

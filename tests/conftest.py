@@ -1,9 +1,11 @@
 import os
+import sys
 import tempfile
 
 import pytest
 from pyspark.sql import SparkSession
 
+sys.path[:0] = [os.path.dirname(__file__), os.path.dirname(os.path.dirname(__file__))]
 os.environ.setdefault("OMP_NUM_THREADS", "1")
 
 

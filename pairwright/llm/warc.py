@@ -72,16 +72,16 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST, date: str =
     digest = F.sha2(F.coalesce(F.col("html"), F.lit("")), 256)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), digest.alias("digest"))
     again = resolve(pages, least).select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "refers_to")
-    # also joined when the headers of all pages fit one broadcast: ids deal out evenly, digests do not
+    # the join deals rows out by id as well, so equal payloads do not meet in one task
     rows = rows.join(again, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")), "left")
-    rows = rows.select("page_id", "url", "html", "digest", "refers_to").repartition(shuffle_parts(pages.sparkSession), "page_id", "digest").sortWithinPartitions("page_id")
+    rows = rows.select("page_id", "url", "html", "digest", "refers_to").sortWithinPartitions("page_id")
 
     def run(batches):
         fs, root = open_fs(path)
         fs.create_dir(root, recursive=True)
         out, name, n, size = None, None, 0, 0
         for b in batches:
-            for r in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "refers_to")), strict=True):
+            for r in zip(b.column("page_id").to_pylist(), *(b.column(c).to_numpy(zero_copy_only=False).tolist() for c in ("url", "html", "digest")), b.column("refers_to").to_pylist(), strict=True):
                 if out is None:
                     name, n, size = f"part-{uuid.uuid4().hex}.warc.gz", 0, 0
                     out = fs.open_output_stream(f"{root}/{name}", compression=None)

@@ -77,4 +77,25 @@ kept AS (SELECT d.r, d.doc_id, t.p, words[t.p] AS word, g.p IS NOT NULL AS remov
 SELECT d.doc_id, len(d.words)::BIGINT AS n_words, count(k.p) FILTER (k.removed)::BIGINT AS n_removed,
        sha256(coalesce(string_agg(k.word, ' ' ORDER BY k.p) FILTER (NOT k.removed), '')) AS kept_sha256
 FROM d LEFT JOIN kept k ON k.r = d.r GROUP BY d.r, d.doc_id, d.words""",
+        "op3_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), q AS (SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha256(h) AS payload_digest FROM p),
+m AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS lead FROM q)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND page_id > lead THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id > lead THEN lead END AS refers_to FROM m""",
+        "op6_quality_rules": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+           list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
+win AS (SELECT r, i, md5(array_to_string(w[i:i + 7], ' ')) AS h FROM d, unnest(range(1, len(w) - 6)) AS u(i)),
+rep AS (SELECT r, i FROM win QUALIFY count(*) OVER (PARTITION BY r, h) > 1),
+cov AS (SELECT r, count(DISTINCT i + k)::BIGINT AS n FROM rep, range(8) AS o(k) GROUP BY r),
+m AS (SELECT r, doc_id, lang, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
+      (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, len(l) AS n_lines, coalesce(n, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN cov USING (r)),
+v AS (SELECT *, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed, coalesce(round(n_symbols::DOUBLE / nullif(word_chars, 0), 6), 0) AS symbol_ratio,
+      coalesce(round(word_chars::DOUBLE / nullif(n_words, 0), 6), 0) AS word_length, coalesce(round(n_dup_lines::DOUBLE / nullif(n_lines, 0), 6), 0) AS dup_line_ratio, coalesce(round(n_repeat_words::DOUBLE / nullif(n_words, 0), 6), 0) AS repeat_ratio FROM m),
+g AS (SELECT * FROM v WHERE NOT base_failed),
+q AS (SELECT lang, source, GROUPING(lang, source) AS lvl, count(*) AS n, quantile_disc(symbol_ratio, [0.25, 0.75]) AS a, quantile_disc(word_length, [0.25, 0.75]) AS b, quantile_disc(dup_line_ratio, [0.25, 0.75]) AS c, quantile_disc(repeat_ratio, [0.25, 0.75]) AS e FROM g GROUP BY GROUPING SETS ((lang, source), (lang), ())),
+f AS (SELECT v.*, CASE WHEN o.n >= 20 THEN o.a WHEN t.n >= 20 THEN t.a ELSE z.a END AS a, CASE WHEN o.n >= 20 THEN o.b WHEN t.n >= 20 THEN t.b ELSE z.b END AS b, CASE WHEN o.n >= 20 THEN o.c WHEN t.n >= 20 THEN t.c ELSE z.c END AS c, CASE WHEN o.n >= 20 THEN o.e WHEN t.n >= 20 THEN t.e ELSE z.e END AS e
+      FROM v LEFT JOIN q o ON o.lvl = 0 AND o.lang IS NOT DISTINCT FROM v.lang AND o.source IS NOT DISTINCT FROM v.source LEFT JOIN q t ON t.lvl = 1 AND t.lang IS NOT DISTINCT FROM v.lang LEFT JOIN q z ON z.lvl = 3)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND symbol_ratio <= a[2] + greatest(0.05::DOUBLE, 3 * (a[2] - a[1])) AND word_length <= b[2] + greatest(1.5::DOUBLE, 3 * (b[2] - b[1])) AND word_length >= b[1] - greatest(1.5::DOUBLE, 3 * (b[2] - b[1]))
+       AND dup_line_ratio <= c[2] + greatest(0.5::DOUBLE, 3 * (c[2] - c[1])) AND repeat_ratio <= e[2] + greatest(0.3::DOUBLE, 3 * (e[2] - e[1]))) AS kept, symbol_ratio, word_length, dup_line_ratio, repeat_ratio FROM f""",
     }

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import inference as I
 from ..operators import metrics as M
+from ..operators import transfer as X
 from ..sources import adapters as A
 from .registry import query
 
@@ -91,3 +92,45 @@ def cluster_bootstrap(spark, sf_dir):
 @query()
 def auc_bootstrap(spark, sf_dir):
     return I.auc_bootstrap(A.scored(spark, sf_dir), "lang")
+
+
+_B = "CASE WHEN {a} = {b} THEN {a} ELSE least({a}, {b}) || '-' || greatest({a}, {b}) END"
+_L = "WITH l AS (SELECT DISTINCT lang AS x FROM documents)"
+
+
+@query(f"""{_L}, p AS (SELECT [a.x, b.x] AS p FROM l a JOIN l b ON a.x <> b.x UNION ALL SELECT [a.x, b.x, c.x] FROM l a JOIN l b ON a.x <> b.x JOIN l c ON c.x NOT IN (a.x, b.x) UNION ALL SELECT [a.x, b.x, c.x, d.x] FROM l a JOIN l b ON a.x <> b.x JOIN l c ON c.x NOT IN (a.x, b.x) JOIN l d ON d.x NOT IN (a.x, b.x, c.x)),
+m AS (SELECT p, len(p) - 1 AS hops, unnest(range(0, CASE len(p) WHEN 2 THEN 1 WHEN 3 THEN 2 ELSE 4 END))::INTEGER AS reinforced FROM p),
+t AS (SELECT *, list_concat([p[1]], list_transform(range(1, hops + 1), lambda i: {_B.format(a='p[i]', b='p[i + 1]')}), list_filter(list_transform(range(1, hops), lambda i: CASE WHEN (reinforced >> (i - 1)::INTEGER) & 1 = 1 THEN p[i + 1] END), lambda v: v IS NOT NULL)) AS tr FROM m)
+SELECT 'within' AS kind, x AS path, 0 AS reinforced, x AS train, x AS test FROM l
+UNION ALL SELECT 'cross', a.x || '>' || b.x, 0, a.x || ',' || b.x, {_B.format(a='a.x', b='b.x')} FROM l a JOIN l b ON a.x < b.x
+UNION ALL SELECT 'bridge' || hops::VARCHAR, array_to_string(p, '>'), reinforced, array_to_string(tr, ','), p[hops + 1] FROM t""")
+def transfer_plan(spark, sf_dir):
+    return X.plan(A.table(spark, sf_dir, "documents").select(F.col("lang").alias("language")).distinct())
+
+
+@query("""WITH s AS (SELECT vec_id, vec_id % 4 AS layer, CASE WHEN vec_id % 29 = 0 THEN 'failed' ELSE 'ok' END AS status FROM embeddings WHERE vec_id % 31 <> 0)
+SELECT lang, coalesce(layer, -1)::BIGINT AS layer, coalesce(status, 'missing') AS status, count(*) AS n FROM documents LEFT JOIN s ON vec_id = doc_id WHERE doc_id < 400 GROUP BY ALL""")
+def graph_coverage(spark, sf_dir):
+    """Codes by language, layer and status; those without a spectrum are missing."""
+    s = A.table(spark, sf_dir, "embeddings").where("vec_id % 31 <> 0").select(F.col("vec_id").alias("doc_id"), (F.col("vec_id") % 4).alias("layer"), F.when(F.col("vec_id") % 29 == 0, "failed").otherwise("ok").alias("status"))
+    d = A.table(spark, sf_dir, "documents").where("doc_id < 400").select("doc_id", "lang").join(s, "doc_id", "left")
+    return d.groupBy("lang", F.coalesce("layer", F.lit(-1)).alias("layer"), F.coalesce("status", F.lit("missing")).alias("status")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH m AS (SELECT source, lang, count(*) AS n, avg(n_chars) AS v FROM documents GROUP BY ALL), b AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY v DESC, n DESC, lang) AS k FROM m)
+SELECT source, lang, n FROM b WHERE k = 1""")
+def best_row(spark, sf_dir):
+    """Best row of each group by value, then by size: an argmax, no sort of a group."""
+    m = A.table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"), F.avg("n_chars").alias("v"))
+    top = m.groupBy("source").agg(F.min_by(F.struct("lang", "n"), F.struct(-F.col("v"), -F.col("n"), F.col("lang"))).alias("x"))
+    return top.select("source", "x.lang", "x.n")
+
+
+@query("""WITH r AS (SELECT o_custkey % 9 AS arm, o_orderkey % 5 AS seed, avg(o_totalprice) AS v FROM orders GROUP BY ALL)
+SELECT a.arm, a.seed, round(a.v - b.v, 4) AS delta FROM r a JOIN r b ON b.arm = 0 AND b.seed = a.seed WHERE a.arm <> 0""")
+def paired_deltas(spark, sf_dir):
+    """Every arm's difference to the reference arm, seed by seed."""
+    o = A.table(spark, sf_dir, "orders")
+    r = o.groupBy((F.col("o_custkey") % 9).alias("arm"), (F.col("o_orderkey") % 5).alias("seed")).agg(F.avg("o_totalprice").alias("v"))
+    base = r.where("arm = 0").select("seed", F.col("v").alias("b"))
+    return r.where("arm <> 0").join(base, "seed").select("arm", "seed", F.round(F.col("v") - F.col("b"), 4).alias("delta"))

@@ -1,7 +1,7 @@
 """Hand-checked values, invariants and errors."""
 
 import hashlib
-import itertools
+
 
 import numpy as np
 import pytest
@@ -166,6 +166,12 @@ def test_intervals(spark):
     assert {x.arm: x.variance for x in I.finite_mean_var(df, ["arm"], "v").collect()} == {"a": 1.0, "b": 0.0}
 
 
-def test_transfer_plan():
-    langs = "abcd"
-    assert len(list(itertools.permutations(langs, 2))) == 12
+
+def test_transfer_rows(spark):
+    from pairwright.operators import transfer
+
+    rows = transfer.plan(spark.createDataFrame([(x,) for x in "abcd"], "language string")).collect()
+    count = {k: sum(r.kind == k for r in rows) for k in ("within", "cross", "bridge1", "bridge2", "bridge3")}
+    assert count == {"within": 4, "cross": 6, "bridge1": 12, "bridge2": 48, "bridge3": 96}
+    assert len({(r.kind, r.path, r.reinforced) for r in rows}) == 166
+    assert all(r.test not in r.train.split(",") for r in rows if r.kind != "within")

@@ -1,6 +1,6 @@
 """Quality classifier: nearest-neighbour voting in a latent semantic space.
 
-Terms are pairs of neighbouring character classes, repeated words and repeated lines. Their
+Terms are pairs of neighbouring character classes, and words that repeat soon. Their
 document frequencies are counted over all documents; labelled documents (a bounded sample,
 `SAMPLE` rows) give a truncated singular value decomposition. Their latent vectors are
 broadcast, every document's cosine with every one of them is computed exactly in blocks, and
@@ -43,7 +43,10 @@ _CLASS[[b for b in _others if b >= 33]] = 32 + np.arange(sum(b >= 33 for b in _o
 _CLASS[[b for b in _others if b < 33]] = 30
 _CLASS[10] = 31
 PAIRS = 64 * 64
-TERMS = PAIRS + 2
+#: Beside the pairs: words like the one before, words like the one eight before, all words.
+TERMS = PAIRS + 3
+#: Length, next to the unit vector of pairs, of a text in which every word repeats.
+REPEATS = 1.5
 
 
 def counts(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -65,13 +68,16 @@ def counts(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
         eight = np.flatnonzero(h[8:] == h[:-8])
         eight = eight[np.searchsorted(first, eight, "right") == np.searchsorted(first, eight + 8, "right")]
         out[:, PAIRS + 1] = np.bincount(np.searchsorted(first, eight, "right") - 1, minlength=n)[:n]
+    out[:, PAIRS + 2] = np.diff(first)
     return out
 
 
 def _weigh(x: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    x = np.log1p(x) * idf
-    norm = np.linalg.norm(x, axis=1, keepdims=True)
-    return x / np.where(norm > 0, norm, 1)
+    """Unit vectors of weighted pairs, and beside them the shares of repeated words."""
+    pairs = np.log1p(x[:, :PAIRS]) * idf[:PAIRS]
+    norm = np.linalg.norm(pairs, axis=1, keepdims=True)
+    share = x[:, PAIRS : PAIRS + 2] / np.maximum(x[:, PAIRS + 2 :], 1)
+    return np.concatenate([pairs / np.where(norm > 0, norm, 1), np.float32(REPEATS) * share], 1)
 
 
 class Voter:
@@ -153,11 +159,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, dims: int = DI
 
     got = rows.mapInArrow(vectors, "doc_id long, quality int, at binary, x binary").dropDuplicates(["doc_id"]).collect()
     got.sort(key=lambda r: r[0])
-    x, y = np.zeros((len(got), TERMS), np.float32), np.array([r[1] for r in got], np.float64)
+    x, y = np.zeros((len(got), PAIRS + 2), np.float32), np.array([r[1] for r in got], np.float64)
     for i, r in enumerate(got):
         x[i, np.frombuffer(r[2], "<i2")] = np.frombuffer(r[3], np.float16)
     if not len(x):
-        return Voter(idf, np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), y)
+        return Voter(idf, np.zeros((PAIRS + 2, 1), np.float32), np.zeros((0, 1), np.float32), y)
     basis = _svd_basis(x, dims)
     v = x @ basis
     norm = np.linalg.norm(v, axis=1)

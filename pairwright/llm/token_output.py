@@ -14,6 +14,7 @@ result.
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import struct
@@ -28,22 +29,26 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, shuffle_parts, written
+from .common import fresh_path, shuffle_parts, text_bytes, written
 from .warc import open_fs
 
 MAGIC = b"RANSTOK1"
 BITS = 18
-LANES = 1024
+LANES = 2048
 BLOCK_STEPS = 256
 CHECK_STEPS = 128
 FILE_TOKENS = 4 << 20
-#: Distinct pieces kept by a worker.
-CACHE = 500_000
+#: Distinct pieces kept by a worker; beyond, the half learned first (mostly the frequent) stays.
+CACHE = 1_200_000
 END_ID = 2
 LOW = np.uint64(1 << 31)
 U32 = np.uint64(32)
 
 
+_SPACES, _WIDE = np.zeros(256, bool), np.zeros(256, bool)
+_SPACES[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = True
+_WIDE[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+
 # ---- tokens of texts ----
 
 
@@ -68,6 +73,7 @@ class Encoder:
         pattern = json.loads(self.tok.to_str()).get("pre_tokenizer") or {}
         self.by_piece = pattern.get("type") == "ByteLevel" and not pattern.get("add_prefix_space") and pattern.get("use_regex", True) and self.tok.normalizer is None and len(self.line) == 1
         self.kept: dict[str, bytes] = {"": b""}
+        self.line_bytes = np.array(self.line, "<u4").tobytes()
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch(texts, add_special_tokens=False)]
@@ -95,10 +101,24 @@ class Encoder:
         stem = s.rstrip(self.TAIL)
         return (brk, stem, s[len(stem) :]) if stem and stem[-1].isalpha() else (brk, s, "")
 
+    def _unsafe(self, texts: pa.Array) -> np.ndarray:
+        if not self.by_piece:
+            return np.ones(len(texts), bool)
+        raw, off = text_bytes(texts)
+        if _WIDE[raw].any():  # bytes that white space beyond ASCII begins with
+            return pc.match_substring_regex(texts, self.UNSAFE).to_numpy(zero_copy_only=False)
+        space = _SPACES[raw]
+        out = np.zeros(len(texts), bool)
+        twice = np.flatnonzero(space[1:] & space[:-1])
+        out[np.searchsorted(off, twice, "right") - 1] = True  # too careful across two texts: harmless
+        some = np.flatnonzero(np.diff(off))
+        out[some] |= space[off[some]] | space[off[some + 1] - 1]
+        return out
+
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts without end ids, and how many each text has."""
-        if not self.by_piece or pc.any(pc.match_substring_regex(texts, self.UNSAFE)).as_py():
-            unsafe = pc.match_substring_regex(texts, self.UNSAFE).to_numpy(zero_copy_only=False) if self.by_piece else np.ones(len(texts), bool)
+        unsafe = self._unsafe(texts)
+        if unsafe.any():
             if unsafe.all():
                 ids = self.whole(texts.to_pylist())
                 return np.array([x for y in ids for x in y], "<u4"), np.array([len(x) for x in ids], np.int64)
@@ -112,14 +132,14 @@ class Encoder:
         lines = pc.replace_substring(pc.binary_join_element_wise(pa.scalar("\n", texts.type), texts, pa.scalar("", texts.type)), "\n", " \n")
         split = pc.split_pattern(lines, " ")
         coded = split.flatten().dictionary_encode()
-        pieces = [self._parts(p) for p in coded.dictionary.to_pylist()]
         if len(self.kept) > CACHE:
-            self.kept = {"": b""}
-        new = {s for _, a, b in pieces for s in (a, b) if s not in self.kept}
+            self.kept = dict(itertools.islice(self.kept.items(), CACHE // 2))
+        pieces = [self._parts(p) for p in coded.dictionary.to_numpy(zero_copy_only=False).tolist()]
+        kept, line = self.kept, self.line_bytes
+        new = {s for _, a, b in pieces for s in (a, b) if s not in kept}
         if new:
             self._learn(list(new))
-        line, kept = np.array(self.line, "<u4").tobytes(), self.kept
-        parts = [line + kept[a] + kept[b] if brk else kept[a] + kept[b] for brk, a, b in pieces]
+        parts = [line + kept[a] + kept[b] if brk else kept[a] + kept[b] if b else kept[a] for brk, a, b in pieces]
         size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
         flat, begin = np.frombuffer(b"".join(parts), "<u4"), np.cumsum(size) - size
         code = coded.indices.to_numpy()
@@ -201,8 +221,12 @@ def decode_block(words: np.ndarray, mark, stop: int, n: int, freq, cum, table, b
 def write_file(ids: np.ndarray, doc_ids: list, lengths: np.ndarray) -> bytes:
     """A whole file: magic, header, table, index, directory, blocks."""
     z = zstandard.ZstdCompressor(level=3)
-    symbols, dense = np.unique(ids, return_inverse=True)
-    freq = frequencies(np.bincount(dense, minlength=len(symbols)))
+    counts = np.bincount(ids)
+    symbols = np.flatnonzero(counts)
+    place_of = np.zeros(len(counts), np.int32)
+    place_of[symbols] = np.arange(len(symbols))
+    dense = place_of[ids]
+    freq = frequencies(counts[symbols])
     f, cum = freq.astype(np.uint64), (np.cumsum(freq) - freq).astype(np.uint64)
     blocks, directory, states, place = [], [], [], 0
     width = LANES * BLOCK_STEPS
@@ -287,7 +311,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
             size = np.append(0, np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)))
             a = 0
             while a < len(texts):
-                z = max(a + 1, int(np.searchsorted(size, size[a] + (4 << 20), "right")) - 1)
+                z = max(a + 1, int(np.searchsorted(size, size[a] + (8 << 20), "right")) - 1)
                 got, k = enc.batch(texts.slice(a, z - a))
                 stops = np.cumsum(k + 1) - 1
                 full = np.empty(len(got) + len(k), "<u4")

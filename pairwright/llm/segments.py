@@ -160,7 +160,7 @@ def repeated_windows(docs: DataFrame, symbols: Callable, cut: Callable, size: in
 
     def contents(batches):
         for b in batches:
-            z, parts = b.column("z").to_pylist(), b.column("parts")
+            z, parts = b.column("z").to_numpy(zero_copy_only=False), b.column("parts")
             off, flat = parts.offsets.to_numpy(), parts.flatten()
             cols = {c: flat.field(c).to_numpy(zero_copy_only=False) for c in ("start", "runs", "key", "content", "weight")}
             base = off[0]
@@ -187,7 +187,7 @@ def repeated_windows(docs: DataFrame, symbols: Callable, cut: Callable, size: in
 
         pend, held, last = [], 0, None
         for b in batches:
-            for row in zip(*(b.column(c).to_pylist() for c in ("key", "content", "weight", "data")), strict=True):
+            for row in zip(*(b.column(c).to_numpy(zero_copy_only=False).tolist() for c in ("key", "content", "weight", "data")), strict=True):
                 if last is not None and row[0] != last[0] and held >= batch_bytes:
                     yield flush(pend)
                     pend, held = [], 0

@@ -9,8 +9,9 @@ link is verified on the shingles themselves (exact probability Jaccard, `LEAST`
 Equal texts are one node. A bucket is not expanded into its pairs: its members are compared
 with a leader; where that leaves members of a bucket in different classes, further leaders are
 tried, and then the pairs of different classes that remain are compared, except those that the
-triangle inequality of the distance (1 - similarity) to the first leader already excludes.
-So no link between two classes is lost, and a group of n copies costs about n comparisons.
+triangle inequality of the distance (1 - similarity) to the first leader excludes, or whose
+signatures differ by more than four standard deviations from a similarity of `LEAST`.
+A group of n copies costs about n comparisons, and no pair is dropped for a bucket's size.
 
 Cases: texts that are equal as a whole are one class, empty ones (null counts as empty) too; a
 text of one to four words is one shingle; a null id is carried as null, and a class of null
@@ -35,6 +36,9 @@ ROWS = 4
 SEED = 23
 #: Leaders tried in a bucket before its remaining pairs are compared.
 LEADERS = 4
+#: A remaining pair is compared if its signatures agree in LEAST - MARGIN of the slots: more than
+#: four standard deviations of that estimate below LEAST.
+MARGIN = 0.15
 
 
 def shingles(raw: np.ndarray, off: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -122,19 +126,22 @@ def _signed(rows: DataFrame) -> DataFrame:
         with np.errstate(over="ignore"):
             for batch in batches:
                 raw, off = text_bytes(batch.column("text"))
-                for i, j in _groups(off, 4 << 20):
+                for i, j in _groups(off, 1 << 20):
                     t, h, w = weighted(*shingles(raw[off[i] : off[j]], off[i : j + 1] - off[i]))
                     n = j - i
-                    b = bands(signatures(t, h, w, n))
+                    sig = signatures(t, h, w, n)
+                    b = bands(sig)
                     some = np.zeros(n, bool)
                     some[t] = True
                     flat = b[some].ravel().view(np.int64)
                     size = np.where(some, b.shape[1], 0)
                     lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(flat))
+                    # two bytes of every slot are enough to estimate a similarity from
+                    slots = pa.array([x.tobytes() for x in mix64(sig).astype("<u2")], pa.binary())
                     part = batch.slice(i, n)
-                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("did", "rid", "id", "body")), lists], ["did", "rid", "id", "body", "bands"])
+                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("did", "rid", "id", "body")), lists, slots], ["did", "rid", "id", "body", "bands", "slots"])
 
-    return rows.withColumn("body", F.md5("text")).mapInArrow(run, "did long, rid long, id long, body string, bands array<long>")
+    return rows.withColumn("body", F.md5("text")).mapInArrow(run, "did long, rid long, id long, body string, bands array<long>, slots binary")
 
 
 def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -184,7 +191,7 @@ def classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """(did, rid, id, node, label) for every row of docs: equal labels are one class."""
     rows = keyed(docs)
     signed = written(_signed(rows), "near-signed")
-    nodes = signed.groupBy("body").agg(F.min(F.struct("did", "rid")).alias("one"), F.first("bands").alias("bands"))
+    nodes = signed.groupBy("body").agg(F.min(F.struct("did", "rid")).alias("one"), F.first("bands").alias("bands"), F.first("slots").alias("slots"))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
     buckets = nodes.select("node", F.explode("bands").alias("key"))
     leaders = buckets.groupBy("key").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
@@ -225,11 +232,15 @@ def classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
             links.append(fresh)
             labels = components(_all(links))
 
-    # what remains: pairs of different classes within one bucket, at like distance from its leader
-    now = written(open_buckets(labels).withColumn("cell", F.floor(F.col("s") / slack)), "near-open")
-    x = now.select("key", F.col("node").alias("a"), F.col("label").alias("la"), F.col("s").alias("sa"), F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"))
-    y = now.select("key", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("s").alias("sb"), "cell")
-    rest = x.join(y, ["key", "cell"]).where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (F.abs(F.col("sa") - F.col("sb")) <= slack)).select("a", "b").distinct()
+    # what remains: pairs of different classes within one bucket, at like distance from its leader,
+    # whose signatures agree in nearly `least` of the slots; the join makes no row for the others
+    now = open_buckets(labels).join(nodes.select("node", F.hex("slots").alias("slots")), "node")
+    now = written(now.withColumn("cell", F.floor(F.col("s") / slack)), "near-open")
+    x = now.select("key", F.col("node").alias("a"), F.col("label").alias("la"), F.col("s").alias("sa"), F.col("slots").alias("xa"), F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"))
+    y = now.select("key", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("s").alias("sb"), F.col("slots").alias("xb"), "cell")
+    like = (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (F.abs(F.col("sa") - F.col("sb")) <= slack)
+    close = F.aggregate(F.sequence(F.lit(0), F.lit(SLOTS - 1)), F.lit(0), lambda n, i: n + (F.substr("xa", i * 4 + 1, F.lit(4)) == F.substr("xb", i * 4 + 1, F.lit(4))).cast("int")) >= int(SLOTS * (least - MARGIN))
+    rest = x.join(y, (x["key"] == y["key"]) & (x["cell"] == y["cell"]) & F.when(like, close).otherwise(False)).select("a", "b").distinct()
     rest = rest.join(known.select("a", "b"), ["a", "b"], "left_anti").join(known.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
     got = written(_verify(rest, texts), "near-links").where(F.col("s") >= least)
     if got.limit(1).count():

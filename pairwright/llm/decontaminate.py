@@ -1,9 +1,11 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 Words are runs of letters, digits and non-ASCII characters, ASCII letters in lower case. The
-document frequency of every n-gram of the test items is counted over all documents; the
-rarest half of each item's n-grams are its seeds. A passage that holds a seed is aligned with
-the item, and the score is the best local alignment over that of the item with itself.
+document frequency of every n-gram of the test items is counted over all documents; those that
+stand in one are seeds, and the rarest half of an item's seeds are rare. A passage that holds a
+rare seed is aligned with the item; one that holds frequent seeds alone is aligned if its words
+allow the least score. The score is the best local alignment over that of the item with itself.
+So every passage that shares an n-gram and reaches the least score is found.
 
 Test items are sent to the tasks in blocks of at most `BLOCK_BYTES`; each block is searched in
 all documents, so a benchmark of any size is searched whole.
@@ -95,19 +97,46 @@ class Items:
         self.entries = [(i, p, int(k)) for i, g in enumerate(sets) for p, k in enumerate(np.searchsorted(self.grams, g))]
 
     def seeds(self, df: np.ndarray) -> None:
-        """Keep the rarest half of the n-grams of each item, ties included."""
+        """Take every n-gram that stands in a document as a seed; the rarest half of each item's, ties included, are rare."""
         e = np.array(self.entries, np.int64).reshape(-1, 3)
-        keep = np.zeros(len(e), bool)
+        e = e[df[e[:, 2]] > 0]
+        rare = np.zeros(len(e), bool)
         for i in range(len(self.ids)):
             at = np.flatnonzero(e[:, 0] == i)
-            n = np.sort(df[e[at, 2]])
-            keep[at] = df[e[at, 2]] <= n[(len(n) - 1) // 2]
-        e = e[keep]
-        e = e[np.argsort(e[:, 2], kind="stable")]
+            if len(at):
+                n = np.sort(df[e[at, 2]])
+                rare[at] = df[e[at, 2]] <= n[(len(n) - 1) // 2]
+        by = np.argsort(e[:, 2], kind="stable")
+        e, self.rare = e[by], rare[by]
         used = np.unique(e[:, 2])
         self.lookup = Lookup(self.grams[used])
         self.of, self.place = e[:, 0], e[:, 1]
         self.begin = np.append(np.searchsorted(e[:, 2], used), len(e))
+        self.vocab = np.unique(np.concatenate([*self.words, np.zeros(0, np.uint64)]))
+        self.known = np.unique(np.concatenate([np.zeros(0, np.int64), *(i * len(self.vocab) + np.searchsorted(self.vocab, w) for i, w in enumerate(self.words))]))
+
+    def bounds(self, h: np.ndarray, a: np.ndarray, z: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """What the alignment of each passage h[a:z] with its item can score at most.
+
+        A word of the item gives at most a match, any other costs a mismatch or a gap: the best run of such values.
+        """
+        out = np.zeros(len(a), np.int64)
+        off = np.append(0, np.cumsum(z - a))
+        for i, j in _groups(off, 1 << 20):
+            n = (z - a)[i:j]
+            start = off[i:j] - off[i]
+            word = h[np.arange(n.sum()) + np.repeat(a[i:j] - start, n)]
+            k = np.searchsorted(self.vocab, word)
+            k[k == len(self.vocab)] = 0
+            key = np.repeat(item[i:j], n) * len(self.vocab) + k
+            at = np.searchsorted(self.known, key)
+            at[at == len(self.known)] = 0
+            value = np.where((self.vocab[k] == word) & (self.known[at] == key), MATCH, -min(MISMATCH, GAP))
+            total = np.cumsum(value)
+            # passages lie so far below each other that no minimum is one of an earlier passage
+            total -= np.repeat(np.arange(j - i) * ((MATCH + 1) * (len(word) + 1)), n)
+            out[i:j] = np.maximum.reduceat(total - np.minimum.accumulate(total - value), start)
+        return out
 
     def matches(self, raw: np.ndarray, off: np.ndarray, least: float) -> list[tuple[int, int, float, int, int]]:
         """(text, item, score, first word, last word) of every item that a text holds."""
@@ -117,20 +146,26 @@ class Items:
             return []
         n = self.begin[k + 1] - self.begin[k]
         e = np.arange(n.sum()) + np.repeat(self.begin[k] - (np.cumsum(n) - n), n)
-        item, at = self.of[e], np.repeat(at, n)
+        item, rare, at = self.of[e], self.rare[e], np.repeat(at, n)
         text = np.searchsorted(first, at, "right") - 1
         lead = at - self.place[e]
         by = np.lexsort((lead, item, text))
-        text, item, lead = text[by], item[by], lead[by]
+        text, item, lead, rare = text[by], item[by], lead[by], rare[by]
         size = np.array([len(w) for w in self.words])[item]
         new = np.append(True, (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (lead[1:] - lead[:-1] > size[1:]))
         head = np.flatnonzero(new)
         tail = np.append(head[1:] - 1, len(lead) - 1)
-        slack = size[head] // 4 + 4
+        # an alignment that scores `least` has no more gaps
+        slack = np.ceil((1 - least) * MATCH / GAP * size[head]).astype(np.int64) + 1
         a = np.maximum(first[text[head]], lead[head] - slack)
         z = np.minimum(first[text[head] + 1], lead[tail] + size[head] + slack)
+        # passages with a rare seed are aligned; those with frequent ones only where `least` can be reached
+        reach = np.logical_or.reduceat(rare, head)
+        weak = np.flatnonzero(~reach)
+        reach[weak] = self.bounds(h, a[weak], z[weak], item[head[weak]]) >= least * MATCH * size[head[weak]]
         out = {}
-        order = np.argsort(z - a, kind="stable")
+        order = np.flatnonzero(reach)
+        order = order[np.argsort((z - a)[order], kind="stable")]
         i = 0
         while i < len(order):
             j = i + 1

@@ -430,3 +430,57 @@ def test_decontamination(spark):
     bad = {d for d, _ in want}
     assert Counter(x.doc_id for x in left.collect()) == Counter(i for i, *_ in rows if i not in bad)
     assert decontaminate.find(df, bench.limit(0)).count() == 0 and decontaminate.find(df.limit(0), bench).count() == 0
+
+
+def test_decontamination_of_edited_copies(spark):
+    """Every passage that reaches the least score with a shared n-gram is found, however it was edited and whatever is frequent."""
+    r = random.Random(21)
+    items = {k: words(r, 48, 3000) for k in range(7)}
+
+    def replaced(w, every, first=0):
+        return [f"new{r.randrange(10**6)}" if i % every == first else x for i, x in enumerate(w)]
+
+    def among(w):
+        return words(r, 40, 3000) + w + words(r, 40, 3000)
+
+    rows, want = [], set()
+    for k, w in ((0, replaced(items[0], 5, 4)), (1, replaced(items[1], 6, 5)), (2, [x for i, v in enumerate(items[2]) for x in ([v, f"in{i}"] if i % 3 == 2 else [v])])):
+        rows.append((k, " ".join(among(w)), "en", "a"))
+        want.add((k, k))
+    # a variant with a new half, many times: its n-grams are the frequent half of the item's
+    hot = items[3][:32] + [f"other{i}" for i in range(16)]
+    for k in range(100, 160):
+        rows.append((k, " ".join(hot), "en", "a"))
+        want.add((k, 3))
+    rows.append((4, " ".join(among(replaced(items[3][:32], 16, 9))), "en", "a"))  # frequent n-grams alone
+    want.add((4, 3))
+    # a third of an item is no copy; words between those of an item, only its start in a row
+    rows.append((5, " ".join(among(items[4][:16])), "en", "a"))
+    rows.append((6, " ".join(items[5][:3] + [x for i, v in enumerate(items[5][3:]) for x in (v, f"gap{i}")]), "en", "a"))
+    want.add((6, 5))
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")
+    grams = lambda w: {tuple(w[i : i + 3]) for i in range(len(w) - 2)}
+    brute = set()
+    for d, t, *_ in rows:
+        for k, w in items.items():
+            one, two = (decontaminate._text_tokens(x) for x in (t, " ".join(w)))
+            if grams(t.split()) & grams(w) and decontaminate.align([one], [two])[0][0] >= 0.5 * 2 * len(w):
+                brute.add((d, k))
+    assert brute == want
+    assert {(x.doc_id, x.item_id) for x in decontaminate.find(docs(spark, rows), bench).collect()} == want
+
+
+def test_decontamination_bounds():
+    r = random.Random(22)
+    items = decontaminate.Items([(k, " ".join(words(r, 12, 30))) for k in range(4)], 3)
+    items.seeds(np.ones(len(items.grams), np.int64))
+    h = decontaminate._text_tokens(" ".join(words(r, 400, 45)))
+    a = np.array([r.randrange(370) for _ in range(200)])
+    z, item = a + np.array([r.randint(1, 30) for _ in a]), np.array([r.randrange(4) for _ in a])
+    top = items.bounds(h, a, z, item)
+    for i, j, k, got in zip(a, z, item, top, strict=True):
+        best = run = 0
+        for x in h[i:j]:
+            run = max(0, run) + (2 if x in items.words[k] else -1)
+            best = max(best, run)
+        assert max(got, 0) == best >= decontaminate.align([h[i:j]], [items.words[k]])[0][0]

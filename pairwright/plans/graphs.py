@@ -17,6 +17,11 @@ def _graph(spark, sf_dir):
     return G.token_graphs(A.codes(spark, sf_dir))
 
 
+def _whole(spark, sf_dir):
+    """The same over whole texts."""
+    return G.token_graphs(A.codes(spark, sf_dir), limit=None)
+
+
 @query(f"""{T}, d AS (SELECT code_id, src, count(*) AS d FROM e GROUP BY ALL), m AS (SELECT e.code_id, sum(1.0::DOUBLE / (x.d * y.d)) AS s FROM e JOIN d x ON x.code_id = e.code_id AND x.src = e.src JOIN d y ON y.code_id = e.code_id AND y.src = e.dst GROUP BY e.code_id),
 k AS (SELECT code_id, count(*) AS live FROM d GROUP BY code_id), c AS (SELECT code_id, count(*)::INTEGER AS num_nodes FROM n GROUP BY code_id)
 SELECT code_id, num_nodes, round(coalesce(live, 0)::DOUBLE, 6) AS sum1, round(coalesce(live + s, 0), 6) AS sum2 FROM c LEFT JOIN k USING (code_id) LEFT JOIN m USING (code_id)""")
@@ -37,7 +42,7 @@ def combinatorial_moments(spark, sf_dir):
 
 @query()
 def directed_spectra(spark, sf_dir):
-    s = G.spectra(*_graph(spark, sf_dir), kind="directed_laplacian")
+    s = G.spectra(*_whole(spark, sf_dir), kind="directed_laplacian")
     return s.select("code_id", "num_nodes", "status", F.size("eigenvalues").alias("k"), F.round(F.array_min("eigenvalues"), 4).alias("least"))
 
 
@@ -106,7 +111,7 @@ def graph_health(spark, sf_dir):
     """Rank correlation of text size and graph size, share of distinct structures, by language."""
     from ..operators.metrics import spearman
 
-    n, e = _graph(spark, sf_dir)
+    n, e = _whole(spark, sf_dir)
     size = n.groupBy("code_id").agg(F.count(F.lit(1)).alias("nodes"))
     shape = e.groupBy("code_id").agg(F.sha2(F.concat_ws(",", F.sort_array(F.collect_list(F.concat_ws(">", "src", "dst")))), 256).alias("shape"))
     d = A.codes(spark, sf_dir).select(F.col("code_id").cast("string").alias("code_id"), "language", "n_chars").join(size, "code_id").join(shape, "code_id", "left")

@@ -175,3 +175,15 @@ def test_transfer_rows(spark):
     assert count == {"within": 4, "cross": 6, "bridge1": 12, "bridge2": 48, "bridge3": 96}
     assert len({(r.kind, r.path, r.reinforced) for r in rows}) == 166
     assert all(r.test not in r.train.split(",") for r in rows if r.kind != "within")
+
+
+def test_graphs_of_whole_texts(spark, tmp_path):
+    """Words after the 64th are nodes, tell structures apart and count in sizes."""
+    from pairwright.plans import graphs
+
+    head = " ".join(f"h{i % 10}" for i in range(64))
+    rows = [(k, head + " " + " ".join(f"t{j}" for j in range(5 * k)), "en", "s", 100 * k) for k in range(1, 5)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.code_id: (r.num_nodes, r.k) for r in graphs.directed_spectra(spark, str(tmp_path)).collect()}
+    assert got == {str(k): (10 + 5 * k, 10 + 5 * k) for k in range(1, 5)}
+    assert tuple(graphs.graph_health(spark, str(tmp_path)).first()) == ("en", 4, 1.0, 1.0)

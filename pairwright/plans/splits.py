@@ -100,7 +100,7 @@ def dedup_unordered_pairs(spark, sf_dir):
 
 @query()
 def component_size_statistics(spark, sf_dir):
-    return P.component_sizes(P.components(A.endpoints(spark, sf_dir).where("kind = 'A'").select(F.col("left_id").alias("a"), F.col("right_id").alias("b"))))
+    return P.component_sizes(P.components(A.endpoints(spark, sf_dir).select(F.col("left_id").alias("a"), F.col("right_id").alias("b"))))
 
 
 @query()

@@ -187,3 +187,19 @@ def test_graphs_of_whole_texts(spark, tmp_path):
     got = {r.code_id: (r.num_nodes, r.k) for r in graphs.directed_spectra(spark, str(tmp_path)).collect()}
     assert got == {str(k): (10 + 5 * k, 10 + 5 * k) for k in range(1, 5)}
     assert tuple(graphs.graph_health(spark, str(tmp_path)).first()) == ("en", 4, 1.0, 1.0)
+
+
+def test_component_sizes_of_all_edges(spark, tmp_path):
+    """Edges of every kind count: brute force over the whole table."""
+    from pairwright.plans import splits
+
+    rng = np.random.default_rng(4)
+    rows = [(k, 1, int(rng.integers(40)), int(rng.integers(40)), 1.0, "ANR"[k % 3]) for k in range(45)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber long, l_partkey long, l_suppkey long, l_quantity double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    group = {}
+    for _, _, p, s, *_ in rows:
+        both = group.get(f"p{p}", {f"p{p}"}) | group.get(f"s{s}", {f"s{s}"})
+        group.update(dict.fromkeys(both, both))
+    sizes = [len(g) for g in {id(g): g for g in group.values()}.values()]
+    got = splits.component_size_statistics(spark, str(tmp_path)).first()
+    assert tuple(got) == (len(sizes), max(sizes), len(group), sizes.count(2))

@@ -54,7 +54,7 @@ def category_fingerprints(spark, sf_dir):
 @query()
 def clone_type_infer(spark, sf_dir):
     """Type of neighbouring documents taken as fragments (lookahead has no counterpart in RE2)."""
-    t = A.table(spark, sf_dir, "documents").where("n_chars < 3000").select("doc_id", "text")
+    t = A.table(spark, sf_dir, "documents").select("doc_id", "text")
     b = t.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("other"))
     return t.join(b, "doc_id").select("doc_id", X.clone_type(F.col("text"), F.col("other")).alias("clone_type"))
 
@@ -91,8 +91,8 @@ def size_preview(spark, sf_dir):
 
 @query()
 def lexical_sketch(spark, sf_dir):
-    """Hashed parts of the first word of every document."""
-    return A.table(spark, sf_dir, "documents").select("doc_id", X.lexical_sketch(F.substring_index("text", " ", 1)).alias("ids"))
+    """Hashed parts of every word of every document, in order."""
+    return A.table(spark, sf_dir, "documents").select("doc_id", X.lexical_sketches(F.filter(F.split("text", r"\s+"), lambda w: w != "")).alias("ids"))
 
 
 @query()

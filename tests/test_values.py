@@ -203,3 +203,16 @@ def test_component_sizes_of_all_edges(spark, tmp_path):
     sizes = [len(g) for g in {id(g): g for g in group.values()}.values()]
     got = splits.component_size_statistics(spark, str(tmp_path)).first()
     assert tuple(got) == (len(sizes), max(sizes), len(group), sizes.count(2))
+
+
+def test_long_fragments_and_every_word(spark, tmp_path):
+    """Long documents get a clone type, and every word of a text is sketched."""
+    from pairwright.plans import text
+
+    long = "int  f(int a){ return a; } " * 400
+    rows = [(1, long), (2, long.replace("  ", " ")), (3, "getValue x1\n12  done"), (4, ""), (5, None)]
+    spark.createDataFrame([(i, t, len(t or "")) for i, t in rows], "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.clone_type for r in text.clone_type_infer(spark, str(tmp_path)).collect()} == {1: 1, 2: 4, 3: 4, 4: 4}
+    got = {r.doc_id: r.ids for r in text.lexical_sketch(spark, str(tmp_path)).collect()}
+    for i, t in rows:
+        assert got[i] == (None if t is None else [X.lexical_ids(w) for w in t.split()])

@@ -7,9 +7,11 @@ is coded by `LANES` interleaved states and can be read alone; from any checkpoin
 reading can start too. The manifest of the files of tasks that succeeded is the commit.
 
 Cases: a null or empty text is the end id alone; a null doc_id comes first; rows that share an
-id stand next to each other, ordered by a hash of the text; strings of special tokens in a
-text are ordinary text; extra columns are ignored; an empty table gives no files and an empty
-result.
+id stand next to each other, ordered by a hash of the text, by which a common id is dealt out
+too; the string of a special token in a text becomes that token's id, as the tokenizer's file
+says, or ordinary text with `plain`; a text of any length is encoded whole and may run over
+blocks and beyond `FILE_TOKENS`; extra columns are ignored; an empty table gives no files and an
+empty result.
 """
 
 from __future__ import annotations
@@ -56,22 +58,26 @@ class Encoder:
     """ids of texts; pieces between white space are encoded once and kept.
 
     The tokenizer's pattern never joins a non-space to a following space, so a text without two
-    white-space characters in a row, and none at its ends, is the sequence of its pieces; any
-    other text is encoded as a whole.
+    white-space characters in a row, none at its ends and no string of an added token is the
+    sequence of its pieces; any other text is encoded as a whole.
     """
 
     UNSAFE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]{2}|^[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]|[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]$"
     TAIL = ".,;:!?%#*$&|"
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.tok.encode_special_tokens = plain
         self.line = self.tok.encode("\n", add_special_tokens=False).ids
-        pattern = json.loads(self.tok.to_str()).get("pre_tokenizer") or {}
+        settings = json.loads(self.tok.to_str())
+        pattern = settings.get("pre_tokenizer") or {}
+        #: strings that are cut out of a text before its pattern is applied: such a text is encoded as a whole
+        self.added = [t["content"] for t in settings.get("added_tokens") or [] if t["content"] and not (plain and t["special"])]
         self.by_piece = pattern.get("type") == "ByteLevel" and not pattern.get("add_prefix_space") and pattern.get("use_regex", True) and self.tok.normalizer is None and len(self.line) == 1
+        self.by_piece &= not any(c.isspace() for t in self.added for c in t)
         self.kept: dict[str, bytes] = {"": b""}
         self.line_bytes = np.array(self.line, "<u4").tobytes()
 
@@ -105,10 +111,12 @@ class Encoder:
         if not self.by_piece:
             return np.ones(len(texts), bool)
         raw, off = text_bytes(texts)
+        out = np.zeros(len(texts), bool)
+        for t in self.added:
+            out |= pc.match_substring(texts, t).to_numpy(zero_copy_only=False)
         if _WIDE[raw].any():  # bytes that white space beyond ASCII begins with
-            return pc.match_substring_regex(texts, self.UNSAFE).to_numpy(zero_copy_only=False)
+            return out | pc.match_substring_regex(texts, self.UNSAFE).to_numpy(zero_copy_only=False)
         space = _SPACES[raw]
-        out = np.zeros(len(texts), bool)
         twice = np.flatnonzero(space[1:] & space[:-1])
         out[np.searchsorted(off, twice, "right") - 1] = True  # too careful across two texts: harmless
         some = np.flatnonzero(np.diff(off))
@@ -152,13 +160,13 @@ class Encoder:
         return ids[keep], np.diff(off) - 1
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, plain: bool = False) -> Encoder:
+    if (path, plain) not in _ENCODERS:
+        _ENCODERS[path, plain] = Encoder(path, plain)
+    return _ENCODERS[path, plain]
 
 
 # ---- coder ----
@@ -246,56 +254,71 @@ def write_file(ids: np.ndarray, doc_ids: list, lengths: np.ndarray) -> bytes:
     return MAGIC + struct.pack("<III", len(meta), zlib.crc32(meta), zlib.crc32(body)) + meta + body + b"".join(blocks)
 
 
-def read_file(data: bytes) -> tuple[np.ndarray, list, np.ndarray]:
-    """ids, document ids and lengths of a file; every checksum is verified."""
-    d = zstandard.ZstdDecompressor()
-    if data[:8] != MAGIC:
-        raise ValueError("not a token file")
-    n, c1, c2 = struct.unpack_from("<III", data, 8)
-    meta = data[20 : 20 + n]
-    at = 20 + n
-    if zlib.crc32(meta) != c1:
-        raise ValueError("damaged header")
-    head = json.loads(d.decompress(meta))
-    body = data[at : at + sum(head["parts"])]
-    if zlib.crc32(body) != c2:
-        raise ValueError("damaged tables")
-    parts, p = [], 0
-    for k in head["parts"]:
-        parts.append(d.decompress(body[p : p + k]))
-        p += k
-    symbols, freq = np.frombuffer(parts[0], "<u4"), np.frombuffer(parts[1], "<u4").astype(np.uint64)
-    index, lengths = np.frombuffer(parts[2], "<i8").tolist(), np.frombuffer(parts[3], "<i8")
-    states = np.frombuffer(parts[4], "<u8").reshape(-1, head["lanes"])
-    cum = np.cumsum(freq, dtype=np.uint64) - freq
-    table = np.repeat(np.arange(len(freq)), freq.astype(np.int64))
-    out, k, base = np.empty(head["tokens"], "<u4"), 0, at + len(body)
-    for start, count, place, size, crc, marks in head["blocks"]:
-        raw = data[base + place : base + place + size]
+class TokenFile:
+    """A file's tables; its blocks can be decoded alone, and from any of their checkpoints."""
+
+    def __init__(self, data: bytes):
+        d = zstandard.ZstdDecompressor()
+        if data[:8] != MAGIC:
+            raise ValueError("not a token file")
+        n, c1, c2 = struct.unpack_from("<III", data, 8)
+        meta = data[20 : 20 + n]
+        at = 20 + n
+        if zlib.crc32(meta) != c1:
+            raise ValueError("damaged header")
+        self.head = json.loads(d.decompress(meta))
+        body = data[at : at + sum(self.head["parts"])]
+        if zlib.crc32(body) != c2:
+            raise ValueError("damaged tables")
+        parts, p = [], 0
+        for k in self.head["parts"]:
+            parts.append(d.decompress(body[p : p + k]))
+            p += k
+        self.symbols, self.freq = np.frombuffer(parts[0], "<u4"), np.frombuffer(parts[1], "<u4").astype(np.uint64)
+        self.docs, self.lengths = np.frombuffer(parts[2], "<i8").tolist(), np.frombuffer(parts[3], "<i8")
+        for i in self.head["null_docs"]:
+            self.docs[i] = None
+        self.states = np.frombuffer(parts[4], "<u8").reshape(-1, self.head["lanes"])
+        self.cum = np.cumsum(self.freq, dtype=np.uint64) - self.freq
+        self.table = np.repeat(np.arange(len(self.freq)), self.freq.astype(np.int64))
+        self.blocks = self.head["blocks"]
+        self.first_state = np.append(0, np.cumsum([len(b[5]) for b in self.blocks])).astype(np.int64)
+        self.data, self.base = data, at + len(body)
+
+    def block(self, k: int, mark: int = 0) -> tuple[int, np.ndarray]:
+        """Place in the file of the first token at a checkpoint of block k, and the ids from there to the block's end."""
+        start, count, place, size, crc, marks = self.blocks[k]
+        raw = self.data[self.base + place : self.base + place + size]
         if zlib.crc32(raw) != crc:
             raise ValueError(f"damaged block at token {start}")
+        lanes, (t, w) = self.head["lanes"], marks[mark]
         words = np.frombuffer(raw, "<u4").astype(np.uint64)
-        stops = [t for t, _ in marks[1:]] + [-(-count // head["lanes"])]
-        for (t, w), stop in zip(marks, stops, strict=True):
-            got = decode_block(words, (t, w, states[k]), stop, count, freq, cum, table, head["bits"], head["lanes"])
-            out[start + t * head["lanes"] : start + t * head["lanes"] + len(got)] = symbols[got]
-            k += 1
-    for i in head["null_docs"]:
-        index[i] = None
-    return out, index, lengths
+        got = decode_block(words, (t, w, self.states[self.first_state[k] + mark]), -(-count // lanes), count, self.freq, self.cum, self.table, self.head["bits"], lanes)
+        return start + t * lanes, self.symbols[got]
+
+
+def read_file(data: bytes) -> tuple[np.ndarray, list, np.ndarray]:
+    """ids, document ids and lengths of a file; every checksum is verified."""
+    f = TokenFile(data)
+    out = np.empty(f.head["tokens"], "<u4")
+    for k in range(len(f.blocks)):
+        start, ids = f.block(k)
+        out[start : start + len(ids)] = ids
+    return out, f.docs, f.lengths
 
 
 # ---- jobs ----
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> DataFrame:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, plain: bool = False) -> DataFrame:
     """Write the files; manifest (file, start, tokens, docs) of the committed ones."""
     n = shuffle_parts(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.repartitionByRange(n, "id").sortWithinPartitions("id", F.xxhash64("text"))
+    # rows of one id are dealt out by their texts, so a common id (or none) is no single task
+    rows = rows.withColumn("h", F.xxhash64("text")).repartitionByRange(n, "id", "h").sortWithinPartitions("id", "h").select("id", "text")
 
     def run(batches):
-        enc, part = encoder(tokenizer), TaskContext.get().partitionId()
+        enc, part = encoder(tokenizer, plain), TaskContext.get().partitionId()
         fs, root = open_fs(path)
         fs.create_dir(root, recursive=True)
         held, ids, lens, docs_, before = 0, [], [], [], 0
@@ -353,6 +376,30 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
     return manifest.repartition(n, "file").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def roundtrip(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
+def read_blocks(manifest: DataFrame) -> DataFrame:
+    """(start, ids) of every block of the files: each block is a row to deal out, and is decoded by itself."""
+
+    def listed(batches):
+        for b in batches:
+            for file, start in zip(b.column("file").to_pylist(), b.column("start").to_pylist(), strict=True):
+                fs, at = open_fs(file)
+                with fs.open_input_stream(at, compression=None) as f:
+                    n = len(TokenFile(f.read()).blocks)
+                yield pa.RecordBatch.from_arrays([pa.array([file] * n, pa.string()), pa.array([start] * n, pa.int64()), pa.array(range(n), pa.int64())], ["file", "base", "block"])
+
+    def decoded(batches):
+        for b in batches:
+            for file, base, k in zip(*(b.column(c).to_pylist() for c in ("file", "base", "block")), strict=True):
+                fs, at = open_fs(file)
+                with fs.open_input_stream(at, compression=None) as f:
+                    start, ids = TokenFile(f.read()).block(k)
+                yield pa.RecordBatch.from_arrays([pa.array([base + start], pa.int64()), pa.array([ids.astype(np.int64)], pa.list_(pa.int64()))], ["start", "ids"])
+
+    n = shuffle_parts(manifest.sparkSession)
+    blocks = manifest.repartition(n, "file").mapInArrow(listed, "file string, base long, block long")
+    return blocks.repartition(n, "file", "block").mapInArrow(decoded, "start long, ids array<long>")
+
+
+def roundtrip(docs: DataFrame, tokenizer: str, end_id: int = END_ID, plain: bool = False) -> DataFrame:
     """Write docs as token files, read the files back."""
-    return read_tokens(write_tokens(docs, fresh_path(docs.sparkSession, "tokens"), tokenizer, end_id))
+    return read_tokens(write_tokens(docs, fresh_path(docs.sparkSession, "tokens"), tokenizer, end_id, plain))

@@ -6,13 +6,16 @@ source a document is expected min(most, c * measure) times, where its measure gr
 logarithm of its size and c makes the expected words meet the target. Whole expected copies
 are certain; the fraction is its inclusion probability in a fixed-size sample: documents are
 ranked by random odds over inclusion odds and taken until the words left to the target are
-reached; then up to `CORRECTIONS` times one more is drawn, or one taken back, to come nearer. The place where a source's ranking is cut is found with two levels of bins, so no
-source is ever sorted in one task.
+reached. Then, up to `CORRECTIONS` times, the document next in rank to the cut that halves
+the words still missing (or too many) is drawn or taken back. The place where a source's ranking
+is cut is found with two levels of bins, so no source is ever sorted in one task.
 
 Random numbers are hashes of seed, id, source and size, and all sums are of whole numbers:
 reruns agree. Cases: a null text has size 0 and is taken 0 words; a null source is a source
-of its own, last in order; rows that repeat are documents of their own; empty tables give
-empty results; extra columns are kept by `copies`, whatever their names.
+of its own, last in order; a text of any length counts whole; rows that repeat are documents of
+their own, which tie in rank: as many of them as the cut asks for are taken, whichever; the same
+id and text in other sources is decided there; empty tables give empty results; extra columns are
+kept by `copies`, whatever their names.
 """
 
 from __future__ import annotations
@@ -65,11 +68,15 @@ def targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST) -> tuple[DataFr
     return ranked.select("src", "source_size", F.least(full.cast("double"), F.col("weight") * share).alias("target")), n
 
 
-def sample(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = SEED) -> DataFrame:
-    """(did, rid, id, size, source_size, target, copies) for every row of docs."""
+def sample(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = SEED, row: Column | None = None) -> DataFrame:
+    """(row, id, size, source_size, target, copies) for every row of docs.
+
+    `row` is a unique number of each row; the high bits of it name a part of the table that fits a task.
+    """
+    row = F.monotonically_increasing_id() if row is None else row
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     src = F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), F.col("source")))
-    sizes = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("did"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("rid"), src.alias("src"), F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"))
+    sizes = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("did"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("rid"), src.alias("src"), F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"))
     sizes = written(sizes.withColumn("measure", F.floor(F.log2(F.col("size") + 2) * 64).cast("long")), "mix-sizes")
     goal, n = targets(sizes, weights, most)
     goal = written(goal, "mix-targets")
@@ -98,22 +105,39 @@ def sample(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = SEED)
     rows = _attach(rows, cut, n)
     before = (F.col("b1") < F.col("c1")) | (F.col("b1") == F.col("c1")) & (F.col("b2") < F.col("c2"))
     border = (F.col("b1") == F.col("c1")) & (F.col("b2") == F.col("c2"))
-    # only the rows of one bin among BINS * BINS are ranked exactly
-    w = Window.partitionBy("src").orderBy("g", "id", "rid").rowsBetween(Window.unboundedPreceding, 0)
-    edge = rows.where(border).withColumn("run", F.sum("size").over(w))
-    edge = edge.withColumn("extra", ((F.col("run") <= F.col("rest2")) | ((F.col("run") - F.col("size") < F.col("rest2")) & (2 * F.col("run") - F.col("size") < 2 * F.col("rest2")))).cast("int")).drop("run")
+    rows = rows.withColumn("at", F.coalesce((F.col("c1") + F.coalesce("c2", F.lit(0)) / BINS) / BINS, F.lit(1.0)))
     rest = rows.where(~F.coalesce(border, F.lit(False))).withColumn("extra", F.coalesce((F.col("g").isNotNull() & (F.col("c1").isNull() | before)).cast("int"), F.lit(0)))
-    both = written(rest.unionByName(edge).select("did", "rid", "id", "src", "size", "source_size", "target", "whole", "extra", "g"), "mix-drawn")
-    # the sample is fixed in words: one draw more, or one taken back, whichever comes nearest to the target
+    both = written(rest.unionByName(_border(rows.where(border), n)).select("row", "id", "did", "rid", "src", "size", "source_size", "target", "whole", "extra", "g", "at"), "mix-drawn")
+    # the sample is fixed in words: next in rank to the cut, one draw more or one taken back that halves what is amiss
     for _ in range(CORRECTIONS):
         gap = both.groupBy("src").agg((F.max("target") - F.sum((F.col("whole") + F.col("extra")) * F.col("size"))).alias("gap"))
         near = _attach(both.where("g is not null"), gap, n).withColumn("d", F.when(F.col("extra") == 1, -F.col("size")).otherwise(F.col("size")))
-        near = near.withColumn("off", F.abs(F.col("gap") - F.col("d"))).where("off < abs(gap)")
-        last = near.groupBy("src").agg(F.min(F.struct("off", "g", "id", "rid")).alias("x")).select("src", F.col("x.g").alias("xg"), F.col("x.id").alias("xid"), F.col("x.rid").alias("xrid"))
-        hit = (F.col("g") == F.col("xg")) & F.col("id").eqNullSafe(F.col("xid")) & (F.col("rid") == F.col("xrid"))
+        near = near.where("abs(gap - d) <= abs(gap) / 2 and abs(gap) > 0").withColumn("far", F.abs(F.col("g") - F.col("at")))
+        last = near.groupBy("src").agg(F.min(F.struct("far", "did", "rid", "row")).alias("x")).select("src", F.col("x.row").alias("flip"))
         both = _attach(both, written(last, "mix-last"), n)
-        both = both.withColumn("extra", F.when(F.coalesce(hit, F.lit(False)), 1 - F.col("extra")).otherwise(F.col("extra"))).drop("xg", "xid", "xrid")
-    return both.select("did", "rid", "id", "size", "source_size", "target", (F.col("whole") + F.col("extra")).alias("copies"))
+        both = both.withColumn("extra", F.when(F.col("row") == F.coalesce("flip", F.lit(-1)), 1 - F.col("extra")).otherwise(F.col("extra"))).drop("flip")
+    return both.select("row", "id", "size", "source_size", "target", (F.col("whole") + F.col("extra")).alias("copies"))
+
+
+def _border(edge: DataFrame, n: int) -> DataFrame:
+    """Whether each row of the bin that holds the cut is taken: the only rows that are ranked exactly.
+
+    Rows that repeat are one entry of the ranking, with their number.
+    """
+    keys = edge.groupBy("src", "g", "did", "rid", "size", "rest2").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("src").orderBy("g", "did", "rid").rowsBetween(Window.unboundedPreceding, 0)
+    x = (F.col("rest2") - F.sum(F.col("n") * F.col("size")).over(w) + F.col("n") * F.col("size")) / F.col("size")
+    keys = keys.withColumn("x", x).withColumn("k", F.least("n", F.greatest(F.lit(0), F.floor("x") + (F.col("x") - F.floor("x") > 0.5).cast("int"))))
+    last = keys.where("k > 0").groupBy("src").agg(F.max(F.struct("g", "did", "rid", "k", "n")).alias("last"))
+    mine, cut = F.struct("g", "did", "rid"), F.struct("last.g", "last.did", "last.rid")
+    edge = _attach(edge, written(last, "mix-border"), n).withColumn("tied", F.coalesce((mine == cut) & (F.col("last.k") < F.col("last.n")), F.lit(False)))
+    sure = edge.where("not tied").withColumn("extra", F.coalesce((mine <= cut).cast("int"), F.lit(0)))
+    # which of the rows that repeat makes no difference: they are numbered part by part
+    tied = edge.where("tied").withColumn("part", F.shiftright("row", 33))
+    base = tied.groupBy("src", "part").agg(F.count(F.lit(1)).alias("m")).withColumn("base", F.sum("m").over(Window.partitionBy("src").orderBy("part")) - F.col("m"))
+    rank = F.row_number().over(Window.partitionBy("src", "part").orderBy("row")) - 1
+    tied = tied.withColumn("rank", rank).join(base.drop("m"), ["src", "part"]).withColumn("extra", (F.col("base") + F.col("rank") < F.col("last.k")).cast("int"))
+    return sure.drop("last", "tied").unionByName(tied.drop("last", "tied", "part", "rank", "base"))
 
 
 def _crossing(bins: DataFrame, rest: DataFrame, name: str) -> DataFrame:
@@ -147,10 +171,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = SEED) ->
 
 def copies(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = SEED) -> DataFrame:
     """The rows of docs, each as often as the mix takes it; the columns of docs."""
-    picks = sample(docs, weights, most, seed).groupBy("did", "rid").agg(F.collect_list("copies").alias("_n"))
     names = docs.columns
-    own = docs.select(F.struct(*[docs[c] for c in names]).alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("did"), F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("rid"))
-    rank = F.row_number().over(Window.partitionBy("did", "rid").orderBy("rid"))
-    got = own.withColumn("_k", rank).join(picks, ["did", "rid"])
-    times = F.element_at(F.col("_n"), F.col("_k"))
-    return got.where(times > 0).select(F.explode(F.array_repeat("_row", times)).alias("_row")).select("_row.*")
+    own = written(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[docs[c] for c in names]).alias("_row")), "mix-rows")
+    picks = sample(own.select("row", "_row.doc_id", "_row.text", "_row.source"), weights, most, seed, F.col("row")).where("copies > 0").select("row", "copies")
+    got = own.join(picks, "row")
+    return got.select(F.explode(F.array_repeat("_row", F.col("copies").cast("int"))).alias("_row")).select("_row.*")

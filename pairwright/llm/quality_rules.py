@@ -2,30 +2,35 @@
 
 Base rules are fixed (too few words, too many words in repeated windows). Beyond them each
 measure of a document is held against fences of its own language and source, taken from
-mergeable quantile summaries over all documents that pass the base rules; a language and
+mergeable quantile sketches over all documents that pass the base rules; a language and
 source with fewer than `fewest` such documents uses its language's fences, and a language
 with fewer the fences of all. A fence is `reach` interquartile ranges, and at least the
 measure's slack, beyond the quartile, so a group in which everything is alike rejects nothing.
 
+A sketch is a histogram of high dynamic range: values keep their `DIGITS` leading binary
+digits, and a bin its count. Sketches merge by adding counts, so the quartiles, true to
+one part in 2**(DIGITS - 1), are the same however the rows are dealt out.
+
 Cases: a null or empty text has no words and fails the base rules; null languages or sources
-are groups of their own; rows that repeat each count and get the same verdict; an empty table
-gives an empty result; extra columns are ignored by `measure` and `judge` keeps them apart.
+are groups of their own; a very long text is measured whole; rows that repeat each count and get
+the same verdict; an empty table gives an empty result; extra columns are ignored by `measure`
+and `judge` keeps them apart.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, written
 
 WINDOW = 8
 #: Measure: (lower fence wanted, slack). Ratios are rounded so that any engine gives the same.
-MEASURES = {"symbol_ratio": (False, 0.05), "word_length": (True, 1.5), "dup_line_ratio": (False, 0.5), "repeat_ratio": (False, 0.3)}
+MEASURES = {"symbol_ratio": (False, 0.05), "word_length": (True, 1.5), "dup_line_ratio": (False, 0.3), "repeat_ratio": (False, 0.1)}
 REACH = 3.0
 FEWEST = 20
-#: Relative rank error of the quantile summaries is one over this.
-ACCURACY = 10_000
+#: Leading binary digits that a sketch keeps of a value in millionths.
+DIGITS = 11
 BROADCAST_ROWS = 50_000
 
 
@@ -80,34 +85,47 @@ def _key(lang: Column, source: Column) -> Column:
     return F.concat(part(lang), F.lit("/"), part(source))
 
 
-def fences(rows: DataFrame, fewest: int = FEWEST, reach: float = REACH, accuracy: int = ACCURACY) -> DataFrame:
+def binned(value: Column, digits: int = DIGITS) -> Column:
+    """Lower end, in millionths, of the bin that a value of six decimals falls in."""
+    v = F.round(value * 1_000_000).cast("long")
+    off = F.greatest(F.lit(0), F.length(F.bin(v)) - digits)
+    return F.call_function("shiftleft", F.call_function("shiftright", v, off), off)
+
+
+def _quartiles(sketch: DataFrame, keys: list[str], prefix: str) -> DataFrame:
+    """keys, count and quartiles of every measure from bin counts; a sketch has few bins."""
+    bins = sketch.groupBy(*keys, "m", "bin").agg(F.sum("n").alias("n"))
+    of = Window.partitionBy(*keys, "m")
+    bins = bins.withColumn("run", F.sum("n").over(of.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(of))
+    cut = bins.groupBy(*keys, "m").agg(F.max("all").alias("n"), *[F.min(F.when(4 * F.col("run") >= q * F.col("all"), F.col("bin"))).alias(f"q{q}") for q in (1, 3)])
+    wide = [F.max(F.when(F.col("m") == i, F.col(f"q{q}"))).cast("double") / 1_000_000 for i in range(len(MEASURES)) for q in (1, 3)]
+    names = [f"{prefix}_{m}_q{q}" for m in MEASURES for q in (1, 3)]
+    return cut.groupBy(*[F.col(k).alias(f"{prefix}_{k}") for k in keys]).agg(F.max("n").alias(f"{prefix}_n"), *[c.alias(x) for c, x in zip(wide, names, strict=True)])
+
+
+def fences(rows: DataFrame, fewest: int = FEWEST, reach: float = REACH) -> DataFrame:
     """group and the lower and upper fence of every measure."""
-    good = rows.where("not base_failed")
-    quartiles = [F.percentile_approx(m, [0.25, 0.75], accuracy).alias(m) for m in MEASURES]
-    # a few rows for each language: one summary is merged from those of all tasks
-    top = good.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *quartiles)
-    all_ = good.agg(F.count(F.lit(1)).alias("n"), *quartiles)
-    own = good.groupBy("group", "lang").agg(F.count(F.lit(1)).alias("n"), *quartiles)
+    values = F.array(*[F.struct(F.lit(i).alias("m"), binned(F.col(m)).alias("bin")) for i, m in enumerate(MEASURES)])
+    good = rows.where("not base_failed").select("group", "lang", F.explode(values).alias("x")).select("group", "lang", "x.m", "x.bin")
+    sketch = written(good.groupBy("group", "lang", "m", "bin").agg(F.count(F.lit(1)).alias("n")), "rules-sketches")
     groups = rows.select("group", "lang").distinct()
-    pick = lambda d, p: d.select(*[F.col(c).alias(f"{p}_{c}") for c in d.columns])
-    x = groups.join(pick(own, "o"), F.col("group") == F.col("o_group"), "left")
-    x = x.join(F.broadcast(pick(all_, "a")), F.lit(True), "left")
-    x = x.join(pick(top, "t"), F.col("lang").eqNullSafe(F.col("t_lang")), "left")
+    x = groups.join(_quartiles(sketch, ["group"], "o"), F.col("group") == F.col("o_group"), "left")
+    x = x.join(F.broadcast(_quartiles(sketch, [], "a")), F.lit(True), "left")  # one row
+    x = x.join(_quartiles(sketch, ["lang"], "t"), F.col("lang").eqNullSafe(F.col("t_lang")), "left")
     out = [F.col("group")]
     for m, (_, slack) in MEASURES.items():
-        q = F.when(F.col("o_n") >= fewest, F.col(f"o_{m}")).when(F.col("t_n") >= fewest, F.col(f"t_{m}")).otherwise(F.col(f"a_{m}"))
-        lo, hi = F.element_at(q, 1), F.element_at(q, 2)
+        lo, hi = (F.when(F.col("o_n") >= fewest, F.col(f"o_{m}_q{q}")).when(F.col("t_n") >= fewest, F.col(f"t_{m}_q{q}")).otherwise(F.col(f"a_{m}_q{q}")) for q in (1, 3))
         width = F.greatest(F.lit(slack), reach * (hi - lo))
         out += [(lo - width).alias(f"{m}_low"), (hi + width).alias(f"{m}_high")]
     return x.select(*out)
 
 
-def judge(docs: DataFrame, fewest: int = FEWEST, reach: float = REACH, accuracy: int = ACCURACY) -> DataFrame:
+def judge(docs: DataFrame, fewest: int = FEWEST, reach: float = REACH) -> DataFrame:
     """Base measures, base_failed and kept for every row of docs."""
     rows = measure(docs).withColumn("group", _key(F.col("lang"), F.col("source")))
     values = {"symbol_ratio": _ratio("n_symbols", "word_chars"), "word_length": _ratio("word_chars", "n_words"), "dup_line_ratio": _ratio("n_dup_lines", "n_lines"), "repeat_ratio": _ratio("n_repeat_words", "n_words")}
     rows = written(rows.withColumns(values), "rules-rows")
-    limits = written(fences(rows, fewest, reach, accuracy), "rules-fences")
+    limits = written(fences(rows, fewest, reach), "rules-fences")
     n = limits.count()
     joined = rows.join(F.broadcast(limits) if n <= BROADCAST_ROWS else limits, "group", "left")
     fine = ~F.col("base_failed")

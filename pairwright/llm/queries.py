@@ -92,10 +92,12 @@ m AS (SELECT r, doc_id, lang, source, len(w)::BIGINT AS n_words, length(array_to
       (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, len(l) AS n_lines, coalesce(n, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN cov USING (r)),
 v AS (SELECT *, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed, coalesce(round(n_symbols::DOUBLE / nullif(word_chars, 0), 6), 0) AS symbol_ratio,
       coalesce(round(word_chars::DOUBLE / nullif(n_words, 0), 6), 0) AS word_length, coalesce(round(n_dup_lines::DOUBLE / nullif(n_lines, 0), 6), 0) AS dup_line_ratio, coalesce(round(n_repeat_words::DOUBLE / nullif(n_words, 0), 6), 0) AS repeat_ratio FROM m),
-g AS (SELECT * FROM v WHERE NOT base_failed),
-q AS (SELECT lang, source, GROUPING(lang, source) AS lvl, count(*) AS n, quantile_disc(symbol_ratio, [0.25, 0.75]) AS a, quantile_disc(word_length, [0.25, 0.75]) AS b, quantile_disc(dup_line_ratio, [0.25, 0.75]) AS c, quantile_disc(repeat_ratio, [0.25, 0.75]) AS e FROM g GROUP BY GROUPING SETS ((lang, source), (lang), ())),
+i AS (SELECT lang, source, round(symbol_ratio * 1000000)::BIGINT AS a, round(word_length * 1000000)::BIGINT AS b, round(dup_line_ratio * 1000000)::BIGINT AS c, round(repeat_ratio * 1000000)::BIGINT AS e FROM v WHERE NOT base_failed),
+j AS (SELECT *, (1::BIGINT << greatest(0, length(bin(a)) - 11)) AS ua, (1::BIGINT << greatest(0, length(bin(b)) - 11)) AS ub, (1::BIGINT << greatest(0, length(bin(c)) - 11)) AS uc, (1::BIGINT << greatest(0, length(bin(e)) - 11)) AS ue FROM i),
+g AS (SELECT lang, source, (a // ua * ua)::DOUBLE / 1000000 AS a, (b // ub * ub)::DOUBLE / 1000000 AS b, (c // uc * uc)::DOUBLE / 1000000 AS c, (e // ue * ue)::DOUBLE / 1000000 AS e FROM j),
+q AS (SELECT lang, source, GROUPING(lang, source) AS lvl, count(*) AS n, quantile_disc(a, [0.25, 0.75]) AS a, quantile_disc(b, [0.25, 0.75]) AS b, quantile_disc(c, [0.25, 0.75]) AS c, quantile_disc(e, [0.25, 0.75]) AS e FROM g GROUP BY GROUPING SETS ((lang, source), (lang), ())),
 f AS (SELECT v.*, CASE WHEN o.n >= 20 THEN o.a WHEN t.n >= 20 THEN t.a ELSE z.a END AS a, CASE WHEN o.n >= 20 THEN o.b WHEN t.n >= 20 THEN t.b ELSE z.b END AS b, CASE WHEN o.n >= 20 THEN o.c WHEN t.n >= 20 THEN t.c ELSE z.c END AS c, CASE WHEN o.n >= 20 THEN o.e WHEN t.n >= 20 THEN t.e ELSE z.e END AS e
       FROM v LEFT JOIN q o ON o.lvl = 0 AND o.lang IS NOT DISTINCT FROM v.lang AND o.source IS NOT DISTINCT FROM v.source LEFT JOIN q t ON t.lvl = 1 AND t.lang IS NOT DISTINCT FROM v.lang LEFT JOIN q z ON z.lvl = 3)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND symbol_ratio <= a[2] + greatest(0.05::DOUBLE, 3 * (a[2] - a[1])) AND word_length <= b[2] + greatest(1.5::DOUBLE, 3 * (b[2] - b[1])) AND word_length >= b[1] - greatest(1.5::DOUBLE, 3 * (b[2] - b[1]))
-       AND dup_line_ratio <= c[2] + greatest(0.5::DOUBLE, 3 * (c[2] - c[1])) AND repeat_ratio <= e[2] + greatest(0.3::DOUBLE, 3 * (e[2] - e[1]))) AS kept, symbol_ratio, word_length, dup_line_ratio, repeat_ratio FROM f""",
+       AND dup_line_ratio <= c[2] + greatest(0.3::DOUBLE, 3 * (c[2] - c[1])) AND repeat_ratio <= e[2] + greatest(0.1::DOUBLE, 3 * (e[2] - e[1]))) AS kept, symbol_ratio, word_length, dup_line_ratio, repeat_ratio FROM f""",
     }

@@ -57,7 +57,6 @@ def test_stages(spark):
 
     before, rows = kept["token output"]
     tok = Tokenizer.from_file(tokenizer_path())
-    tok.encode_special_tokens = True
     want = Counter()
     for r in before:
         ids = np.array([*tok.encode(r[1] or "", add_special_tokens=False).ids, 2], "<u4")

@@ -39,7 +39,7 @@ SEED = 23
 #: A similarity this close below the least counts as equal to it, however its terms were summed.
 TIE = 1e-9
 #: Texts compared with one copy of their leader's text.
-STAR = 1024
+STAR = 256
 #: Rows, and bytes of compressed text, of one side of a block of remaining pairs.
 BLOCK = 1024
 BLOCK_BYTES = 2 << 20
@@ -287,8 +287,8 @@ def block_links(texts: list[bytes], label: np.ndarray, side: np.ndarray, within:
 def _rest(members: DataFrame, labels: DataFrame, sims: DataFrame, texts: DataFrame, least: float, block: int, block_bytes: int) -> DataFrame:
     """(a, b): links between the classes that the leaders left in one bucket, over all of its pairs.
 
-    A bucket's largest class is its main one; other members are compared with each other and with the main
-    class. Buckets of more than `block` members are cut into cells by their distance to the leader, of which only like ones
+    A bucket's largest class is its main one; in buckets beyond a block other members are compared with each other and
+    with the main class. Buckets of more than `block` members are cut into cells by their distance to the leader, of which only like ones
     can hold a link (triangle inequality), and cells by hashes into parts; every pair of parts is a block of its own, so
     no bucket gathers in one task.
     """
@@ -301,6 +301,9 @@ def _rest(members: DataFrame, labels: DataFrame, sims: DataFrame, texts: DataFra
     now = now.join(sims.select(F.col("a").alias("node"), F.col("b").alias("leader"), "s"), ["node", "leader"])
     now = now.withColumn("cell", F.when(F.col("n") > block, F.floor((1 - F.col("s")) / slack)).otherwise(0).cast("int")).join(texts.select("node", "size"), "node")
     now = written(now.select("key", "node", "label", "other", "cell", "size"), "near-open")
+    # a bucket that fits a block is compared whole, in one block
+    fits = now.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("mb")).select("key", ((F.col("m") <= block) & (F.col("mb") <= block_bytes)).alias("fits"))
+    now = now.join(fits, "key").select("key", "node", "label", F.when(F.col("fits"), 1).otherwise(F.col("other")).alias("other"), F.when(F.col("fits"), 0).otherwise(F.col("cell")).alias("cell"), "size")
     parts = now.groupBy("key", "other", "cell").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("size") / block_bytes)).cast("int").alias("parts"))
     # all pairs of groups (other, cell) of a bucket that can hold a link, and of their parts
     own = written(parts, "near-parts")
@@ -389,7 +392,8 @@ def classes(docs: DataFrame, least: float = LEAST, block: int = BLOCK, block_byt
 def near_classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """(doc_id, class_id, class_size): class_id is the smallest doc_id of the class."""
     rows = written(classes(docs, least), "near-classes")
-    names = rows.groupBy("label").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
+    # written, so that the join's two sides are shuffles of their own and a large class can be split
+    names = written(rows.groupBy("label").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size")), "near-names")
     return rows.join(names, "label").select(F.col("id").alias("doc_id"), "class_id", "class_size")
 
 

@@ -1,5 +1,9 @@
-"""Extension: incremental spectra. A stream of graph files is upserted; what is stored already
-with the same digest and enough values is not computed again."""
+"""Extension: incremental spectra. A stream of graph files is upserted; what is stored already with the same digest and
+enough values is not computed again.
+
+A batch writes a folder of its own (store/batch=<number>) and overwrites it if it is run again, so nothing is stored twice. Of
+a key the row of the latest batch counts.
+"""
 
 from __future__ import annotations
 
@@ -17,16 +21,26 @@ def pending(batch: DataFrame, stored: DataFrame, key: str = "code_id", digest: s
     return cache_hits(batch, enough, key, digest).where("not reusable").drop("reusable")
 
 
-def start(spark: SparkSession, source: str, schema: str, store: str, compute: Callable[[DataFrame], DataFrame], checkpoint: str, least: int = 0):
-    """A file stream whose every batch computes what is pending and appends it to the store."""
+def read_store(spark: SparkSession, store: str, before: int | None = None, key: str = "code_id") -> DataFrame | None:
+    """The latest row of every key, of batches before one; None if there is no batch yet."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(store)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return None
+    rows = spark.read.option("basePath", store).parquet(store)
+    if before is not None:
+        rows = rows.where(F.col("batch") < before)
+    names = [c for c in rows.columns if c not in (key, "batch")]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*names), "batch").alias("_x")).select(key, "_x.*")
+
 
-    def upsert(batch: DataFrame, _: int) -> None:
-        try:
-            stored = spark.read.parquet(store)
-        except Exception:  # noqa: BLE001 - the first batch finds no store
-            stored = None
-        todo = batch if stored is None else pending(batch, stored, least=least)
-        compute(todo).write.mode("append").parquet(store)
+def upsert(batch: DataFrame, number: int, store: str, compute: Callable[[DataFrame], DataFrame], least: int = 0, key: str = "code_id") -> None:
+    """Compute what is pending of a batch and write it as the batch's folder. A key that stands in it twice is taken once."""
+    stored = read_store(batch.sparkSession, store, number, key)
+    todo = batch.dropDuplicates([key]) if stored is None else pending(batch.dropDuplicates([key]), stored, key, least=least)
+    compute(todo).write.mode("overwrite").parquet(f"{store.rstrip('/')}/batch={number}")
 
+
+def start(spark: SparkSession, source: str, schema: str, store: str, compute: Callable[[DataFrame], DataFrame], checkpoint: str, least: int = 0):
+    """A file stream whose every batch computes what is pending and adds it to the store."""
     stream = spark.readStream.schema(schema).parquet(source)
-    return stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(lambda batch, n: upsert(batch, n, store, compute, least)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

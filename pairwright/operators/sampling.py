@@ -8,10 +8,11 @@ the shuffle.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import numbered
+
 
 def hash_rank(id_col: Column, seed) -> Column:
     return F.sha2(F.concat_ws(":", F.lit(str(seed)), id_col.cast("string")), 256)
@@ -33,7 +34,9 @@ def _ranked(df: DataFrame, strata: list[str], id_col: str, seed) -> DataFrame:
 
 
 def top_k(df: DataFrame, strata: list[str], id_col: str, k: int, seed) -> DataFrame:
-    """The k rows of each stratum with the smallest hash."""
+    """The k rows of each stratum, or of all, with the smallest hash."""
+    if not strata:
+        return df.orderBy(hash_rank(F.col(id_col), seed), id_col).limit(k)
     return _ranked(df, strata, id_col, seed).where(F.col("_k") <= k).drop("_k")
 
 
@@ -72,8 +75,17 @@ def hard_negatives(df: DataFrame, score: str, id_col: str, fraction: float) -> D
     """The highest-scored negatives: max(1, floor(n * fraction)) of them."""
     neg = df.where("label = 0")
     n = neg.agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) * fraction)).alias("_m"))
-    w = Window.partitionBy(F.lit(0)).orderBy(F.desc(score), id_col)
-    return neg.withColumn("_k", F.row_number().over(w)).crossJoin(F.broadcast(n)).where(F.col("_k") <= F.col("_m")).drop("_k", "_m")
+    return numbered(neg, [F.desc(score), F.col(id_col)], "_k").crossJoin(F.broadcast(n)).where(F.col("_k") <= F.col("_m")).drop("_k", "_m")
+
+
+def negatives(candidates: DataFrame, known: DataFrame, n: int, seed) -> DataFrame:
+    """n candidate pairs that are not known in either direction, drawn by hash; an error if there are fewer."""
+    from .relational import unknown_pairs
+
+    free = unknown_pairs(candidates.select("left_id", "right_id"), known.select("left_id", "right_id"))
+    got = top_k(free.withColumn("_id", F.concat_ws("/", "left_id", "right_id")), [], "_id", n, seed).drop("_id")
+    enough = got.agg(F.when(F.count(F.lit(1)) < n, F.raise_error(F.lit(f"fewer than {n} pairs are free"))).otherwise(F.lit(True)).alias("_ok"))
+    return got.crossJoin(F.broadcast(enough)).where("_ok").drop("_ok")
 
 
 def stable_choice(candidates: DataFrame, anchor: str, order: list[str]) -> DataFrame:
@@ -89,8 +101,7 @@ def largest_remainder(weights: DataFrame, key: str, weight: str, total: int) ->
     exact = F.col(weight) * F.lit(float(total)) / F.col("_s")
     s = s.withColumn("_f", F.floor(exact)).withColumn("_r", F.round(exact - F.floor(exact), 9))
     left = s.agg((F.lit(total) - F.sum("_f")).alias("_left"))
-    rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("_r"), key))
-    return s.withColumn("_k", rank).crossJoin(F.broadcast(left)).select(key, weight, (F.col("_f") + (F.col("_k") <= F.col("_left")).cast("long")).alias("quota"))
+    return numbered(s, [F.desc("_r"), F.col(key)], "_k").crossJoin(F.broadcast(left)).select(key, weight, (F.col("_f") + (F.col("_k") <= F.col("_left")).cast("long")).alias("quota"))
 
 
 def capacity_quotas(wanted: np.ndarray, capacity: np.ndarray) -> np.ndarray:
@@ -136,37 +147,107 @@ def capacity_quotas(wanted: np.ndarray, capacity: np.ndarray) -> np.ndarray:
 
 
 def greedy_cover(pairs: DataFrame, n: int, seed) -> DataFrame:
-    """n pairs that cover as many endpoints as they can: in hash order, first those that bring a
-    new endpoint, then the others. Sequential by definition: one group, bounded by its caller."""
+    """n pairs that cover as many endpoints as they can: in hash order, first those that bring a new endpoint, then the others.
 
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_h", "left_id", "right_id"])
-        seen, first = set(), []
-        for a, b in zip(pdf.left_id, pdf.right_id, strict=True):
-            new = a not in seen or b not in seen
-            seen |= {a, b}
-            first.append(0 if new else 1)
-        return pdf.assign(_f=first).sort_values(["_f", "_h"], kind="stable").head(n)[["left_id", "right_id"]]
-
-    h = hash_rank(F.concat_ws("/", "left_id", "right_id"), seed)
-    return pairs.select("left_id", "right_id", h.alias("_h"), F.lit(0).alias("_g")).groupBy("_g").applyInPandas(pick, "left_id long, right_id long")
+    A pair brings a new endpoint if it is the first pair of one of its ends, so no pass over all pairs in order is needed.
+    """
+    h = pairs.select("left_id", "right_id", hash_rank(F.concat_ws("/", "left_id", "right_id"), seed).alias("_h"))
+    first = h.select(F.explode(F.array("left_id", "right_id")).alias("end"), "_h", "left_id", "right_id").groupBy("end").agg(F.min(F.struct("_h", "left_id", "right_id")).alias("x"))
+    new = first.select("x.left_id", "x.right_id").distinct().withColumn("_f", F.lit(0))
+    return h.join(new, ["left_id", "right_id"], "left").orderBy(F.coalesce("_f", F.lit(1)), "_h", "left_id", "right_id").limit(n).select("left_id", "right_id")
 
 
 def budget_select(pairs: DataFrame, n: int, budget: int, seed) -> DataFrame:
-    """n pairs in hash order with at most `budget` distinct endpoints in all; pairs of known
-    endpoints fill what is left in a second pass."""
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_h", "left_id", "right_id"])
-        seen, kept, rest = set(), [], []
-        for row in zip(pdf.left_id, pdf.right_id, strict=True):
-            if len(kept) < n and len(seen | set(row)) <= budget:
-                seen |= set(row)
-                kept.append(row)
-            else:
-                rest.append(row)
-        kept += [r for r in rest if set(r) <= seen][: max(0, n - len(kept))]
-        return pd.DataFrame(kept, columns=["left_id", "right_id"])
+    """n pairs in hash order with at most `budget` distinct endpoints in all.
 
-    h = hash_rank(F.concat_ws("/", "left_id", "right_id"), seed)
-    return pairs.select("left_id", "right_id", h.alias("_h"), F.lit(0).alias("_g")).groupBy("_g").applyInPandas(pick, "left_id long, right_id long")
+    Pairs are taken in order while the budget lasts; of the n first ones the endpoints are known then, but for one that may
+    still fit. Any later pair of these endpoints is taken too. Only n pairs and one more reach the driver.
+    """
+    h = pairs.select("left_id", "right_id", hash_rank(F.concat_ws("/", "left_id", "right_id"), seed).alias("_h"))
+    order = ["_h", "left_id", "right_id"]
+    seen, stop = set(), None
+    for r in h.orderBy(*order).limit(n).collect():
+        if len(seen | {r.left_id, r.right_id}) > budget:
+            stop = r._h
+            break
+        seen |= {r.left_id, r.right_id}
+    inside = lambda c: F.col(c).isin(*seen)
+    if stop is not None and len(seen) < budget:
+        more = h.where((F.col("_h") >= stop) & (inside("left_id") != inside("right_id") if seen else F.col("left_id") == F.col("right_id"))).orderBy(*order).limit(1).collect()
+        seen |= {x for r in more for x in (r.left_id, r.right_id)}
+    return h.where(inside("left_id") & inside("right_id")).orderBy(*order).limit(n).select("left_id", "right_id")
+
+
+def fixed_sample(df: DataFrame, label: str, id_col: str, n: int, seed) -> DataFrame:
+    """n rows with the share of label 1 kept, at least one of each label; df itself if it has no more.
+
+    A label that is short is topped up from the other. The order of df is that of its ids, which the rows keep.
+    """
+    c = df.agg(F.count_if(F.col(label) == 1).alias("_p"), F.count_if(F.col(label) != 1).alias("_q"))
+    want = F.greatest(F.lit(1), F.least(F.lit(n - 1), F.bround(F.lit(float(n)) * F.col("_p") / (F.col("_p") + F.col("_q")), 0).cast("long")))
+    zero = F.least(F.lit(n) - F.least(want, F.col("_p")), F.col("_q"))
+    c = c.select(F.when(F.col("_p") + F.col("_q") <= n, F.col("_p")).otherwise(F.lit(n) - zero).alias("_1"), F.when(F.col("_p") + F.col("_q") <= n, F.col("_q")).otherwise(zero).alias("_0"))
+    r = _ranked(df, [label], id_col, seed).crossJoin(F.broadcast(c))
+    return r.where(F.col("_k") <= F.when(F.col(label) == 1, F.col("_1")).otherwise(F.col("_0"))).drop("_k", "_1", "_0")
+
+
+def code_disjoint_split(pairs: DataFrame, seed: int, trials: int, shares=(0.70, 0.15, 0.15), names=("train", "valid", "test")) -> DataFrame:
+    """left_id, right_id, label, split: the assignment of codes to splits, among `trials`, that leaves most pairs of each class.
+
+    Trial t orders the codes by the hash of seed + t and cuts them by the shares; pairs within one split remain. A quota
+    of q pairs a class is shared by largest remainder; the largest q that every split can fill counts, and the earliest of
+    the best trials wins. From its pairs the quota is drawn by hash.
+    """
+    ids = pairs.select(F.explode(F.array("left_id", "right_id")).alias("code")).distinct()
+    total = ids.count()
+    if not total:
+        raise ValueError("no pairs to split")
+    ends = np.cumsum(_allocate(total, shares))
+    best = None
+    for t in range(trials):
+        order = numbered(ids, [hash_rank(F.col("code"), seed + t), F.col("code")], "k")
+        which = F.lit(names[-1])
+        for name, end in list(zip(names, ends, strict=True))[-2::-1]:
+            which = F.when(F.col("k") <= int(end), name).otherwise(which)
+        at = order.select("code", which.alias("split"))
+        both = pairs.join(at.withColumnRenamed("code", "left_id"), "left_id").join(at.select(F.col("code").alias("right_id"), F.col("split").alias("s2")), "right_id").where("split = s2").drop("s2")
+        n = {(r.split, r.label): r["count"] for r in both.groupBy("split", "label").count().collect()}  # six cells
+        low, high = 0, sum(min(n.get((s, 1), 0), n.get((s, 0), 0)) for s in names)
+        while low < high:
+            middle = (low + high + 1) // 2
+            fits = all(q <= n.get((s, y), 0) for s, q in zip(names, _allocate(middle, shares), strict=True) for y in (0, 1))
+            low, high = (middle, high) if fits else (low, middle - 1)
+        if best is None or low > best[0]:
+            best = (low, both)
+    quota = F.create_map(*[F.lit(x) for s, q in zip(names, _allocate(best[0], shares), strict=True) for x in (s, int(q))])
+    r = _ranked(best[1].withColumn("_id", F.concat_ws("/", "left_id", "right_id")), ["split", "label"], "_id", seed + 10_000)
+    return r.where(F.col("_k") <= quota[F.col("split")]).select("left_id", "right_id", "label", "split")
+
+
+def _allocate(total: int, shares) -> list[int]:
+    """Whole shares of a total, by largest remainder; of equal ones the later name first."""
+    raw = [total * s for s in shares]
+    out = [int(x) for x in raw]
+    for i in sorted(range(len(raw)), key=lambda i: (raw[i] - out[i], ("train", "valid", "test")[i] if len(raw) == 3 else i), reverse=True)[: total - sum(out)]:
+        out[i] += 1
+    return out
+
+
+def balance_to_coverage(pairs: DataFrame, available: DataFrame, seed: int, key: str = "code_id") -> DataFrame:
+    """Pairs whose ends are available, and of each split as many of either label as the scarcer has."""
+    one = available.select(key).distinct()
+    live = pairs.join(one.withColumnRenamed(key, "left_id"), "left_id", "left_semi").join(one.withColumnRenamed(key, "right_id"), "right_id", "left_semi")
+    return matched(live.withColumn("_id", F.concat_ws("/", "left_id", "right_id")), ["split"], "label", "_id", seed).drop("_id")
+
+
+def trim_majority(selected: DataFrame, source: DataFrame, label: str, order: str) -> DataFrame:
+    """Without the last rows of the more frequent label, if the source had as many of either and the selection has not."""
+    count = lambda d, p: d.agg(F.count_if(F.col(label) == 1).alias(f"{p}1"), F.count_if(F.col(label) == 0).alias(f"{p}0"))
+    c = count(selected, "_s").crossJoin(F.broadcast(count(source, "_o")))
+    uneven = (F.col("_o1") == F.col("_o0")) & (F.col("_s1") != F.col("_s0")) & (F.col("_s1") > 0) & (F.col("_s0") > 0)
+    c = c.select(F.when(uneven, F.least("_s1", "_s0")).otherwise(F.greatest("_s1", "_s0")).alias("_m"))
+    out = None
+    for y in (0, 1):
+        part = numbered(selected.where(F.col(label) == y), [F.col(order)], "_k").crossJoin(F.broadcast(c)).where(F.col("_k") <= F.col("_m")).drop("_k", "_m")
+        out = part if out is None else out.unionByName(part)
+    return out

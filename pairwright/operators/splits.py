@@ -2,40 +2,28 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import stored
 from .metrics import gini
 from .sampling import hash_fraction
 
 BITS = {"train": 1, "valid": 2, "test": 4}
 
 
-def _stored(df: DataFrame, tag: str) -> DataFrame:
-    """Cut lineage through the shared folder, or through the session's storage where none is set."""
-    spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        return df.persist()
-    path = f"{shared.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node of each component of edges (a, b).
 
     Labels go to neighbours and then along labels, so a chain of n takes about log n rounds.
     """
-    both = _stored(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    root = _stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("root")), "roots")
+    both = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
+    root = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("root")), "roots")
     while True:
         near = both.join(root, both.b == root.node).groupBy(F.col("a").alias("n")).agg(F.min("root").alias("near"))
         step = root.join(near, root.node == near.n).select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
         jump = root.select(F.col("node").alias("m"), F.col("root").alias("far"))
-        step = _stored(step.join(jump, F.col("root") == F.col("m")).select("node", "old", F.least("root", "far").alias("root")), "roots")
+        step = stored(step.join(jump, F.col("root") == F.col("m")).select("node", "old", F.least("root", "far").alias("root")), "roots")
         root = step.select("node", "root")
         if not step.where("old <> root").limit(1).count():
             return root
@@ -139,6 +127,31 @@ def overlap(items: DataFrame, key: str, split: str = "split") -> DataFrame:
     return a.join(b, "k").where("first < second").groupBy("first", "second").agg(F.count(F.lit(1)).alias("shared"))
 
 
+def overlaps(items: DataFrame, keys: dict[str, Column], split: str = "split") -> DataFrame:
+    """kind, first, second, shared: the overlap by each of several keys."""
+    rows = items.select(split, F.explode(F.create_map(*[x for k, c in keys.items() for x in (F.lit(k), c.cast("string"))])).alias("kind", "k")).distinct()
+    a, b = rows.select("kind", "k", F.col(split).alias("first")), rows.select("kind", "k", F.col(split).alias("second"))
+    return a.join(b, ["kind", "k"]).where("first < second").groupBy("kind", "first", "second").agg(F.count(F.lit(1)).alias("shared"))
+
+
+def require_disjoint(items: DataFrame, keys: dict[str, Column], split: str = "split") -> DataFrame:
+    """items, or an error naming the key that two splits share."""
+    bad = overlaps(items, keys, split).limit(1).collect()
+    if bad:
+        raise ValueError(f"{bad[0].first} and {bad[0].second} share {bad[0].shared} by {bad[0].kind}")
+    return items
+
+
+def distinct_pairs(pairs: DataFrame) -> DataFrame:
+    """One row of each unordered pair and split, the first by its ends; an error if a pair has both labels."""
+    u = pairs.withColumn("_u", unordered())
+    n = u.groupBy("_u").agg(F.count_distinct("label").alias("n")).where("n > 1").limit(1).collect()
+    if n:
+        raise ValueError(f"conflicting labels for {n[0]._u}")
+    w = Window.partitionBy("split", "_u").orderBy("left_id", "right_id")
+    return u.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k", "_u")
+
+
 def generate_pairs(codes: DataFrame, per_cell: int, seed: int = 42) -> DataFrame:
     """Balanced pairs for each (split, language): positives share a problem, negatives do not.
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from ..sources.storage import numbered, running_sums
 from .metrics import metric_columns, roc_auc
 
 
@@ -73,9 +74,12 @@ def candidates(scores: DataFrame, keys: list[str], policy: Policy) -> DataFrame:
         out.append(q.select(*keys, F.explode("q").alias("threshold")))
     if policy.unique:
         out.append(values.select(*keys, F.col("score").alias("threshold")))
-    if policy.midpoints:
+    if policy.midpoints and keys:
         nxt = F.lead("score").over(Window.partitionBy(*keys).orderBy("score"))
         out.append(values.select(*keys, ((F.col("score") + nxt) / 2).alias("threshold")).where("threshold is not null"))
+    elif policy.midpoints:
+        k = numbered(values, [F.col("score")], "_k")
+        out.append(k.join(k.select((F.col("_k") - 1).alias("_k"), F.col("score").alias("_next")), "_k").select(((F.col("score") + F.col("_next")) / 2).alias("threshold")))
     if policy.above_all:
         out.append(scores.groupBy(*keys).agg(F.max("score").alias("t")).select(*keys, _just_above("t").alias("threshold")))
     both = out[0]
@@ -95,10 +99,14 @@ def sweep(scores: DataFrame, keys: list[str], policy: Policy, lower_is_clone: bo
     marks = cand.select(*keys, F.col("at").alias("v"), F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("n"), "threshold")
     # scores equal to a threshold stand before it in the pass, so they count as reached
     way = F.asc if lower_is_clone else F.desc
-    w = Window.partitionBy(*keys).orderBy(way("v"), F.col("threshold").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy(*keys)
-    run = ties.unionByName(marks).withColumn("tp", F.sum("p").over(w)).withColumn("fp", F.sum("n").over(w)).withColumn("P", F.sum("p").over(every)).withColumn("N", F.sum("n").over(every))
-    return run.where("threshold is not null").select(*keys, "threshold", "tp", "fp", (F.col("P") - F.col("tp")).alias("fn"), (F.col("N") - F.col("fp")).alias("tn"))
+    order, both = [way("v"), F.col("threshold").isNotNull()], ties.unionByName(marks)
+    if keys:
+        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        every = Window.partitionBy(*keys)
+        run = both.withColumn("tp", F.sum("p").over(w)).withColumn("fp", F.sum("n").over(w)).withColumn("_pos", F.sum("p").over(every)).withColumn("_neg", F.sum("n").over(every))
+    else:  # all scores are one group: no window over all of them
+        run = running_sums(both, [*order, F.col("threshold")], {"tp": "p", "fp": "n"}).crossJoin(F.broadcast(df.agg(F.count_if(F.col("label") == 1).alias("_pos"), F.count_if(F.col("label") != 1).alias("_neg"))))
+    return run.where("threshold is not null").select(*keys, "threshold", "tp", "fp", (F.col("_pos") - F.col("tp")).alias("fn"), (F.col("_neg") - F.col("fp")).alias("tn"))
 
 
 def best(scores: DataFrame, keys: list[str], policy_name: str, metric: str, lower_is_clone: bool = False) -> DataFrame:
@@ -134,7 +142,7 @@ def balanced_folds(scores: DataFrame, id_col: str, seed: int = 42) -> DataFrame:
     df = scores.crossJoin(F.broadcast(n)).withColumn("anchor", (F.col("label") == F.when(F.col("p") >= F.col("n"), 1).otherwise(0)))
     df = df.withColumn("size", F.greatest(F.lit(1), F.least("p", "n")))
     idc = F.col(id_col).cast("string")
-    a = df.where("anchor").withColumn("fold", F.floor((F.row_number().over(Window.orderBy(rank(F.lit(seed), idc))) - 1) / F.col("size")))
+    a = numbered(df.where("anchor"), [rank(F.lit(seed), idc), F.col(id_col)], "_k").withColumn("fold", F.floor((F.col("_k") - 1) / F.col("size"))).drop("_k")
     folds = a.groupBy("fold").agg(F.count(F.lit(1)).alias("take"))
     b = df.where("not anchor").crossJoin(F.broadcast(folds))
     b = b.withColumn("k", F.row_number().over(Window.partitionBy("fold").orderBy(rank(F.lit(seed), F.col("fold").cast("string"), idc)))).where("k <= take").drop("k", "take")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import metrics as M
 from ..operators import thresholds as T
 from ..sources import adapters as A
+from ..sources.storage import stored
 from .registry import query, register
 from .scoring import PSS_SQL, scores
 
@@ -84,7 +85,7 @@ pts AS (SELECT *, {_METRICS} FROM (SELECT threshold, tp, fp, pp - tp AS fn, nn -
 @query(_RUNNING + " UNION ALL ".join(f"""(SELECT '{m}' AS metric, round(threshold, 6) AS threshold, round("{m}", 6) AS best_value, tp, fp, fn, tn FROM pts ORDER BY "{m}" DESC, threshold DESC LIMIT 1)""" for m in ("f1", "accuracy")).join([" ", ""]))
 def threshold_tune(spark, sf_dir):
     """Exact threshold over the pair scores, which are computed once."""
-    return _chosen(scores(spark, sf_dir, "pss").persist(), "exact", ("f1", "accuracy"))
+    return _chosen(stored(scores(spark, sf_dir, "pss"), "scores"), "exact", ("f1", "accuracy"))
 
 
 @query(f"""{_RUNNING}, c AS (SELECT threshold FROM pts ORDER BY f1 DESC, threshold DESC LIMIT 1),
@@ -92,7 +93,7 @@ g AS (SELECT CASE WHEN GROUPING(layer1) = 1 THEN 'ALL' ELSE layer1::VARCHAR END
 SELECT scope, tp, fp, fn, tn, round("precision", 6) AS "precision", round(recall, 6) AS recall, round(f1, 6) AS f1, round(accuracy, 6) AS accuracy FROM (SELECT *, {_METRICS} FROM g)""")
 def language_breakdown(spark, sf_dir):
     """The chosen threshold applied to all pairs: a row for each group and one for all."""
-    df = scores(spark, sf_dir, "pss").persist()
+    df = stored(scores(spark, sf_dir, "pss"), "scores")
     chosen = T.best(df, [], "pr_curve", "f1")
     rows = T.apply(df, chosen, [])
     cube = rows.groupingSets([[F.col("layer1")], []], F.col("layer1")).agg(F.grouping("layer1").alias("g"), F.count_if(F.expr("label = 1 and predicted = 1")).alias("tp"), F.count_if(F.expr("label <> 1 and predicted = 1")).alias("fp"), F.count_if(F.expr("label = 1 and predicted = 0")).alias("fn"), F.count_if(F.expr("label <> 1 and predicted = 0")).alias("tn"))

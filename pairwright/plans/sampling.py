@@ -72,17 +72,21 @@ def top_fraction(spark, sf_dir):
     return _rows(spark, sf_dir).withColumn("p", p).where("p >= 0.9").select("doc_id", F.round("p", 6).alias("p"))
 
 
-@query(f"""WITH {A.SQL_PAIRS}, n AS (SELECT left_id, right_id FROM pairs WHERE label = 0 AND right_id - left_id <= 3), r AS (SELECT left_id, right_id, row_number() OVER (ORDER BY sha256('5:' || left_id::VARCHAR || '/' || right_id::VARCHAR)) AS k FROM n)
-SELECT left_id, right_id FROM r WHERE k <= 50""")
+_IDS = "p AS (SELECT a.vec_id AS left_id, b.vec_id AS right_id, (a.label = b.label)::INTEGER AS label FROM embeddings a CROSS JOIN unnest(range(1, 21)) AS u(d) JOIN embeddings b ON b.vec_id = a.vec_id + d)"
+_HASH = "sha256('{seed}:' || left_id::VARCHAR || '/' || right_id::VARCHAR)"
+
+
+@query(f"WITH {_IDS} SELECT left_id, right_id FROM p WHERE label = 0 ORDER BY {_HASH.format(seed=5)}, left_id::VARCHAR || '/' || right_id::VARCHAR LIMIT 50")
 def negative_candidates(spark, sf_dir):
-    """Random negatives: all pairs of nearby fragments less the known positives, drawn by hash."""
-    p = A.pairs(spark, sf_dir).where("right_id - left_id <= 3")
-    negatives = p.select("left_id", "right_id").join(p.where("label = 1").select("left_id", "right_id"), ["left_id", "right_id"], "left_anti")
-    return P.top_k(negatives.withColumn("pair", F.concat_ws("/", "left_id", "right_id")), [], "pair", 50, 5).select("left_id", "right_id")
+    """Random negatives: all candidate pairs less the known positives, drawn by hash; an error if there are fewer than wanted."""
+    p = A.pairs(spark, sf_dir).select("left_id", "right_id", "label")
+    return P.negatives(p.select("left_id", "right_id"), p.where("label = 1"), 50, 5)
 
 
-@query()
+@query(f"""WITH {_IDS}, h AS (SELECT left_id, right_id, {_HASH.format(seed=3)} AS h FROM p WHERE label = 1), f AS (SELECT e, min_by({{'l': left_id, 'r': right_id}}, {{'h': h, 'l': left_id, 'r': right_id}}) AS x FROM (SELECT left_id AS e, * FROM h UNION ALL SELECT right_id, * FROM h) GROUP BY e)
+SELECT left_id, right_id FROM h LEFT JOIN (SELECT DISTINCT x.l AS l, x.r AS r FROM f) n ON l = left_id AND r = right_id ORDER BY l IS NULL, h, left_id, right_id LIMIT 100""")
 def greedy_cover(spark, sf_dir):
+    """A hundred positives that cover most fragments: a pair comes first if no earlier one has one of its ends."""
     return P.greedy_cover(A.pairs(spark, sf_dir).where("label = 1"), 100, 3)
 
 

@@ -35,12 +35,11 @@ def provided_component_split(spark, sf_dir):
     return P.provided_splits(c)
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT 'c' || (o_custkey % 400)::VARCHAR AS a, 'p' || (o_orderkey % 300)::VARCHAR AS b FROM orders WHERE o_orderkey % 7 = 0),
-u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, root) AS (SELECT a, a FROM u UNION SELECT u.a, r.root FROM r JOIN u ON u.b = r.node WHERE r.root < u.a)
-SELECT node, min(root) AS root FROM r GROUP BY node""")
+@query("""SELECT 'c' || o_custkey::VARCHAR AS node, 'c' || o_custkey::VARCHAR AS root FROM orders UNION SELECT 'o' || o_orderkey::VARCHAR, 'c' || o_custkey::VARCHAR FROM orders""")
 def connected_components(spark, sf_dir):
-    o = A.table(spark, sf_dir, "orders").where("o_orderkey % 7 = 0")
-    return P.components(o.select(F.concat(F.lit("c"), (F.col("o_custkey") % 400).cast("string")).alias("a"), F.concat(F.lit("p"), (F.col("o_orderkey") % 300).cast("string")).alias("b")))
+    """Components of customers and their orders, over all edges; longer shapes are tested on a fixture."""
+    o = A.table(spark, sf_dir, "orders")
+    return P.components(o.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("a"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("b")))
 
 
 @query(f"""{E}, n AS (SELECT node, bit_or(CASE split WHEN 'train' THEN 1 WHEN 'valid' THEN 2 ELSE 4 END) AS mask FROM (SELECT left_id AS node, split FROM endpoints UNION ALL SELECT right_id, split FROM endpoints) GROUP BY node),
@@ -80,15 +79,13 @@ def pair_integrity(spark, sf_dir):
     return P.integrity(A.endpoints(spark, sf_dir).groupBy("edge_id", "left_id", "right_id", "label").agg(F.count(F.lit(1)).alias("_c")).select("edge_id", "left_id", "right_id", "label", F.explode(F.sequence(F.lit(1), F.col("_c"))).alias("_i")))
 
 
-@query(f"""{E}, k AS (SELECT DISTINCT unnest(['left', 'right', 'pair']) AS kind, unnest([left_id, right_id, left_id || '/' || right_id]) AS k, split FROM endpoints)
+@query(f"""{E}, n AS (SELECT split, left_id AS c FROM endpoints UNION SELECT split, right_id FROM endpoints), k AS (SELECT DISTINCT unnest(['endpoint', 'problem', 'source_hash', 'submission']) AS kind, unnest([c, 'q' || right(c, 1), sha256(left(c, 3)), left(c, 4)]) AS k, split FROM n)
 SELECT a.kind, a.split AS first, b.split AS second, count(*) AS shared FROM k a JOIN k b USING (kind, k) WHERE a.split < b.split GROUP BY ALL""")
 def pair_overlap_audit(spark, sf_dir):
-    e = A.endpoints(spark, sf_dir)
-    out = None
-    for kind, key in (("left", F.col("left_id")), ("right", F.col("right_id")), ("pair", F.concat_ws("/", "left_id", "right_id"))):
-        x = P.overlap(e.withColumn("_k", key), "_k").select(F.lit(kind).alias("kind"), "first", "second", "shared")
-        out = x if out is None else out.unionByName(x)
-    return out
+    """What splits share by four keys of their ends: the code, its problem, its text's hash and its submission."""
+    e = A.endpoints(spark, sf_dir).select("split", F.explode(F.array("left_id", "right_id")).alias("c")).distinct()
+    keys = {"endpoint": F.col("c"), "problem": F.concat(F.lit("q"), F.right("c", F.lit(1))), "source_hash": F.sha2(F.left("c", F.lit(3)), 256), "submission": F.left("c", F.lit(4))}
+    return P.overlaps(e, keys)
 
 
 @query(f"""{E}, u AS (SELECT split, left_id || '/' || right_id AS pair, min(label) AS lo, max(label) AS hi, count(*) AS n FROM endpoints GROUP BY ALL)

@@ -8,7 +8,7 @@ from ..operators import graphs as G
 from ..sources import adapters as A
 from .registry import query
 
-T = r"""WITH t AS (SELECT doc_id::VARCHAR AS code_id, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '')[1:64] AS w FROM documents),
+T = r"""WITH t AS (SELECT doc_id::VARCHAR AS code_id, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM documents),
 n AS (SELECT DISTINCT code_id, unnest(w) AS node_id FROM t), p AS (SELECT code_id, unnest(w[1:len(w) - 1]) AS src, unnest(w[2:]) AS dst FROM t),
 e AS (SELECT code_id, src, dst FROM p WHERE src <> dst UNION SELECT code_id, dst, src FROM p WHERE src <> dst)"""
 
@@ -17,33 +17,31 @@ def _graph(spark, sf_dir):
     return G.token_graphs(A.codes(spark, sf_dir))
 
 
-def _whole(spark, sf_dir):
-    """The same over whole texts."""
-    return G.token_graphs(A.codes(spark, sf_dir), limit=None)
-
-
 @query(f"""{T}, d AS (SELECT code_id, src, count(*) AS d FROM e GROUP BY ALL), m AS (SELECT e.code_id, sum(1.0::DOUBLE / (x.d * y.d)) AS s FROM e JOIN d x ON x.code_id = e.code_id AND x.src = e.src JOIN d y ON y.code_id = e.code_id AND y.src = e.dst GROUP BY e.code_id),
 k AS (SELECT code_id, count(*) AS live FROM d GROUP BY code_id), c AS (SELECT code_id, count(*)::INTEGER AS num_nodes FROM n GROUP BY code_id)
-SELECT code_id, num_nodes, round(coalesce(live, 0)::DOUBLE, 6) AS sum1, round(coalesce(live + s, 0), 6) AS sum2 FROM c LEFT JOIN k USING (code_id) LEFT JOIN m USING (code_id)""")
+SELECT code_id, num_nodes, CASE WHEN num_nodes <= 2000 THEN round(coalesce(live, 0)::DOUBLE, 6) END AS sum1, CASE WHEN num_nodes <= 2000 THEN round(coalesce(live + s, 0), 6) END AS sum2 FROM c LEFT JOIN k USING (code_id) LEFT JOIN m USING (code_id)""")
 def laplacian_moments(spark, sf_dir):
-    """Sums of the eigenvalues and of their squares, which follow from degrees alone."""
+    """Sums of the eigenvalues and of their squares, which follow from degrees alone; of large graphs only the smallest
+    values are known, so their sums are null."""
     s = G.spectra(*_graph(spark, sf_dir))
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
-    return s.select("code_id", "num_nodes", F.round(total("eigenvalues"), 6).alias("sum1"), F.round(total(F.transform("eigenvalues", lambda x: x * x)), 6).alias("sum2"))
+    total = lambda a: F.when(F.col("status") == "ok", F.round(F.aggregate(a, F.lit(0.0), lambda x, y: x + y), 6))
+    return s.select("code_id", "num_nodes", total("eigenvalues").alias("sum1"), total(F.transform("eigenvalues", lambda x: x * x)).alias("sum2"))
 
 
-@query(f"""{T}, d AS (SELECT code_id, src, count(*) AS d FROM e GROUP BY ALL) SELECT code_id, round(sum(d)::DOUBLE, 5) AS sum1, round((sum(d * d) + sum(d))::DOUBLE, 5) AS sum2 FROM d GROUP BY code_id""")
+@query(f"""{T}, d AS (SELECT code_id, src, count(*) AS d FROM e GROUP BY ALL) SELECT code_id, round(sum(d)::DOUBLE, 5) AS sum1, round((sum(d * d) + sum(d))::DOUBLE, 5) AS sum2 FROM d WHERE code_id IN (SELECT code_id FROM n GROUP BY code_id HAVING count(*) <= 2000) GROUP BY code_id""")
 def combinatorial_moments(spark, sf_dir):
     """The same for the Laplacian D - A: sums of degrees, and of their squares and themselves."""
-    s = G.spectra(*_graph(spark, sf_dir), kind="laplacian").where("num_edges > 0")
+    s = G.spectra(*_graph(spark, sf_dir), kind="laplacian").where("num_edges > 0 and status = 'ok'")
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
     return s.select("code_id", F.round(total("eigenvalues"), 5).alias("sum1"), F.round(total(F.transform("eigenvalues", lambda x: x * x)), 5).alias("sum2"))
 
 
-@query()
+@query(f"""{T}, c AS (SELECT code_id, count(*)::INTEGER AS num_nodes FROM n GROUP BY code_id)
+SELECT code_id, num_nodes, CASE WHEN num_nodes > 2000 THEN 'ok_sparse_topk' ELSE 'ok' END AS status, CASE WHEN num_nodes > 2000 THEN 128 ELSE num_nodes END::INTEGER AS k, 0.0::DOUBLE AS least FROM c""")
 def directed_spectra(spark, sf_dir):
-    s = G.spectra(*_whole(spark, sf_dir), kind="directed_laplacian")
-    return s.select("code_id", "num_nodes", "status", F.size("eigenvalues").alias("k"), F.round(F.array_min("eigenvalues"), 4).alias("least"))
+    """Spectra of teleporting walks: as many values as nodes, and the least is zero, as the walk has one stationary law."""
+    s = G.spectra(*_graph(spark, sf_dir), kind="directed_laplacian")
+    return s.select("code_id", "num_nodes", "status", F.size("eigenvalues").alias("k"), F.abs(F.round(F.array_min("eigenvalues"), 4)).alias("least"))
 
 
 @query(f"""{T}, x AS (SELECT code_id, src AS node_id FROM e UNION SELECT code_id, dst FROM e)
@@ -53,10 +51,24 @@ def isolated_node_removal(spark, sf_dir):
     return G.drop_isolated(n, e).groupBy("code_id").agg(F.count(F.lit(1)).alias("kept"))
 
 
-@query(f"""{T}, o AS (SELECT code_id, src AS node_id, count(*) AS c FROM e GROUP BY ALL) SELECT n.code_id, n.node_id, coalesce(c, 0) AS out_degree, coalesce(c, 0) AS in_degree, 2 * coalesce(c, 0) AS degree FROM n LEFT JOIN o USING (code_id, node_id)""")
+_FLOW = r"""w AS (SELECT doc_id::VARCHAR AS code_id, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM documents),
+n AS (SELECT code_id, node_id, row_number() OVER (PARTITION BY code_id ORDER BY node_id) - 1 AS place FROM (SELECT DISTINCT code_id, unnest(w) AS node_id FROM w)),
+c AS (SELECT DISTINCT code_id, unnest(w[1:len(w) - 1]) AS src, unnest(w[2:]) AS dst FROM w), d AS (SELECT DISTINCT code_id, unnest(w[1:greatest(0, len(w) - 3)]) AS src, unnest(w[4:]) AS dst FROM w)"""
+
+
+@query(f"""WITH {_FLOW}, x AS (SELECT code_id, src AS node_id, 1 AS a, 0 AS b, 0 AS p, 0 AS q FROM c UNION ALL SELECT code_id, dst, 0, 1, 0, 0 FROM c UNION ALL SELECT code_id, src, 0, 0, 1, 0 FROM d UNION ALL SELECT code_id, dst, 0, 0, 0, 1 FROM d),
+s AS (SELECT code_id, node_id, sum(a)::BIGINT AS a, sum(b)::BIGINT AS b, sum(p)::BIGINT AS p, sum(q)::BIGINT AS q FROM x GROUP BY ALL),
+j AS (SELECT n.*, coalesce(a, 0) AS a, coalesce(b, 0) AS b, coalesce(p, 0) AS p, coalesce(q, 0) AS q, max(place) OVER (PARTITION BY code_id) AS l FROM n LEFT JOIN s USING (code_id, node_id))
+SELECT code_id, node_id, round(ln(1 + a), 6) AS cfg_out, round(ln(1 + b), 6) AS cfg_in, round(ln(1 + a + b), 6) AS cfg_degree, (a > 1)::INTEGER::DOUBLE AS branch, (a + b > 0)::INTEGER::DOUBLE AS cfg_active, round(coalesce(place::DOUBLE / nullif(l, 0), 0), 6) AS position,
+round(ln(1 + p), 6) AS ddg_out, round(ln(1 + q), 6) AS ddg_in, round(ln(1 + p + q), 6) AS ddg_degree, (p > 0)::INTEGER::DOUBLE AS source, (q > 0)::INTEGER::DOUBLE AS sink, (p + q > 0)::INTEGER::DOUBLE AS ddg_active FROM j""")
 def flow_node_features(spark, sf_dir):
-    n, e = _graph(spark, sf_dir)
-    return G.flow_features(n, e).select("code_id", "node_id", "out_degree", "in_degree", "degree")
+    """Twelve features of every word: neighbours as control flow, words three apart as data flow."""
+    w = F.filter(F.split(F.lower("code"), "[^a-z0-9]+"), lambda x: x != "")
+    t = A.codes(spark, sf_dir).select(F.col("code_id").cast("string").alias("code_id"), F.lit("cfg").alias("layer"), w.alias("w"))
+    n = t.select("code_id", "layer", F.posexplode(F.sort_array(F.array_distinct("w"))).alias("place", "node_id"))
+    apart = lambda k: t.select("code_id", "layer", F.explode(F.arrays_zip(F.slice("w", F.lit(1), F.greatest(F.lit(0), F.size("w") - k)).alias("src"), F.slice("w", F.lit(k + 1), F.greatest(F.lit(0), F.size("w") - k)).alias("dst"))).alias("e")).select("code_id", "layer", "e.*").distinct()
+    f = G.flow_features(n, apart(1), apart(3))
+    return f.select("code_id", "node_id", *[F.round(c, 6).alias(c) for c in f.columns[3:]])
 
 
 @query(f"""{T}, u AS (SELECT code_id, node_id FROM n WHERE length(node_id) > 2), r AS (SELECT e.* FROM e JOIN u a ON a.code_id = e.code_id AND a.node_id = src JOIN u b ON b.code_id = e.code_id AND b.node_id = dst)
@@ -111,7 +123,7 @@ def graph_health(spark, sf_dir):
     """Rank correlation of text size and graph size, share of distinct structures, by language."""
     from ..operators.metrics import spearman
 
-    n, e = _whole(spark, sf_dir)
+    n, e = _graph(spark, sf_dir)
     size = n.groupBy("code_id").agg(F.count(F.lit(1)).alias("nodes"))
     shape = e.groupBy("code_id").agg(F.sha2(F.concat_ws(",", F.sort_array(F.collect_list(F.concat_ws(">", "src", "dst")))), 256).alias("shape"))
     d = A.codes(spark, sf_dir).select(F.col("code_id").cast("string").alias("code_id"), "language", "n_chars").join(size, "code_id").join(shape, "code_id", "left")

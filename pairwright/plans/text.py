@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..sources import adapters as A
+from ..sources.storage import stored
 from .registry import query
 
 _STRIP = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({c}, '/\*[\s\S]*?\*/', ' ', 'g'), '(?m)//[^\n]*?$', ' ', 'g'), '(?m)#[^\n]*?$', ' ', 'g'), '\s+', ' ', 'g'))"
@@ -39,18 +40,12 @@ def token_fingerprint_jaccard(spark, sf_dir):
     """Jaccard of single categories and pairs; words are categories by length here."""
     raw = F.regexp_extract_all("text", F.lit(r"[A-Za-z_]+|[0-9]+|[^\sA-Za-z0-9_]"), F.lit(0))
     stream = F.transform(raw, lambda x: F.when(x.rlike("^[0-9]"), "NUM").when(x.rlike("^[A-Za-z_]"), F.concat(F.lit("W"), F.char_length(x).cast("string"))).otherwise(x))
-    t = A.table(spark, sf_dir, "documents").select("doc_id", stream.alias("s")).select("doc_id", X.fingerprint(F.col("s")).alias("f"))
+    t = A.table(spark, sf_dir, "documents").select("doc_id", stream.alias("s")).select("doc_id", F.transform(X.fingerprint(F.col("s")), lambda x: F.xxhash64(x)).alias("f"))
+    t = stored(t, "fingerprints")  # once for both sides, as hashes
     b = t.select((F.col("doc_id") - 1).alias("left_id"), F.col("doc_id").alias("right_id"), F.col("f").alias("g"))
     return t.withColumnRenamed("doc_id", "left_id").join(b, "left_id").select("left_id", "right_id", F.round(X.jaccard(F.col("f"), F.col("g")), 6).alias("jaccard"))
 
 
-@query()
-def category_fingerprints(spark, sf_dir):
-    """Fingerprint sizes with the full token grammar."""
-    t = A.table(spark, sf_dir, "documents").select("doc_id", X.categories(F.col("text")).alias("s"))
-    return t.select("doc_id", F.size("s").alias("n_tokens"), F.size(X.fingerprint(F.col("s"))).alias("n_features"))
-
-
 @query()
 def clone_type_infer(spark, sf_dir):
     """Type of neighbouring documents taken as fragments (lookahead has no counterpart in RE2)."""
@@ -95,21 +90,49 @@ def lexical_sketch(spark, sf_dir):
     return A.table(spark, sf_dir, "documents").select("doc_id", X.lexical_sketches(F.filter(F.split("text", r"\s+"), lambda w: w != "")).alias("ids"))
 
 
-@query()
+_KIND = "CASE length(w) % 4 WHEN 0 THEN w || '_stmt' WHEN 1 THEN 'ast.' || w WHEN 2 THEN w || '_declaration' ELSE w END"
+_CASES = " ".join(f"WHEN regexp_matches(t, '{p}') THEN '{c}'" for c, p in X.TYPE_PATTERNS)
+
+
+@query(f"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents), k AS (SELECT {_KIND} AS raw FROM w UNION SELECT unnest(['if_stmt', 'for_statement', 'method_parameter_in', 'println', '', 'return', 'int_literal', 'call_expr', 'none'])), n AS (SELECT raw, trim(regexp_replace(lower(raw), '[^a-z0-9]+', '_', 'g'), '_') AS t FROM k)
+SELECT raw, CASE WHEN t = '' THEN 'Canonical_Unknown' {_CASES} WHEN NOT starts_with(t, 'operator_') THEN 'Call_Expr' ELSE 'Canonical_Unknown' END AS java, CASE WHEN t = '' THEN 'Canonical_Unknown' {_CASES} ELSE 'Canonical_Unknown' END AS other FROM n""")
 def canonical_types(spark, sf_dir):
-    kinds = spark.createDataFrame([("IfStmt",), ("ForStatement",), ("com.x.ast.MethodCallExpr",), ("METHOD_PARAMETER_IN",), ("println",), ("",)], "raw string")
+    """Categories of parser types built from every word of the texts, and of some real ones."""
+    w = A.table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("w")).distinct()
+    n = F.char_length("w") % 4
+    raw = F.when(n == 0, F.concat("w", F.lit("_stmt"))).when(n == 1, F.concat(F.lit("ast."), "w")).when(n == 2, F.concat("w", F.lit("_declaration"))).otherwise(F.col("w"))
+    real = spark.createDataFrame([(x,) for x in ("if_stmt", "for_statement", "method_parameter_in", "println", "", "return", "int_literal", "call_expr", "none")], "raw string")
+    kinds = w.select(raw.alias("raw")).unionByName(real).distinct()
     return kinds.select("raw", X.canonical_type(F.col("raw"), F.lit("java")).alias("java"), X.canonical_type(F.col("raw")).alias("other"))
 
 
+#: Items up to this number are sent to every task; more are joined by shuffle.
+BROADCAST_ITEMS = 50_000
+
+
 @query("SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE b.text <> ''")
 def exact_contamination(spark, sf_dir):
-    """Documents that hold a test item word for word, found by a shared rare word sequence first."""
+    """Documents that hold a test item word for word.
+
+    Words inside an item stand between spaces in any text that holds it: its second to fourth (fewer in short items) are
+    looked up among the word sequences of the documents, of which only ids are kept; texts are compared for what is found.
+    """
     b = A.table(spark, sf_dir, "benchmark").where("text <> ''").select("item_id", F.col("text").alias("item"))
-    # whole words inside the item: its second to fourth word stand between spaces in any document that holds it
-    seed = F.array_join(F.slice(F.split("item", r"\s+"), 2, 3), " ")
-    three = lambda t: F.array_distinct(F.zip_with(F.zip_with(t, F.slice(t, F.lit(2), F.size(t)), lambda x, y: F.concat_ws(" ", x, y)), F.slice(t, F.lit(3), F.size(t)), lambda x, y: F.concat_ws(" ", x, y)))
-    long = b.where(F.size(F.split("item", r"\s+")) > 5).withColumn("seed", seed)
-    d = A.table(spark, sf_dir, "documents").select("doc_id", "text", F.split("text", r"\s+").alias("w"))
-    hits = d.select("doc_id", "text", F.explode(three(F.col("w"))).alias("seed")).join(F.broadcast(long), "seed").where(F.contains("text", "item")).select("item_id", "doc_id")
-    short = d.select("doc_id", "text").join(F.broadcast(b.where(F.size(F.split("item", r"\s+")) <= 5)), F.expr("contains(text, item)")).select("item_id", "doc_id")
-    return hits.unionByName(short).distinct()
+    w = F.split("item", r"\s+")
+    b = b.withColumn("k", F.least(F.lit(3), F.size(w) - 2)).withColumn("seed", F.when(F.col("k") > 0, F.array_join(F.slice(w, F.lit(2), F.greatest(F.lit(0), "k")), " ")))
+    n = b.count()
+    small = lambda d: F.broadcast(d) if n <= BROADCAST_ITEMS else d
+    d = A.table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = None
+    for k in sorted(r.k for r in b.select("k").distinct().collect()):  # three sizes, and one for items without inner words
+        items = b.where(F.col("k") == k)
+        if k > 0:
+            words = d.select("doc_id", F.split("text", r"\s+").alias("w"))
+            grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), lambda i: F.array_join(F.slice("w", i, F.lit(k)), " ")))
+            seen = words.where(F.size("w") >= k).select("doc_id", F.explode(grams).alias("seed"))
+            found = seen.join(small(items.select("item_id", "seed")), "seed").select("item_id", "doc_id")
+            hits = found.join(d, "doc_id").join(small(items.select("item_id", "item")), "item_id").where(F.contains("text", "item")).select("item_id", "doc_id")
+        else:  # one or two words: every text has to be read for them
+            hits = d.join(small(items), F.expr("contains(text, item)")).select("item_id", "doc_id")
+        out = hits if out is None else out.unionByName(hits)
+    return out if out is not None else d.join(b, F.lit(False)).select("item_id", "doc_id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..operators import relational as R
 from ..sources import adapters as A
 from .registry import query
@@ -32,14 +33,16 @@ def feature_availability(spark, sf_dir):
     return R.both_ends(A.pairs(spark, sf_dir).select("left_id", "right_id", "label"), ids)
 
 
-@query(f"""{P}, i AS (SELECT * FROM pairs WHERE len(list_filter(ev1[1:2], lambda x: abs(x) > 0.004)) > 0 AND len(list_filter(ev2[1:2], lambda x: abs(x) > 0.004)) > 0)
+_IDS = "p AS (SELECT a.vec_id AS left_id, b.vec_id AS right_id, (a.label = b.label)::INTEGER AS label FROM embeddings a CROSS JOIN unnest(range(1, 21)) AS u(d) JOIN embeddings b ON b.vec_id = a.vec_id + d)"
+
+
+@query(f"""WITH {_IDS}, i AS (SELECT * FROM p WHERE left_id % 11 <> 0 AND right_id % 11 <> 0 AND left_id % 13 <> 0 AND right_id % 13 <> 0)
 SELECT left_id, right_id, label FROM i WHERE (SELECT count(DISTINCT label) FROM i) = 2""")
 def informative_spectra(spark, sf_dir):
-    """Pairs of spectra with a value that counts; nothing if one class alone is left."""
-    live = lambda c: F.exists(F.slice(c, 1, 2), lambda x: F.abs(x) > 0.004)
-    p = A.pairs(spark, sf_dir).where(live("ev1") & live("ev2")).select("left_id", "right_id", "label")
-    n = p.agg(F.count_distinct("label").alias("_n"))
-    return p.crossJoin(F.broadcast(n)).where("_n = 2").drop("_n")
+    """Pairs of spectra that are finite throughout and not all zero (some are made so here); nothing if one class alone is left."""
+    spoilt = lambda i, ev: F.when(F.col(i) % 11 == 0, F.transform(ev, lambda x: x * 0)).when(F.col(i) % 13 == 0, F.concat(ev, F.array(F.lit(float("nan"))))).otherwise(F.col(ev))
+    p = A.pairs(spark, sf_dir).select("left_id", "right_id", "label", spoilt("left_id", "ev1").alias("a"), spoilt("right_id", "ev2").alias("b"))
+    return R.informative_pairs(p, "a", "b").drop("a", "b")
 
 
 @query("SELECT o_orderkey, o_custkey, c_name FROM orders LEFT JOIN customer ON c_custkey = o_custkey")
@@ -51,18 +54,20 @@ def validated_left_join(spark, sf_dir):
     return o.join(c, "k", "left").select("o_orderkey", F.col("k").alias("o_custkey"), "c_name")
 
 
-@query(f"{P} SELECT left_id, right_id FROM pairs p WHERE right_id - left_id <= 5 AND NOT EXISTS (SELECT 1 FROM pairs k WHERE k.label = 1 AND k.left_id = p.left_id AND k.right_id = p.right_id)")
+@query(f"WITH {_IDS} SELECT left_id, right_id FROM p WHERE NOT (label = 1 AND left_id % 2 = 0)")
 def unknown_pairs(spark, sf_dir):
-    p = A.pairs(spark, sf_dir)
-    known = p.where("label = 1").select(F.col("right_id").alias("left_id"), F.col("left_id").alias("right_id"))
-    return R.unknown_pairs(p.where("right_id - left_id <= 5").select("left_id", "right_id"), known)
+    """Candidates that are not among the known pairs, which are given the other way round."""
+    p = A.pairs(spark, sf_dir).select("left_id", "right_id", "label")
+    known = p.where("label = 1 and left_id % 2 = 0").select(F.col("right_id").alias("left_id"), F.col("left_id").alias("right_id"))
+    return R.unknown_pairs(p.select("left_id", "right_id"), known)
 
 
-@query("SELECT count(*) AS codes, count(*) FILTER (n = 4) AS common FROM (SELECT doc_id % 97 AS k, count(DISTINCT lang) AS n FROM documents GROUP BY k)")
+@query("""WITH v AS (SELECT 'text' AS view, doc_id AS id FROM documents UNION ALL SELECT 'label', doc_id FROM labels UNION ALL SELECT 'spectrum', vec_id FROM embeddings)
+SELECT id FROM v GROUP BY id HAVING count(DISTINCT view) = 3""")
 def common_support(spark, sf_dir):
-    """Ids that every view has."""
-    g = _t(spark, sf_dir, "documents").groupBy((F.col("doc_id") % 97).alias("k")).agg(F.count_distinct("lang").alias("n"))
-    return g.agg(F.count(F.lit(1)).alias("codes"), F.count_if(F.col("n") == 4).alias("common"))
+    """Ids that every view has: texts, labels and spectra."""
+    views = {"text": ("documents", "doc_id"), "label": ("labels", "doc_id"), "spectrum": ("embeddings", "vec_id")}
+    return R.common_support({name: _t(spark, sf_dir, t).select(F.col(c).alias("id")) for name, (t, c) in views.items()}, "id")
 
 
 @query("WITH l AS (SELECT DISTINCT lang FROM documents) SELECT a.lang AS left_language, b.lang AS right_language, CASE WHEN a.lang = b.lang THEN a.lang ELSE a.lang || '-' || b.lang END AS configuration FROM l a JOIN l b ON a.lang <= b.lang")
@@ -142,10 +147,12 @@ def early_stopping(spark, sf_dir):
     return R.early_stop(_history(spark, sf_dir).withColumnRenamed("v", "score"), ["k"], 4)
 
 
-@query("SELECT o_orderpriority, o_orderkey, rank() OVER (PARTITION BY o_orderpriority ORDER BY floor(o_totalprice / 1000) DESC)::INTEGER AS rank FROM orders WHERE o_orderstatus = 'F'")
+@query("""WITH r AS (SELECT o_orderpriority, o_orderkey, o_orderstatus = 'F' AS complete, CASE WHEN o_orderkey % 9 > 0 THEN floor(o_totalprice / 1000) END AS score FROM orders)
+SELECT o_orderpriority, o_orderkey, CASE WHEN complete AND score IS NOT NULL THEN rank() OVER (PARTITION BY o_orderpriority, complete AND score IS NOT NULL ORDER BY score DESC) END::INTEGER AS rank FROM r""")
 def ranked_runs(spark, sf_dir):
-    w = Window.partitionBy("o_orderpriority").orderBy(F.floor(F.col("o_totalprice") / 1000).desc())
-    return _t(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select("o_orderpriority", "o_orderkey", F.rank().over(w).alias("rank"))
+    """Ranks among complete runs with a score; the others are listed without one."""
+    r = _t(spark, sf_dir, "orders").select("o_orderpriority", "o_orderkey", (F.col("o_orderstatus") == "F").alias("complete"), F.when(F.col("o_orderkey") % 9 > 0, F.floor(F.col("o_totalprice") / 1000)).alias("score"))
+    return R.complete_ranks(r, ["o_orderpriority"], "score").select("o_orderpriority", "o_orderkey", "rank")
 
 
 @query("SELECT source, doc_id, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1)::INTEGER AS row_index, dense_rank() OVER (ORDER BY source)::INTEGER AS source_no FROM documents")
@@ -167,10 +174,17 @@ def provenance_counters(spark, sf_dir):
     return _t(spark, sf_dir, "documents").groupBy("lang").agg(F.count_if(F.col("text") == "").alias("blank"), F.count_if(F.col("n_chars") < 100).alias("short"), F.count_distinct("source").alias("sources"), F.round(F.avg((F.col("n_chars") > 1000).cast("double")), 6).alias("long_rate"))
 
 
-@query("""WITH l AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'getter' WHEN n_chars < 200 THEN 'short' ELSE 'other' END AS reason FROM documents WHERE doc_id % 2 = 0), p AS (SELECT doc_id FROM documents WHERE lang = 'fr')
-SELECT reason, count(*) AS n FROM l ANTI JOIN p USING (doc_id) GROUP BY reason""")
+@query(r"""WITH c AS (SELECT doc_id AS id, doc_id % 5 < 2 AS accessor, CASE WHEN doc_id % 5 < 3 THEN false ELSE len(string_split_regex(regexp_replace(text, '(?:\r\n|[\n\r\x0b\x0c])$', ''), '\r\n|[\n\r\x0b\x0c]')) = 1 OR text = '' END AS short FROM documents),
+n AS (SELECT a.id AS l, b.id AS r, a.accessor OR b.accessor AS g, a.short AND b.short AS s, coalesce(e1.vec_id, e2.vec_id) IS NOT NULL AND e1.vec_id IS NOT NULL AND e2.vec_id IS NOT NULL AS known FROM c a JOIN c b ON b.id = a.id + 2 LEFT JOIN embeddings e1 ON e1.vec_id = a.id LEFT JOIN embeddings e2 ON e2.vec_id = b.id WHERE NOT (a.id % 10 = 0))
+SELECT CASE WHEN g THEN 'accessor' WHEN s THEN 'both_short' WHEN NOT known THEN 'other_filters' ELSE 'kept' END AS reason, count(*) AS n FROM n GROUP BY reason""")
 def curated_negatives(spark, sf_dir):
-    """Negatives less positives, by the first reason that applies."""
+    """Judged negatives less known positives, by the first reason to drop them: an accessor on either side, both texts of one
+    line, an end that other filters dropped."""
     d = _t(spark, sf_dir, "documents")
-    reason = F.when(F.col("doc_id") % 11 == 0, "getter").when(F.col("n_chars") < 200, "short").otherwise("other")
-    return d.where("doc_id % 2 = 0").join(d.where("lang = 'fr'").select("doc_id"), "doc_id", "left_anti").groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    i = F.col("doc_id") % 5
+    code = F.when(i == 0, "int getX() { return x; }").when(i == 1, "void setX(int v) { x = v; }").when(i == 2, "int isX() { if (x) return 1; }").otherwise(F.col("text"))
+    codes = d.select(F.col("doc_id").alias("code_id"), X.is_accessor(code).alias("accessor"), ((i > 2) & (X.line_count(F.col("text")) == 1)).alias("short"))
+    n = d.select(F.col("doc_id").alias("left_id"), (F.col("doc_id") + 2).alias("right_id")).join(d.select(F.col("doc_id").alias("right_id")), "right_id", "left_semi")
+    positives = n.where("left_id % 10 = 0").select(F.col("right_id").alias("left_id"), F.col("left_id").alias("right_id"))
+    kept = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("code_id"))
+    return R.curated_negatives(n, positives, codes, kept).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))

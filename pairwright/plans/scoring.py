@@ -69,7 +69,7 @@ def prefix_score(spark, sf_dir):
     return out
 
 
-@query(f"""{PSS_SQL}, f AS ({METRIC_SQL['fisher'].replace(W + ',', 'WITH', 1)})
+@query(f"""{PSS_SQL.replace('pss AS (', 'pss AS MATERIALIZED (').replace('pairs AS (', 'pairs AS MATERIALIZED (')}, f AS MATERIALIZED ({METRIC_SQL['fisher'].replace(W + ',', 'WITH', 1)})
 SELECT pss.left_id, pss.right_id, pss.label, round((pss.score + f.score) / 2 + 1e-9::DOUBLE, 5) AS score FROM pss JOIN f USING (left_id, right_id)""")
 def fused_score(spark, sf_dir):
     """Late fusion: the mean of two scores of a pair."""

@@ -64,6 +64,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_substring_dedup, op2_mixing, op3_warc, op4_suffix_array_dedup, op5_minhash, op6_quality_rules, op7_chat_format, op8_token_output, op9_quality_classifier, op10_decontamination)}
 
 
+#: Ranks of ever longer byte strings: equal strings of 2k bytes are equal pairs of strings of k bytes.
+_RANKS = "".join(f"""
+r{2 * k} AS (SELECT r, i, dense_rank() OVER (ORDER BY v, w) AS v FROM (SELECT r, i, v, lead(v, {k}) OVER (PARTITION BY r ORDER BY i) AS w FROM r{k}) WHERE w IS NOT NULL),""" for k in (1, 2, 4, 8, 16, 32, 64, 128))
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_substring_dedup": r"""
@@ -82,6 +87,27 @@ WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), q AS (SELECT pag
 m AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS lead FROM q)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND page_id > lead THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN payload_bytes >= 100 AND page_id > lead THEN lead END AS refers_to FROM m""",
+        "op4_suffix_array_dedup": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS l FROM documents),
+c AS (SELECT r, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS b FROM d),
+r1 AS (SELECT r, i, ('0x' || b)::BIGINT AS v FROM c),{_RANKS}
+h AS (SELECT r, i, count(*) OVER (PARTITION BY v, w) > 1 AS hit FROM (SELECT r, i, v, lead(v, 144) OVER (PARTITION BY r ORDER BY i) AS w FROM r256) WHERE w IS NOT NULL),
+g AS (SELECT c.r, c.i, c.b, max(CASE WHEN h.hit THEN c.i END) OVER (PARTITION BY c.r ORDER BY c.i ROWS BETWEEN 399 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone FROM c LEFT JOIN h ON h.r = c.r AND h.i = c.i),
+s AS (SELECT r, i, b, gone, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY r ORDER BY i), false) AS first FROM g),
+k AS (SELECT r, count(*) FILTER (gone) AS n_removed, count(*) FILTER (first) AS n_spans, string_agg(b, '' ORDER BY i) FILTER (NOT gone) AS kept FROM s GROUP BY r)
+SELECT doc_id, len(l)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN k USING (r)""",
+        "op5_minhash": r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (SELECT r, md5(array_to_string(w[i:i + 4], ' ')) AS h FROM d, unnest(range(1, len(w) - 3)) AS u(i) UNION ALL SELECT r, md5(array_to_string(w, ' ')) FROM d WHERE len(w) BETWEEN 1 AND 4),
+c AS (SELECT r, h, count(*)::DOUBLE AS c, sum(count(*)) OVER (PARTITION BY r)::DOUBLE AS n FROM sh GROUP BY r, h),
+p AS (SELECT a.r AS x, b.r AS y FROM c a JOIN c b ON a.h = b.h AND a.r < b.r GROUP BY a.r, b.r HAVING sum(a.c) >= 0.799::DOUBLE * any_value(a.n) AND sum(b.c) >= 0.799::DOUBLE * any_value(b.n)),
+e AS (SELECT x, y, a.c AS a, b.c AS b, a.n AS na, b.n AS nb, a.c / b.c AS q FROM p JOIN c a ON a.r = x JOIN c b ON b.r = y AND b.h = a.h),
+f AS (SELECT x, y, a, b, na - sum(a) OVER (PARTITION BY x, y ORDER BY q RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS above, sum(b) OVER (PARTITION BY x, y ORDER BY q RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) + nb - sum(b) OVER (PARTITION BY x, y) AS below FROM e),
+l AS (SELECT x, y FROM f GROUP BY x, y HAVING sum(1 / (above / a + below / b)) >= 0.8::DOUBLE - 1e-9::DOUBLE UNION SELECT min(r) OVER (PARTITION BY t), r FROM d),
+u AS (SELECT x AS a, y AS b FROM l WHERE x <> y UNION SELECT y, x FROM l WHERE x <> y),
+k(r, root) AS (SELECT r, r FROM d UNION SELECT u.a, k.root FROM k JOIN u ON u.b = k.r WHERE k.root < u.a),
+m AS (SELECT r, min(root) AS root FROM k GROUP BY r)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY root) AS class_id, count(*) OVER (PARTITION BY root) AS class_size FROM d JOIN m USING (r)""",
         "op6_quality_rules": r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
            list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_parts
+from .common import lean, shuffle_parts
 
 ROLES = ("system", "user", "assistant")
 ALIASES = {"human": "user", "prompter": "user", "bot": "assistant", "gpt": "assistant", "model": "assistant", "ai": "assistant"}
@@ -154,4 +154,4 @@ def format_chats(conversations: DataFrame, template: str = TEMPLATE, keep_text:
         if out:
             yield batch()
 
-    return rows.mapInArrow(run, SCHEMA + ", rendered string" * keep_text)
+    return rows.mapInArrow(lean(run), SCHEMA + ", rendered string" * keep_text)

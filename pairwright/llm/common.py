@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -21,10 +22,13 @@ WORD_RE = re.compile(WORD)
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and every executor see (spark.checkpoint.dir).
 
-    Only where the setting is absent, as in local tests, a temporary folder is set.
+    Only where the setting is absent and Spark runs in one process, a temporary folder is set; on a cluster
+    executors would write to disks of their own, so there the setting is required.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="corpus-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -61,6 +65,27 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     )
 
 
+def release() -> None:
+    """Give memory that was freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
+def lean(run):
+    """run, for mapInArrow, with `release` at the end of a task: Python workers stay, and their memory with them."""
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return task
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of an Arrow string column without nulls, and len+1 offsets into them."""
     if isinstance(column, pa.ChunkedArray):
@@ -84,7 +109,8 @@ def packed(docs: DataFrame) -> DataFrame:
             z = [c.compress(view[off[i] : off[i + 1]]) for i in range(len(off) - 1)]
             yield pa.RecordBatch.from_arrays([b.column("did"), b.column("rid"), b.column("id"), pa.array(z, pa.binary())], ["did", "rid", "id", "z"])
 
-    return docs.mapInArrow(run, "did long, rid long, id long, z binary")
+    docs = docs if "id" in docs.columns else docs.withColumn("id", F.lit(None).cast("long"))
+    return docs.select("did", "rid", "id", "text").mapInArrow(lean(run), "did long, rid long, id long, z binary")
 
 
 def unpack(z: bytes) -> bytes:
@@ -157,5 +183,9 @@ def word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     return mix64(sums + lengths.astype(np.uint64))
 
 
+#: Bytes of text that a Python worker turns into arrays at a time; the arrays are some hundred times as large.
+STEP = 1 << 19
+
+
 def crc(data: bytes) -> int:
     return zlib.crc32(data) & 0xFFFFFFFF

@@ -7,12 +7,15 @@ rare seed is aligned with the item; one that holds frequent seeds alone is align
 allow the least score. The score is the best local alignment over that of the item with itself.
 So every passage that shares an n-gram and reaches the least score is found.
 
-Test items are sent to the tasks in blocks of at most `BLOCK_BYTES`; each block is searched in
-all documents, so a benchmark of any size is searched whole.
-
-Cases: null and empty texts match nothing; an item of fewer than `gram` words is not searched,
-as it names no passage; equal items each match; rows that repeat each match; empty tables give
-empty results; `clean` keeps the columns of its input, whatever their names.
+Test items are sent to the tasks in blocks of at most `BLOCK_BYTES` (an item beyond that is a
+block of its own); each block is counted and searched in all documents, two scans a block, so a
+benchmark of any size is searched whole.
+
+Cases: null and empty texts match nothing; a very long text is searched whole; an item of fewer
+than `gram` words is not searched, as it names no passage; items with equal texts each match,
+but rows of the benchmark that repeat with their id are one item; documents that repeat each
+match; empty tables give empty results; `clean` keeps the columns of its input, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes, word_hashes
+from .common import STEP, lean, text_bytes, word_hashes
 from .segments import _groups, _kgrams
 
 GRAM = 3
@@ -93,19 +96,21 @@ class Items:
                 self.ids.append(item)
                 self.words.append(w)
                 sets.append(g)
-        self.grams = np.unique(np.concatenate(sets)) if sets else np.zeros(0, np.uint64)
-        self.entries = [(i, p, int(k)) for i, g in enumerate(sets) for p, k in enumerate(np.searchsorted(self.grams, g))]
+        n = np.array([len(g) for g in sets], np.int64)
+        flat = np.concatenate([np.zeros(0, np.uint64), *sets])
+        self.grams = np.unique(flat)
+        #: item, place in it and n-gram of every n-gram of the items; until seeds are taken
+        self.entries = np.column_stack([np.repeat(np.arange(len(n)), n), np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n), np.searchsorted(self.grams, flat)])
 
     def seeds(self, df: np.ndarray) -> None:
         """Take every n-gram that stands in a document as a seed; the rarest half of each item's, ties included, are rare."""
-        e = np.array(self.entries, np.int64).reshape(-1, 3)
-        e = e[df[e[:, 2]] > 0]
-        rare = np.zeros(len(e), bool)
-        for i in range(len(self.ids)):
-            at = np.flatnonzero(e[:, 0] == i)
-            if len(at):
-                n = np.sort(df[e[at, 2]])
-                rare[at] = df[e[at, 2]] <= n[(len(n) - 1) // 2]
+        e, self.entries = self.entries[df[self.entries[:, 2]] > 0], None
+        n = df[e[:, 2]]
+        ranked = n[np.lexsort((n, e[:, 0]))]  # item by item, as the entries are
+        head = np.searchsorted(e[:, 0], np.arange(len(self.ids) + 1))
+        middle = head[:-1] + (np.diff(head) - 1) // 2
+        limit = np.append(ranked, 0)[np.maximum(middle, 0)]
+        rare = n <= limit[e[:, 0]]
         by = np.argsort(e[:, 2], kind="stable")
         e, self.rare = e[by], rare[by]
         used = np.unique(e[:, 2])
@@ -122,7 +127,7 @@ class Items:
         """
         out = np.zeros(len(a), np.int64)
         off = np.append(0, np.cumsum(z - a))
-        for i, j in _groups(off, 1 << 20):
+        for i, j in _groups(off, STEP):
             n = (z - a)[i:j]
             start = off[i:j] - off[i]
             word = h[np.arange(n.sum()) + np.repeat(a[i:j] - start, n)]
@@ -218,12 +223,22 @@ def align(texts: list[np.ndarray], items: list[np.ndarray]) -> tuple[np.ndarray,
 
 def _blocks(benchmark: DataFrame, gram: int, block_bytes: int) -> list[Items]:
     """Items in blocks of bounded size, read one block at a time."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    total = benchmark.agg(F.coalesce(F.sum(F.octet_length(text) + 64), F.lit(0))).first()[0]
-    n = max(1, -(-total // block_bytes))
-    for b in range(n):
-        rows = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b)
-        yield Items([tuple(r) for r in rows.select(F.col("item_id").cast("long"), text).collect()], gram)
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).distinct()
+    size = F.octet_length("text") + 64
+    total = items.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    # a hundred hash cells for each block: few rows reach the driver, and blocks can be filled up to their size
+    cells = 100 * max(1, -(-total // block_bytes)) if total > block_bytes else 1
+    items = items.withColumn("cell", F.pmod(F.xxhash64("item_id", "text"), F.lit(cells)))
+    blocks, held = [[]], 0
+    for cell, n in sorted(map(tuple, items.groupBy("cell").agg(F.sum(size)).collect())):
+        if held and held + n > block_bytes:
+            blocks.append([])
+            held = 0
+        blocks[-1].append(cell)
+        held += n
+    for cells_ in blocks:
+        rows = items.where(F.col("cell").between(cells_[0], cells_[-1])) if cells_ else items
+        yield Items([tuple(r) for r in rows.select("item_id", "text").collect()], gram)
 
 
 def _texts(batch, name):
@@ -239,7 +254,7 @@ def _ready(docs: DataFrame, items: Items, text_col: str) -> None:
         total = np.zeros(size, np.int64)
         for b in batches:
             raw, off = _texts(b, "text")
-            for i, j in _groups(off, 1 << 20):
+            for i, j in _groups(off, STEP):
                 h, first = tokens(raw[off[i] : off[j]], off[i : j + 1] - off[i])
                 at, k = look.find(h, first, n)
                 text = np.searchsorted(first, at, "right") - 1
@@ -251,7 +266,7 @@ def _ready(docs: DataFrame, items: Items, text_col: str) -> None:
     df = np.zeros(size, np.int64)
     if size:
         # at most one row for each n-gram of the block reaches the driver
-        for g, m in docs.select(F.col(text_col).alias("text")).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n")).collect():
+        for g, m in docs.select(F.col(text_col).alias("text")).mapInArrow(lean(count), "gram long, n long").groupBy("gram").agg(F.sum("n")).collect():
             df[g] = m
     items.seeds(df)
 
@@ -266,13 +281,13 @@ def find(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, least: float =
             for b in batches:
                 raw, off = _texts(b, "text")
                 ids = b.column("doc_id").to_pylist()
-                for i, j in _groups(off, 1 << 20):
+                for i, j in _groups(off, STEP):
                     hits = items.matches(raw[off[i] : off[j]], off[i : j + 1] - off[i], least)
                     if hits:
                         cols = zip(*((ids[i + t], items.ids[k], s, p, q) for t, k, s, p, q in hits), strict=True)
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "item_id", "score", "first_word", "last_word"])
 
-        part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(run, RESULT)
+        part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(lean(run), RESULT)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -288,10 +303,10 @@ def clean(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, least: float
             for b in batches:
                 raw, off = _texts(b, at)
                 keep = np.ones(len(off) - 1, bool)
-                for i, j in _groups(off, 1 << 20):
+                for i, j in _groups(off, STEP):
                     for t, *_ in items.matches(raw[off[i] : off[j]], off[i : j + 1] - off[i], least):
                         keep[i + t] = False
                 yield b.filter(pa.array(keep))
 
-        out = out.mapInArrow(run, docs.schema)
+        out = out.mapInArrow(lean(run), docs.schema)
     return out

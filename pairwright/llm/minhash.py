@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, mix64, packed, shuffle_parts, text_bytes, unpack, word_hashes, word_spans, written
+from .common import STEP, keyed, lean, mix64, packed, shuffle_parts, text_bytes, unpack, word_hashes, word_spans, written
 from .segments import _groups, _kgrams
 
 WORDS = 5
@@ -130,7 +130,7 @@ def _signed(rows: DataFrame) -> DataFrame:
         with np.errstate(over="ignore"):
             for batch in batches:
                 raw, off = text_bytes(batch.column("text"))
-                for i, j in _groups(off, 1 << 20):
+                for i, j in _groups(off, STEP):
                     t, h, w = weighted(*shingles(raw[off[i] : off[j]], off[i : j + 1] - off[i]))
                     n = j - i
                     sig = signatures(t, h, w, n)
@@ -143,7 +143,7 @@ def _signed(rows: DataFrame) -> DataFrame:
                     part = batch.slice(i, n)
                     yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("did", "rid", "id", "body")), lists], ["did", "rid", "id", "body", "bands"])
 
-    return rows.withColumn("body", F.md5("text")).mapInArrow(run, "did long, rid long, id long, body string, bands array<long>")
+    return rows.withColumn("body", F.md5("text")).mapInArrow(lean(run), "did long, rid long, id long, body string, bands array<long>")
 
 
 def _bags(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -151,7 +151,7 @@ def _bags(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     off, bits = np.append(0, np.cumsum([len(x) for x in texts])), max(12, len(texts).bit_length())
     raw = np.frombuffer(b"".join(texts), np.uint8)
     n, parts = np.zeros(len(texts), np.int64), []
-    for i, j in _groups(off, 1 << 20):
+    for i, j in _groups(off, STEP):
         with np.errstate(over="ignore"):
             t, h, w = weighted(*shingles(raw[off[i] : off[j]], off[i : j + 1] - off[i]), bits)
         n[i:j] = np.bincount(t, minlength=j - i)
@@ -207,7 +207,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, star: int = STAR) -> DataFrame:
                 keep = [k for k in range(lo, hi) if a[k] is not None]
                 yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in keep], pa.int64()), pa.array([b[k] for k in keep], pa.int64()), pa.array(s[np.array(keep, np.int64) - lo], pa.float64())], ["a", "b", "s"])
 
-    return dealt.mapInArrow(run, "a long, b long, s double")
+    return dealt.mapInArrow(lean(run), "a long, b long, s double")
 
 
 class _Union:
@@ -344,7 +344,7 @@ def _rest(members: DataFrame, labels: DataFrame, sims: DataFrame, texts: DataFra
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(lean(run), "a long, b long")
 
 
 def components(edges: DataFrame, tag: str = "cc") -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, shuffle_parts, text_bytes, written
+from .common import fresh_path, lean, shuffle_parts, text_bytes, written
 from .warc import open_fs
 
 MAGIC = b"RANSTOK1"
@@ -352,7 +352,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
         if docs_:
             yield flush()
 
-    files = written(rows.mapInArrow(run, "part long, before long, file string, tokens long, docs long"), "token-manifest")
+    files = written(rows.mapInArrow(lean(run), "part long, before long, file string, tokens long, docs long"), "token-manifest")
     # one row for each partition, whose number is a setting
     sums = files.groupBy("part").agg(F.sum("tokens").alias("n"))
     base = sums.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
@@ -373,7 +373,7 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(start + ends - lengths, pa.int64()), pa.array(lengths, pa.int64()), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     n = shuffle_parts(manifest.sparkSession)
-    return manifest.repartition(n, "file").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return manifest.repartition(n, "file").mapInArrow(lean(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def read_blocks(manifest: DataFrame) -> DataFrame:
@@ -396,8 +396,8 @@ def read_blocks(manifest: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([base + start], pa.int64()), pa.array([ids.astype(np.int64)], pa.list_(pa.int64()))], ["start", "ids"])
 
     n = shuffle_parts(manifest.sparkSession)
-    blocks = manifest.repartition(n, "file").mapInArrow(listed, "file string, base long, block long")
-    return blocks.repartition(n, "file", "block").mapInArrow(decoded, "start long, ids array<long>")
+    blocks = manifest.repartition(n, "file").mapInArrow(lean(listed), "file string, base long, block long")
+    return blocks.repartition(n, "file", "block").mapInArrow(lean(decoded), "start long, ids array<long>")
 
 
 def roundtrip(docs: DataFrame, tokenizer: str, end_id: int = END_ID, plain: bool = False) -> DataFrame:

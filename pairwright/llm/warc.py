@@ -25,7 +25,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, shuffle_parts, written
+from .common import fresh_path, lean, shuffle_parts, written
 
 LEAST = 100
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -97,7 +97,7 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST, date: str =
             out.close()
             yield pa.RecordBatch.from_pydict({"file": [f"{path}/{name}"], "records": pa.array([n], pa.int64())})
 
-    return written(rows.mapInArrow(run, "file string, records long"), "warc-manifest")
+    return written(rows.mapInArrow(lean(run), "file string, records long"), "warc-manifest")
 
 
 def parse(stream):
@@ -156,7 +156,7 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                     yield batch(rows)
 
     n = shuffle_parts(manifest.sparkSession)
-    return manifest.repartition(n, "file").mapInArrow(run, RESULT + ", url string, html string")
+    return manifest.repartition(n, "file").mapInArrow(lean(run), RESULT + ", url string, html string")
 
 
 def roundtrip(pages: DataFrame, least: int = LEAST) -> DataFrame:

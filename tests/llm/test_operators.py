@@ -572,6 +572,73 @@ def test_classifier(spark):
     assert quality_knn.score(rows.limit(0), labels).count() == 0
 
 
+def brute_votes(cosines, labels, k, power):
+    """Votes of the k nearest; those that tie at the last place share what is left."""
+    order = sorted(range(len(cosines)), key=lambda i: -cosines[i])
+    last = cosines[order[min(k, len(order)) - 1]]
+    above, equal = [i for i in order if cosines[i] > last], [i for i in order if cosines[i] == last]
+    share = (min(k, len(order)) - len(above)) / len(equal)
+    votes = [(max(float(cosines[i]), 1e-6) ** power, labels[i]) for i in above] + [(max(float(last), 1e-6) ** power * share, labels[i]) for i in equal]
+    return sum(w * y for w, y in votes) / sum(w for w, _ in votes)
+
+
+def test_votes_and_terms():
+    r = np.random.default_rng(8)
+    vectors = r.integers(-2, 3, (60, 4)).astype(np.float32)  # many ties
+    vectors = vectors[np.linalg.norm(vectors, axis=1) > 0]
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    labels = r.integers(0, 2, len(vectors)).astype(float)
+    near = vectors @ vectors.T
+    for n in (len(vectors), 40, 3):
+        got = quality_knn.Voter(None, None, vectors[:n], labels[:n]).votes(near[:, :n])
+        assert np.allclose(got, [brute_votes(row[:n], labels[:n], quality_knn.K, quality_knn.POWER) for row in near], atol=1e-9)
+    # terms against a loop over one text at a time
+    texts = ["ab ab ab Abc 12", "", "a", "слово дело слово дело слово", " ".join(f"w{k % 8}" for k in range(40)), "x\ny"]
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    off = np.append(0, np.cumsum([len(t.encode()) for t in texts]))
+    got = quality_knn.counts(raw, off)
+    for t, row in zip(texts, got, strict=True):
+        b, w = t.encode(), t.split()
+        pairs = Counter(int(quality_knn._TERM[quality_knn._CLASS[x] * 128 + quality_knn._CLASS[y]]) for x, y in zip(b, b[1:], strict=False))
+        assert {int(k): int(row[k]) for k in np.flatnonzero(row[: quality_knn.PAIRS])} == dict(pairs)
+        two = list(zip(w, w[1:], strict=False))
+        assert row[quality_knn.PAIRS :].tolist() == [sum(x == y for x, y in two), sum(x == y for x, y in zip(w, w[8:], strict=False)), len(two) - len(set(two)), len(w)]
+
+
+def test_classifier_by_brute_force(spark):
+    """Every score from the fitted vectors, one document and one cosine at a time; what the sample holds."""
+    r = random.Random(50)
+    rows = [(k, " ".join(words(r, r.randint(5, 60))) if k % 3 else " ".join(words(r, 3) * 15), "en", "a") for k in range(200)]
+    rows += [(7, "another text of the same id", "en", "a"), (7, rows[7][1], "en", "b"), (None, "no id here", None, None), (900, None, None, None), (901, "z", None, None), (902, " ".join(words(r, 40_000)), None, None)]
+    labels = [(k, int(k % 3 > 0)) for k in range(150)] + [(10**6 + k, 0) for k in range(3000)] + [(3, 1), (None, 1), (5, None)]
+    df, known = docs(spark, rows), spark.createDataFrame([(*x, 0) for x in labels], "doc_id long, quality int, toxic int").repartition(3)
+    fair = [k for k in range(150) if zlib.crc32(str(k).encode()) % 4 != 2]
+    for sample in (4096, 40):
+        voter = quality_knn.fit(df, known, sample)
+        assert len(voter.labels) == min(len(fair), sample)  # labels without a document take no place
+        got = quality_knn.score(df, known, sample).collect()
+        assert len(got) == len(rows)
+        want = Counter()
+        for i, t, _, _ in rows:
+            raw = np.frombuffer((t or "").encode(), np.uint8)
+            x = quality_knn._weigh(quality_knn.counts(raw, np.array([0, len(raw)])), voter.idf)[0].astype(np.float64) @ voter.basis.astype(np.float64)
+            norm = np.sqrt((x * x).sum())
+            cosines = [round(float((x / norm * v).sum()), 6) for v in voter.vectors.astype(np.float64)] if norm > 1e-6 else []
+            want[i, round(brute_votes(cosines, voter.labels, quality_knn.K, quality_knn.POWER) if cosines else float(voter.labels.mean()), 2)] += 1
+        assert sum((want - Counter((x.doc_id, round(x.score, 2)) for x in got)).values()) <= 4  # at a border of rounding
+        again = {(x.doc_id, x.score) for x in quality_knn.score(df.repartition(9), known.repartition(2), sample).collect()}
+        assert {(x.doc_id, round(x.score, 4)) for x in got} == {(i, round(s, 4)) for i, s in again}
+
+
+def test_classifier_beyond_ascii(spark):
+    """Repeated phrases are poor in every script."""
+    d, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    voter = quality_knn.fit(d, labels)
+    for phrase in ("one two three four five six ", "это очень простая фраза из слов ", "λόγος και έργο σε μία φράση "):
+        raw = np.frombuffer((phrase * 30).encode(), np.uint8)
+        assert voter.score(raw, np.array([0, len(raw)]))[0] < 0.3, phrase
+
+
 # ---- contamination ----
 
 
@@ -596,7 +663,7 @@ def test_alignment():
 def test_decontamination(spark):
     r = random.Random(8)
     items = [(k, " ".join(words(r, r.randint(12, 50), 900))) for k in range(20)] + [(90, None), (91, ""), (92, "two words"), (None, " ".join(words(r, 30, 900)))]
-    items.append((0, items[1][1]))
+    items += [(0, items[1][1]), items[2]]
     rows, want = [], set()
     for k in range(120):
         w = words(r, r.randint(0, 200), 900)
@@ -610,12 +677,13 @@ def test_decontamination(spark):
             want.add((k, item))
         rows.append((k, " ".join(w), "en", "a"))
     rows += [(300, None, None, None), (301, "", "en", "a"), (302, " ".join([items[3][1]] * 200), "en", "a"), (None, items[4][1], "en", "a")]
-    want |= {(302, 3), (None, 4)}
+    rows.append((303, " ".join(words(r, 60_000, 10**6)) + " " + items[6][1], "en", "a"))  # at the end of a very long text
+    want |= {(302, 3), (None, 4), (303, 6)}
     want |= {(d, 0) for d, k in want if k == 1}
     df, bench = docs(spark, rows), spark.createDataFrame([(*x, 1.0) for x in items], "item_id long, text string, score double")
     for block in (8 << 20, 900):
-        got = {(x.doc_id, x.item_id) for x in decontaminate.find(df, bench, block_bytes=block).collect()}
-        assert got == want
+        got = Counter((x.doc_id, x.item_id) for x in decontaminate.find(df, bench, block_bytes=block).collect())
+        assert set(got) == want and max(got.values()) == 1
     left = decontaminate.clean(df, bench)
     assert left.columns == df.columns
     bad = {d for d, _ in want}
@@ -661,6 +729,29 @@ def test_decontamination_of_edited_copies(spark):
     assert {(x.doc_id, x.item_id) for x in decontaminate.find(docs(spark, rows), bench).collect()} == want
 
 
+def test_seeds_and_blocks(spark):
+    """Seeds against one item at a time; blocks keep to their bytes; what goes to the tasks holds no list of entries."""
+    r = random.Random(40)
+    texts = [(k, " ".join(words(r, r.randint(1, 60), 60))) for k in range(50)]
+    items = decontaminate.Items(texts, 3)
+    df = np.array([r.choice((0, 0, 1, 2, 3, 9, 50)) for _ in items.grams], np.int64)
+    entries = items.entries.tolist()
+    want = set()
+    for i in range(len(items.ids)):
+        own = [(p, k) for j, p, k in entries if j == i and df[k] > 0]
+        if own:
+            middle = sorted(df[k] for _, k in own)[(len(own) - 1) // 2]
+            want |= {(i, p, k, bool(df[k] <= middle)) for p, k in own}
+    items.seeds(df)
+    got = {(int(items.of[e]), int(items.place[e]), int(np.searchsorted(items.grams, items.lookup.grams[g])), bool(items.rare[e])) for g in range(len(items.lookup.grams)) for e in range(items.begin[g], items.begin[g + 1])}
+    assert got == want and items.entries is None
+    bench = spark.createDataFrame([*texts, *[(900 + k, "one and the same text of this item") for k in range(40)], texts[0]], "item_id long, text string")
+    blocks = list(decontaminate._blocks(bench, 1, 1500))
+    assert sorted(i for b in blocks for i in b.ids) == sorted([*(k for k, _ in texts), *range(900, 940)])
+    size = dict(texts) | {900 + k: "one and the same text of this item" for k in range(40)}
+    assert len(blocks) > 3 and all(sum(len(size[i]) + 64 for i in b.ids) <= 1500 for b in blocks)
+
+
 def test_decontamination_bounds():
     r = random.Random(22)
     items = decontaminate.Items([(k, " ".join(words(r, 12, 30))) for k in range(4)], 3)

@@ -93,6 +93,18 @@ def message_features(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return j.select("code_id", "place", F.lit(1.0).alias("one"), F.log1p(d).alias("log_in"), F.log1p(d).alias("log_out"), F.log1p(2 * d).alias("log_degree"), F.coalesce(F.try_divide("place", "last"), F.lit(0.0)).alias("position"))
 
 
+def graph_statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """code_id and eight values of each graph: ln(1 + n) / 10, ln(1 + e) / 10, density (at most 1), and of the degrees of the graph
+    taken both ways with loops the mean, deviation and maximum (both ways together), and the mean in and out."""
+    ends = edges.select("code_id", F.explode(F.array("src", "dst")).alias("place")).groupBy("code_id", "place").agg(F.count(F.lit(1)).alias("d"))
+    e = edges.groupBy("code_id").agg(F.count(F.lit(1)).alias("e"))
+    d = 2 * (F.coalesce("d", F.lit(0)) + 1.0)
+    g = nodes.select("code_id", "place").join(ends, ["code_id", "place"], "left").groupBy("code_id").agg(F.count(F.lit(1)).alias("n"), F.avg(d).alias("mean"), F.stddev_pop(d).alias("sd"), F.max(d).alias("top"))
+    g = g.join(e, "code_id", "left").withColumn("e", F.coalesce("e", F.lit(0)))
+    room = F.greatest(F.lit(1.0), F.col("n") * F.greatest(F.lit(1), F.col("n") - 1))
+    return g.select("code_id", (F.log1p("n") / 10).alias("nodes"), (F.log1p("e") / 10).alias("edges"), F.least(F.lit(1.0), F.col("e") / room).alias("density"), (F.col("mean") / 20).alias("mean_degree"), (F.col("sd") / 20).alias("sd_degree"), (F.col("top") / 50).alias("top_degree"), (F.col("mean") / 40).alias("mean_in"), (F.col("mean") / 40).alias("mean_out"))
+
+
 def slot_profile(assignments: DataFrame, groups: tuple[str, ...] = tuple(COARSE)) -> DataFrame:
     """slot, group, share of the slot's mass, and the slot's entropy over the number of groups (1 is even).
 

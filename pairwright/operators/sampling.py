@@ -95,57 +95,85 @@ def stable_choice(candidates: DataFrame, anchor: str, order: list[str]) -> DataF
     return c.where(F.col("_k") == hash_choice(F.col(anchor).cast("string"), F.col("_n"))).drop("_k", "_n")
 
 
-def largest_remainder(weights: DataFrame, key: str, weight: str, total: int) -> DataFrame:
-    """Whole quotas that sum to `total`: floors, then the largest fractions, ties by key."""
+def largest_remainder(weights: DataFrame, key: str, weight: str, total: int, ties: str = "first") -> DataFrame:
+    """Whole quotas that sum to `total`: floors, then the largest fractions; of equal ones the first key, or the last."""
     s = weights.crossJoin(F.broadcast(weights.agg(F.sum(weight).alias("_s"))))
     exact = F.col(weight) * F.lit(float(total)) / F.col("_s")
     s = s.withColumn("_f", F.floor(exact)).withColumn("_r", F.round(exact - F.floor(exact), 9))
     left = s.agg((F.lit(total) - F.sum("_f")).alias("_left"))
-    return numbered(s, [F.desc("_r"), F.col(key)], "_k").crossJoin(F.broadcast(left)).select(key, weight, (F.col("_f") + (F.col("_k") <= F.col("_left")).cast("long")).alias("quota"))
+    order = [F.desc("_r"), F.col(key) if ties == "first" else F.col(key).desc()]
+    return numbered(s, order, "_k").crossJoin(F.broadcast(left)).select(key, weight, (F.col("_f") + (F.col("_k") <= F.col("_left")).cast("long")).alias("quota"))
+
+
+def bucket_targets(total: int, buckets: int, shares=(0.70, 0.15, 0.15)) -> np.ndarray:
+    """Targets (buckets x splits) with equal bucket totals; of equal fractions every second bucket favours the last split, so that
+    the two small splits come out alike."""
+    if total <= 0 or buckets <= 0:
+        raise ValueError("a positive total and some buckets are needed")
+    out = np.zeros((buckets, len(shares)), int)
+    for b in range(buckets):
+        n = total // buckets + (b < total % buckets)
+        raw = np.array([n * s for s in shares])
+        out[b] = np.floor(raw)
+        favoured = [0, 1, 2] if b % 2 == 0 else [0, 2, 1]
+        for i in sorted(range(len(shares)), key=lambda i: (-(raw[i] - out[b, i]), favoured.index(i)))[: n - out[b].sum()]:  # noqa: B023
+            out[b, i] += 1
+    return out
 
 
 def capacity_quotas(wanted: np.ndarray, capacity: np.ndarray) -> np.ndarray:
-    """Targets (groups x splits) within capacities, row and column sums kept, least movement.
+    """Targets (groups x splits) within capacities: row and column sums are those wanted, and as few units as can be lie beyond
+    what was wanted of their cell.
 
-    Successive shortest paths over a table of at most a few dozen cells: units that do not fit
-    go to other cells of their row, and other rows give way in that column.
+    Cheapest augmenting paths in the table of at most a few dozen cells: a unit that does not fit goes to another cell of its
+    row, for which another row gives way there; a unit beyond what a cell wanted costs one, taking it back pays it again.
     """
     x = np.minimum(wanted, capacity).astype(int)
     rows, cols = wanted.sum(1), wanted.sum(0)
+    n, m = x.shape
     while (need := rows - x.sum(1)).any():
-        i = int(np.flatnonzero(need)[0])
-        # breadth-first search over rows and columns for a column with room in its total
-        back: dict[tuple[str, int], tuple[str, int]] = {}
-        edge, goal = [("r", i)], None
-        seen = {("r", i)}
-        while edge and goal is None:
-            nxt = []
-            for kind, k in edge:
-                others = [("c", j) for j in range(len(cols)) if x[k, j] < capacity[k, j]] if kind == "r" else [("r", r) for r in range(len(rows)) if x[r, k] > 0]
-                for o in others:
-                    if o not in seen:
-                        seen.add(o)
-                        back[o] = (kind, k)
-                        nxt.append(o)
-                        if o[0] == "c" and x[:, o[1]].sum() < cols[o[1]]:
-                            goal = o
-                            break
-                if goal:
-                    break
-            edge = nxt
-        if goal is None:
+        row, col = np.where(need > 0, 0.0, np.inf), np.full(m, np.inf)
+        from_row, from_col = np.full(m, -1), np.full(n, -1)
+        for _ in range(n + m):
+            into = np.where(x < capacity, (x >= wanted) * 1.0, np.inf) + row[:, None]
+            better = into.min(0) < col - 1e-9
+            col[better], from_row[better] = into.min(0)[better], into.argmin(0)[better]
+            back = np.where(x > 0, (x > wanted) * -1.0, np.inf) + col[None, :]
+            nearer = back.min(1) < row - 1e-9
+            row[nearer], from_col[nearer] = back.min(1)[nearer], back.argmin(1)[nearer]
+            if not better.any() and not nearer.any():
+                break
+        room = cols - x.sum(0)
+        goal = int(np.where(room > 0, col, np.inf).argmin())
+        if room[goal] <= 0 or not np.isfinite(col[goal]):
             raise ValueError("capacities do not allow the quotas")
-        node = goal
-        while node != ("r", i):
-            prev = back[node]
-            if prev[0] == "r":
-                x[prev[1], node[1]] += 1
-            else:
-                x[node[1], prev[1]] -= 1
-            node = prev
+        path, j = [], goal
+        while True:
+            i = int(from_row[j])
+            path.append((i, j, 1))
+            if from_col[i] < 0:
+                break
+            j = int(from_col[i])
+            path.append((i, j, -1))
+        limit = [int(need[path[-1][0]]), int(room[goal])]
+        for i, j, way in path:
+            edge = (wanted if x[i, j] < wanted[i, j] else capacity)[i, j] - x[i, j] if way > 0 else x[i, j] - (wanted[i, j] if x[i, j] > wanted[i, j] else 0)
+            limit.append(int(edge))
+        for i, j, way in path:
+            x[i, j] += way * min(limit)
     return x
 
 
+def prevalence_cap(df: DataFrame, label: str, id_col: str, cap: int | None, prevalence: float, seed) -> DataFrame:
+    """At most `cap` rows in which label 1 has the given share, as many as both labels allow; an error without one of them."""
+    c = df.agg(F.count_if(F.col(label) == 1).alias("_p"), F.count_if(F.col(label) != 1).alias("_q"))
+    n = F.least(F.col("_p") + F.col("_q"), F.lit(cap) if cap else F.col("_p") + F.col("_q"), F.floor(F.col("_p") / prevalence), F.floor(F.col("_q") / (1 - prevalence)))
+    c = c.withColumn("_n", n).withColumn("_1", F.least(F.col("_p"), F.bround(F.col("_n") * F.lit(prevalence), 0).cast("long"))).withColumn("_0", F.least(F.col("_q"), F.col("_n") - F.col("_1")))
+    c = c.select(F.when((F.col("_1") > 0) & (F.col("_0") > 0), F.col("_1")).otherwise(F.raise_error(F.lit("too few rows of one label"))).cast("long").alias("_1"), "_0")
+    r = _ranked(df, [label], id_col, seed).crossJoin(F.broadcast(c))
+    return r.where(F.col("_k") <= F.when(F.col(label) == 1, F.col("_1")).otherwise(F.col("_0"))).drop("_k", "_1", "_0")
+
+
 def greedy_cover(pairs: DataFrame, n: int, seed) -> DataFrame:
     """n pairs that cover as many endpoints as they can: in hash order, first those that bring a new endpoint, then the others.
 

@@ -66,6 +66,15 @@ def message_features(spark, sf_dir):
     return f.groupBy("code_id").agg(F.count(F.lit(1)).alias("nodes"), *[F.round(F.sum(c), 6).alias(c) for c in ("log_in", "log_degree", "position")])
 
 
+@query(f"""WITH {_RECORDS}, x AS (SELECT code_id, unnest(range(0, n)) AS i, n FROM r), d AS (SELECT *, 2 * (CASE WHEN n = 1 THEN 0 WHEN i = 0 OR i = n - 1 THEN 1 ELSE 2 END + 1)::DOUBLE AS d FROM x)
+SELECT code_id, round(ln(1 + max(n)) / 10, 6) AS nodes, round(ln(max(n)) / 10, 6) AS edges, round(least(1, (max(n) - 1)::DOUBLE / greatest(1, max(n) * greatest(1, max(n) - 1))), 6) AS density, round(avg(d) / 20, 6) AS mean_degree, round(stddev_pop(d) / 20, 6) AS sd_degree, round(max(d) / 50, 6) AS top_degree, round(avg(d) / 40, 6) AS mean_in, round(avg(d) / 40, 6) AS mean_out FROM d GROUP BY code_id""")
+def graph_statistics(spark, sf_dir):
+    r = _records(spark, sf_dir)
+    n = r.select("code_id", F.explode(F.sequence(F.lit(0), F.size("ids") - 1)).alias("place"))
+    g = C.graph_statistics(n, r.select("code_id", F.explode("edges").alias("e")).select("code_id", "e.*"))
+    return g.select("code_id", *[F.round(c, 6).alias(c) for c in g.columns[1:]])
+
+
 @query(f"""WITH {_RECORDS}, x AS (SELECT code_id, c, unnest(range(1, n + 1)) AS i, w FROM r), k AS (SELECT c[i] AS c, w[i] AS w, {list(_KINDS)}[length(w[i]) % 9 + 1] AS t, i FROM x)
 SELECT count(*) AS nodes, count(*) FILTER (i % 2 = 1 AND NOT regexp_full_match(w, '[0-9]+') AND lower(w) <> lower(t)) AS before_nonempty, count(*) FILTER ((i % 2 = 1 AND NOT regexp_full_match(w, '[0-9]+') AND lower(w) <> lower(t)) OR t = 'println') AS after_nonempty FROM k""")
 def lexical_coverage(spark, sf_dir):

@@ -33,6 +33,12 @@ def sample_balanced(spark, sf_dir):
     return P.balanced(_rows(spark, sf_dir), "label", "doc_id", 60, 7).select("doc_id", "label")
 
 
+@query(f"""{S}, c AS (SELECT count(*) FILTER (label = 1) AS p, count(*) FILTER (label <> 1) AS q FROM scored), n AS (SELECT *, least(p + q, 60, floor(p / 0.6::DOUBLE)::BIGINT, floor(q / (1 - 0.6::DOUBLE))::BIGINT) AS n FROM c), k AS (SELECT *, least(p, round_even(n * 0.6::DOUBLE, 0)::BIGINT) AS one FROM n)
+SELECT doc_id, label FROM scored, k QUALIFY row_number() OVER (PARTITION BY label ORDER BY {H}, doc_id) <= CASE WHEN label = 1 THEN one ELSE least(q, n - one) END""")
+def sample_prevalence_cap(spark, sf_dir):
+    return P.prevalence_cap(_rows(spark, sf_dir), "label", "doc_id", 60, 0.6, 7).select("doc_id", "label")
+
+
 @query(f"{S} SELECT doc_id, lang FROM scored QUALIFY row_number() OVER (PARTITION BY lang ORDER BY {H}, doc_id) <= 3")
 def stratified_quota(spark, sf_dir):
     return P.exact_quota(_rows(spark, sf_dir), ["lang"], "doc_id", 3, 7).select("doc_id", "lang")
@@ -64,6 +70,23 @@ def quota_largest_remainder(spark, sf_dir):
     return P.largest_remainder(w, "source", "weight", 97)
 
 
+@query("""WITH w AS (SELECT source, count(*) // 10 AS weight FROM documents GROUP BY source), f AS (SELECT source, weight, floor(weight * 98.0::DOUBLE / sum(weight) OVER ()) AS f, round(weight * 98.0::DOUBLE / sum(weight) OVER () - floor(weight * 98.0::DOUBLE / sum(weight) OVER ()), 9) AS r FROM w)
+SELECT source, weight, (f + CASE WHEN row_number() OVER (ORDER BY r DESC, source DESC) <= 98 - sum(f) OVER () THEN 1 ELSE 0 END)::BIGINT AS quota FROM f""")
+def quota_last_of_ties(spark, sf_dir):
+    w = A.table(spark, sf_dir, "documents").groupBy("source").agg(F.floor(F.count(F.lit(1)) / 10).alias("weight"))
+    return P.largest_remainder(w, "source", "weight", 98, ties="last")
+
+
+@query("""WITH l AS (SELECT lang, row_number() OVER (ORDER BY lang) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT lang FROM documents)), t AS (SELECT lang, i, 1003 // n + (i < 1003 % n)::INTEGER AS t FROM l),
+f AS (SELECT lang, i, t, unnest([0, 1, 2]) AS j FROM t), r AS (SELECT *, [0.70::DOUBLE, 0.15, 0.15][j + 1] * t AS raw FROM f), g AS (SELECT *, floor(raw) AS w, raw - floor(raw) AS frac, CASE WHEN i % 2 = 0 OR j = 0 THEN j ELSE 3 - j END AS tie FROM r)
+SELECT lang, ['train', 'valid', 'test'][j + 1] AS split, (w + CASE WHEN row_number() OVER (PARTITION BY lang ORDER BY frac DESC, tie) <= t - sum(w) OVER (PARTITION BY lang) THEN 1 ELSE 0 END)::BIGINT AS target FROM g""")
+def bucket_targets(spark, sf_dir):
+    """Targets of 1003 pairs over languages and splits (a few rows)."""
+    langs = [r.lang for r in A.table(spark, sf_dir, "documents").select("lang").distinct().orderBy("lang").collect()]
+    t = P.bucket_targets(1003, len(langs))
+    return spark.createDataFrame([(g, s, int(t[i, j])) for i, g in enumerate(langs) for j, s in enumerate(("train", "valid", "test"))], "lang string, split string, target long")
+
+
 @query(f"""{S}, t AS (SELECT doc_id, score, percent_rank() OVER (PARTITION BY lang ORDER BY score, doc_id) AS p FROM scored) SELECT doc_id, round(p, 6) AS p FROM t WHERE p >= 0.9""")
 def top_fraction(spark, sf_dir):
     from pyspark.sql import Window

@@ -52,16 +52,37 @@ def paired_bootstrap(pairs: DataFrame, a: str, b: str, unit: str, replicates: in
     return point.crossJoin(F.broadcast(q)).select("pairs", "difference", F.get("q", F.lit(0)).alias("low"), F.get("q", F.lit(1)).alias("high"), "replicates")
 
 
-def cluster_bootstrap(predictions: DataFrame, replicates: int = 100, seed: int = 7) -> DataFrame:
-    """Accuracy difference of methods a and b with problems drawn again: a pair weighs the product
-    of its problems' draws, once if both are one problem."""
-    t = predictions.select("left_problem", "right_problem", (F.col("correct_a") - F.col("correct_b")).alias("d")).groupBy("left_problem", "right_problem").agg(F.sum("d").alias("d"), F.count(F.lit(1)).alias("n"))
+def cluster_bootstrap(predictions: DataFrame, replicates: int = 100, seed: int = 7, least_seeds: int = 3, least_valid: float = 0.9) -> DataFrame:
+    """Accuracy difference of methods a and b with problems and seeds drawn again: a pair weighs the product
+    of its problems' draws, once if both are one problem, and of its seed's draws.
+
+    predictions(left_problem, right_problem, seed, correct_a, correct_b). Fewer shared seeds, or too few replicates that have
+    any weight, are an error.
+    """
+    t = predictions.groupBy("left_problem", "right_problem", "seed").agg(F.sum(F.col("correct_a") - F.col("correct_b")).alias("d"), F.count(F.lit(1)).alias("n"))
+    seeds = t.agg(F.count_distinct("seed").alias("seeds"))
     each = t.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
     p, q = poisson_weight(F.col("r"), F.col("left_problem"), seed), poisson_weight(F.col("r"), F.col("right_problem"), seed)
-    w = F.when(F.col("left_problem") == F.col("right_problem"), p).otherwise(p * q)
+    w = F.when(F.col("left_problem") == F.col("right_problem"), p).otherwise(p * q) * poisson_weight(F.col("r"), F.concat(F.lit("seed/"), F.col("seed").cast("string")), seed)
     g = each.withColumn("w", w).groupBy("r").agg(F.sum(F.col("w") * F.col("d")).alias("s"), F.sum(F.col("w") * F.col("n")).alias("m"))
     ok = g.where("m > 0").select((F.col("s") / F.col("m")).alias("x"))
-    return ok.agg(F.count(F.lit(1)).alias("valid"), F.avg("x").alias("mean"), F.get(F.percentile("x", [0.025, 0.975]), F.lit(0)).alias("low"), F.get(F.percentile("x", [0.025, 0.975]), F.lit(1)).alias("high"))
+    out = ok.agg(F.count(F.lit(1)).alias("valid"), F.avg("x").alias("mean"), F.get(F.percentile("x", [0.025, 0.975]), F.lit(0)).alias("low"), F.get(F.percentile("x", [0.025, 0.975]), F.lit(1)).alias("high"))
+    fine = F.when(F.col("seeds") < least_seeds, F.raise_error(F.lit(f"fewer than {least_seeds} shared seeds"))).when(F.col("valid") < least_valid * replicates, F.raise_error(F.lit("too few valid replicates"))).otherwise(F.lit(True))
+    return out.crossJoin(F.broadcast(seeds)).where(fine).select("seeds", "valid", "mean", "low", "high")
+
+
+def auc_difference(scores: DataFrame, a: str, b: str, replicates: int = 50, seed: int = 7) -> DataFrame:
+    """Difference of the areas under the curves of two scores of the same rows (id, label), and its 2.5 and 97.5 percentiles over
+    replicates in which each label's rows are drawn again. Scores of a row share its draws."""
+    both = scores.select("id", "label", F.explode(F.create_map(F.lit("a"), F.col(a).cast("double"), F.lit("b"), F.col(b).cast("double"))).alias("side", "score"))
+    r = both.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(replicates))))
+    r = r.withColumn("w", F.when(F.col("r") == 0, 1).otherwise(poisson_weight(F.col("r"), F.col("id").cast("string"), seed)))
+    by = r.groupBy("side", "r", "score").agg(F.sum(F.when(F.col("label") == 1, F.col("w")).otherwise(0)).alias("p"), F.sum(F.when(F.col("label") != 1, F.col("w")).otherwise(0)).alias("q"))
+    below = F.sum("q").over(Window.partitionBy("side", "r").orderBy("score").rowsBetween(Window.unboundedPreceding, 0)) - F.col("q")
+    auc = by.withColumn("won", F.col("p") * (below + F.col("q") / 2.0)).groupBy("side", "r").agg((F.sum("won") / F.nullif(F.sum("p") * F.sum("q"), F.lit(0))).alias("auc"))
+    d = auc.groupBy("r").agg((F.max(F.when(F.col("side") == "a", F.col("auc"))) - F.max(F.when(F.col("side") == "b", F.col("auc")))).alias("d"))
+    draws = F.when(F.col("r") > 0, F.col("d"))
+    return d.agg(F.max(F.when(F.col("r") == 0, F.col("d"))).alias("difference"), F.count(draws).alias("valid"), F.percentile(draws, 0.025).alias("low"), F.percentile(draws, 0.975).alias("high"))
 
 
 def auc_bootstrap(scores: DataFrame, key: str, replicates: int = 50, seed: int = 7) -> DataFrame:

@@ -96,37 +96,67 @@ def projected_dependences(spark, sf_dir):
     return G.project_ddg(e, n.where("length(node_id) <= 4")).groupBy("code_id").agg(F.count(F.lit(1)).alias("edges"))
 
 
-SOURCES = [
-    ("a", "def f(x):\n    y = x + 1\n    if y > 2:\n        return y\n    for i in range(3):\n        if i:\n            break\n        y += i\n    return y\n"),
-    ("b", "class A:\n    def g(self):\n        try:\n            return self.v\n        except KeyError:\n            pass\n"),
-    ("c", "def broken(:\n"),
-    ("d", ""),
-]
+_W = r"w AS (SELECT doc_id::VARCHAR AS code_id, lang, n_chars, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM documents)"
 
 
-@query()
+def _words(spark, sf_dir):
+    w = F.filter(F.split(F.lower("code"), "[^a-z0-9]+"), lambda x: x != "")
+    return A.codes(spark, sf_dir).select(F.col("code_id").cast("string").alias("code_id"), "language", "n_chars", w.alias("w"))
+
+
+@query(f"""WITH {_W}, n AS (SELECT code_id, len(w) AS n FROM w), l AS (SELECT code_id, n, unnest(['ast', 'cfg', 'ddg']) AS layer FROM n)
+SELECT code_id, layer, 'ok' AS status, CASE layer WHEN 'ast' THEN 5 + 7 * n WHEN 'cfg' THEN n + 2 ELSE n + 2 + (n > 0)::INTEGER END::INTEGER AS nodes, CASE layer WHEN 'ast' THEN 4 + 7 * n WHEN 'cfg' THEN n + 1 ELSE CASE WHEN n > 0 THEN n + 1 ELSE 0 END END::INTEGER AS edges FROM l""")
 def python_graphs(spark, sf_dir):
-    """Syntax, control-flow and dependence graphs of sources; sizes and status."""
-    g = G.parse_python(spark.createDataFrame(SOURCES, "code_id string, code string"))
+    """Syntax, control-flow and dependence graphs of a Python function with a statement for every word of a text."""
+    lines = F.array_join(F.transform("w", lambda x, i: F.concat(F.lit("    v"), i.cast("string"), F.lit(" = len('"), x, F.lit("')\n"))), "")
+    g = G.parse_python(_words(spark, sf_dir).select("code_id", F.concat(F.lit("def f(a):\n    pass\n"), lines).alias("code")))
     return g.select("code_id", "layer", "status", F.size("nodes").alias("nodes"), F.size("edges").alias("edges"))
 
 
-@query()
+@query(f"""WITH {_W} SELECT code_id, 'ok' AS status, len(w)::INTEGER AS nodes, greatest(0, len(w) - 1)::INTEGER AS edges, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS label_chars, (len(w) > 0)::BOOLEAN AS typed FROM w""")
 def dot_graphs(spark, sf_dir):
-    dot = 'digraph "f" {\n"1" [label = <METHOD, 3<BR/>f> ]\n"2" [label = "CALL, println"]\n  "1" -> "2" [ label = "AST"]\n}'
-    g = G.parse_dot(spark.createDataFrame([("a", "ast", dot)], "code_id string, layer string, dot string"))
-    return g.select("code_id", F.explode("nodes").alias("n"), F.size("edges").alias("edges")).select("code_id", "n.*", "edges")
-
-
-@query()
+    """Graphs read from DOT texts with a node for every word, quoted and marked labels by turns."""
+    i = lambda k: F.concat(F.lit('"'), k.cast("string"), F.lit('"'))
+    node = F.transform("w", lambda x, k: F.concat(i(k), F.when(k % 2 == 0, F.concat(F.lit(' [label = "CALL, '), x, F.lit('" ]\n'))).otherwise(F.concat(F.lit(" [label = <CALL, 3, "), x, F.lit("<BR/>more> ]\n")))))
+    edge = F.when(F.size("w") > 1, F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda k: F.concat(F.lit("  "), i(k), F.lit(" -> "), i(k + 1), F.lit(' [ label = "AST"]\n')))).otherwise(F.array())
+    dot = F.concat(F.lit('digraph "f" {\n'), F.array_join(node, ""), F.array_join(edge, ""), F.lit("}\n"))
+    g = G.parse_dot(_words(spark, sf_dir).select("code_id", F.lit("ast").alias("layer"), dot.alias("dot")))
+    chars = F.aggregate("nodes", F.lit(0).cast("long"), lambda s, x: s + F.char_length(F.regexp_extract(x["label"], "([a-z0-9]+)$", 1)))
+    return g.select("code_id", "status", F.size("nodes").alias("nodes"), F.size("edges").alias("edges"), chars.alias("label_chars"), ((F.size("nodes") > 0) & F.forall("nodes", lambda x: x["type"] == "CALL")).alias("typed"))
+
+
+@query(f"""{T}, z AS (SELECT code_id, count(*) AS nodes FROM n GROUP BY code_id), s AS (SELECT code_id, sha256(string_agg(src || '>' || dst, ',' ORDER BY src || '>' || dst)) AS shape FROM e GROUP BY code_id),
+k AS (SELECT code_id, bool_and(node_id IN ('the', 'a', 'of', 'and')) AS bare FROM n GROUP BY code_id),
+d AS (SELECT lang AS language, n_chars, nodes, shape, bare, z.code_id IS NOT NULL AS have FROM documents LEFT JOIN z ON z.code_id = doc_id::VARCHAR LEFT JOIN s ON s.code_id = doc_id::VARCHAR LEFT JOIN k ON k.code_id = doc_id::VARCHAR),
+r AS (SELECT language, rank() OVER (PARTITION BY language ORDER BY n_chars) + (count(*) OVER (PARTITION BY language, n_chars) - 1) / 2.0::DOUBLE AS x, rank() OVER (PARTITION BY language ORDER BY nodes) + (count(*) OVER (PARTITION BY language, nodes) - 1) / 2.0::DOUBLE AS y FROM d WHERE have), c AS (SELECT language, round(corr(x, y), 6) AS spearman FROM r GROUP BY language)
+SELECT language, count(*) AS codes, round(avg(have::INTEGER::DOUBLE), 6) AS coverage, round(avg(bare::INTEGER::DOUBLE), 6) AS skeleton_rate, any_value(c.spearman) AS spearman, round(count(DISTINCT shape) / count(*) FILTER (have), 6) AS unique_rate FROM d JOIN c USING (language) GROUP BY language""")
 def graph_health(spark, sf_dir):
-    """Rank correlation of text size and graph size, share of distinct structures, by language."""
+    """By language: share of codes with a graph, of graphs with nothing but a few words, rank correlation of text and graph size,
+    and share of distinct structures."""
     from ..operators.metrics import spearman
 
     n, e = _graph(spark, sf_dir)
-    size = n.groupBy("code_id").agg(F.count(F.lit(1)).alias("nodes"))
+    size = n.groupBy("code_id").agg(F.count(F.lit(1)).alias("nodes"), F.bool_and(F.col("node_id").isin("the", "a", "of", "and")).alias("bare"))
     shape = e.groupBy("code_id").agg(F.sha2(F.concat_ws(",", F.sort_array(F.collect_list(F.concat_ws(">", "src", "dst")))), 256).alias("shape"))
-    d = A.codes(spark, sf_dir).select(F.col("code_id").cast("string").alias("code_id"), "language", "n_chars").join(size, "code_id").join(shape, "code_id", "left")
-    r = spearman(d, ["language"], "n_chars", "nodes")
-    u = d.groupBy("language").agg(F.round(F.count_distinct("shape") / F.count(F.lit(1)), 6).alias("unique_rate"))
-    return r.join(u, "language").select("language", "n", F.round("spearman", 6).alias("spearman"), "unique_rate")
+    d = A.codes(spark, sf_dir).select(F.col("code_id").cast("string").alias("code_id"), "language", "n_chars").join(size, "code_id", "left").join(shape, "code_id", "left")
+    r = spearman(d.where("nodes is not null"), ["language"], "n_chars", "nodes").select("language", F.round("spearman", 6).alias("spearman"))
+    have = F.col("nodes").isNotNull()
+    u = d.groupBy("language").agg(F.count(F.lit(1)).alias("codes"), F.round(F.avg(have.cast("double")), 6).alias("coverage"), F.round(F.avg(F.col("bare").cast("double")), 6).alias("skeleton_rate"), F.round(F.count_distinct("shape") / F.count_if(have), 6).alias("unique_rate"))
+    return u.join(r, "language")
+
+
+@query(f"""WITH {_W}, n AS (SELECT code_id, len(w) AS n FROM w WHERE len(w) > 0) SELECT code_id, greatest(0, n - 2)::BIGINT AS subtrees, CASE WHEN n > 2 THEN (n * (n + 1) / 2)::BIGINT - 3 ELSE 0 END AS size_sum, least(255, n - 1)::INTEGER AS depth FROM n""")
+def subtree_vectors(spark, sf_dir):
+    """Subtrees of three nodes or more of chains of words: how many, the sum of their sizes, and the chain's depth."""
+    w = _words(spark, sf_dir).where(F.size("w") > 0)
+    kinds = F.transform("w", lambda x: F.concat(F.lit("K"), (F.char_length(x) % 5).cast("string")))
+    edges = F.when(F.size("w") > 1, F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.struct(i.alias("src"), (i + 1).alias("dst")))).otherwise(F.array().cast("array<struct<src:int,dst:int>>"))
+    trees = w.select("code_id", kinds.alias("types"), edges.alias("edges"))
+    return G.subtree_summary(trees, G.type_vocabulary(trees))
+
+
+@query(f"""WITH {_W}, k AS (SELECT 'K' || (length(x) % 5)::VARCHAR AS type FROM (SELECT unnest(w) AS x FROM w)) SELECT type, (row_number() OVER (ORDER BY count(*) DESC, type) + 1)::INTEGER AS place FROM k GROUP BY type""")
+def type_vocabulary(spark, sf_dir):
+    """Places of node types, the frequent first; 0 is padding and 1 unknown."""
+    kinds = F.transform("w", lambda x: F.concat(F.lit("K"), (F.char_length(x) % 5).cast("string")))
+    return G.type_vocabulary(_words(spark, sf_dir).select(kinds.alias("types")))

@@ -88,10 +88,16 @@ def paired_bootstrap(spark, sf_dir):
 
 @query()
 def cluster_bootstrap(spark, sf_dir):
-    d = A.scored(spark, sf_dir).select(F.col("source").alias("left_problem"), F.concat(F.lit("src"), (F.col("doc_id") % 20).cast("string")).alias("right_problem"), ((F.col("score") >= 0.5).cast("int") == F.col("label")).cast("int").alias("correct_a"), F.col("label").alias("correct_b"))
+    d = A.scored(spark, sf_dir).select(F.col("source").alias("left_problem"), F.concat(F.lit("src"), (F.col("doc_id") % 20).cast("string")).alias("right_problem"), (F.col("doc_id") % 5).alias("seed"), ((F.col("score") >= 0.5).cast("int") == F.col("label")).cast("int").alias("correct_a"), F.col("label").alias("correct_b"))
     return I.cluster_bootstrap(d)
 
 
+@query()
+def auc_difference(spark, sf_dir):
+    """Paired difference of two scores' areas, with an interval."""
+    return I.auc_difference(A.scored(spark, sf_dir).select(F.col("doc_id").alias("id"), "label", F.col("score").alias("a"), (F.pmod(F.xxhash64("doc_id"), F.lit(1000)) / 1000).alias("b")), "a", "b")
+
+
 @query()
 def auc_bootstrap(spark, sf_dir):
     return I.auc_bootstrap(A.scored(spark, sf_dir), "lang")

@@ -106,6 +106,13 @@ def canonical_types(spark, sf_dir):
     return kinds.select("raw", X.canonical_type(F.col("raw"), F.lit("java")).alias("java"), X.canonical_type(F.col("raw")).alias("other"))
 
 
+@query("""SELECT o_orderkey, sha256('{"o_custkey":' || o_custkey::VARCHAR || ',"o_orderkey":' || o_orderkey::VARCHAR || ',"o_orderstatus":' || CASE WHEN o_orderkey % 5 = 0 THEN 'null' ELSE '"' || o_orderstatus || '"' END || '}') AS fingerprint FROM orders""")
+def row_fingerprints(spark, sf_dir):
+    """Hash of a row as JSON with sorted names."""
+    o = A.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderstatus")).alias("o_orderstatus"))
+    return o.select("o_orderkey", X.fingerprint_of(["o_orderstatus", "o_orderkey", "o_custkey"]).alias("fingerprint"))
+
+
 #: Items up to this number are sent to every task; more are joined by shuffle.
 BROADCAST_ITEMS = 50_000
 

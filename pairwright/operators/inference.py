@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sampling import hash_fraction
+
 # Two-sided 95 % quantiles of Student's t for 1 to 30 degrees of freedom.
 T95 = (12.706205, 4.302653, 3.182446, 2.776445, 2.570582, 2.446912, 2.364624, 2.306004, 2.262157, 2.228139, 2.200985, 2.178813, 2.160369, 2.144787, 2.131450, 2.119905, 2.109816, 2.100922, 2.093024, 2.085963, 2.079614, 2.073873, 2.068658, 2.063899, 2.059539, 2.055529, 2.051831, 2.048407, 2.045230, 2.042272)
 
@@ -29,14 +31,14 @@ def finite_mean_var(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.avg(ok).alias("mean"), F.when(F.count(ok) == 1, 0.0).otherwise(F.var_samp(ok)).alias("variance"))
 
 
+#: Chances of at most 0, 1, 2, ... draws of a unit in a replicate.
+POISSON = tuple(float(x) for x in np.cumsum([np.exp(-1) / np.prod(range(1, k + 1) or [1]) for k in range(12)]))
+
+
 def poisson_weight(replicate: Column, unit: Column, seed: int) -> Column:
-    """How often a unit is drawn in a replicate: Poisson(1) by hash, the same in any partitioning."""
-    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), replicate, unit), 11).cast("double") / float(1 << 53)
-    p = np.cumsum([np.exp(-1) / np.prod(range(1, k + 1) or [1]) for k in range(12)])
-    out = F.lit(0)
-    for x in p:
-        out = out + (u >= F.lit(float(x))).cast("int")
-    return out
+    """How often a unit is drawn in a replicate: Poisson(1) by SHA-256, the same in any partitioning and any engine."""
+    u = hash_fraction(F.concat_ws("/", F.lit(str(seed)), replicate.cast("string"), unit.cast("string")))
+    return F.aggregate(F.array(*map(F.lit, POISSON)), F.lit(0), lambda n, p: n + (u >= p).cast("int"))
 
 
 def paired_bootstrap(pairs: DataFrame, a: str, b: str, unit: str, replicates: int = 200, seed: int = 7) -> DataFrame:
@@ -86,10 +88,11 @@ def auc_difference(scores: DataFrame, a: str, b: str, replicates: int = 50, seed
 
 
 def auc_bootstrap(scores: DataFrame, key: str, replicates: int = 50, seed: int = 7) -> DataFrame:
-    """Area under the ROC curve of resampled rows, by key: mean and percentiles."""
+    """Area under the ROC curve of resampled rows, by key: mean and percentiles. Rows of one label and score (to four decimals) are
+    drawn together."""
     ties = scores.groupBy(key, "label", "score").agg(F.count(F.lit(1)).alias("n"))
     r = ties.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    w = F.col("n") * poisson_weight(F.col("r"), F.concat_ws("/", F.col("label").cast("string"), F.col("score").cast("string")), seed)
+    w = F.col("n") * poisson_weight(F.col("r"), F.concat_ws("/", F.col("label").cast("string"), F.round(F.col("score") * 10_000).cast("long").cast("string")), seed)
     by = r.withColumn("w", w).groupBy(key, "r", "score").agg(F.sum(F.when(F.col("label") == 1, F.col("w")).otherwise(0)).alias("p"), F.sum(F.when(F.col("label") != 1, F.col("w")).otherwise(0)).alias("q"))
     below = F.sum("q").over(Window.partitionBy(key, "r").orderBy("score").rowsBetween(Window.unboundedPreceding, 0)) - F.col("q")
     a = by.withColumn("won", F.col("p") * (below + F.col("q") / 2.0)).groupBy(key, "r").agg((F.sum("won") / F.nullif(F.sum("p") * F.sum("q"), F.lit(0))).alias("auc"))

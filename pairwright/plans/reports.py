@@ -80,27 +80,46 @@ def coverage_gate(spark, sf_dir):
     return j.agg((F.avg(F.col("ok").isNull().cast("double")) <= 0.01).alias("passed"), F.round(F.avg(F.col("ok").isNull().cast("double")), 6).alias("missing"))
 
 
-@query()
+def _draws(replicate: str, unit: str, seed: int = 7) -> str:
+    """SQL of a unit's draws in a replicate."""
+    u = f"(('0x' || substr(sha256('{seed}/' || {replicate}::VARCHAR || '/' || {unit}::VARCHAR), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616.0::DOUBLE)"
+    return f"len(list_filter({list(I.POISSON)}, lambda p: p <= {u}))"
+
+
+@query(f"""{S}, t AS (SELECT source, sum(((score >= 0.5)::INTEGER = label)::INTEGER - (label = 1)::INTEGER) AS d, count(*) AS n FROM scored GROUP BY source), r AS (SELECT r, sum({_draws('r', 'source')} * d)::DOUBLE / nullif(sum({_draws('r', 'source')} * n), 0) AS x FROM t, unnest(range(1, 201)) AS u(r) GROUP BY r)
+SELECT (SELECT sum(n)::BIGINT FROM t) AS pairs, round((SELECT sum(d)::DOUBLE / sum(n) FROM t), 6) AS difference, round(quantile_cont(x, 0.025), 6) AS low, round(quantile_cont(x, 0.975), 6) AS high, count(x) AS replicates FROM r""")
 def paired_bootstrap(spark, sf_dir):
     d = A.scored(spark, sf_dir).withColumn("a", ((F.col("score") >= 0.5).cast("int") == F.col("label")).cast("int")).withColumn("b", (F.col("label") == 1).cast("int"))
-    return I.paired_bootstrap(d, "a", "b", "source")
+    g = I.paired_bootstrap(d, "a", "b", "source")
+    return g.select("pairs", *[F.round(c, 6).alias(c) for c in ("difference", "low", "high")], "replicates")
 
 
-@query()
+@query(f"""{S}, t AS (SELECT source AS p, 'src' || (doc_id % 20)::VARCHAR AS q, doc_id % 5 AS s, sum(((score >= 0.5)::INTEGER = label)::INTEGER - label) AS d, count(*) AS n FROM scored GROUP BY ALL),
+w AS (SELECT r, d, n, CASE WHEN p = q THEN {_draws('r', 'p')} ELSE {_draws('r', 'p')} * {_draws('r', 'q')} END * {_draws('r', "('seed/' || s::VARCHAR)")} AS w FROM t, unnest(range(1, 101)) AS u(r)), g AS (SELECT sum(w * d)::DOUBLE / sum(w * n) AS x FROM w GROUP BY r HAVING sum(w * n) > 0)
+SELECT (SELECT count(DISTINCT s) FROM t) AS seeds, count(*) AS valid, round(avg(x), 6) AS mean, round(quantile_cont(x, 0.025), 6) AS low, round(quantile_cont(x, 0.975), 6) AS high FROM g""")
 def cluster_bootstrap(spark, sf_dir):
     d = A.scored(spark, sf_dir).select(F.col("source").alias("left_problem"), F.concat(F.lit("src"), (F.col("doc_id") % 20).cast("string")).alias("right_problem"), (F.col("doc_id") % 5).alias("seed"), ((F.col("score") >= 0.5).cast("int") == F.col("label")).cast("int").alias("correct_a"), F.col("label").alias("correct_b"))
-    return I.cluster_bootstrap(d)
+    return I.cluster_bootstrap(d).select("seeds", "valid", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])
+
+
+_AUC = "sum(p * (below + q / 2.0::DOUBLE)) / nullif(sum(p) * sum(q), 0)"
 
 
-@query()
+@query(f"""{S}, b AS (SELECT doc_id, label, (doc_id * 7919 % 1000) / 1000.0::DOUBLE AS b, score AS a FROM scored), e AS (SELECT doc_id, label, 'a' AS side, a AS s FROM b UNION ALL SELECT doc_id, label, 'b', b FROM b),
+w AS (SELECT side, r, s, label, CASE WHEN r = 0 THEN 1 ELSE {_draws('r', 'doc_id')} END AS w FROM e, unnest(range(0, 51)) AS u(r)), g AS (SELECT side, r, s, coalesce(sum(w) FILTER (label = 1), 0)::BIGINT AS p, coalesce(sum(w) FILTER (label <> 1), 0)::BIGINT AS q FROM w GROUP BY ALL),
+c AS (SELECT *, sum(q) OVER (PARTITION BY side, r ORDER BY s ROWS UNBOUNDED PRECEDING) - q AS below FROM g), x AS (SELECT side, r, {_AUC} AS auc FROM c GROUP BY side, r), d AS (SELECT r, max(auc) FILTER (side = 'a') - max(auc) FILTER (side = 'b') AS d FROM x GROUP BY r)
+SELECT round(max(d) FILTER (r = 0), 6) AS difference, count(d) FILTER (r > 0) AS valid, round(quantile_cont(d, 0.025) FILTER (r > 0), 6) AS low, round(quantile_cont(d, 0.975) FILTER (r > 0), 6) AS high FROM d""")
 def auc_difference(spark, sf_dir):
     """Paired difference of two scores' areas, with an interval."""
-    return I.auc_difference(A.scored(spark, sf_dir).select(F.col("doc_id").alias("id"), "label", F.col("score").alias("a"), (F.pmod(F.xxhash64("doc_id"), F.lit(1000)) / 1000).alias("b")), "a", "b")
+    s = A.scored(spark, sf_dir).select(F.col("doc_id").alias("id"), "label", F.col("score").alias("a"), (F.col("doc_id") * 7919 % 1000 / 1000).alias("b"))
+    return I.auc_difference(s, "a", "b").select(F.round("difference", 6).alias("difference"), "valid", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
-@query()
+@query(f"""{S}, w AS (SELECT lang, r, score AS s, label, count(*) * {_draws('r', "(label::VARCHAR || '/' || round(score * 10000)::BIGINT::VARCHAR)")} AS w FROM scored, unnest(range(1, 51)) AS u(r) GROUP BY lang, r, score, label), g AS (SELECT lang, r, s, coalesce(sum(w) FILTER (label = 1), 0)::BIGINT AS p, coalesce(sum(w) FILTER (label <> 1), 0)::BIGINT AS q FROM w GROUP BY ALL),
+c AS (SELECT *, sum(q) OVER (PARTITION BY lang, r ORDER BY s ROWS UNBOUNDED PRECEDING) - q AS below FROM g), x AS (SELECT lang, r, {_AUC} AS auc FROM c GROUP BY lang, r)
+SELECT lang, count(auc) AS valid, round(avg(auc), 6) AS mean, round(quantile_cont(auc, 0.025), 6) AS low, round(quantile_cont(auc, 0.975), 6) AS high FROM x GROUP BY lang""")
 def auc_bootstrap(spark, sf_dir):
-    return I.auc_bootstrap(A.scored(spark, sf_dir), "lang")
+    return I.auc_bootstrap(A.scored(spark, sf_dir), "lang").select("lang", "valid", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])
 
 
 _B = "CASE WHEN {a} = {b} THEN {a} ELSE least({a}, {b}) || '-' || greatest({a}, {b}) END"

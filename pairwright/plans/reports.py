@@ -95,7 +95,7 @@ def paired_bootstrap(spark, sf_dir):
 
 
 @query(f"""{S}, t AS (SELECT source AS p, 'src' || (doc_id % 20)::VARCHAR AS q, doc_id % 5 AS s, sum(((score >= 0.5)::INTEGER = label)::INTEGER - label) AS d, count(*) AS n FROM scored GROUP BY ALL),
-w AS (SELECT r, d, n, CASE WHEN p = q THEN {_draws('r', 'p')} ELSE {_draws('r', 'p')} * {_draws('r', 'q')} END * {_draws('r', "('seed/' || s::VARCHAR)")} AS w FROM t, unnest(range(1, 101)) AS u(r)), g AS (SELECT sum(w * d)::DOUBLE / sum(w * n) AS x FROM w GROUP BY r HAVING sum(w * n) > 0)
+v AS (SELECT r, d, n, p, q, {_draws('r', 'p')} AS wp, {_draws('r', 'q')} AS wq, {_draws('r', "('seed/' || s::VARCHAR)")} AS ws FROM t, unnest(range(1, 101)) AS u(r)), w AS (SELECT r, d, n, CASE WHEN p = q THEN wp ELSE wp * wq END * ws AS w FROM v), g AS (SELECT sum(w * d)::DOUBLE / sum(w * n) AS x FROM w GROUP BY r HAVING sum(w * n) > 0)
 SELECT (SELECT count(DISTINCT s) FROM t) AS seeds, count(*) AS valid, round(avg(x), 6) AS mean, round(quantile_cont(x, 0.025), 6) AS low, round(quantile_cont(x, 0.975), 6) AS high FROM g""")
 def cluster_bootstrap(spark, sf_dir):
     d = A.scored(spark, sf_dir).select(F.col("source").alias("left_problem"), F.concat(F.lit("src"), (F.col("doc_id") % 20).cast("string")).alias("right_problem"), (F.col("doc_id") % 5).alias("seed"), ((F.col("score") >= 0.5).cast("int") == F.col("label")).cast("int").alias("correct_a"), F.col("label").alias("correct_b"))
@@ -106,7 +106,7 @@ _AUC = "sum(p * (below + q / 2.0::DOUBLE)) / nullif(sum(p) * sum(q), 0)"
 
 
 @query(f"""{S}, b AS (SELECT doc_id, label, (doc_id * 7919 % 1000) / 1000.0::DOUBLE AS b, score AS a FROM scored), e AS (SELECT doc_id, label, 'a' AS side, a AS s FROM b UNION ALL SELECT doc_id, label, 'b', b FROM b),
-w AS (SELECT side, r, s, label, CASE WHEN r = 0 THEN 1 ELSE {_draws('r', 'doc_id')} END AS w FROM e, unnest(range(0, 51)) AS u(r)), g AS (SELECT side, r, s, coalesce(sum(w) FILTER (label = 1), 0)::BIGINT AS p, coalesce(sum(w) FILTER (label <> 1), 0)::BIGINT AS q FROM w GROUP BY ALL),
+w AS (SELECT side, r, s, label, {_draws('r', 'doc_id')} AS k FROM e, unnest(range(0, 51)) AS u(r)), v AS (SELECT side, r, s, label, CASE WHEN r = 0 THEN 1 ELSE k END AS w FROM w), g AS (SELECT side, r, s, coalesce(sum(w) FILTER (label = 1), 0)::BIGINT AS p, coalesce(sum(w) FILTER (label <> 1), 0)::BIGINT AS q FROM v GROUP BY ALL),
 c AS (SELECT *, sum(q) OVER (PARTITION BY side, r ORDER BY s ROWS UNBOUNDED PRECEDING) - q AS below FROM g), x AS (SELECT side, r, {_AUC} AS auc FROM c GROUP BY side, r), d AS (SELECT r, max(auc) FILTER (side = 'a') - max(auc) FILTER (side = 'b') AS d FROM x GROUP BY r)
 SELECT round(max(d) FILTER (r = 0), 6) AS difference, count(d) FILTER (r > 0) AS valid, round(quantile_cont(d, 0.025) FILTER (r > 0), 6) AS low, round(quantile_cont(d, 0.975) FILTER (r > 0), 6) AS high FROM d""")
 def auc_difference(spark, sf_dir):

@@ -83,10 +83,10 @@ def coverage_gate(spark, sf_dir):
 def _draws(replicate: str, unit: str, seed: int = 7) -> str:
     """SQL of a unit's draws in a replicate."""
     u = f"(('0x' || substr(sha256('{seed}/' || {replicate}::VARCHAR || '/' || {unit}::VARCHAR), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616.0::DOUBLE)"
-    return f"len(list_filter({list(I.POISSON)}, lambda p: p <= {u}))"
+    return "CASE " + " ".join(f"WHEN {u} < {p}::DOUBLE THEN {k}" for k, p in enumerate(I.POISSON)) + f" ELSE {len(I.POISSON)} END"
 
 
-@query(f"""{S}, t AS (SELECT source, sum(((score >= 0.5)::INTEGER = label)::INTEGER - (label = 1)::INTEGER) AS d, count(*) AS n FROM scored GROUP BY source), r AS (SELECT r, sum({_draws('r', 'source')} * d)::DOUBLE / nullif(sum({_draws('r', 'source')} * n), 0) AS x FROM t, unnest(range(1, 201)) AS u(r) GROUP BY r)
+@query(f"""{S}, t AS (SELECT source, sum(((score >= 0.5)::INTEGER = label)::INTEGER - (label = 1)::INTEGER) AS d, count(*) AS n FROM scored GROUP BY source), r AS (SELECT r, sum(({_draws('r', 'source')}) * d)::DOUBLE / nullif(sum(({_draws('r', 'source')}) * n), 0) AS x FROM t, unnest(range(1, 201)) AS u(r) GROUP BY r)
 SELECT (SELECT sum(n)::BIGINT FROM t) AS pairs, round((SELECT sum(d)::DOUBLE / sum(n) FROM t), 6) AS difference, round(quantile_cont(x, 0.025), 6) AS low, round(quantile_cont(x, 0.975), 6) AS high, count(x) AS replicates FROM r""")
 def paired_bootstrap(spark, sf_dir):
     d = A.scored(spark, sf_dir).withColumn("a", ((F.col("score") >= 0.5).cast("int") == F.col("label")).cast("int")).withColumn("b", (F.col("label") == 1).cast("int"))
@@ -115,7 +115,7 @@ def auc_difference(spark, sf_dir):
     return I.auc_difference(s, "a", "b").select(F.round("difference", 6).alias("difference"), "valid", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
-@query(f"""{S}, w AS (SELECT lang, r, score AS s, label, count(*) * {_draws('r', "(label::VARCHAR || '/' || round(score * 10000)::BIGINT::VARCHAR)")} AS w FROM scored, unnest(range(1, 51)) AS u(r) GROUP BY lang, r, score, label), g AS (SELECT lang, r, s, coalesce(sum(w) FILTER (label = 1), 0)::BIGINT AS p, coalesce(sum(w) FILTER (label <> 1), 0)::BIGINT AS q FROM w GROUP BY ALL),
+@query(f"""{S}, w AS (SELECT lang, r, score AS s, label, count(*) * ({_draws('r', "(label::VARCHAR || '/' || round(score * 10000)::BIGINT::VARCHAR)")}) AS w FROM scored, unnest(range(1, 51)) AS u(r) GROUP BY lang, r, score, label), g AS (SELECT lang, r, s, coalesce(sum(w) FILTER (label = 1), 0)::BIGINT AS p, coalesce(sum(w) FILTER (label <> 1), 0)::BIGINT AS q FROM w GROUP BY ALL),
 c AS (SELECT *, sum(q) OVER (PARTITION BY lang, r ORDER BY s ROWS UNBOUNDED PRECEDING) - q AS below FROM g), x AS (SELECT lang, r, {_AUC} AS auc FROM c GROUP BY lang, r)
 SELECT lang, count(auc) AS valid, round(avg(auc), 6) AS mean, round(quantile_cont(auc, 0.025), 6) AS low, round(quantile_cont(auc, 0.975), 6) AS high FROM x GROUP BY lang""")
 def auc_bootstrap(spark, sf_dir):

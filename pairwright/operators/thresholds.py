@@ -143,9 +143,11 @@ def balanced_folds(scores: DataFrame, id_col: str, seed: int = 42) -> DataFrame:
     df = df.withColumn("size", F.greatest(F.lit(1), F.least("p", "n")))
     idc = F.col(id_col).cast("string")
     a = numbered(df.where("anchor"), [rank(F.lit(seed), idc), F.col(id_col)], "_k").withColumn("fold", F.floor((F.col("_k") - 1) / F.col("size"))).drop("_k")
-    folds = a.groupBy("fold").agg(F.count(F.lit(1)).alias("take"))
-    b = df.where("not anchor").crossJoin(F.broadcast(folds))
-    b = b.withColumn("k", F.row_number().over(Window.partitionBy("fold").orderBy(rank(F.lit(seed), F.col("fold").cast("string"), idc)))).where("k <= take").drop("k", "take")
+    # the number of folds follows from the two counts, so no table of folds is needed
+    most = F.greatest("p", "n")
+    b = df.where("not anchor").withColumn("fold", F.explode(F.sequence(F.lit(0), F.ceil(most / F.col("size")) - 1)))
+    w = Window.partitionBy("fold").orderBy(rank(F.lit(seed), F.col("fold").cast("string"), idc))
+    b = b.withColumn("k", F.row_number().over(w)).where(F.col("k") <= F.least(F.col("size"), most - F.col("fold") * F.col("size"))).drop("k")
     return a.unionByName(b).drop("p", "n", "size", "anchor")
 
 

@@ -160,7 +160,7 @@ def ordinals(spark, sf_dir):
     """Place within a group, and numbers of the groups from a small table of them."""
     d = _t(spark, sf_dir, "documents").select("source", "doc_id")
     n = d.select("source").distinct().withColumn("source_no", F.row_number().over(Window.orderBy("source")))
-    return d.withColumn("row_index", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1).join(F.broadcast(n), "source")
+    return d.withColumn("row_index", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1).join(n, "source")
 
 
 @query("SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), ())")

@@ -17,10 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, mix64, packed, powers, random_table, shuffle_parts, text_bytes, unpack, word_hashes, word_spans, written
+from .common import keyed, lean, mix64, packed, powers, random_table, shuffle_parts, text_bytes, unpack, word_hashes, word_spans, written
 
 #: Windows of one segment at most; longer runs are cut, windows are never lost.
 MAX_RUN = 4096
+#: Different contents that one task takes under one minimizer.
+HOT = 1024
+#: Up to so many texts their keys are sent to every task, so that no other text is shuffled for them.
+BROADCAST_TEXTS = 200_000
 #: Symbols handled at a time in one pass over a batch of texts.
 CHUNK = 1 << 19
 _BYTE_SYMBOL = random_table(256, 11)
@@ -131,29 +135,66 @@ def segment_rows(docs: DataFrame, symbols: Callable, size: int, k: int) -> DataF
     def run(batches):
         for b in batches:
             raw, off = text_bytes(b.column("text"))
-            did, rid = (b.column(c).to_numpy(zero_copy_only=False) for c in ("did", "rid"))
+            did, rid, weight = (b.column(c).to_numpy(zero_copy_only=False) for c in ("did", "rid", "weight"))
             for i, j in _groups(off, CHUNK * 2):
                 h, first = symbols(raw[off[i] : off[j]], off[i : j + 1] - off[i])
                 text, start, runs, low, content, again = segments(h, first, size, k)
                 if len(text):
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (did[i + text], rid[i + text], start.astype(np.int32), runs.astype(np.int32), low.view(np.int64), content.view(np.int64), again)], ["did", "rid", "start", "runs", "key", "content", "again"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (did[i + text], rid[i + text], weight[i + text], start.astype(np.int32), runs.astype(np.int32), low.view(np.int64), content.view(np.int64), again)], ["did", "rid", "weight", "start", "runs", "key", "content", "again"])
 
-    return docs.mapInArrow(run, "did long, rid long, start int, runs int, key long, content long, again boolean")
+    return docs.mapInArrow(lean(run), "did long, rid long, weight long, start int, runs int, key long, content long, again boolean")
 
 
-def repeated_windows(docs: DataFrame, symbols: Callable, cut: Callable, size: int, k: int, solve: Callable, tag: str, batch_bytes: int) -> DataFrame:
+def grams(size: int, gram: int) -> list[int]:
+    """Lengths of the k-grams of the minimizers: the common one, then those for frequent minimizers.
+
+    A window of n k-grams changes its minimizer after about n/2 places, so each level has a sixth of the last one's k-grams
+    and gives a few rows for one of it; at the last a window is its own k-gram.
+    """
+    n, out = size - min(gram, size) + 1, []
+    while n > 1:
+        out.append(size - n + 1)
+        n //= 6
+    return [*out, size]
+
+
+def repeated_windows(docs: DataFrame, symbols: Callable, cut: Callable, size: int, ks: list[int], solve: Callable, tag: str, batch_bytes: int, hot: int = HOT) -> DataFrame:
     """(did, rid, spans): for each text the [start, stop) ranges of its repeated windows.
 
+    docs: did, rid, text and, if a row stands for several, weight. `ks` are the k-gram lengths of `grams`.
     `cut(raw, spans)` gives the bytes of symbol ranges of one text; `solve(contents, weights)`
     gives for each distinct content the ranges of windows that occur twice or more, counted
     with weights.
     """
-    found = segment_rows(docs, symbols, size, k)
-    rows = written(found, f"{tag}-segments")
-    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("again").alias("again")).where("n > 1 or again").select("key")
+    if "weight" not in docs.columns:
+        docs = docs.withColumn("weight", F.lit(1).cast("long"))
+    rows = written(segment_rows(docs.select("did", "rid", "weight", "text"), symbols, size, ks[0]), f"{tag}-segments")
+    shared = rows.groupBy("key").agg(F.sum("weight").alias("n"), F.max("again").alias("again")).where("n > 1 or again").select("key")
     rows = written(rows.join(shared, "key", "left_semi").drop("again"), f"{tag}-candidates")
     one = F.min(F.struct("did", "rid", "start", "runs")).alias("one")
-    distinct = rows.groupBy("key", "content").agg(F.count(F.lit(1)).alias("weight"), one)
+    distinct = written(rows.groupBy("key", "content").agg(F.sum("weight").alias("weight"), one), f"{tag}-distinct")
+    texts = packed(docs)
+    frequent = written(distinct.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("key"), f"{tag}-frequent") if len(ks) > 1 else None
+    verdict = None
+    if frequent is not None and frequent.limit(1).count():
+        some = written(distinct.join(frequent, "key", "left_semi"), f"{tag}-frequent")
+        at = some.select(F.col("one.did").alias("did"), F.col("one.rid").alias("rid")).distinct()
+        few = at.limit(BROADCAST_TEXTS + 1).count() <= BROADCAST_TEXTS
+        held = packed(docs.join(F.broadcast(at), ["did", "rid"], "left_semi")) if few else texts
+        bodies = _bodies(held, some, cut, size).dropDuplicates(["key", "content"])
+        again = written(bodies.select(F.col("key").alias("did"), F.col("content").alias("rid"), "weight", F.col("data").alias("text")), f"{tag}-anew")
+        spans = repeated_windows(again, symbols, cut, size, ks[1:], solve, tag, batch_bytes, hot)
+        moved = F.flatten(F.transform("spans", lambda x: F.transform(x["marks"], lambda m: m + x["start"])))
+        verdict = written(spans.select(F.col("did").alias("key"), F.col("rid").alias("content"), moved.alias("marks")), f"{tag}-verdict")
+        distinct = distinct.join(frequent, "key", "left_anti")
+    cold = written(_solved(_bodies(texts, distinct, cut, size), solve, batch_bytes), f"{tag}-verdict")
+    verdict = cold if verdict is None else cold.unionByName(verdict)
+    hits = rows.join(verdict, ["key", "content"]).select("did", "rid", "start", "marks")
+    return hits.groupBy("did", "rid").agg(F.collect_set(F.struct("start", "marks")).alias("spans"))
+
+
+def _bodies(texts: DataFrame, distinct: DataFrame, cut: Callable, size: int) -> DataFrame:
+    """(key, content, weight, data): the symbols of each distinct content, cut out of one text that holds it."""
     wanted = distinct.groupBy(F.col("one.did").alias("did"), F.col("one.rid").alias("rid")).agg(
         F.collect_list(F.struct(F.col("one.start").alias("start"), F.col("one.runs").alias("runs"), "key", "content", "weight")).alias("parts")
     )
@@ -173,9 +214,12 @@ def repeated_windows(docs: DataFrame, symbols: Callable, cut: Callable, size: in
                     data += cut(unpack(z[i]), cols["start"][s], cols["runs"][s] + size - 1)
                 yield pa.RecordBatch.from_arrays([pa.array(cols["key"][at]), pa.array(cols["content"][at]), pa.array(cols["weight"][at]), pa.array(data, pa.binary())], ["key", "content", "weight", "data"])
 
-    texts = packed(docs)
-    bodies = texts.join(wanted, ["did", "rid"]).select("z", "parts").mapInArrow(contents, "key long, content long, weight long, data binary")
-    parts = shuffle_parts(docs.sparkSession) * 2
+    return texts.join(wanted, ["did", "rid"]).select("z", "parts").mapInArrow(lean(contents), "key long, content long, weight long, data binary")
+
+
+def _solved(bodies: DataFrame, solve: Callable, batch_bytes: int) -> DataFrame:
+    """(key, content, marks) of the contents with repeated windows; whole keys are solved together."""
+    parts = shuffle_parts(bodies.sparkSession) * 2
     dealt = bodies.repartition(parts, "key").sortWithinPartitions("key", "content")
 
     def solved(batches):
@@ -199,9 +243,7 @@ def repeated_windows(docs: DataFrame, symbols: Callable, cut: Callable, size: in
         if pend:
             yield flush(pend)
 
-    verdict = written(dealt.mapInArrow(solved, "key long, content long, marks array<int>"), f"{tag}-verdict")
-    hits = rows.join(verdict, ["key", "content"]).select("did", "rid", "start", "marks")
-    return hits.groupBy("did", "rid").agg(F.collect_set(F.struct("start", "marks")).alias("spans"))
+    return dealt.mapInArrow(lean(solved), "key long, content long, marks array<int>")
 
 
 def merged(spans: list[dict], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -218,4 +260,4 @@ def whole_texts(docs: DataFrame, spans: DataFrame) -> DataFrame:
     return packed(docs).join(spans, ["did", "rid"], "left").select("id", "z", "spans")
 
 
-__all__ = ["byte_symbols", "word_symbols", "segments", "repeated_windows", "merged", "whole_texts", "keyed"]
+__all__ = ["byte_symbols", "word_symbols", "segments", "grams", "repeated_windows", "merged", "whole_texts", "keyed"]

@@ -1,13 +1,18 @@
 """Substring dedup with repeated-phrase automata.
 
 Recurring passages are confirmed among windows that share a minimizer, compiled into
-Aho-Corasick automata (one per shard of minimizers), and every document's windows of that
-shard are streamed through them, which locates every occurrence. A word is removed if a
-window of `size` words that starts anywhere else too covers it.
-
-Cases: a null or empty text, or one of fewer than `size` words, loses nothing; rows that
-repeat are each other's copies; extra columns are ignored; an empty table gives an empty
-result. Windows never cross texts and are judged on the input.
+Aho-Corasick automata (one per shard of minimizers), and the texts of that shard are streamed
+through them, which locates every occurrence. A word is removed if a window of `size` words that
+starts anywhere else too covers it.
+
+Not every copy of a text is streamed: stretches of windows whose minimizer stands nowhere else
+cannot hold a recurring passage and are passed over, and stretches that are equal as a whole (by two
+64-bit hashes) are streamed once, with their number, and share what was found. Every other
+stretch of every document goes through the automata.
+
+Cases: a null or empty text, or one of fewer than `size` words, loses nothing; a very long text is
+searched whole; rows that repeat are each other's copies; extra columns are ignored; an empty table
+gives an empty result. Windows never cross texts and are judged on the input.
 """
 
 from __future__ import annotations
@@ -19,8 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import keyed, mix64, unpack, word_spans
-from .segments import _kgrams, merged, repeated_windows, whole_texts, word_symbols
+from .common import keyed, lean, mix64, unpack, word_spans
+from .segments import HOT, _kgrams, grams, merged, repeated_windows, whole_texts, word_symbols
 
 SIZE = 35
 #: Words of the k-grams whose smallest hash deals out the windows.
@@ -104,10 +109,10 @@ def _cut(raw: bytes, start, width) -> list[bytes]:
     return [raw[first[s] : last[s + w - 1]] for s, w in zip(start.tolist(), width.tolist(), strict=True)]
 
 
-def dedup(docs: DataFrame, size: int = SIZE, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, size: int = SIZE, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, hot: int = HOT) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256[, kept]) for every row of docs."""
     rows = keyed(docs, id_col, text_col)
-    spans = repeated_windows(rows, word_symbols, _cut, size, min(gram, size), lambda c, w: repeated(c, w, size), "op1", BATCH)
+    spans = repeated_windows(rows, word_symbols, _cut, size, grams(size, gram), lambda c, w: repeated(c, w, size), "op1", BATCH, hot)
 
     def finish(batches):
         for b in batches:
@@ -125,4 +130,4 @@ def dedup(docs: DataFrame, size: int = SIZE, gram: int = GRAM, id_col: str = "do
             kinds = [pa.int64()] * 3 + [pa.string()] * (1 + keep_text)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"][: 4 + keep_text])
 
-    return whole_texts(rows, spans).mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text)
+    return whole_texts(rows, spans).mapInArrow(lean(finish), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text)

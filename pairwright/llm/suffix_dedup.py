@@ -2,8 +2,8 @@
 
 Removes each byte covered by a string of `size` bytes that also starts anywhere else.
 
-Cases: a null or empty text, or one shorter than `size`, loses nothing; rows that repeat
-(same or other ids) are each other's copies; extra columns are ignored; an empty table gives
+Cases: a null or empty text, or one shorter than `size`, loses nothing; a very long text is
+searched whole; rows that repeat (same or other ids) are each other's copies; extra columns are ignored; an empty table gives
 an empty result. Strings never cross texts. Removing bytes may leave a UTF-8 sequence
 incomplete, so kept bytes are returned as binary by `dedup(..., keep_bytes=True)`.
 """
@@ -16,8 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import keyed, unpack
-from .segments import byte_symbols, merged, repeated_windows, whole_texts
+from .common import keyed, lean, unpack
+from .segments import HOT, byte_symbols, grams, merged, repeated_windows, whole_texts
 
 SIZE = 400
 #: Bytes of the k-grams whose smallest hash deals out the windows.
@@ -136,10 +136,10 @@ def _cut(raw: bytes, start, width) -> list[bytes]:
     return [raw[s : s + w] for s, w in zip(start.tolist(), width.tolist(), strict=True)]
 
 
-def dedup(docs: DataFrame, size: int = SIZE, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", keep_bytes: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, size: int = SIZE, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", keep_bytes: bool = False, hot: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) for every row of docs."""
     rows = keyed(docs, id_col, text_col)
-    spans = repeated_windows(rows, byte_symbols, _cut, size, min(gram, size), lambda c, w: repeated(c, w, size), "op4", BATCH)
+    spans = repeated_windows(rows, byte_symbols, _cut, size, grams(size, gram), lambda c, w: repeated(c, w, size), "op4", BATCH, hot)
 
     def finish(batches):
         for b in batches:
@@ -157,4 +157,4 @@ def dedup(docs: DataFrame, size: int = SIZE, gram: int = GRAM, id_col: str = "do
             kinds = [pa.int64()] * 4 + [pa.string()] + [pa.binary()] * keep_bytes
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + keep_bytes])
 
-    return whole_texts(rows, spans).mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_bytes)
+    return whole_texts(rows, spans).mapInArrow(lean(finish), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_bytes)

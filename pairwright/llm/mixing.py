@@ -68,6 +68,12 @@ def targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST) -> tuple[DataFr
     return ranked.select("src", "source_size", F.least(full.cast("double"), F.col("weight") * share).alias("target")), n
 
 
+def uniform(seed: int) -> Column:
+    """A number between 0 and 1 from a row's id, source and size: 48 bits of SHA-256, the same in any engine."""
+    text = F.concat_ws("/", F.lit(str(seed)), F.coalesce(F.col("id").cast("string"), F.lit("null")), "src", F.col("size").cast("string"))
+    return (F.conv(F.substring(F.sha2(text, 256), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
+
+
 def sample(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = SEED, row: Column | None = None) -> DataFrame:
     """(row, id, size, source_size, target, copies) for every row of docs.
 
@@ -77,7 +83,7 @@ def sample(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = SEED,
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     src = F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), F.col("source")))
     sizes = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("did"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("rid"), src.alias("src"), F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"))
-    sizes = written(sizes.withColumn("measure", F.floor(F.log2(F.col("size") + 2) * 64).cast("long")), "mix-sizes")
+    sizes = written(sizes.withColumn("measure", F.floor(F.log2(F.col("size") + 2) * 64 + 1e-6).cast("long")), "mix-sizes")
     goal, n = targets(sizes, weights, most)
     goal = written(goal, "mix-targets")
 
@@ -87,7 +93,7 @@ def sample(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = SEED,
     rows = _attach(sizes, goal.join(c, "src"), n).withColumn("m", m)
     whole = F.floor(F.col("m") + 1e-9).cast("int")
     rows = rows.withColumn("whole", whole).withColumn("f", F.greatest(F.lit(0.0), F.col("m") - F.col("whole")))
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "id", "src", "size"), 11).cast("double") + 0.5) / float(1 << 53)
+    u = uniform(seed)
     odds = (u / (1 - u)) / (F.col("f") / (1 - F.col("f")))
     g = F.when((F.col("f") > 1e-9) & (F.col("size") > 0), odds / (1 + odds))
     b1 = F.least(F.lit(BINS - 1), F.floor(F.col("g") * BINS))

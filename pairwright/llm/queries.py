@@ -64,6 +64,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_substring_dedup, op2_mixing, op3_warc, op4_suffix_array_dedup, op5_minhash, op6_quality_rules, op7_chat_format, op8_token_output, op9_quality_classifier, op10_decontamination)}
 
 
+#: Draws that come after the cut, one for each source and round.
+_ROUNDS = "".join(f""",
+q{k} AS (SELECT src, any_value(target) - sum((whole + x{k}) * z) AS gap FROM n{k} GROUP BY src),
+w{k} AS (SELECT src, arg_min(r, {{'far': abs(v - cutat), 'id': coalesce(doc_id, 0), 'r': r}}) AS flip FROM n{k} JOIN q{k} USING (src) WHERE v IS NOT NULL AND abs(gap) > 0 AND abs(gap - CASE WHEN x{k} = 1 THEN -z ELSE z END) <= abs(gap) / 2 GROUP BY src),
+n{k + 1} AS (SELECT n{k}.*, CASE WHEN r = flip THEN 1 - x{k} ELSE x{k} END AS x{k + 1} FROM n{k} LEFT JOIN w{k} USING (src))""" for k in range(3))
 #: Ranks of ever longer byte strings: equal strings of 2k bytes are equal pairs of strings of k bytes.
 _RANKS = "".join(f"""
 r{2 * k} AS (SELECT r, i, dense_rank() OVER (ORDER BY v, w) AS v FROM (SELECT r, i, v, lead(v, {k}) OVER (PARTITION BY r ORDER BY i) AS w FROM r{k}) WHERE w IS NOT NULL),""" for k in (1, 2, 4, 8, 16, 32, 64, 128))
@@ -82,6 +87,23 @@ kept AS (SELECT d.r, d.doc_id, t.p, words[t.p] AS word, g.p IS NOT NULL AS remov
 SELECT d.doc_id, len(d.words)::BIGINT AS n_words, count(k.p) FILTER (k.removed)::BIGINT AS n_removed,
        sha256(coalesce(string_agg(k.word, ' ' ORDER BY k.p) FILTER (NOT k.removed), '')) AS kept_sha256
 FROM d LEFT JOIN kept k ON k.r = d.r GROUP BY d.r, d.doc_id, d.words""",
+        "op2_mixing": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END AS src, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS z FROM documents),
+e AS (SELECT *, floor(log2(z + 2) * 64 + 1e-6::DOUBLE)::BIGINT AS m, (('0x' || substr(sha256('17/' || coalesce(doc_id::VARCHAR, 'null') || '/' || src || '/' || z::VARCHAR), 1, 12))::BIGINT::DOUBLE + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u FROM d),
+t AS (SELECT src, sum(z)::BIGINT AS s, [1.0::DOUBLE, 2.0, 3.0][(row_number() OVER (ORDER BY any_value(source) NULLS LAST) - 1) % 3 + 1] AS w FROM d GROUP BY src),
+o AS (SELECT *, row_number() OVER q AS k, sum(3 * s) OVER q - 3 * s AS used, sum(w) OVER () - (sum(w) OVER q - w) AS open, sum(s) OVER () AS total, 3 * s / w AS ratio FROM t WINDOW q AS (ORDER BY 3 * s / w, src ROWS UNBOUNDED PRECEDING)),
+h AS (SELECT coalesce(min_by((total - used) / open, k) FILTER ((total - used) / open <= ratio), max(ratio)) AS share FROM o),
+g AS (SELECT src, s, least((3 * s)::DOUBLE, w * share) AS target FROM t, h),
+a AS (SELECT src, m, sum(z) AS z, sum(z * m) AS zm FROM e GROUP BY src, m),
+b AS (SELECT *, sum(z) OVER q - z AS sure, sum(zm) OVER (PARTITION BY src) - (sum(zm) OVER q - zm) AS open FROM a WINDOW q AS (PARTITION BY src ORDER BY m DESC ROWS UNBOUNDED PRECEDING)),
+c AS (SELECT src, CASE WHEN any_value(target) >= 3 * any_value(s) * (1 - 1e-12::DOUBLE) THEN 1e18::DOUBLE ELSE coalesce(max_by((target - 3 * sure) / open, m) FILTER (open > 0 AND (target - 3 * sure) / open * m < 3), 0) END AS c FROM b JOIN g USING (src) GROUP BY src),
+f AS (SELECT r, doc_id, e.src, z, u, s, target, least(3.0::DOUBLE, c * m) AS x FROM e JOIN g USING (src) JOIN c USING (src)),
+i AS (SELECT *, floor(x + 1e-9::DOUBLE)::INTEGER AS whole, greatest(0.0::DOUBLE, x - floor(x + 1e-9::DOUBLE)) AS p FROM f),
+j AS (SELECT *, CASE WHEN p > 1e-9::DOUBLE AND z > 0 THEN (u / (1 - u)) / (p / (1 - p)) / (1 + (u / (1 - u)) / (p / (1 - p))) END AS v FROM i),
+l AS (SELECT *, target - sum(whole * z) OVER (PARTITION BY src) AS rest, CASE WHEN v IS NOT NULL THEN sum(CASE WHEN v IS NOT NULL THEN z ELSE 0 END) OVER (PARTITION BY src ORDER BY v NULLS LAST, coalesce(doc_id, 0), r ROWS UNBOUNDED PRECEDING) END AS run FROM j),
+y AS (SELECT src, min(v) FILTER (run > rest) AS edge FROM l GROUP BY src),
+n0 AS (SELECT l.*, coalesce((floor(edge * 4096) + least(4095, floor((edge * 4096 - floor(edge * 4096)) * 4096)) / 4096) / 4096, 1.0::DOUBLE) AS cutat, (v IS NOT NULL AND (run <= rest OR (run - z < rest AND 2 * (rest - run + z) > z)))::INTEGER AS x0 FROM l JOIN y USING (src))""" + _ROUNDS + """
+SELECT doc_id, z AS size, s AS source_size, target, ((whole + x3) * z)::BIGINT AS taken, (whole + x3)::INTEGER AS copies FROM n3""",
         "op3_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), q AS (SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha256(h) AS payload_digest FROM p),
 m AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS lead FROM q)

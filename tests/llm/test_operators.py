@@ -55,7 +55,7 @@ def brute_targets(total):
 
 def brute_pareto(rows, target):
     """Times each (id, text) of one source is taken; rows: (id, rid, size, u), one for each document."""
-    measure = [int(np.floor(np.log2(z + 2) * 64)) for _, _, z, _ in rows]
+    measure = [int(np.floor(np.log2(z + 2) * 64 + 1e-6)) for _, _, z, _ in rows]
     total = sum(z for _, _, z, _ in rows)
     if target >= 3 * total * (1 - 1e-12):
         c = 1e18
@@ -114,9 +114,11 @@ def test_mixing(spark):
     target = brute_targets(total)
     text = F.coalesce("text", F.lit(""))
     src = F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), F.col("source")))
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(mixing.SEED), "doc_id", src, F.regexp_count(text, F.lit(WORD.pattern)).cast("long")), 11) + F.lit(0.5)) / float(1 << 53)
+    df2 = df.select("doc_id", "text", "source", src.alias("src"), F.regexp_count(text, F.lit(WORD.pattern)).cast("long").alias("size"), F.xxhash64("doc_id", text).alias("rid"), F.col("doc_id").alias("id"))
     by = defaultdict(list)
-    for x in df.select("doc_id", "text", "source", F.xxhash64("doc_id", text).alias("rid"), u.alias("u")).collect():
+    for x in df2.select("doc_id", "text", "source", "rid", "src", "size", mixing.uniform(mixing.SEED).alias("u")).collect():
+        key = f"{mixing.SEED}/{'null' if x.doc_id is None else x.doc_id}/{x.src}/{x.size}"
+        assert x.u == (int(hashlib.sha256(key.encode()).hexdigest()[:12], 16) + 0.5) / 2**48
         by[x.source].append((x.doc_id, x.rid, size(x.text), x.u, x.text))
     want, copies = Counter(), Counter()
     for s, some in by.items():

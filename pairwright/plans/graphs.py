@@ -19,12 +19,12 @@ def _graph(spark, sf_dir):
 
 @query(f"""{T}, d AS (SELECT code_id, src, count(*) AS d FROM e GROUP BY ALL), m AS (SELECT e.code_id, sum(1.0::DOUBLE / (x.d * y.d)) AS s FROM e JOIN d x ON x.code_id = e.code_id AND x.src = e.src JOIN d y ON y.code_id = e.code_id AND y.src = e.dst GROUP BY e.code_id),
 k AS (SELECT code_id, count(*) AS live FROM d GROUP BY code_id), c AS (SELECT code_id, count(*)::INTEGER AS num_nodes FROM n GROUP BY code_id)
-SELECT code_id, num_nodes, CASE WHEN num_nodes <= 2000 THEN round(coalesce(live, 0)::DOUBLE, 6) END AS sum1, CASE WHEN num_nodes <= 2000 THEN round(coalesce(live + s, 0), 6) END AS sum2 FROM c LEFT JOIN k USING (code_id) LEFT JOIN m USING (code_id)""")
+SELECT code_id, num_nodes, CASE WHEN num_nodes <= 2000 THEN round(coalesce(live, 0)::DOUBLE + 1e-9::DOUBLE, 6) END AS sum1, CASE WHEN num_nodes <= 2000 THEN round(coalesce(live + s, 0) + 1e-9::DOUBLE, 6) END AS sum2 FROM c LEFT JOIN k USING (code_id) LEFT JOIN m USING (code_id)""")
 def laplacian_moments(spark, sf_dir):
     """Sums of the eigenvalues and of their squares, which follow from degrees alone; of large graphs only the smallest
     values are known, so their sums are null."""
     s = G.spectra(*_graph(spark, sf_dir))
-    total = lambda a: F.when(F.col("status") == "ok", F.round(F.aggregate(a, F.lit(0.0), lambda x, y: x + y), 6))
+    total = lambda a: F.when(F.col("status") == "ok", F.round(F.aggregate(a, F.lit(0.0), lambda x, y: x + y) + 1e-9, 6))
     return s.select("code_id", "num_nodes", total("eigenvalues").alias("sum1"), total(F.transform("eigenvalues", lambda x: x * x)).alias("sum2"))
 
 

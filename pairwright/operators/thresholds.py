@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from ..sources.storage import numbered, running_sums
+from ..sources.storage import numbered, running_sums, stored
 from .metrics import metric_columns, roc_auc
 
 
@@ -63,14 +63,14 @@ def _just_above(t: pd.Series) -> pd.Series:
     return pd.Series(np.nextafter(t.to_numpy(dtype="float64"), np.inf))
 
 
-def candidates(scores: DataFrame, keys: list[str], policy: Policy) -> DataFrame:
-    """keys, threshold, at: `at` is what scores are compared with."""
-    values = scores.select(*keys, "score").distinct()
+def candidates(ties: DataFrame, keys: list[str], policy: Policy) -> DataFrame:
+    """keys, threshold, at: `at` is what scores are compared with. ties(keys, score, p, n) has a row for each score."""
+    values = ties.select(*keys, "score")
     out = []
     if policy.grid:
-        out.append(scores.select(*keys).distinct().select(*keys, F.explode(F.array(*map(F.lit, policy.grid))).alias("threshold")))
+        out.append(ties.select(*keys, F.lit(1).alias("_one")).distinct().select(*keys, F.explode(F.array(*map(F.lit, policy.grid))).alias("threshold")))
     if policy.quantiles:
-        q = scores.groupBy(*keys).agg(F.percentile("score", list(policy.quantiles)).alias("q"))
+        q = ties.groupBy(*keys).agg(F.percentile("score", list(policy.quantiles), F.col("p") + F.col("n")).alias("q"))
         out.append(q.select(*keys, F.explode("q").alias("threshold")))
     if policy.unique:
         out.append(values.select(*keys, F.col("score").alias("threshold")))
@@ -81,7 +81,7 @@ def candidates(scores: DataFrame, keys: list[str], policy: Policy) -> DataFrame:
         k = numbered(values, [F.col("score")], "_k")
         out.append(k.join(k.select((F.col("_k") - 1).alias("_k"), F.col("score").alias("_next")), "_k").select(((F.col("score") + F.col("_next")) / 2).alias("threshold")))
     if policy.above_all:
-        out.append(scores.groupBy(*keys).agg(F.max("score").alias("t")).select(*keys, _just_above("t").alias("threshold")))
+        out.append(ties.groupBy(*keys).agg(F.max("score").alias("t")).select(*keys, _just_above("t").alias("threshold")))
     both = out[0]
     for o in out[1:]:
         both = both.unionByName(o)
@@ -94,18 +94,20 @@ def sweep(scores: DataFrame, keys: list[str], policy: Policy, lower_is_clone: bo
     df = scores.where(F.col("score").isNotNull() & ~F.isnan("score") & (F.abs("score") < float("inf"))).select(*keys, "label", "score")
     if policy.float32:
         df = df.withColumn("score", F.col("score").cast("float").cast(DoubleType()))
-    cand = candidates(df, keys, policy)
-    ties = df.groupBy(*keys, F.col("score").alias("v")).agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") != 1).alias("n")).withColumn("threshold", F.lit(None).cast(DoubleType()))
+    # scores are computed once, and counted; all else is laid between the counts
+    ties = stored(df.groupBy(*keys, "score").agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") != 1).alias("n")), "ties")
+    cand = candidates(ties, keys, policy)
     marks = cand.select(*keys, F.col("at").alias("v"), F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("n"), "threshold")
+    counts = ties.select(*keys, F.col("score").alias("v"), "p", "n", F.lit(None).cast(DoubleType()).alias("threshold"))
     # scores equal to a threshold stand before it in the pass, so they count as reached
     way = F.asc if lower_is_clone else F.desc
-    order, both = [way("v"), F.col("threshold").isNotNull()], ties.unionByName(marks)
+    order, both = [way("v"), F.col("threshold").isNotNull()], counts.unionByName(marks)
     if keys:
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         every = Window.partitionBy(*keys)
         run = both.withColumn("tp", F.sum("p").over(w)).withColumn("fp", F.sum("n").over(w)).withColumn("_pos", F.sum("p").over(every)).withColumn("_neg", F.sum("n").over(every))
     else:  # all scores are one group: no window over all of them
-        run = running_sums(both, [*order, F.col("threshold")], {"tp": "p", "fp": "n"}).crossJoin(F.broadcast(df.agg(F.count_if(F.col("label") == 1).alias("_pos"), F.count_if(F.col("label") != 1).alias("_neg"))))
+        run = running_sums(both, [*order, F.col("threshold")], {"tp": "p", "fp": "n"}).crossJoin(F.broadcast(ties.agg(F.coalesce(F.sum("p"), F.lit(0)).alias("_pos"), F.coalesce(F.sum("n"), F.lit(0)).alias("_neg"))))
     return run.where("threshold is not null").select(*keys, "threshold", "tp", "fp", (F.col("_pos") - F.col("tp")).alias("fn"), (F.col("_neg") - F.col("fp")).alias("tn"))
 
 

@@ -186,7 +186,8 @@ def test_graphs_of_whole_texts(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.code_id: (r.num_nodes, r.k) for r in graphs.directed_spectra(spark, str(tmp_path)).collect()}
     assert got == {str(k): (10 + 5 * k, 10 + 5 * k) for k in range(1, 5)}
-    assert tuple(graphs.graph_health(spark, str(tmp_path)).first()) == ("en", 4, 1.0, 1.0)
+    h = graphs.graph_health(spark, str(tmp_path)).first()
+    assert (h.language, h.codes, h.coverage, h.skeleton_rate, h.spearman, h.unique_rate) == ("en", 4, 1.0, 0.0, 1.0, 1.0)
 
 
 def test_component_sizes_of_all_edges(spark, tmp_path):

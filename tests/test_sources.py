@@ -265,3 +265,57 @@ def test_effective_rank():
         s = s / s.sum()
         assert abs(effective_rank(v) - np.exp(-(s[s > 0] * np.log(s[s > 0])).sum())) < 1e-6
     assert effective_rank(np.ones((4, 3))) == 0.0
+
+
+def test_subset_and_pair_guards(spark, tmp_path):
+    from pairwright.operators import splits as P
+
+    df = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "program_id string, n int")
+    writers.write_subset(df, spark.createDataFrame([("c",), ("a",), ("c",)], "program_id string"), str(tmp_path / "sub"))
+    assert sorted(r.program_id for r in spark.read.parquet(str(tmp_path / "sub")).collect()) == ["a", "c"]
+    pairs = spark.createDataFrame([("train", "a", "b", 1), ("train", "b", "a", 1), ("test", "c", "d", 0)], "split string, left_id string, right_id string, label int")
+    assert sorted(map(tuple, P.distinct_pairs(pairs).collect())) == [("test", "c", "d", 0), ("train", "a", "b", 1)]
+    with pytest.raises(ValueError, match="a/b"):
+        P.distinct_pairs(pairs.unionByName(spark.createDataFrame([("test", "b", "a", 0)], pairs.schema)))
+    keys = {"pair": P.unordered(), "end": F.col("left_id")}
+    assert P.require_disjoint(pairs, keys).count() == 3
+    with pytest.raises(ValueError, match="share 1 by pair"):
+        P.require_disjoint(pairs.unionByName(spark.createDataFrame([("test", "b", "a", 0)], pairs.schema)), {"pair": P.unordered()})
+
+
+def test_generated_pairs(spark):
+    from pairwright.operators import splits as P
+
+    codes = spark.createDataFrame([(i, f"p{i % 12}", "en", ("train", "test")[i % 12 % 2], f"code {i if i % 7 else 0}") for i in range(240)], "code_id long, problem_id string, language string, split string, code string")
+    got = P.generate_pairs(codes, 15).collect()
+    text = {r.code_id: (r.problem_id, r.code) for r in codes.collect()}
+    n = {}
+    for r in got:
+        (pa, ta), (pb, tb) = text[r.left_id], text[r.right_id]
+        assert r.left_id < r.right_id and ta != tb and (pa == pb) == (r.label == 1)
+        n[r.split, r.label] = n.get((r.split, r.label), 0) + 1
+    assert n == {(s, y): 15 for s in ("train", "test") for y in (0, 1)} and len(set(got)) == 60
+    assert sorted(got) == sorted(P.generate_pairs(codes.repartition(5), 15).collect())
+
+
+def test_cheapest_quotas():
+    """Row and column sums are kept with the fewest units beyond what a cell wanted: every table of small size is tried."""
+    import itertools
+
+    r = np.random.default_rng(6)
+    for _ in range(25):
+        wanted = r.integers(0, 4, (2, 3))
+        capacity = np.maximum(wanted + r.integers(-2, 3, (2, 3)), 0)
+        best = None
+        for x in itertools.product(*[range(c + 1) for c in capacity.ravel()]):
+            t = np.array(x).reshape(2, 3)
+            if (t.sum(0) == wanted.sum(0)).all() and (t.sum(1) == wanted.sum(1)).all():
+                cost = np.maximum(t - wanted, 0).sum()
+                best = cost if best is None else min(best, cost)
+        if best is None:
+            with pytest.raises(ValueError):
+                S.capacity_quotas(wanted, capacity)
+            continue
+        got = S.capacity_quotas(wanted, capacity)
+        assert (got >= 0).all() and (got <= capacity).all() and (got.sum(0) == wanted.sum(0)).all() and (got.sum(1) == wanted.sum(1)).all()
+        assert np.maximum(got - wanted, 0).sum() == best

@@ -113,9 +113,13 @@ def sweep(scores: DataFrame, keys: list[str], policy: Policy, lower_is_clone: bo
 
 def best(scores: DataFrame, keys: list[str], policy_name: str, metric: str, lower_is_clone: bool = False) -> DataFrame:
     """keys, threshold, best_value, tp, fp, fn, tn of the chosen candidate."""
+    return best_of(sweep(scores, keys, POLICIES[policy_name], lower_is_clone), keys, policy_name, metric)
+
+
+def best_of(points: DataFrame, keys: list[str], policy_name: str, metric: str) -> DataFrame:
+    """The same from the points of a sweep, which serve any number of metrics."""
     policy = POLICIES[policy_name]
     ranking = policy.ranking.get(metric, (metric,))
-    points = sweep(scores, keys, policy, lower_is_clone)
     cols = metric_columns(*(F.col(c) for c in ("tp", "fp", "fn", "tn")))
     if "auc" in ranking:
         cols["auc"] = F.lit(0.0)  # the same for every candidate of a group: never decides

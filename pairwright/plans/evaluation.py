@@ -59,9 +59,9 @@ pts AS (SELECT *, {_METRICS} FROM cnt) {' UNION ALL '.join(out)}"""
 
 
 def _chosen(df, policy, metrics):
-    out = None
+    out, points = None, stored(T.sweep(df, [], T.POLICIES[policy]), "points")  # one sweep for all metrics
     for m in metrics:
-        x = T.best(df, [], policy, m).select(F.lit(m).alias("metric"), F.round("threshold", 6).alias("threshold"), F.round("best_value", 6).alias("best_value"), "tp", "fp", "fn", "tn")
+        x = T.best_of(points, [], policy, m).select(F.lit(m).alias("metric"), F.round("threshold", 6).alias("threshold"), F.round("best_value", 6).alias("best_value"), "tp", "fp", "fn", "tn")
         out = x if out is None else out.unionByName(x)
     return out
 

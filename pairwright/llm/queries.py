@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, minhash, mixing, quality_knn, quality_rules, substring_dedup, suffix_dedup, token_output, warc
+from . import chat_format, conversation_trie, decontaminate, minhash, mixing, oracles, quality_knn, quality_rules, secret_scan, spelling_variants, substring_dedup, suffix_dedup, token_output, warc
+from .common import fresh_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,8 +61,21 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.trie(_table(spark, sf_dir, "conversations"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.variants(_table(spark, sf_dir, "documents"))
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A first scan, with a ledger of its own."""
+    return secret_scan.scan(_table(spark, sf_dir, "documents"), fresh_path(spark, "secrets-ledger"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_mixing, op3_warc, op4_suffix_array_dedup, op5_minhash, op6_quality_rules, op7_chat_format, op8_token_output, op9_quality_classifier, op10_decontamination)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_mixing, op3_warc, op4_suffix_array_dedup, op5_minhash, op6_quality_rules, op7_chat_format, op8_token_output, op9_quality_classifier, op10_decontamination, op11_conversation_trie, op12_spelling_variants, op13_secret_scan)}
 
 
 #: Draws that come after the cut, one for each source and round.
@@ -148,4 +162,4 @@ f AS (SELECT v.*, CASE WHEN o.n >= 20 THEN o.a WHEN t.n >= 20 THEN t.a ELSE z.a
       FROM v LEFT JOIN q o ON o.lvl = 0 AND o.lang IS NOT DISTINCT FROM v.lang AND o.source IS NOT DISTINCT FROM v.source LEFT JOIN q t ON t.lvl = 1 AND t.lang IS NOT DISTINCT FROM v.lang LEFT JOIN q z ON z.lvl = 3)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND symbol_ratio <= a[2] + greatest(0.05::DOUBLE, 3 * (a[2] - a[1])) AND word_length <= b[2] + greatest(1.5::DOUBLE, 3 * (b[2] - b[1])) AND word_length >= b[1] - greatest(1.5::DOUBLE, 3 * (b[2] - b[1]))
        AND dup_line_ratio <= c[2] + greatest(0.3::DOUBLE, 3 * (c[2] - c[1])) AND repeat_ratio <= e[2] + greatest(0.1::DOUBLE, 3 * (e[2] - e[1]))) AS kept, symbol_ratio, word_length, dup_line_ratio, repeat_ratio FROM f""",
-    }
+    } | oracles.SQL

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import running, same, tie_ranks
+
 
 def ratio(a: Column, b: Column) -> Column:
     """a / b, 0 where b is 0."""
@@ -43,12 +45,12 @@ def with_metrics(counts: DataFrame, names=None, digits: int | None = None) -> Da
 def roc_auc(df: DataFrame, keys: list[str], label: str = "label", score: str = "score", single=None) -> DataFrame:
     """Area under the ROC curve by keys: the Mann-Whitney statistic over tie groups.
 
-    Rows are summed by score first, so the window sees distinct scores only. With one class the
-    value is `single`: null, or NaN where the caller wants it so.
+    Rows are summed by score first, and running sums do not need a group in one task. With one class
+    the value is `single`: null, or NaN where the caller wants it so.
     """
     ties = df.groupBy(*keys, score).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("n"))
-    below = F.sum("n").over(Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
-    ties = ties.withColumn("won", F.col("p") * (below + F.col("n") / 2.0))
+    ties = running(ties, keys, [F.col(score)], {"upto": "n"})
+    ties = ties.withColumn("won", F.col("p") * (F.col("upto") - F.col("n") / 2.0))
     out = ties.groupBy(*keys).agg(F.sum("won").alias("won"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     value = F.when((F.col("p") == 0) | (F.col("n") == 0), F.lit(single).cast("double")).otherwise(F.col("won") / (F.col("p") * F.col("n")))
     return out.select(*keys, value.alias("auc"))
@@ -57,30 +59,35 @@ def roc_auc(df: DataFrame, keys: list[str], label: str = "label", score: str = "
 def average_precision(df: DataFrame, keys: list[str], label: str = "label", score: str = "score") -> DataFrame:
     """Sum of precision times the gain of recall over distinct scores, highest first."""
     ties = df.groupBy(*keys, score).agg(F.count_if(F.col(label) == 1).alias("p"), F.count(F.lit(1)).alias("m"))
-    w = Window.partitionBy(*keys).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    ties = ties.withColumn("tp", F.sum("p").over(w)).withColumn("seen", F.sum("m").over(w))
+    ties = running(ties, keys, [F.desc(score)], {"tp": "p", "seen": "m"})
     out = ties.groupBy(*keys).agg(F.sum(F.col("p") * F.col("tp") / F.col("seen")).alias("s"), F.sum("p").alias("p"))
     return out.select(*keys, F.when(F.col("p") == 0, F.lit(None).cast("double")).otherwise(F.col("s") / F.col("p")).alias("average_precision"))
 
 
-def average_rank(df: DataFrame, keys: list[str], col: str, out: str) -> DataFrame:
-    """Ranks from 1, ties share their mean."""
-    w = Window.partitionBy(*keys).orderBy(col)
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, col))
-    return df.withColumn(out, F.rank().over(w) + (ties - 1) / 2.0)
-
-
 def spearman(df: DataFrame, keys: list[str], x: str, y: str, least: int = 3) -> DataFrame:
-    """Rank correlation by keys; NaN with fewer than `least` rows or without variation."""
-    r = average_rank(average_rank(df, keys, x, "_x"), keys, y, "_y")
-    out = r.groupBy(*keys).agg(F.corr("_x", "_y").alias("c"), F.count(F.lit(1)).alias("n"))
-    return out.select(*keys, "n", F.when(F.col("n") < least, F.lit(float("nan"))).otherwise(F.coalesce("c", F.lit(float("nan")))).alias("spearman"))
+    """Rank correlation by keys, ties sharing their mean rank; NaN with fewer than `least` rows or without variation.
+
+    Rows are counted by (x, y), and ranks attached to the counts. Rows without x or y take no part.
+    """
+    cells = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count(F.lit(1)).alias("c"))
+    ranked = cells
+    for side in ("_x", "_y"):
+        upto = tie_ranks(cells, keys, side, F.col("c")).select(*keys, side, F.col("rank").alias(f"r{side}"))
+        ranked = same(ranked, upto, [*keys, side])
+    n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    middle = ranked.groupBy(*keys).agg(((F.sum("c") + 1) / 2.0).alias("mid"))
+    d = same(ranked, middle, keys).withColumns({"dx": F.col("r_x") - F.col("mid"), "dy": F.col("r_y") - F.col("mid")})
+    s = d.groupBy(*keys).agg(F.sum(F.col("c") * F.col("dx") * F.col("dy")).alias("xy"), F.sum(F.col("c") * F.col("dx") * F.col("dx")).alias("xx"), F.sum(F.col("c") * F.col("dy") * F.col("dy")).alias("yy"))
+    corr = F.when((F.col("xx") > 0) & (F.col("yy") > 0), F.col("xy") / F.sqrt(F.col("xx")) / F.sqrt(F.col("yy")))
+    out = same(n, s, keys, "left")
+    return out.select(*keys, "n", F.when(F.col("n") < least, F.lit(float("nan"))).otherwise(F.coalesce(corr, F.lit(float("nan")))).alias("spearman"))
 
 
 def gini(values: DataFrame, keys: list[str], col: str) -> DataFrame:
     """Gini coefficient by keys, from counts of equal values."""
     c = values.groupBy(*keys, col).agg(F.count(F.lit(1)).alias("c"))
-    before = F.sum("c").over(Window.partitionBy(*keys).orderBy(col).rowsBetween(Window.unboundedPreceding, 0)) - F.col("c")
+    c = running(c, keys, [F.col(col)], {"upto": "c"})
+    before = F.col("upto") - F.col("c")
     # the ranks of c equal values after `before` smaller ones sum to c * before + c (c + 1) / 2
     c = c.withColumn("ranked", F.col(col) * (F.col("c") * before + F.col("c") * (F.col("c") + 1) / 2.0))
     s = c.groupBy(*keys).agg(F.sum("ranked").alias("r"), F.sum(F.col(col) * F.col("c")).alias("t"), F.sum("c").alias("n"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import quantiles, running, same
+
 
 def attach(pairs: DataFrame, codes: DataFrame, column: str, key: str = "code_id", strict: bool = True) -> DataFrame:
     """An attribute of both ends of a pair; a missing end is an error if strict."""
@@ -114,7 +116,7 @@ def short_spectra(k: int, ignore_failed: bool = False) -> Column:
 
 def quantile_bins(df: DataFrame, column: str, out: str) -> DataFrame:
     """Number of inner distinct quartiles below the value."""
-    q = df.agg(F.array_distinct(F.percentile(column, [0.0, 0.25, 0.5, 0.75, 1.0])).alias("_q"))
+    q = quantiles(df, [], column, (0.0, 0.25, 0.5, 0.75, 1.0)).select(F.array_distinct("q").alias("_q"))
     inner = F.slice("_q", F.lit(2), F.greatest(F.lit(0), F.size("_q") - 2))
     return df.crossJoin(F.broadcast(q)).withColumn(out, F.size(F.filter(inner, lambda x: x < F.col(column)))).drop("_q")
 
@@ -235,10 +237,12 @@ def best_snapshot(runs: DataFrame, identity: str = "identity") -> DataFrame:
 
 
 def complete_ranks(runs: DataFrame, keys: list[str], score: str) -> DataFrame:
-    """Rank by falling score among the complete runs with a score; others have none."""
-    ok = F.col("complete") & F.col(score).isNotNull()
-    w = Window.partitionBy(*keys, ok).orderBy(F.desc(score))
-    return runs.withColumn("rank", F.when(ok, F.rank().over(w)))
+    """Rank by falling score among the complete runs with a score, ties sharing the first; others have none."""
+    ok = F.coalesce(F.col("complete") & F.col(score).isNotNull(), F.lit(False))
+    ties = runs.where(ok).groupBy(*keys, score).agg(F.count(F.lit(1)).alias("_n"))
+    first = running(ties, keys, [F.desc(score)], {"_to": "_n"}).select(*keys, score, (F.col("_to") - F.col("_n") + 1).cast("int").alias("rank"))
+    ranked = same(runs.withColumn("_ok", ok), first, [*keys, score], "left")
+    return ranked.withColumn("rank", F.when(F.col("_ok"), F.col("rank"))).drop("_ok")
 
 
 def ordered_names(names: DataFrame, column: str, priority: dict[str, int]) -> DataFrame:

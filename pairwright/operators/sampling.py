@@ -1,8 +1,8 @@
 """Deterministic sampling by hash rank, quotas and greedy selections.
 
 A row's rank is the SHA-256 of "seed:id": the same rows are drawn whatever the partitioning.
-Where a group may be large, `WindowGroupLimit` keeps only the first k rows of each task before
-the shuffle.
+Quotas that follow from the data are drawn by `ordered.draw`, which no stratum is too large for;
+for a fixed k `WindowGroupLimit` keeps the first k rows of each task before the shuffle.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.storage import numbered
+from .ordered import draw, numbered_by
 
 
 def hash_rank(id_col: Column, seed) -> Column:
@@ -28,16 +29,21 @@ def hash_choice(text: Column, n: Column) -> Column:
     return F.pmod(F.conv(F.substring(F.sha2(text, 256), 1, 16), 16, 10).cast("decimal(20,0)"), n.cast("decimal(20,0)")).cast("int")
 
 
-def _ranked(df: DataFrame, strata: list[str], id_col: str, seed) -> DataFrame:
-    w = Window.partitionBy(*strata) if strata else Window.partitionBy(F.lit(0))
-    return df.withColumn("_k", F.row_number().over(w.orderBy(hash_rank(F.col(id_col), seed), id_col)))
+def _draw(df: DataFrame, strata: list[str], id_col: str, seed, quota: DataFrame) -> DataFrame:
+    return draw(df, strata, hash_rank(F.col(id_col), seed), [id_col], quota)
+
+
+def _two(counts: DataFrame, label: str, one: str, zero: str) -> DataFrame:
+    """Quotas of labels 1 and 0 from a row that has both."""
+    return counts.select(F.inline(F.array(*[F.struct(F.lit(y).alias(label), F.col(c).cast("long").alias("_w")) for y, c in ((1, one), (0, zero))])))
 
 
 def top_k(df: DataFrame, strata: list[str], id_col: str, k: int, seed) -> DataFrame:
     """The k rows of each stratum, or of all, with the smallest hash."""
     if not strata:
         return df.orderBy(hash_rank(F.col(id_col), seed), id_col).limit(k)
-    return _ranked(df, strata, id_col, seed).where(F.col("_k") <= k).drop("_k")
+    rank = F.row_number().over(Window.partitionBy(*strata).orderBy(hash_rank(F.col(id_col), seed), id_col))
+    return df.withColumn("_k", rank).where(F.col("_k") <= k).drop("_k")
 
 
 def proportional_cap(df: DataFrame, label: str, id_col: str, cap: int, seed) -> DataFrame:
@@ -45,7 +51,7 @@ def proportional_cap(df: DataFrame, label: str, id_col: str, cap: int, seed) ->
     total = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     total = total.crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias("_t"))))
     want = F.when(F.col("_t") <= cap, F.col("_n")).otherwise(F.greatest(F.lit(1), F.bround(F.lit(float(cap)) * F.col("_n") / F.col("_t"), 0).cast("long")))
-    return _ranked(df, [label], id_col, seed).join(F.broadcast(total.select(label, want.alias("_w"))), label).where(F.col("_k") <= F.col("_w")).drop("_k", "_w")
+    return _draw(df.where(F.col(label).isNotNull()), [label], id_col, seed, total.select(label, want.alias("_w")))
 
 
 def balanced(df: DataFrame, label: str, id_col: str, n: int, seed) -> DataFrame:
@@ -53,22 +59,21 @@ def balanced(df: DataFrame, label: str, id_col: str, n: int, seed) -> DataFrame:
     c = df.agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("q"))
     p, q = F.least("p", F.lit(n // 2)), F.least("q", F.lit(n - n // 2))
     take1, take0 = F.least("p", F.lit(n) - q), F.least("q", F.lit(n) - p)
-    c = c.select(take1.alias("_1"), take0.alias("_0"))
-    r = _ranked(df, [label], id_col, seed).crossJoin(F.broadcast(c))
-    return r.where(F.col("_k") <= F.when(F.col(label) == 1, F.col("_1")).otherwise(F.col("_0"))).drop("_k", "_1", "_0")
+    return _draw(df, [label], id_col, seed, _two(c.select(take1.alias("_1"), take0.alias("_0")), label, "_1", "_0"))
 
 
 def exact_quota(df: DataFrame, strata: list[str], id_col: str, k: int, seed) -> DataFrame:
     """Exactly k rows of each stratum; fails where a stratum has fewer."""
-    short = F.count(F.lit(1)).over(Window.partitionBy(*strata)) < k
-    r = _ranked(df, strata, id_col, seed).withColumn("_ok", F.when(short, F.raise_error(F.lit(f"a stratum has fewer than {k} rows"))).otherwise(F.lit(True)))
-    return r.where(F.col("_ok") & (F.col("_k") <= k)).drop("_k", "_ok")
+    n = df.groupBy(*strata).agg(F.count(F.lit(1)).alias("_n"))
+    enough = F.when(F.col("_n") < k, F.raise_error(F.lit(f"a stratum has fewer than {k} rows"))).otherwise(F.lit(k))
+    return _draw(df, strata, id_col, seed, n.select(*strata, enough.cast("long").alias("_w")))
 
 
 def matched(df: DataFrame, cell: list[str], label: str, id_col: str, seed) -> DataFrame:
     """In every cell as many rows of each label as the scarcer label has; cells lacking one vanish."""
-    n = df.groupBy(*cell).agg(F.least(F.count_if(F.col(label) == 1), F.count_if(F.col(label) == 0)).alias("_m"))
-    return _ranked(df, [*cell, label], id_col, seed).join(n, cell).where(F.col("_k") <= F.col("_m")).drop("_k", "_m")
+    n = df.groupBy(*cell).agg(F.least(F.count_if(F.col(label) == 1), F.count_if(F.col(label) == 0)).alias("_w"))
+    quota = n.select(*cell, F.explode(F.array(F.lit(0), F.lit(1))).alias(label), "_w")
+    return _draw(df, [*cell, label], id_col, seed, quota)
 
 
 def hard_negatives(df: DataFrame, score: str, id_col: str, fraction: float) -> DataFrame:
@@ -90,8 +95,8 @@ def negatives(candidates: DataFrame, known: DataFrame, n: int, seed) -> DataFram
 
 def stable_choice(candidates: DataFrame, anchor: str, order: list[str]) -> DataFrame:
     """One candidate of each anchor: place int(SHA-256(anchor)[:8]) mod n in the given order."""
-    w = Window.partitionBy(anchor)
-    c = candidates.withColumn("_k", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
+    n = candidates.groupBy(anchor).agg(F.count(F.lit(1)).alias("_n"))
+    c = numbered_by(candidates, [anchor], [F.col(x) for x in order], "_k").withColumn("_k", F.col("_k") - 1).join(n, anchor)
     return c.where(F.col("_k") == hash_choice(F.col(anchor).cast("string"), F.col("_n"))).drop("_k", "_n")
 
 
@@ -170,8 +175,8 @@ def prevalence_cap(df: DataFrame, label: str, id_col: str, cap: int | None, prev
     n = F.least(F.col("_p") + F.col("_q"), F.lit(cap) if cap else F.col("_p") + F.col("_q"), F.floor(F.col("_p") / prevalence), F.floor(F.col("_q") / (1 - prevalence)))
     c = c.withColumn("_n", n).withColumn("_1", F.least(F.col("_p"), F.bround(F.col("_n") * F.lit(prevalence), 0).cast("long"))).withColumn("_0", F.least(F.col("_q"), F.col("_n") - F.col("_1")))
     c = c.select(F.when((F.col("_1") > 0) & (F.col("_0") > 0), F.col("_1")).otherwise(F.raise_error(F.lit("too few rows of one label"))).cast("long").alias("_1"), "_0")
-    r = _ranked(df, [label], id_col, seed).crossJoin(F.broadcast(c))
-    return r.where(F.col("_k") <= F.when(F.col(label) == 1, F.col("_1")).otherwise(F.col("_0"))).drop("_k", "_1", "_0")
+    other = F.when(F.col(label) == 1, 1).when(F.col(label).isNotNull(), 0).alias("_y")
+    return _draw(df.withColumn("_y", other), ["_y"], id_col, seed, _two(c, "_y", "_1", "_0")).drop("_y")
 
 
 def greedy_cover(pairs: DataFrame, n: int, seed) -> DataFrame:
@@ -215,8 +220,8 @@ def fixed_sample(df: DataFrame, label: str, id_col: str, n: int, seed) -> DataFr
     want = F.greatest(F.lit(1), F.least(F.lit(n - 1), F.bround(F.lit(float(n)) * F.col("_p") / (F.col("_p") + F.col("_q")), 0).cast("long")))
     zero = F.least(F.lit(n) - F.least(want, F.col("_p")), F.col("_q"))
     c = c.select(F.when(F.col("_p") + F.col("_q") <= n, F.col("_p")).otherwise(F.lit(n) - zero).alias("_1"), F.when(F.col("_p") + F.col("_q") <= n, F.col("_q")).otherwise(zero).alias("_0"))
-    r = _ranked(df, [label], id_col, seed).crossJoin(F.broadcast(c))
-    return r.where(F.col("_k") <= F.when(F.col(label) == 1, F.col("_1")).otherwise(F.col("_0"))).drop("_k", "_1", "_0")
+    other = F.when(F.col(label) == 1, 1).when(F.col(label).isNotNull(), 0).alias("_y")
+    return _draw(df.withColumn("_y", other), ["_y"], id_col, seed, _two(c, "_y", "_1", "_0")).drop("_y")
 
 
 def code_disjoint_split(pairs: DataFrame, seed: int, trials: int, shares=(0.70, 0.15, 0.15), names=("train", "valid", "test")) -> DataFrame:
@@ -247,9 +252,9 @@ def code_disjoint_split(pairs: DataFrame, seed: int, trials: int, shares=(0.70,
             low, high = (middle, high) if fits else (low, middle - 1)
         if best is None or low > best[0]:
             best = (low, both)
-    quota = F.create_map(*[F.lit(x) for s, q in zip(names, _allocate(best[0], shares), strict=True) for x in (s, int(q))])
-    r = _ranked(best[1].withColumn("_id", F.concat_ws("/", "left_id", "right_id")), ["split", "label"], "_id", seed + 10_000)
-    return r.where(F.col("_k") <= quota[F.col("split")]).select("left_id", "right_id", "label", "split")
+    quota = pairs.sparkSession.createDataFrame([(s, y, int(q)) for s, q in zip(names, _allocate(best[0], shares), strict=True) for y in (0, 1)], "split string, label int, _w long")
+    r = _draw(best[1].withColumn("_id", F.concat_ws("/", "left_id", "right_id")), ["split", "label"], "_id", seed + 10_000, quota)
+    return r.select("left_id", "right_id", "label", "split")
 
 
 def _allocate(total: int, shares) -> list[int]:

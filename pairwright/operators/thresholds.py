@@ -11,12 +11,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from ..sources.storage import numbered, running_sums, stored
+from ..sources.storage import numbered, stored
 from .metrics import metric_columns, roc_auc
+from .ordered import numbered_by, quantiles, running, same
 
 
 def linspace(low: float, high: float, n: int) -> list[float]:
@@ -70,16 +71,14 @@ def candidates(ties: DataFrame, keys: list[str], policy: Policy) -> DataFrame:
     if policy.grid:
         out.append(ties.select(*keys, F.lit(1).alias("_one")).distinct().select(*keys, F.explode(F.array(*map(F.lit, policy.grid))).alias("threshold")))
     if policy.quantiles:
-        q = ties.groupBy(*keys).agg(F.percentile("score", list(policy.quantiles), F.col("p") + F.col("n")).alias("q"))
+        q = quantiles(ties, keys, "score", policy.quantiles, F.col("p") + F.col("n"))
         out.append(q.select(*keys, F.explode("q").alias("threshold")))
     if policy.unique:
         out.append(values.select(*keys, F.col("score").alias("threshold")))
-    if policy.midpoints and keys:
-        nxt = F.lead("score").over(Window.partitionBy(*keys).orderBy("score"))
-        out.append(values.select(*keys, ((F.col("score") + nxt) / 2).alias("threshold")).where("threshold is not null"))
-    elif policy.midpoints:
-        k = numbered(values, [F.col("score")], "_k")
-        out.append(k.join(k.select((F.col("_k") - 1).alias("_k"), F.col("score").alias("_next")), "_k").select(((F.col("score") + F.col("_next")) / 2).alias("threshold")))
+    if policy.midpoints:
+        k = numbered_by(values, keys, [F.col("score")], "_k")
+        after = k.select(*keys, (F.col("_k") - 1).alias("_k"), F.col("score").alias("_next"))
+        out.append(same(k, after, [*keys, "_k"]).select(*keys, ((F.col("score") + F.col("_next")) / 2).alias("threshold")))
     if policy.above_all:
         out.append(ties.groupBy(*keys).agg(F.max("score").alias("t")).select(*keys, _just_above("t").alias("threshold")))
     both = out[0]
@@ -102,12 +101,9 @@ def sweep(scores: DataFrame, keys: list[str], policy: Policy, lower_is_clone: bo
     # scores equal to a threshold stand before it in the pass, so they count as reached
     way = F.asc if lower_is_clone else F.desc
     order, both = [way("v"), F.col("threshold").isNotNull()], counts.unionByName(marks)
-    if keys:
-        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        every = Window.partitionBy(*keys)
-        run = both.withColumn("tp", F.sum("p").over(w)).withColumn("fp", F.sum("n").over(w)).withColumn("_pos", F.sum("p").over(every)).withColumn("_neg", F.sum("n").over(every))
-    else:  # all scores are one group: no window over all of them
-        run = running_sums(both, [*order, F.col("threshold")], {"tp": "p", "fp": "n"}).crossJoin(F.broadcast(ties.agg(F.coalesce(F.sum("p"), F.lit(0)).alias("_pos"), F.coalesce(F.sum("n"), F.lit(0)).alias("_neg"))))
+    run = running(both, keys, [*order, F.col("threshold")], {"tp": "p", "fp": "n"})
+    total = ties.groupBy(*keys).agg(F.coalesce(F.sum("p"), F.lit(0)).alias("_pos"), F.coalesce(F.sum("n"), F.lit(0)).alias("_neg"))
+    run = same(run, total, keys) if keys else run.crossJoin(F.broadcast(total))
     return run.where("threshold is not null").select(*keys, "threshold", "tp", "fp", (F.col("_pos") - F.col("tp")).alias("fn"), (F.col("_neg") - F.col("fp")).alias("tn"))
 
 
@@ -152,8 +148,8 @@ def balanced_folds(scores: DataFrame, id_col: str, seed: int = 42) -> DataFrame:
     # the number of folds follows from the two counts, so no table of folds is needed
     most = F.greatest("p", "n")
     b = df.where("not anchor").withColumn("fold", F.explode(F.sequence(F.lit(0), F.ceil(most / F.col("size")) - 1)))
-    w = Window.partitionBy("fold").orderBy(rank(F.lit(seed), F.col("fold").cast("string"), idc))
-    b = b.withColumn("k", F.row_number().over(w)).where(F.col("k") <= F.least(F.col("size"), most - F.col("fold") * F.col("size"))).drop("k")
+    b = numbered_by(b.withColumn("_h", rank(F.lit(seed), F.col("fold").cast("string"), idc)), ["fold"], [F.col("_h"), F.col(id_col)], "k").drop("_h")
+    b = b.where(F.col("k") <= F.least(F.col("size"), most - F.col("fold") * F.col("size"))).drop("k")
     return a.unionByName(b).drop("p", "n", "size", "anchor")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import inference as I
 from ..operators import metrics as M
+from ..operators import ordered as O
 from ..operators import transfer as X
 from ..sources import adapters as A
 from .registry import query
@@ -17,14 +18,35 @@ _QS = ", ".join(f"round(quantile_cont(score, {q}), 6) AS p{int(q * 100):02d}" fo
 @query(f"{S} SELECT lang, count(*) AS n, round(avg(score), 6) AS mean, round(stddev_pop(score), 6) AS sd, min(score) AS least, max(score) AS largest, {_QS}, round(avg((score >= 0.5)::INTEGER::DOUBLE), 6) AS from_50, round(avg((score >= 0.75)::INTEGER::DOUBLE), 6) AS from_75, round(avg((score >= 0.9)::INTEGER::DOUBLE), 6) AS from_90 FROM scored GROUP BY lang")
 def distribution_summary(spark, sf_dir):
     qs = (0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
-    g = A.scored(spark, sf_dir).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 6).alias("mean"), F.round(F.stddev_pop("score"), 6).alias("sd"), F.min("score").alias("least"), F.max("score").alias("largest"), F.percentile("score", list(qs)).alias("q"), *[F.round(F.avg((F.col("score") >= x).cast("double")), 6).alias(f"from_{int(x * 100)}") for x in (0.5, 0.75, 0.9)])
+    scores = A.scored(spark, sf_dir)
+    g = scores.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 6).alias("mean"), F.round(F.stddev_pop("score"), 6).alias("sd"), F.min("score").alias("least"), F.max("score").alias("largest"), *[F.round(F.avg((F.col("score") >= x).cast("double")), 6).alias(f"from_{int(x * 100)}") for x in (0.5, 0.75, 0.9)])
+    g = O.same(g, O.quantiles(scores, ["lang"], "score", qs), ["lang"])
     return g.select("*", *[F.round(F.get("q", F.lit(i)), 6).alias(f"p{int(q * 100):02d}") for i, q in enumerate(qs)]).drop("q")
 
 
 @query("SELECT o_orderpriority, count(*) AS n, round(avg(o_totalprice), 4) AS mean, round(median(o_totalprice), 4) AS median, round(stddev_samp(o_totalprice), 4) AS sd, min(o_totalprice) AS least, max(o_totalprice) AS largest FROM orders GROUP BY ALL")
 def describe_groups(spark, sf_dir):
-    p = F.col("o_totalprice")
-    return A.table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(p), 4).alias("mean"), F.round(F.median(p), 4).alias("median"), F.round(F.stddev_samp(p), 4).alias("sd"), F.min(p).alias("least"), F.max(p).alias("largest"))
+    p, o = F.col("o_totalprice"), A.table(spark, sf_dir, "orders")
+    middle = O.quantiles(o, ["o_orderpriority"], "o_totalprice", (0.5,)).select("o_orderpriority", F.round(F.get("q", F.lit(0)), 4).alias("median"))
+    g = o.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(p), 4).alias("mean"), F.round(F.stddev_samp(p), 4).alias("sd"), F.min(p).alias("least"), F.max(p).alias("largest"))
+    return O.same(g, middle, ["o_orderpriority"])
+
+
+@query("""WITH q AS (SELECT quantile_cont(l_extendedprice, list_transform(range(301), lambda i: i / 300.0::DOUBLE)) AS q FROM lineitem) SELECT unnest(range(301))::INTEGER AS i, round(unnest(q), 4) AS price FROM q""")
+def price_quantiles(spark, sf_dir):
+    """301 quantiles of all prices by counts of bits, whatever the size of the table."""
+    q = O.quantiles(A.table(spark, sf_dir, "lineitem"), [], "l_extendedprice", [i / 300 for i in range(301)], one_task=0)
+    return q.select(F.posexplode("q").alias("i", "price")).select("i", F.round("price", 4).alias("price"))
+
+
+@query("""SELECT l_returnflag, l_orderkey, l_linenumber FROM lineitem JOIN (SELECT l_returnflag, count(*) * 37 // 100 AS w FROM lineitem GROUP BY ALL) USING (l_returnflag)
+QUALIFY row_number() OVER (PARTITION BY l_returnflag ORDER BY sha256('11:' || l_orderkey::VARCHAR || '/' || l_linenumber::VARCHAR), l_orderkey, l_linenumber) <= any_value(w) OVER (PARTITION BY l_returnflag)""")
+def stratified_share(spark, sf_dir):
+    """37 % of the lines of each flag by least hash; a flag has half of all lines, and no task ranks one."""
+    li = A.table(spark, sf_dir, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber")
+    quota = li.groupBy("l_returnflag").agg(F.floor(F.count(F.lit(1)) * 37 / 100).alias("_w"))
+    hashed = F.sha2(F.concat(F.lit("11:"), F.concat_ws("/", "l_orderkey", "l_linenumber")), 256)
+    return O.draw(li, ["l_returnflag"], hashed, ["l_orderkey", "l_linenumber"], quota, one_task=0)
 
 
 @query("SELECT o_orderpriority AS arm, o_orderstatus AS condition, count(*) AS n, round(avg(o_totalprice), 4) AS mean, round(coalesce(var_samp(o_totalprice), 0), 0) AS variance FROM orders GROUP BY ALL")

@@ -40,14 +40,3 @@ def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     base = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_base"))  # a row for each part
     rank = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
     return parts.withColumn(name, rank.cast("long")).join(F.broadcast(base), "_part").withColumn(name, F.col(name) + F.col("_base")).drop("_part", "_base")
-
-
-def running_sums(df: DataFrame, order: list[Column], sums: dict[str, str]) -> DataFrame:
-    """df with the sums up to each row, in a total order of all rows, which never meet in one task."""
-    parts = _ranged(df, order)
-    totals = parts.groupBy("_part").agg(*[F.sum(c).alias(f"_{k}") for k, c in sums.items()])
-    before = Window.orderBy("_part")
-    base = totals.select("_part", *[(F.sum(f"_{k}").over(before) - F.col(f"_{k}")).alias(f"_{k}") for k in sums])
-    local = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = parts.withColumns({k: F.sum(c).over(local) for k, c in sums.items()}).join(F.broadcast(base), "_part")
-    return out.withColumns({k: F.col(k) + F.col(f"_{k}") for k in sums}).drop("_part", *[f"_{k}" for k in sums])

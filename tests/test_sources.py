@@ -15,7 +15,8 @@ from pairwright.operators import relational as R
 from pairwright.operators import sampling as S
 from pairwright.plans.audits import effective_rank
 from pairwright.sources import readers, writers
-from pairwright.sources.storage import numbered, running_sums
+from pairwright.operators.ordered import running
+from pairwright.sources.storage import numbered
 from pairwright.streaming import incremental
 
 
@@ -198,7 +199,7 @@ def test_order_without_one_task(spark):
     want = sorted((r.v, r.id) for r in df.collect())
     got = {(r.v, r.id): r.k for r in numbered(df, [F.col("v"), F.col("id")], "k").collect()}
     assert [got[x] for x in want] == list(range(1, 501))
-    sums = {r.id: r.s for r in running_sums(df, [F.desc("v"), F.col("id")], {"s": "v"}).collect()}
+    sums = {r.id: r.s for r in running(df, [], [F.desc("v"), F.col("id")], {"s": "v"}).collect()}
     total = 0
     for v, i in sorted(want, key=lambda x: (-x[0], x[1])):
         total += v

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.storage import stored
 from .metrics import gini
+from .ordered import draw, numbered_by, running, same
 from .sampling import hash_fraction
 
 BITS = {"train": 1, "valid": 2, "test": 4}
@@ -152,27 +153,73 @@ def distinct_pairs(pairs: DataFrame) -> DataFrame:
     return u.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k", "_u")
 
 
+def _cells(codes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Fragments with their place in a cell (split, language), blocks of equal problem and source there, and cells.
+
+    A cell is ordered by problem and source, so the partners of a block that follow it are a range of places: up to the end of
+    its problem those of its problem with other sources (positives), beyond it those of other problems (negatives).
+    """
+    keys = ["split", "language"]
+    c = stored(codes.select("code_id", "problem_id", "language", "split", F.sha2("code", 256).alias("h")).where("problem_id is not null and h is not null"), "fragments")
+    placed = stored(numbered_by(c, keys, [F.col("problem_id"), F.col("h"), F.col("code_id")], "place"), "placed")
+    blocks = placed.groupBy(*keys, "problem_id", "h").agg(F.count(F.lit(1)).alias("m"), F.max("place").alias("end"))
+    problems = blocks.groupBy(*keys, "problem_id").agg(F.max("end").alias("problem_end"))
+    n = blocks.groupBy(*keys).agg(F.sum("m").alias("n"))
+    blocks = same(same(blocks, problems, [*keys, "problem_id"]), n, keys)
+    blocks = stored(blocks.withColumns({"w1": F.col("m") * (F.col("problem_end") - F.col("end")), "w0": F.col("m") * (F.col("n") - F.col("problem_end"))}), "blocks")
+    two = F.col("m") * (F.col("m") - 1) / 2
+    equal = blocks.groupBy(*keys, "h").agg(F.sum("m").alias("m"), F.sum(two).alias("inside")).groupBy(*keys).agg(F.sum(two - F.col("inside")).cast("long").alias("equal"))
+    cells = same(blocks.groupBy(*keys).agg(F.sum("w1").alias("all1"), F.sum("w0").alias("all0")), equal, keys)
+    # pairs with unequal sources: all positives that are counted, and negatives but for those of equal sources
+    return placed, blocks, stored(cells.withColumns({"free1": F.col("all1"), "free0": F.col("all0") - F.col("equal")}), "cells")
+
+
+def _unranked(numbers: DataFrame, blocks: DataFrame, placed: DataFrame, label: int) -> DataFrame:
+    """numbers (split, language, t, number) as pairs (split, language, t, left_id, right_id) with unequal sources."""
+    keys = ["split", "language"]
+    own = blocks.where(F.col(f"w{label}") > 0)
+    upto = running(own, keys, [F.col("problem_id"), F.col("h")], {"_to": f"w{label}", "block": F.lit(1).cast("long")})
+    upto = stored(upto.withColumn("start", F.col("_to") - F.col(f"w{label}")), "ranges")
+    marks = upto.select(*keys, F.col("start").alias("number"), F.lit(1).cast("long").alias("is_block"), F.lit(None).cast("long").alias("t"))
+    both = marks.unionByName(numbers.select(*keys, "number", F.lit(0).cast("long").alias("is_block"), "t"))
+    at = running(both, keys, [F.col("number"), F.desc("is_block"), F.col("t")], {"block": "is_block"}).where("t is not null")
+    at = same(at.select(*keys, "t", "number", "block"), upto.select(*keys, "block", "start", "m", "end", "problem_end", "n"), [*keys, "block"])
+    first = F.col("end") if label else F.col("problem_end")
+    width = (F.col("problem_end") if label else F.col("n")) - first
+    off = F.col("number") - F.col("start")
+    at = at.withColumns({"i": F.col("end") - F.col("m") + 1 + F.floor(off / width), "j": first + 1 + off % width})
+    side = lambda c: placed.select(*keys, F.col("place").alias(c), F.col("code_id").alias(f"{c}_id"), F.col("h").alias(f"{c}_h"))
+    got = same(same(at.select(*keys, "t", "i", "j"), side("i"), [*keys, "i"]), side("j"), [*keys, "j"]).where("i_h <> j_h")
+    return got.select(*keys, "t", F.least("i_id", "j_id").alias("left_id"), F.greatest("i_id", "j_id").alias("right_id"))
+
+
 def generate_pairs(codes: DataFrame, per_cell: int, seed: int = 42) -> DataFrame:
-    """Balanced pairs for each (split, language): positives share a problem, negatives do not.
+    """As many positives as negatives for each (split, language): per_cell of either, or as many as the scarcer label has.
 
-    Positives join each problem's fragments; negatives are drawn from neighbours in a hash order,
-    so no cross product is formed. Equal sources and repeated pairs are left out.
+    Positives share a problem, negatives do not, and sources differ. All pairs of a cell are numbered without being formed: a
+    draw is a number by hash, unranked to a pair. Repeated numbers and equal sources are passed over, and draws go on until
+    the quota is met; a cell with few pairs has all of them drawn. A quota is met whenever the data has so many pairs.
     """
-    c = codes.select("code_id", "problem_id", "language", "split", F.sha2("code", 256).alias("h"))
     keys = ["split", "language"]
-    ring = Window.partitionBy(*keys).orderBy(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("code_id").cast("string")), 256))
-    inner = Window.partitionBy(*keys, "problem_id").orderBy(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("code_id").cast("string")), 256))
-
-    def near(w, label):
-        out = None
-        for d in range(1, 4):
-            x = c.select(*keys, F.col("code_id").alias("a"), F.col("problem_id").alias("pa"), F.col("h").alias("ha"), F.lead("code_id", d).over(w).alias("b"), F.lead("problem_id", d).over(w).alias("pb"), F.lead("h", d).over(w).alias("hb"))
-            x = x.where((F.col("a") != F.col("b")) & (F.col("ha") != F.col("hb")) & ((F.col("pa") == F.col("pb")) if label else (F.col("pa") != F.col("pb"))))
-            out = x if out is None else out.unionByName(x)
-        return out.select(*keys, F.least("a", "b").alias("left_id"), F.greatest("a", "b").alias("right_id"), F.lit(label).alias("label")).distinct()
-
-    both = near(inner, 1).unionByName(near(ring, 0))
-    w = Window.partitionBy(*keys, "label").orderBy(F.sha2(F.concat_ws("/", F.lit(str(seed)), F.col("left_id").cast("string"), F.col("right_id").cast("string")), 256), "left_id", "right_id")
-    cell = both.withColumn("k", F.row_number().over(w)).where(F.col("k") <= per_cell)
-    n = cell.groupBy(*keys).agg(F.least(F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)).alias("m"))
-    return cell.join(n, keys).where("k <= m").drop("k", "m")
+    placed, blocks, cells = _cells(codes)
+    out = None
+    for label in (1, 0):
+        quota = F.least(F.lit(per_cell), "free1", "free0").cast("long")
+        want = cells.select(*keys, F.col(f"all{label}").alias("all"), quota.alias("_w")).where("_w > 0")
+        salt = lambda t: F.sha2(F.concat_ws("/", F.lit(f"{seed}/{label}"), "split", "language", t.cast("string")), 256)  # noqa: B023, E731
+        draws = 2
+        while True:
+            few = F.col("all") <= per_cell * draws  # all numbers, in the order of their hashes
+            numbers = want.withColumn("t", F.explode(F.sequence(F.lit(0), F.when(few, F.col("all") - 1).otherwise(F.lit(per_cell * draws).cast("long")))))
+            drawn = F.pmod(F.conv(F.substring(salt(F.col("t")), 1, 15), 16, 10).cast("long"), F.col("all"))
+            numbers = numbers.withColumn("number", F.when(few, F.col("t")).otherwise(drawn)).groupBy(*keys, "number").agg(F.min("t").alias("t"), F.first(few).alias("few"))
+            numbers = stored(numbers, "numbers")
+            pairs = stored(same(_unranked(numbers, blocks, placed, label), numbers.select(*keys, "t", "few"), [*keys, "t"]), "drawn")
+            have = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("have"))
+            if same(want, have, keys, "left").where("coalesce(have, 0) < _w").isEmpty():
+                break
+            draws *= 2
+        order = F.when(F.col("few"), salt(F.col("t"))).otherwise(F.lpad(F.col("t").cast("string"), 20, "0"))
+        some = draw(pairs.withColumn("label", F.lit(label)), keys, order, ["t"], want.select(*keys, "_w")).drop("t", "few")
+        out = some if out is None else out.unionByName(some)
+    return out.select(*keys, "left_id", "right_id", "label")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
-MODULES = ("scoring", "evaluation", "sampling", "splits", "graphs", "text", "relational", "reports", "learning", "filters", "audits")
+MODULES = ("scoring", "evaluation", "sampling", "splits", "graphs", "text", "relational", "reports", "learning", "filters", "audits", "trips")
 
 
 def query(sql: str | None = None):

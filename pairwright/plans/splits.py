@@ -105,8 +105,21 @@ def component_size_statistics(spark, sf_dir):
     return P.component_sizes(P.components(A.endpoints(spark, sf_dir).select(F.col("left_id").alias("a"), F.col("right_id").alias("b"))))
 
 
-@query()
+_CELLS = f"""c AS (SELECT doc_id, source, lang, sha256(text) AS h, {_SPLIT.format(f=_FRACTION.format(x=chr(39) + 'revision-problem-v1/42/' + chr(39) + ' || source'))} AS split FROM documents WHERE source IS NOT NULL AND text IS NOT NULL),
+p AS (SELECT a.split, a.lang, (a.source = b.source)::INTEGER AS label FROM c a JOIN c b ON a.split = b.split AND a.lang = b.lang AND a.doc_id < b.doc_id AND a.h <> b.h),
+q AS (SELECT split, lang, least({{n}}, count(*) FILTER (label = 1), count(*) FILTER (label = 0)) AS n FROM p GROUP BY ALL)"""
+
+
+@query(f"WITH {_CELLS.format(n=2000)} SELECT split, lang, unnest([0, 1])::INTEGER AS label, n AS pairs, n AS distinct_pairs, n AS valid FROM q WHERE n > 0")
 def generated_pairs(spark, sf_dir):
-    """Balanced pairs by split and language."""
+    """Balanced pairs by split and language: how many were drawn, are distinct, and are what their label says. The SQL counts all
+    pairs there are."""
     c = A.codes(spark, sf_dir).withColumn("split", P.hash_split(F.col("problem_id"), "revision-problem-v1/42/"))
-    return P.generate_pairs(c, 20)
+    made = P.generate_pairs(c, 2000)
+    side = lambda s: c.select(F.col("code_id").alias(f"{s}_id"), F.col("problem_id").alias(f"{s}_problem"), F.col("language").alias(f"{s}_lang"), F.col("split").alias(f"{s}_split"), F.sha2("code", 256).alias(f"{s}_h"))
+    j = made.join(side("left"), "left_id").join(side("right"), "right_id")
+    right = (F.col("left_h") != F.col("right_h")) & ((F.col("left_problem") == F.col("right_problem")) == (F.col("label") == 1))
+    for s in ("left", "right"):
+        right = right & (F.col(f"{s}_lang") == F.col("language")) & (F.col(f"{s}_split") == F.col("split"))
+    g = j.groupBy("split", "language", "label").agg(F.count(F.lit(1)).alias("pairs"), F.count_distinct("left_id", "right_id").alias("distinct_pairs"), F.count_if(right).alias("valid"))
+    return g.withColumnRenamed("language", "lang")

@@ -2,16 +2,8 @@
 
 from __future__ import annotations
 
-import io
 import json
-import re
-import zipfile
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-import pyarrow as pa
-import pyarrow.parquet as pq
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,22 +24,6 @@ def require_all(found: DataFrame, needed: DataFrame, key: str) -> DataFrame:
     return found
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, value of text lines; gzip is told by the first bytes, not by the name."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import gzip
-
-        for pdf in batches:
-            for name, raw in zip(pdf.path, pdf.content, strict=True):
-                text = (gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw).decode("utf-8", "replace")
-                lines = [x for x in text.split("\n") if x]
-                yield pd.DataFrame({"file": [name] * len(lines), "value": lines})
-
-    return files.mapInPandas(run, "file string, value string")
-
-
 def read_pairs_tsv(spark: SparkSession, path: str) -> DataFrame:
     """split (from the file's name), left_id, right_id, label; exactly three columns, or an error."""
     raw = spark.read.text(path).select(F.regexp_extract(F.col("_metadata.file_name"), r"^([A-Za-z]+)", 1).alias("split"), F.split("value", "\t", -1).alias("x"), "value").where("value <> ''")
@@ -64,39 +40,6 @@ def read_pairs_csv(spark: SparkSession, path: str, required=("split", "left_id",
     return df.withColumns({"split": F.lower("split"), "left_id": F.col("left_id").cast("string"), "right_id": F.col("right_id").cast("string"), "label": F.col("label").cast("int")})
 
 
-def read_parquet_zip(spark: SparkSession, path: str, pattern: str, columns: list[str] | None = None) -> DataFrame:
-    """Parquet members of ZIP archives whose name matches; only the columns asked for are decoded."""
-    from pyspark.sql.pandas.types import from_arrow_schema
-
-    files = spark.read.format("binaryFile").load(path).select("content")
-
-    def matching(raw):
-        z = zipfile.ZipFile(io.BytesIO(raw))
-        return z, [n for n in z.namelist() if re.search(pattern, n)]
-
-    def members(batches):
-        for pdf in batches:
-            for raw in pdf.content:
-                z, names = matching(raw)
-                for name in names:
-                    yield pq.read_table(io.BytesIO(z.read(name)), columns=columns).to_pandas()
-
-    def shapes(batches):
-        for pdf in batches:
-            for raw in pdf.content:
-                z, names = matching(raw)
-                yield pd.DataFrame({"shape": [pq.read_schema(io.BytesIO(z.read(names[0]))).serialize().to_pybytes()] if names else []})
-
-    # only a member's schema comes to the driver
-    found = files.mapInPandas(shapes, "shape binary").limit(1).collect()
-    if not found:
-        raise FileNotFoundError(f"no member of {path} matches {pattern}")
-    schema = from_arrow_schema(pa.ipc.read_schema(pa.py_buffer(bytes(found[0].shape))))
-    if columns:
-        schema = type(schema)([schema[c] for c in columns])
-    return files.mapInPandas(members, schema)
-
-
 #: Sections of one table up to which their places are sent to every task.
 BROADCAST_SECTIONS = 100_000
 
@@ -116,28 +59,6 @@ def read_copy_section(lines: DataFrame, table: str, columns: list[str]) -> DataF
     return parts.select(*[unescape_copy(F.get("_x", F.lit(i))).alias(c) for i, c in enumerate(columns)])
 
 
-def read_latent_zip(spark: SparkSession, path: str) -> DataFrame:
-    """code_id, eigenvalues from the arrays of a bundle; repeated ids or a wrong count are errors."""
-    files = spark.read.format("binaryFile").load(path).select("content")
-
-    def run(batches):
-        for pdf in batches:
-            for raw in pdf.content:
-                with zipfile.ZipFile(io.BytesIO(raw)) as z:
-                    want, seen = json.loads(z.read("manifest.json"))["code_count"], set()
-                    for name in sorted(n for n in z.namelist() if n.endswith(".npz")):
-                        with np.load(io.BytesIO(z.read(name)), allow_pickle=False) as a:
-                            ids = [str(i) for i in a["code_ids"]]
-                            if seen.intersection(ids) or len(set(ids)) < len(ids):
-                                raise ValueError("a code id stands in the bundle twice")
-                            seen.update(ids)
-                            yield pd.DataFrame({"code_id": ids, "eigenvalues": list(a["eigenvalues"].astype("float64"))})
-                    if len(seen) != want:
-                        raise ValueError(f"{len(seen)} codes, the manifest has {want}")
-
-    return files.mapInPandas(run, "code_id string, eigenvalues array<double>")
-
-
 def read_results(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of JSON lists in any files below path, with the file's name."""
     return spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", "true").json(path).withColumn("source_file", F.col("_metadata.file_name"))

@@ -93,3 +93,34 @@ def test_ranks_of_runs(spark):
     df = spark.createDataFrame([("a", 1.0, True), ("a", 3.0, True), ("a", 3.0, True), ("a", 9.0, False), ("a", None, True), (None, 2.0, True)], "k string, s double, complete boolean")
     got = sorted(((x.k, x.s, x.rank) for x in R.complete_ranks(df, ["k"], "s").collect()), key=str)
     assert got == sorted([("a", 1.0, 3), ("a", 3.0, 1), ("a", 3.0, 1), ("a", 9.0, None), ("a", None, None), (None, 2.0, 1)], key=str)
+
+
+def brute_pairs(rows):
+    """All pairs of a cell by label; rows: (id, code, language, problem, split)."""
+    out = defaultdict(set)
+    for i, a in enumerate(rows):
+        for b in rows[i + 1 :]:
+            if None not in (a[1], b[1], a[3], b[3]) and a[2] == b[2] and a[4] == b[4] and a[1] != b[1]:
+                out[a[4], a[2], int(a[3] == b[3])].add((min(a[0], b[0]), max(a[0], b[0])))
+    return out
+
+
+def test_generated_pairs(spark):
+    from pairwright.operators.splits import generate_pairs
+
+    rows = [(i, f"s{i}", "c", f"p{i % 2}", "train") for i in range(40)]  # 380 positives, 400 negatives
+    rows += [(100 + i, f"s{i % 3}", "java", f"q{i % 4}" if i else None, "train") for i in range(13)]  # copies, a missing problem
+    rows += [(200 + i, "same", "go", f"q{i % 4}", "test") for i in range(9)] + [(300, "alone", "py", "x", "test"), (301, None, "py", "x", "test"), (302, "y", None, "x", None), (303, "z", None, "x", None), (304, "w", None, "v", None)]
+    df = spark.createDataFrame(rows, "code_id long, code string, language string, problem_id string, split string").repartition(4)
+    every = brute_pairs(rows)
+    for quota in (150, 10**6):
+        got = generate_pairs(df, quota)
+        by = defaultdict(list)
+        for r in got.collect():
+            by[r.split, r.language, r.label].append((r.left_id, r.right_id))
+        for cell in {k[:2] for k in every}:
+            n = min(quota, *(len(every[(*cell, y)]) for y in (0, 1)))
+            for y in (0, 1):
+                assert len(by[(*cell, y)]) == len(set(by[(*cell, y)])) == n and set(by[(*cell, y)]) <= every[(*cell, y)]
+        assert {k[:2] for k in by if by[k]} <= {k[:2] for k in every}
+    assert generate_pairs(df.where("false"), 5).collect() == []

@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from pairwright.operators import relational as R
 from pairwright.operators import sampling as S
-from pairwright.plans.audits import effective_rank
-from pairwright.sources import readers, writers
 from pairwright.operators.ordered import running
+from pairwright.plans.audits import effective_rank
+from pairwright.sources import archives, readers, writers
 from pairwright.sources.storage import numbered
 from pairwright.streaming import incremental
 
@@ -42,7 +42,69 @@ def test_lines_of_any_compression(spark, tmp_path):
     with open(tmp_path / "b.gz.tmp", "wb") as f:
         f.write(gzip.compress(b"z\n"))
     put(str(tmp_path / "c"), "w")
-    assert sorted(r.value for r in readers.read_lines(spark, str(tmp_path)).collect()) == ["w", "x", "y", "z"]
+    assert sorted(r.value for r in archives.read_lines(spark, str(tmp_path)).collect()) == ["w", "x", "y", "z"]
+
+
+def test_lines_in_ranges(spark, tmp_path):
+    """Every line is in one range, whatever the split; members of one gzip stream follow each other; a broken one is an error."""
+    text = "".join(f"{'é' * (i % 5)}{i}\n" + "\n" * (i % 3) for i in range(300)) + "last"
+    put(str(tmp_path / "plain.gz.tmp"), text)
+    want = sorted(x for x in text.split("\n") if x)
+    for split in (1, 7, 64, 10**6):
+        assert sorted(r.value for r in archives.read_lines(spark, str(tmp_path), split).collect()) == want
+    with open(tmp_path / "two", "wb") as f:
+        f.write(gzip.compress(b"a\nb") + gzip.compress(b"c\n\xff\n") + b"\0\0")
+    assert sorted(r.value for r in archives.read_lines(spark, str(tmp_path / "two")).collect()) == ["a", "bc", "\ufffd"]
+    with open(tmp_path / "cut", "wb") as f:
+        f.write(gzip.compress(b"abc" * 1000)[:-12])
+    with pytest.raises(Exception, match="ends early"):
+        archives.read_lines(spark, str(tmp_path / "cut")).collect()
+
+
+def test_zip_is_read_in_parts(spark, tmp_path):
+    """One file, many tasks: by member, and within stored members by row groups; deflated members too."""
+    df = spark.createDataFrame([(i, None if i % 7 == 0 else "x" * (i % 11), [i, i + 1]) for i in range(1000)], "id long, s string, pad array<long>").coalesce(1)
+    w = archives.write_parquet_zips(df, str(tmp_path / "z"), "rows", 300)
+    (f,) = w.collect()
+    assert (f.members, f.rows) == (4, 1000)
+    for split, parts in ((1, 14), (10**9, 4)):
+        got = archives.read_parquet_zip(spark, f.file, "^rows__", ["s", "id"], split)
+        assert got.rdd.getNumPartitions() == parts and got.columns == ["s", "id"]
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(((r.s, r.id) for r in df.collect()), key=str)
+    with zipfile.ZipFile(f.file) as a, zipfile.ZipFile(tmp_path / "packed.zip", "w", zipfile.ZIP_DEFLATED) as b:
+        b.writestr("folder/", "")
+        for n in a.namelist():
+            b.writestr(f"folder/{n}", a.read(n))
+    assert archives.read_parquet_zip(spark, str(tmp_path / "packed.zip"), "rows__").agg(F.sum("id")).first()[0] == 499500
+    assert archives.write_parquet_zips(df.where("false"), str(tmp_path / "none"), "rows", 10).count() == 0
+
+
+def test_latent_bundle_below_a_folder(spark, tmp_path):
+    df = spark.createDataFrame([(i, [float(i), 0.5]) for i in range(25)], "code_id long, eigenvalues array<double>").repartition(2)
+    w = archives.write_latent_zips(df, str(tmp_path / "z"), 4).collect()
+    assert sum(r.rows for r in w) == 25 and sum(r.members for r in w) >= 7
+    with zipfile.ZipFile(w[0].file) as a, zipfile.ZipFile(tmp_path / "z" / "deep.zip", "w") as b:
+        for n in a.namelist():
+            b.writestr(f"out/{n}", a.read(n))
+        b.writestr("out/deeper/manifest.json", "{}")
+    got = archives.read_latent_zip(spark, str(tmp_path / "z")).collect()
+    assert len(got) == 25 + w[0].rows and all(r.eigenvalues == [float(r.code_id), 0.5] for r in got)
+
+
+@pytest.mark.parametrize("compress", [True, False])
+def test_dump(spark, tmp_path, compress):
+    rows = [(i, None if i % 5 == 0 else f"a\tb\nc\\d\re{'é' * i}", "" if i % 2 else "x") for i in range(100)] + [(None, None, None), (1, "twice", "y"), (1, "twice", "y")]
+    df = spark.createDataFrame(rows, "id long, text string, note string").repartition(2)
+    path = str(tmp_path / "d")
+    w = archives.write_dumps(df, path, "snippet", "clones", compress, 7).collect()
+    assert sum(r.rows for r in w) == len(rows)
+    got = archives.read_dump(spark, path, "snippet", ["note", "id", "text", "absent"], "clones")
+    assert got.rdd.getNumPartitions() == sum(r.members for r in w)
+    assert sorted(((None if r.id is None else int(r.id), r.text, r.note) for r in got.collect()), key=str) == sorted(rows, key=str)
+    assert archives.read_dump(spark, path, "snippet", ["id"], "public").count() == archives.read_dump(spark, path, "other", ["id"], "clones").count() == 0
+    put(str(tmp_path / "bad"), "no dump")
+    with pytest.raises(Exception, match="not a database dump"):
+        archives.read_dump(spark, str(tmp_path / "bad"), "x", ["id"]).count()
 
 
 def test_parquet_in_zip(spark, tmp_path):
@@ -52,11 +114,11 @@ def test_parquet_in_zip(spark, tmp_path):
                 raw = io.BytesIO()
                 pd.DataFrame({"id": [k, 10 + k], "text": ["a", "b"], "n": [1.5, 2.5]}).to_parquet(raw)
                 z.writestr(f"{name}.parquet", raw.getvalue())
-    df = readers.read_parquet_zip(spark, str(tmp_path / "*.zip"), r"^programs__", ["id", "text"])
+    df = archives.read_parquet_zip(spark, str(tmp_path / "*.zip"), r"^programs__", ["id", "text"])
     assert df.dtypes == [("id", "bigint"), ("text", "string")]
     assert sorted(map(tuple, df.collect())) == [(0, "a"), (1, "a"), (10, "b"), (11, "b")]
     with pytest.raises(FileNotFoundError):
-        readers.read_parquet_zip(spark, str(tmp_path / "*.zip"), "nothing")
+        archives.read_parquet_zip(spark, str(tmp_path / "*.zip"), "nothing")
 
 
 def test_copy_sections(spark):
@@ -128,10 +190,10 @@ def test_latent_bundle_and_results(spark, tmp_path):
             z.writestr("a.npz", raw.getvalue())
         return str(path)
 
-    assert sorted(map(tuple, readers.read_latent_zip(spark, bundle(tmp_path / "a.zip", ["x", "y"], 2)).collect())) == [("x", [0.0, 1.0]), ("y", [2.0, 3.0])]
+    assert sorted(map(tuple, archives.read_latent_zip(spark, bundle(tmp_path / "a.zip", ["x", "y"], 2)).collect())) == [("x", [0.0, 1.0]), ("y", [2.0, 3.0])]
     for ids, n in ((["x", "x"], 2), (["x"], 2)):
         with pytest.raises(Exception, match="twice|manifest"):
-            readers.read_latent_zip(spark, bundle(tmp_path / "b.zip", ids, n)).collect()
+            archives.read_latent_zip(spark, bundle(tmp_path / "b.zip", ids, n)).collect()
     put(str(tmp_path / "r/k/one.json"), '[{"F1": 0.5, "m": "a"}, {"F1": null, "m": "b"}]')
     assert sorted((r.m, r.source_file) for r in readers.read_results(spark, str(tmp_path / "r"), "F1 double, m string").collect()) == [("a", "one.json"), ("b", "one.json")]
 

@@ -46,6 +46,23 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bits of the number of rows that `attached` gathers at most.
+GATHER = 12
+
+
+def attached(rows: DataFrame, key: str, info: DataFrame) -> DataFrame:
+    """rows joined with info, which has at most a row for each key.
+
+    Neighbouring rows of one key are gathered first, so of a key that holds a third of all rows the join sees one in some
+    thousands; what it gives is dealt out again before the rows are unpacked. Rows without info are left out.
+    """
+    rest = [c for c in rows.columns if c != key]
+    chunk = F.shiftright(F.monotonically_increasing_id(), GATHER).alias("_chunk")
+    packed = rows.select(key, chunk, F.struct(*rest).alias("_row")).groupBy(key, "_chunk").agg(F.collect_list("_row").alias("_rows"))
+    met = packed.join(info, key).repartition(shuffle_parts(rows.sparkSession), key, "_chunk")
+    return met.select(key, *[c for c in info.columns if c != key], F.inline("_rows"))
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

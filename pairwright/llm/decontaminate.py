@@ -5,21 +5,23 @@ document frequency of every n-gram of the test items is counted over all documen
 stand in one are seeds, and the rarest half of an item's seeds are rare. A passage that holds a
 rare seed is aligned with the item; one that holds frequent seeds alone is aligned if its words
 allow the least score. The score is the best local alignment over that of the item with itself.
-So every passage that shares an n-gram and reaches the least score is found.
+So every passage that shares an n-gram and reaches the least score is found. An item of fewer than
+`gram` words is a seed as a whole: it is found where its words stand in a row.
 
 Test items are sent to the tasks in blocks of at most `BLOCK_BYTES` (an item beyond that is a
 block of its own); each block is counted and searched in all documents, two scans a block, so a
 benchmark of any size is searched whole.
 
-Cases: null and empty texts match nothing; a very long text is searched whole; an item of fewer
-than `gram` words is not searched, as it names no passage; items with equal texts each match,
-but rows of the benchmark that repeat with their id are one item; documents that repeat each
-match; empty tables give empty results; `clean` keeps the columns of its input, whatever their
+Cases: null and empty texts match nothing, nor do items without a word; a very long text is
+searched whole; items with equal texts each match, but rows of the benchmark that repeat with
+their id are one item; documents that repeat each match; empty tables give empty results; `clean` keeps the columns of its input, whatever their
 names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -83,14 +85,14 @@ class Lookup:
 
 
 class Items:
-    """Test items of a block: their words and n-grams."""
+    """Test items of a block: their words and n-grams. With whole, those of just `gram` words, which are seeds as a whole."""
 
-    def __init__(self, rows: list[tuple[int | None, str | None]], gram: int):
+    def __init__(self, rows: list[tuple[int | None, str | None]], gram: int, whole: bool = False):
         self.gram = gram
         self.ids, self.words, sets = [], [], []
         for item, text in rows:
             w = _text_tokens(text)
-            if len(w) >= gram:
+            if len(w) == gram if whole else len(w) >= gram:
                 with np.errstate(over="ignore"):
                     g = _kgrams(w, gram)[: len(w) - gram + 1]
                 self.ids.append(item)
@@ -221,8 +223,8 @@ def align(texts: list[np.ndarray], items: list[np.ndarray]) -> tuple[np.ndarray,
     return score, where, begin
 
 
-def _blocks(benchmark: DataFrame, gram: int, block_bytes: int) -> list[Items]:
-    """Items in blocks of bounded size, read one block at a time."""
+def _blocks(benchmark: DataFrame, gram: int, block_bytes: int) -> Iterator[list[Items]]:
+    """Items in blocks of bounded size, read one block at a time; in a block the short items of each length are apart."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).distinct()
     size = F.octet_length("text") + 64
     total = items.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
@@ -238,7 +240,8 @@ def _blocks(benchmark: DataFrame, gram: int, block_bytes: int) -> list[Items]:
         held += n
     for cells_ in blocks:
         rows = items.where(F.col("cell").between(cells_[0], cells_[-1])) if cells_ else items
-        yield Items([tuple(r) for r in rows.select("item_id", "text").collect()], gram)
+        rows = [tuple(r) for r in rows.select("item_id", "text").collect()]
+        yield [x for x in (Items(rows, gram), *(Items(rows, n, whole=True) for n in range(1, gram))) if x.ids]
 
 
 def _texts(batch, name):
@@ -246,46 +249,48 @@ def _texts(batch, name):
     return text_bytes(pa.array(col).fill_null("") if col.null_count else col)
 
 
-def _ready(docs: DataFrame, items: Items, text_col: str) -> None:
+def _ready(docs: DataFrame, block: list[Items], text_col: str) -> None:
     """Count the documents with each n-gram of the block, over all documents; choose seeds."""
-    look, n, size = Lookup(items.grams), items.gram, len(items.grams)
+    looks = [(k, Lookup(x.grams), x.gram, len(x.grams)) for k, x in enumerate(block)]
 
     def count(batches):
-        total = np.zeros(size, np.int64)
+        totals = [np.zeros(size, np.int64) for *_, size in looks]
         for b in batches:
             raw, off = _texts(b, "text")
             for i, j in _groups(off, STEP):
                 h, first = tokens(raw[off[i] : off[j]], off[i : j + 1] - off[i])
-                at, k = look.find(h, first, n)
-                text = np.searchsorted(first, at, "right") - 1
-                total += np.bincount(np.unique(text * size + k) % size, minlength=size)
-        k = np.flatnonzero(total)
-        if len(k):
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(total[k])], ["gram", "n"])
-
-    df = np.zeros(size, np.int64)
-    if size:
+                for part, look, n, size in looks:
+                    at, k = look.find(h, first, n)
+                    text = np.searchsorted(first, at, "right") - 1
+                    totals[part] += np.bincount(np.unique(text * size + k) % size, minlength=size)
+        for part, total in enumerate(totals):
+            k = np.flatnonzero(total)
+            if len(k):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), part)), pa.array(k), pa.array(total[k])], ["part", "gram", "n"])
+
+    df = [np.zeros(len(x.grams), np.int64) for x in block]
+    if block:
         # at most one row for each n-gram of the block reaches the driver
-        for g, m in docs.select(F.col(text_col).alias("text")).mapInArrow(lean(count), "gram long, n long").groupBy("gram").agg(F.sum("n")).collect():
-            df[g] = m
-    items.seeds(df)
+        for part, g, m in docs.select(F.col(text_col).alias("text")).mapInArrow(lean(count), "part long, gram long, n long").groupBy("part", "gram").agg(F.sum("n")).collect():
+            df[part][g] = m
+    for x, d in zip(block, df, strict=True):
+        x.seeds(d)
 
 
 def find(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, least: float = LEAST, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """RESULT's columns for every document and test item of which it holds a copy."""
     out = None
-    for items in _blocks(benchmark, gram, block_bytes):
-        _ready(docs, items, "text")
+    for block in _blocks(benchmark, gram, block_bytes):
+        _ready(docs, block, "text")
 
-        def run(batches, items=items):
+        def run(batches, block=block):
             for b in batches:
                 raw, off = _texts(b, "text")
                 ids = b.column("doc_id").to_pylist()
                 for i, j in _groups(off, STEP):
-                    hits = items.matches(raw[off[i] : off[j]], off[i : j + 1] - off[i], least)
+                    hits = [(ids[i + t], x.ids[k], s, p, q) for x in block for t, k, s, p, q in x.matches(raw[off[i] : off[j]], off[i : j + 1] - off[i], least)]
                     if hits:
-                        cols = zip(*((ids[i + t], items.ids[k], s, p, q) for t, k, s, p, q in hits), strict=True)
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "item_id", "score", "first_word", "last_word"])
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*hits, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "item_id", "score", "first_word", "last_word"])
 
         part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(lean(run), RESULT)
         out = part if out is None else out.unionByName(part)
@@ -296,16 +301,17 @@ def clean(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, least: float
     """docs without the documents that hold a copy of a test item; nothing is shuffled."""
     out = docs
     at = docs.columns.index("text")
-    for items in _blocks(benchmark, gram, block_bytes):
-        _ready(docs, items, "text")
+    for block in _blocks(benchmark, gram, block_bytes):
+        _ready(docs, block, "text")
 
-        def run(batches, items=items):
+        def run(batches, block=block):
             for b in batches:
                 raw, off = _texts(b, at)
                 keep = np.ones(len(off) - 1, bool)
                 for i, j in _groups(off, STEP):
-                    for t, *_ in items.matches(raw[off[i] : off[j]], off[i : j + 1] - off[i], least):
-                        keep[i + t] = False
+                    for x in block:
+                        for t, *_ in x.matches(raw[off[i] : off[j]], off[i : j + 1] - off[i], least):
+                            keep[i + t] = False
                 yield b.filter(pa.array(keep))
 
         out = out.mapInArrow(lean(run), docs.schema)

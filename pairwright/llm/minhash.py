@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import STEP, keyed, lean, mix64, packed, shuffle_parts, text_bytes, unpack, word_hashes, word_spans, written
+from .common import STEP, attached, keyed, lean, mix64, packed, shuffle_parts, text_bytes, unpack, word_hashes, word_spans, written
 from .segments import _groups, _kgrams
 
 WORDS = 5
@@ -297,13 +297,13 @@ def _rest(members: DataFrame, labels: DataFrame, sims: DataFrame, texts: DataFra
     counts = now.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"))
     mixed = counts.groupBy("key").agg(F.max_by("label", F.struct("m", "label")).alias("main"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").drop("kinds")
     # the leader has been compared with every member
-    now = now.join(mixed, "key").where("node != leader").select("key", "node", "leader", "label", (F.col("label") != F.col("main")).cast("int").alias("other"), "n")
+    now = attached(now, "key", mixed).where("node != leader").select("key", "node", "leader", "label", (F.col("label") != F.col("main")).cast("int").alias("other"), "n")
     now = now.join(sims.select(F.col("a").alias("node"), F.col("b").alias("leader"), "s"), ["node", "leader"])
     now = now.withColumn("cell", F.when(F.col("n") > block, F.floor((1 - F.col("s")) / slack)).otherwise(0).cast("int")).join(texts.select("node", "size"), "node")
     now = written(now.select("key", "node", "label", "other", "cell", "size"), "near-open")
     # a bucket that fits a block is compared whole, in one block
     fits = now.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("mb")).select("key", ((F.col("m") <= block) & (F.col("mb") <= block_bytes)).alias("fits"))
-    now = now.join(fits, "key").select("key", "node", "label", F.when(F.col("fits"), 1).otherwise(F.col("other")).alias("other"), F.when(F.col("fits"), 0).otherwise(F.col("cell")).alias("cell"), "size")
+    now = attached(now, "key", fits).select("key", "node", "label", F.when(F.col("fits"), 1).otherwise(F.col("other")).alias("other"), F.when(F.col("fits"), 0).otherwise(F.col("cell")).alias("cell"), "size")
     parts = now.groupBy("key", "other", "cell").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("size") / block_bytes)).cast("int").alias("parts"))
     # all pairs of groups (other, cell) of a bucket that can hold a link, and of their parts
     own = written(parts, "near-parts")
@@ -373,7 +373,7 @@ def classes(docs: DataFrame, least: float = LEAST, block: int = BLOCK, block_byt
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
     buckets = nodes.select("node", F.explode("bands").alias("key"))
     leaders = buckets.groupBy("key").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = written(buckets.join(leaders, "key"), "near-members")
+    members = written(attached(buckets, "key", leaders), "near-members")
 
     pairs = written(members.where("node != leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), "near-pairs")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()

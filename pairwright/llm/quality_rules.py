@@ -2,9 +2,9 @@
 
 Base rules are fixed (too few words, too many words in repeated windows). Beyond them each
 measure of a document is held against fences of its own language and source, taken from
-mergeable quantile sketches over all documents that pass the base rules; a language and
-source with fewer than `fewest` such documents uses its language's fences, and a language
-with fewer the fences of all. A fence is `reach` interquartile ranges, and at least the
+mergeable quantile sketches over all documents that pass the base rules. The quartiles of a
+language and source are blended with its language's, and those with the quartiles of all, by
+counts: what lies above weighs as much as `prior` documents. A fence is `reach` interquartile ranges, and at least the
 measure's slack, beyond the quartile, so a group in which everything is alike rejects nothing.
 
 A sketch is a histogram of high dynamic range: values keep their `DIGITS` leading binary
@@ -28,7 +28,8 @@ WINDOW = 8
 #: Measure: (lower fence wanted, slack). Ratios are rounded so that any engine gives the same.
 MEASURES = {"symbol_ratio": (False, 0.05), "word_length": (True, 1.5), "dup_line_ratio": (False, 0.3), "repeat_ratio": (False, 0.1)}
 REACH = 3.0
-FEWEST = 20
+#: Documents that the quartiles of the coarser group weigh as much as.
+PRIOR = 20
 #: Leading binary digits that a sketch keeps of a value in millionths.
 DIGITS = 11
 BROADCAST_ROWS = 50_000
@@ -103,7 +104,7 @@ def _quartiles(sketch: DataFrame, keys: list[str], prefix: str) -> DataFrame:
     return cut.groupBy(*[F.col(k).alias(f"{prefix}_{k}") for k in keys]).agg(F.max("n").alias(f"{prefix}_n"), *[c.alias(x) for c, x in zip(wide, names, strict=True)])
 
 
-def fences(rows: DataFrame, fewest: int = FEWEST, reach: float = REACH) -> DataFrame:
+def fences(rows: DataFrame, prior: int = PRIOR, reach: float = REACH) -> DataFrame:
     """group and the lower and upper fence of every measure."""
     values = F.array(*[F.struct(F.lit(i).alias("m"), binned(F.col(m)).alias("bin")) for i, m in enumerate(MEASURES)])
     good = rows.where("not base_failed").select("group", "lang", F.explode(values).alias("x")).select("group", "lang", "x.m", "x.bin")
@@ -113,19 +114,20 @@ def fences(rows: DataFrame, fewest: int = FEWEST, reach: float = REACH) -> DataF
     x = x.join(F.broadcast(_quartiles(sketch, [], "a")), F.lit(True), "left")  # one row
     x = x.join(_quartiles(sketch, ["lang"], "t"), F.col("lang").eqNullSafe(F.col("t_lang")), "left")
     out = [F.col("group")]
+    blend = lambda p, m, above: (F.coalesce(f"{p}_n", F.lit(0)) * F.coalesce(m, F.lit(0.0)) + prior * above) / (F.coalesce(f"{p}_n", F.lit(0)) + prior)
     for m, (_, slack) in MEASURES.items():
-        lo, hi = (F.when(F.col("o_n") >= fewest, F.col(f"o_{m}_q{q}")).when(F.col("t_n") >= fewest, F.col(f"t_{m}_q{q}")).otherwise(F.col(f"a_{m}_q{q}")) for q in (1, 3))
+        lo, hi = (blend("o", f"o_{m}_q{q}", blend("t", f"t_{m}_q{q}", F.col(f"a_{m}_q{q}"))) for q in (1, 3))
         width = F.greatest(F.lit(slack), reach * (hi - lo))
         out += [(lo - width).alias(f"{m}_low"), (hi + width).alias(f"{m}_high")]
     return x.select(*out)
 
 
-def judge(docs: DataFrame, fewest: int = FEWEST, reach: float = REACH) -> DataFrame:
+def judge(docs: DataFrame, prior: int = PRIOR, reach: float = REACH) -> DataFrame:
     """Base measures, base_failed and kept for every row of docs."""
     rows = measure(docs).withColumn("group", _key(F.col("lang"), F.col("source")))
     values = {"symbol_ratio": _ratio("n_symbols", "word_chars"), "word_length": _ratio("word_chars", "n_words"), "dup_line_ratio": _ratio("n_dup_lines", "n_lines"), "repeat_ratio": _ratio("n_repeat_words", "n_words")}
     rows = written(rows.withColumns(values), "rules-rows")
-    limits = written(fences(rows, fewest, reach), "rules-fences")
+    limits = written(fences(rows, prior, reach), "rules-fences")
     n = limits.count()
     joined = rows.join(F.broadcast(limits) if n <= BROADCAST_ROWS else limits, "group", "left")
     fine = ~F.col("base_failed")

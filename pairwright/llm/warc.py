@@ -25,7 +25,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, lean, shuffle_parts, written
+from .common import attached, fresh_path, lean, shuffle_parts, written
 
 LEAST = 100
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -40,21 +40,28 @@ def open_fs(path: str):
 
 
 def resolve(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """(page_id, digest, refers_to) of the rows that revisit another row's payload."""
+    """(page_id, digest, refers_to, refers_url) of the rows that revisit another row's payload."""
     payload = F.coalesce(F.col("html"), F.lit(""))
-    heads = pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("n"))
-    heads = heads.where(F.col("n") >= least).select("page_id", "digest")
-    first = heads.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return heads.join(first, "digest").where("refers_to is not null and (page_id is null or page_id > refers_to)").select("page_id", "digest", "refers_to").distinct()
+    page = F.struct(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"))
+    heads = pages.where(F.octet_length(payload) >= least).select(page.alias("page"), F.sha2(payload, 256).alias("digest"))
+    heads = written(heads, "warc-heads")
+    first = heads.groupBy("digest").agg(F.min(F.when(F.col("page.page_id").isNotNull(), F.col("page"))).alias("first"), F.count(F.lit(1)).alias("n"))
+    first = first.where("n > 1 and first is not null").select("digest", F.col("first.page_id").alias("refers_to"), F.col("first.url").alias("refers_url"))
+    again = attached(heads.select("digest", F.col("page.page_id").alias("page_id")), "digest", first)
+    return again.where("page_id is null or page_id > refers_to").select("page_id", "digest", "refers_to", "refers_url").distinct()
 
 
 def _record_id(page_id, digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}/{digest}')}>"
 
 
-def record(page_id, url, payload: bytes, digest: str, refers_to, date: str) -> bytes:
+def _uri(url: str | None) -> str:
+    return quote(url or "about:blank", safe=":/?#[]@!$&'()*+,;=%~-._")
+
+
+def record(page_id, url, payload: bytes, digest: str, refers_to, date: str, refers_url: str | None = None) -> bytes:
     """One WARC/1.1 record."""
-    uri = quote(url or "about:blank", safe=":/?#[]@!$&'()*+,;=%~-._")
+    uri = _uri(url)
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     revisit = refers_to is not None
     block = http if revisit else http + payload
@@ -62,7 +69,7 @@ def record(page_id, url, payload: bytes, digest: str, refers_to, date: str) -> b
     if page_id is not None:
         head.append(f"WARC-Page-ID: {page_id}")
     if revisit:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_record_id(refers_to, digest)}", f"WARC-Refers-To-Page-ID: {refers_to}"]
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_record_id(refers_to, digest)}", f"WARC-Refers-To-Target-URI: {_uri(refers_url)}", f"WARC-Refers-To-Date: {date}", f"WARC-Refers-To-Page-ID: {refers_to}"]
     head.append(f"Content-Length: {len(block)}")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -71,22 +78,22 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST, date: str =
     """Write the archives under path; manifest (file, records) of the committed files."""
     digest = F.sha2(F.coalesce(F.col("html"), F.lit("")), 256)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), digest.alias("digest"))
-    again = resolve(pages, least).select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "refers_to")
+    again = resolve(pages, least).select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "refers_to", "refers_url")
     # the join deals rows out by id as well, so equal payloads do not meet in one task
     rows = rows.join(again, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")), "left")
-    rows = rows.select("page_id", "url", "html", "digest", "refers_to").sortWithinPartitions("page_id")
+    rows = rows.select("page_id", "url", "html", "digest", "refers_to", "refers_url").sortWithinPartitions("page_id")
 
     def run(batches):
         fs, root = open_fs(path)
         fs.create_dir(root, recursive=True)
         out, name, n, size = None, None, 0, 0
         for b in batches:
-            for r in zip(b.column("page_id").to_pylist(), *(b.column(c).to_numpy(zero_copy_only=False).tolist() for c in ("url", "html", "digest")), b.column("refers_to").to_pylist(), strict=True):
+            for r in zip(b.column("page_id").to_pylist(), *(b.column(c).to_numpy(zero_copy_only=False).tolist() for c in ("url", "html", "digest")), b.column("refers_to").to_pylist(), b.column("refers_url").to_pylist(), strict=True):
                 if out is None:
                     name, n, size = f"part-{uuid.uuid4().hex}.warc.gz", 0, 0
                     out = fs.open_output_stream(f"{root}/{name}", compression=None)
                 z = zlib.compressobj(1, zlib.DEFLATED, 31)
-                data = z.compress(record(r[0], r[1], (r[2] or "").encode(), r[3], r[4], date)) + z.flush()
+                data = z.compress(record(r[0], r[1], (r[2] or "").encode(), r[3], r[4], date, r[5])) + z.flush()
                 out.write(data)
                 n, size = n + 1, size + len(data)
                 if size >= ARCHIVE_BYTES:

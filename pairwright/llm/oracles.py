@@ -1,7 +1,9 @@
-"""SQL of the trie, spelling and secret queries."""
+"""SQL of the chat, trie, spelling and secret queries."""
 
 from __future__ import annotations
 
+from .chat_format import ALIASES, FINAL, INSERT, MOVES, PATHS, ROLES, START
+
 #: CRC-32 of a string, by a table of 256 values.
 _TABLE = """crc0(k, v, s) AS (SELECT k, k, 0 FROM range(256) x(k) UNION ALL SELECT k, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, s + 1 FROM crc0 WHERE s < 8),
 crct AS (SELECT list(v ORDER BY k) AS crcl FROM crc0 WHERE s = 8)"""
@@ -66,4 +68,23 @@ s AS ({" UNION ALL ".join(f"SELECT * FROM o{i}" for i in range(len(_KINDS)))}),
 f AS (SELECT r, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, k) FILTER (k < 3) AS base, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, k) AS spans FROM s GROUP BY r)
 SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN f USING (r)"""
 
-SQL = {"op11_conversation_trie": TRIE, "op12_spelling_variants": SPELLING, "op13_secret_scan": SECRETS}
+# The automaton's moves as rows: from a state with a turn's role at a cost to the next state, with empty turns before.
+_EMPTY = [f"<|im_start|>{r}\n<|im_end|>\n" for r in ROLES]
+_text = lambda s: "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+_MOVES = ", ".join(f"({s}, {r}, {k}, {c}, {t}, {len(p)}, {a}, {_text(''.join(_EMPTY[i] for i in p))}, '{ROLES[t]}')" for (s, r), ms in MOVES.items() for k, (c, t, p, a) in enumerate(ms))
+_TAILS = ", ".join(f"({s}, {INSERT * len(p)}, {len(p)}, {k}, {_text(''.join(_EMPTY[i] for i in p))})" for s in PATHS for k, p in enumerate(sorted(p for p, t in PATHS[s] if t in FINAL)) if s != START)
+_ROLE = "CASE regexp_replace(lower(coalesce(role, '')), '^\\s+|\\s+$', '', 'g') " + " ".join(f"WHEN '{w}' THEN {ROLES.index(r)}" for w, r in [*ALIASES.items(), *zip(ROLES, ROLES, strict=True)]) + " ELSE -1 END"
+CHATS = f"""
+WITH RECURSIVE move(state, role, ord, cost, next, empty, action, before, name) AS (VALUES {_MOVES}), tail(state, cost, empty, ord, after) AS (VALUES {_TAILS}),
+t AS (SELECT coalesce(conv_id::VARCHAR, 'null') AS k, conv_id, {_ROLE} AS role, replace(coalesce(text, ''), '<|', '< |') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role NULLS LAST, text NULLS LAST) AS i FROM conversations),
+g AS (SELECT k, any_value(conv_id) AS conv_id, count(*) AS n_turns, string_agg(CASE role WHEN 0 THEN 's' WHEN 1 THEN 'u' WHEN 2 THEN 'a' ELSE '?' END, '' ORDER BY i) AS roles FROM t GROUP BY k),
+p(k, i, state, cost, merged, relabeled, empty, rendered) AS (SELECT k, 0::BIGINT, {START}, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, '' FROM g UNION ALL
+  SELECT p.k, t.i, m.next, p.cost + m.cost, merged + (action = 1)::BIGINT, relabeled + (action = 2)::BIGINT, p.empty + m.empty,
+         p.rendered || CASE WHEN action = 1 THEN chr(10) ELSE CASE WHEN p.i > 0 THEN '<|im_end|>' || chr(10) ELSE '' END || before || '<|im_start|>' || name || chr(10) END || t.text
+  FROM p JOIN t ON t.k = p.k AND t.i = p.i + 1 JOIN move m ON m.state = p.state AND m.role = t.role
+  QUALIFY row_number() OVER (PARTITION BY p.k, m.next ORDER BY p.cost + m.cost, p.state, m.ord) = 1),
+e AS (SELECT p.*, g.conv_id, n_turns, roles, p.cost + tail.cost AS total, tail.empty AS more, tail.after FROM p JOIN g ON g.k = p.k AND g.n_turns = p.i JOIN tail ON tail.state = p.state
+      QUALIFY row_number() OVER (PARTITION BY p.k ORDER BY p.cost + tail.cost, tail.empty, p.state, tail.ord) = 1)
+SELECT conv_id, n_turns, (n_turns - merged + empty + more)::BIGINT AS n_out, total::BIGINT AS cost, merged AS n_merged, relabeled AS n_relabeled, (empty + more)::BIGINT AS n_inserted, roles, sha256(rendered || '<|im_end|>' || chr(10) || after) AS rendered_sha256 FROM e"""
+
+SQL = {"op7_chat_format": CHATS, "op11_conversation_trie": TRIE, "op12_spelling_variants": SPELLING, "op13_secret_scan": SECRETS}

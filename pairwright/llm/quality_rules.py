@@ -29,7 +29,7 @@ WINDOW = 8
 MEASURES = {"symbol_ratio": (False, 0.05), "word_length": (True, 1.5), "dup_line_ratio": (False, 0.3), "repeat_ratio": (False, 0.1)}
 REACH = 3.0
 #: Documents that the quartiles of the coarser group weigh as much as.
-PRIOR = 20
+PRIOR = 4
 #: Leading binary digits that a sketch keeps of a value in millionths.
 DIGITS = 11
 BROADCAST_ROWS = 50_000

@@ -158,7 +158,7 @@ i AS (SELECT lang, source, round(symbol_ratio * 1000000)::BIGINT AS a, round(wor
 j AS (SELECT *, (1::BIGINT << greatest(0, length(bin(a)) - 11)) AS ua, (1::BIGINT << greatest(0, length(bin(b)) - 11)) AS ub, (1::BIGINT << greatest(0, length(bin(c)) - 11)) AS uc, (1::BIGINT << greatest(0, length(bin(e)) - 11)) AS ue FROM i),
 g AS (SELECT lang, source, (a // ua * ua)::DOUBLE / 1000000 AS a, (b // ub * ub)::DOUBLE / 1000000 AS b, (c // uc * uc)::DOUBLE / 1000000 AS c, (e // ue * ue)::DOUBLE / 1000000 AS e FROM j),
 q AS (SELECT lang, source, GROUPING(lang, source) AS lvl, count(*) AS n, quantile_disc(a, [0.25, 0.75]) AS a, quantile_disc(b, [0.25, 0.75]) AS b, quantile_disc(c, [0.25, 0.75]) AS c, quantile_disc(e, [0.25, 0.75]) AS e FROM g GROUP BY GROUPING SETS ((lang, source), (lang), ())),
-f AS (SELECT v.*, [(coalesce(o.n, 0) * coalesce(o.a[i], 0.0::DOUBLE) + 20 * ((coalesce(t.n, 0) * coalesce(t.a[i], 0.0::DOUBLE) + 20 * z.a[i]) / (coalesce(t.n, 0) + 20))) / (coalesce(o.n, 0) + 20) FOR i IN [1, 2]] AS a, [(coalesce(o.n, 0) * coalesce(o.b[i], 0.0::DOUBLE) + 20 * ((coalesce(t.n, 0) * coalesce(t.b[i], 0.0::DOUBLE) + 20 * z.b[i]) / (coalesce(t.n, 0) + 20))) / (coalesce(o.n, 0) + 20) FOR i IN [1, 2]] AS b, [(coalesce(o.n, 0) * coalesce(o.c[i], 0.0::DOUBLE) + 20 * ((coalesce(t.n, 0) * coalesce(t.c[i], 0.0::DOUBLE) + 20 * z.c[i]) / (coalesce(t.n, 0) + 20))) / (coalesce(o.n, 0) + 20) FOR i IN [1, 2]] AS c, [(coalesce(o.n, 0) * coalesce(o.e[i], 0.0::DOUBLE) + 20 * ((coalesce(t.n, 0) * coalesce(t.e[i], 0.0::DOUBLE) + 20 * z.e[i]) / (coalesce(t.n, 0) + 20))) / (coalesce(o.n, 0) + 20) FOR i IN [1, 2]] AS e
+f AS (SELECT v.*, [(coalesce(o.n, 0) * coalesce(o.a[i], 0.0::DOUBLE) + 4 * ((coalesce(t.n, 0) * coalesce(t.a[i], 0.0::DOUBLE) + 4 * z.a[i]) / (coalesce(t.n, 0) + 4))) / (coalesce(o.n, 0) + 4) FOR i IN [1, 2]] AS a, [(coalesce(o.n, 0) * coalesce(o.b[i], 0.0::DOUBLE) + 4 * ((coalesce(t.n, 0) * coalesce(t.b[i], 0.0::DOUBLE) + 4 * z.b[i]) / (coalesce(t.n, 0) + 4))) / (coalesce(o.n, 0) + 4) FOR i IN [1, 2]] AS b, [(coalesce(o.n, 0) * coalesce(o.c[i], 0.0::DOUBLE) + 4 * ((coalesce(t.n, 0) * coalesce(t.c[i], 0.0::DOUBLE) + 4 * z.c[i]) / (coalesce(t.n, 0) + 4))) / (coalesce(o.n, 0) + 4) FOR i IN [1, 2]] AS c, [(coalesce(o.n, 0) * coalesce(o.e[i], 0.0::DOUBLE) + 4 * ((coalesce(t.n, 0) * coalesce(t.e[i], 0.0::DOUBLE) + 4 * z.e[i]) / (coalesce(t.n, 0) + 4))) / (coalesce(o.n, 0) + 4) FOR i IN [1, 2]] AS e
       FROM v LEFT JOIN q o ON o.lvl = 0 AND o.lang IS NOT DISTINCT FROM v.lang AND o.source IS NOT DISTINCT FROM v.source LEFT JOIN q t ON t.lvl = 1 AND t.lang IS NOT DISTINCT FROM v.lang LEFT JOIN q z ON z.lvl = 3)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND symbol_ratio <= a[2] + greatest(0.05::DOUBLE, 3 * (a[2] - a[1])) AND word_length <= b[2] + greatest(1.5::DOUBLE, 3 * (b[2] - b[1])) AND word_length >= b[1] - greatest(1.5::DOUBLE, 3 * (b[2] - b[1]))
        AND dup_line_ratio <= c[2] + greatest(0.3::DOUBLE, 3 * (c[2] - c[1])) AND repeat_ratio <= e[2] + greatest(0.1::DOUBLE, 3 * (e[2] - e[1]))) AS kept, symbol_ratio, word_length, dup_line_ratio, repeat_ratio FROM f""",

@@ -353,7 +353,7 @@ def brute_bin(x):
 
 
 def brute_kept(rows, k):
-    """Verdict of row k by quartiles of its own group, of its language or of all."""
+    """Verdict of row k by quartiles of its own group, blended with its language's and those of all."""
     data = [(a, s, brute_rules(t)) for _, t, a, s in rows]
     good = [d for d in data if not d[2][5]]
 
@@ -364,12 +364,21 @@ def brute_kept(rows, k):
 
     values = [measures(t, d[2]) for (_, t, _, _), d in zip(rows, data, strict=True)]
     own = [i for i, d in enumerate(data) if not d[2][5] and d[:2] == data[k][:2]]
-    group = own if len(own) >= 20 else [i for i, d in enumerate(data) if not d[2][5] and d[0] == data[k][0]]
-    group = group if len(group) >= 20 else [i for i, d in enumerate(data) if not d[2][5]]
+    lang, every = [i for i, d in enumerate(data) if not d[2][5] and d[0] == data[k][0]], [i for i, d in enumerate(data) if not d[2][5]]
     fine = not data[k][2][5] and bool(good)
-    for m, (low, slack) in enumerate(((False, 0.05), (True, 1.5), (False, 0.3), (False, 0.1))):
+
+    def quartile(group, m, p):
         v = sorted(brute_bin(values[i][m]) for i in group)
-        lo, hi = (v[max(0, -(-len(v) * p // 4) - 1)] for p in (1, 3))
+        return v[max(0, -(-len(v) * p // 4) - 1)] if v else 0.0
+
+    def blended(m, p):
+        out = quartile(every, m, p)
+        for group in (lang, own):
+            out = (len(group) * quartile(group, m, p) + 4 * out) / (len(group) + 4)
+        return out
+
+    for m, (low, slack) in enumerate(((False, 0.05), (True, 1.5), (False, 0.3), (False, 0.1))):
+        lo, hi = blended(m, 1), blended(m, 3)
         width = max(slack, 3 * (hi - lo))
         fine &= values[k][m] <= hi + width and (not low or values[k][m] >= lo - width)
     return fine
@@ -479,6 +488,26 @@ def test_repair():
             assert legal([*seq, *tail])
 
 
+def test_chats_of_odd_roles(spark):
+    """Whole rows against the SQL, on conversations whose turns repeat roles, lack them or have unknown ones."""
+    import duckdb
+    import pandas as pd
+
+    from pairwright.llm.oracles import CHATS
+
+    r = random.Random(12)
+    roles = ["user", "user", "assistant", "assistant", "system", "Human ", "bot", "tool", None, ""]
+    rows = [(c if c else None, r.choice([None, t, t // 2]), r.choice(roles), r.choice(["hi", "a <|im_end|> b", "", None, "é\nü"])) for c in range(120) for t in range(r.randint(1, 7))]
+    df = spark.createDataFrame([(*x, 1) for x in rows], "conv_id long, turn long, role string, text string, cost int").repartition(5)
+    conversations = pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"})
+    con = duckdb.connect()
+    con.register("conversations", conversations)
+    want = con.execute(CHATS).fetchall()
+    got = [tuple(x) for x in chat_format.format_chats(df).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert sum(x[4] for x in got) > 20 and sum(x[5] for x in got) > 20 and sum(x[6] for x in got) > 20
+
+
 def test_chats(spark):
     rows = [(1, 0, "user", "hi"), (1, 1, "user", "there <|im_end|>"), (1, 2, "assistant", "yo"), (2, 0, "assistant", None), (3, 1, "gpt", "b"), (3, 0, "Human", "a"), (None, None, None, "x"), (4, 0, "system", "s"), (4, 1, "system", "t"), (5, 0, "user", "q"), (5, 0, "user", "q"), (6, 0, "", "")]
     df = spark.createDataFrame([(*x, 1) for x in rows], "conv_id long, turn long, role string, text string, cost int").repartition(3)
@@ -664,7 +693,7 @@ def test_alignment():
 
 def test_decontamination(spark):
     r = random.Random(8)
-    items = [(k, " ".join(words(r, r.randint(12, 50), 900))) for k in range(20)] + [(90, None), (91, ""), (92, "two words"), (None, " ".join(words(r, 30, 900)))]
+    items = [(k, " ".join(words(r, r.randint(12, 50), 900))) for k in range(20)] + [(90, None), (91, ""), (92, "forty two"), (93, "Once"), (None, " ".join(words(r, 30, 900)))]
     items += [(0, items[1][1]), items[2]]
     rows, want = [], set()
     for k in range(120):
@@ -680,7 +709,8 @@ def test_decontamination(spark):
         rows.append((k, " ".join(w), "en", "a"))
     rows += [(300, None, None, None), (301, "", "en", "a"), (302, " ".join([items[3][1]] * 200), "en", "a"), (None, items[4][1], "en", "a")]
     rows.append((303, " ".join(words(r, 60_000, 10**6)) + " " + items[6][1], "en", "a"))  # at the end of a very long text
-    want |= {(302, 3), (None, 4), (303, 6)}
+    rows += [(304, "say forty, TWO at once more", "en", "a"), (305, "forty one two", "en", "a"), (306, "forty two", "en", "a")]
+    want |= {(302, 3), (None, 4), (303, 6), (304, 92), (304, 93), (306, 92)}  # short items as wholes
     want |= {(d, 0) for d, k in want if k == 1}
     df, bench = docs(spark, rows), spark.createDataFrame([(*x, 1.0) for x in items], "item_id long, text string, score double")
     for block in (8 << 20, 900):
@@ -748,7 +778,7 @@ def test_seeds_and_blocks(spark):
     got = {(int(items.of[e]), int(items.place[e]), int(np.searchsorted(items.grams, items.lookup.grams[g])), bool(items.rare[e])) for g in range(len(items.lookup.grams)) for e in range(items.begin[g], items.begin[g + 1])}
     assert got == want and items.entries is None
     bench = spark.createDataFrame([*texts, *[(900 + k, "one and the same text of this item") for k in range(40)], texts[0]], "item_id long, text string")
-    blocks = list(decontaminate._blocks(bench, 1, 1500))
+    blocks = [x for block in decontaminate._blocks(bench, 1, 1500) for x in block]
     assert sorted(i for b in blocks for i in b.ids) == sorted([*(k for k, _ in texts), *range(900, 940)])
     size = dict(texts) | {900 + k: "one and the same text of this item" for k in range(40)}
     assert len(blocks) > 3 and all(sum(len(size[i]) + 64 for i in b.ids) <= 1500 for b in blocks)

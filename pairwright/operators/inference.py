@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import running
 from .sampling import hash_fraction
 
 # Two-sided 95 % quantiles of Student's t for 1 to 30 degrees of freedom.
@@ -80,20 +81,18 @@ def auc_difference(scores: DataFrame, a: str, b: str, replicates: int = 50, seed
     r = both.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(replicates))))
     r = r.withColumn("w", F.when(F.col("r") == 0, 1).otherwise(poisson_weight(F.col("r"), F.col("id").cast("string"), seed)))
     by = r.groupBy("side", "r", "score").agg(F.sum(F.when(F.col("label") == 1, F.col("w")).otherwise(0)).alias("p"), F.sum(F.when(F.col("label") != 1, F.col("w")).otherwise(0)).alias("q"))
-    below = F.sum("q").over(Window.partitionBy("side", "r").orderBy("score").rowsBetween(Window.unboundedPreceding, 0)) - F.col("q")
-    auc = by.withColumn("won", F.col("p") * (below + F.col("q") / 2.0)).groupBy("side", "r").agg((F.sum("won") / F.nullif(F.sum("p") * F.sum("q"), F.lit(0))).alias("auc"))
+    by = running(by, ["side", "r"], [F.col("score")], {"upto": "q"})
+    auc = by.withColumn("won", F.col("p") * (F.col("upto") - F.col("q") / 2.0)).groupBy("side", "r").agg((F.sum("won") / F.nullif(F.sum("p") * F.sum("q"), F.lit(0))).alias("auc"))
     d = auc.groupBy("r").agg((F.max(F.when(F.col("side") == "a", F.col("auc"))) - F.max(F.when(F.col("side") == "b", F.col("auc")))).alias("d"))
     draws = F.when(F.col("r") > 0, F.col("d"))
     return d.agg(F.max(F.when(F.col("r") == 0, F.col("d"))).alias("difference"), F.count(draws).alias("valid"), F.percentile(draws, 0.025).alias("low"), F.percentile(draws, 0.975).alias("high"))
 
 
 def auc_bootstrap(scores: DataFrame, key: str, replicates: int = 50, seed: int = 7) -> DataFrame:
-    """Area under the ROC curve of resampled rows, by key: mean and percentiles. Rows of one label and score (to four decimals) are
-    drawn together."""
-    ties = scores.groupBy(key, "label", "score").agg(F.count(F.lit(1)).alias("n"))
-    r = ties.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    w = F.col("n") * poisson_weight(F.col("r"), F.concat_ws("/", F.col("label").cast("string"), F.round(F.col("score") * 10_000).cast("long").cast("string")), seed)
+    """Area under the ROC curve of resampled rows (id, label, score), by key: mean and percentiles. Every row has draws of its own."""
+    r = scores.select(key, "id", "label", "score").withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    w = poisson_weight(F.col("r"), F.col("id").cast("string"), seed)
     by = r.withColumn("w", w).groupBy(key, "r", "score").agg(F.sum(F.when(F.col("label") == 1, F.col("w")).otherwise(0)).alias("p"), F.sum(F.when(F.col("label") != 1, F.col("w")).otherwise(0)).alias("q"))
-    below = F.sum("q").over(Window.partitionBy(key, "r").orderBy("score").rowsBetween(Window.unboundedPreceding, 0)) - F.col("q")
-    a = by.withColumn("won", F.col("p") * (below + F.col("q") / 2.0)).groupBy(key, "r").agg((F.sum("won") / F.nullif(F.sum("p") * F.sum("q"), F.lit(0))).alias("auc"))
+    by = running(by, [key, "r"], [F.col("score")], {"upto": "q"})
+    a = by.withColumn("won", F.col("p") * (F.col("upto") - F.col("q") / 2.0)).groupBy(key, "r").agg((F.sum("won") / F.nullif(F.sum("p") * F.sum("q"), F.lit(0))).alias("auc"))
     return a.groupBy(key).agg(F.count("auc").alias("valid"), F.avg("auc").alias("mean"), F.percentile("auc", 0.025).alias("low"), F.percentile("auc", 0.975).alias("high"))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
+from ..sources.storage import stored
 from .ordered import quantiles, running, same
 
 
@@ -251,15 +255,34 @@ def ordered_names(names: DataFrame, column: str, priority: dict[str, int]) -> Da
     return names.select(column).distinct().withColumn("place", F.row_number().over(Window.orderBy(p, column)))
 
 
-def ranking_loss(scores: DataFrame, digits: int = 3) -> DataFrame:
-    """Mean of ln(1 + exp(negative - positive)) over all pairs of a positive and a negative score, and the number of pairs.
+#: Scores of a label that a block holds at most.
+BLOCK = 2048
 
-    Scores between 0 and 1 are counted on a grid of `digits` decimals, so at most 10**digits + 1 values a side are paired.
+
+def ranking_loss(scores: DataFrame, keys: list[str], block: int = BLOCK) -> DataFrame:
+    """keys, pairs, loss: the mean of ln(1 + exp(negative - positive)) over all pairs of a positive and a negative score of a
+    batch; 0 where a batch lacks one of them.
+
+    Both labels of a batch are dealt to blocks of about `block` rows, and every two blocks meet in one group, so a batch of any
+    size is spread; a group gives two sums. Rows without a score take no part.
     """
-    g = scores.groupBy(F.round("score", digits).alias("s")).agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") != 1).alias("n"))
-    a, b = g.where("p > 0").select(F.col("s").alias("x"), "p"), g.where("n > 0").select(F.col("s").alias("y"), "n")
-    w = F.col("p") * F.col("n")
-    return a.join(F.broadcast(b), F.col("y") > -float("inf")).agg(F.sum(w).alias("pairs"), (F.sum(w * F.log1p(F.exp(F.col("y") - F.col("x")))) / F.sum(w)).alias("loss"))
+    df = scores.where(F.col("score").isNotNull() & F.col("label").isNotNull()).select(*keys, (F.col("label") == 1).alias("_y"), F.col("score").cast("double").alias("_s"))
+    df = stored(df.withColumn("_r", F.monotonically_increasing_id()), "losses")
+    n = df.groupBy(*keys).agg(*[F.greatest(F.lit(1), F.ceil(F.count_if(c) / block)).cast("int").alias(f"_{k}") for k, c in (("p", F.col("_y")), ("q", ~F.col("_y")))])
+    df = same(df, n, keys)
+    own = F.pmod(F.xxhash64("_r"), F.when(F.col("_y"), F.col("_p")).otherwise(F.col("_q"))).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.when(F.col("_y"), F.col("_q")).otherwise(F.col("_p")) - 1))
+    met = df.select(*keys, "_y", "_s", own.alias("_own"), other.alias("_other"))
+    met = met.select(*keys, "_y", "_s", F.when(F.col("_y"), F.col("_own")).otherwise(F.col("_other")).alias("_i"), F.when(F.col("_y"), F.col("_other")).otherwise(F.col("_own")).alias("_j"))
+    blocks = met.groupBy(*keys, "_i", "_j").agg(*[F.sort_array(F.collect_list(F.when(c, F.col("_s")))).alias(k) for k, c in (("_a", F.col("_y")), ("_b", ~F.col("_y")))])
+
+    @F.pandas_udf(DoubleType())
+    def total(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([float(sum(np.logaddexp(0, ys - x).sum() for x in xs)) if len(ys) else 0.0 for xs, ys in zip(a, b, strict=True)], dtype="float64")
+
+    part = blocks.select(*keys, (F.size("_a").cast("long") * F.size("_b")).alias("_n"), total("_a", "_b").alias("_t"))
+    out = part.groupBy(*keys).agg(F.sum("_n").alias("pairs"), F.sum("_t").alias("_t"))
+    return out.select(*keys, "pairs", F.when(F.col("pairs") > 0, F.col("_t") / F.col("pairs")).otherwise(F.lit(0.0)).alias("loss"))
 
 
 def single_valued(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:

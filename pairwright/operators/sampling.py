@@ -11,8 +11,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.storage import numbered
-from .ordered import draw, numbered_by
+from ..sources.storage import numbered, stored
+from .ordered import draw, numbered_by, running
 
 
 def hash_rank(id_col: Column, seed) -> Column:
@@ -191,24 +191,44 @@ def greedy_cover(pairs: DataFrame, n: int, seed) -> DataFrame:
 
 
 def budget_select(pairs: DataFrame, n: int, budget: int, seed) -> DataFrame:
-    """n pairs in hash order with at most `budget` distinct endpoints in all.
+    """n pairs in hash order with at most `budget` distinct endpoints in all; no limit of either where it is 0.
 
-    Pairs are taken in order while the budget lasts; of the n first ones the endpoints are known then, but for one that may
-    still fit. Any later pair of these endpoints is taken too. Only n pairs and one more reach the driver.
+    What a pass in order does: it takes each pair whose new endpoints fit, and then passed-over pairs whose ends it has by
+    then. Up to the first pair that does not fit all are taken, which is where the running number of first occurrences exceeds
+    the budget. One endpoint may be free then: the first pair that brings just one takes it. After that only pairs between
+    known endpoints fit. So two ranks and one endpoint decide every pair; no list of them leaves the tables.
     """
-    h = pairs.select("left_id", "right_id", hash_rank(F.concat_ws("/", "left_id", "right_id"), seed).alias("_h"))
     order = ["_h", "left_id", "right_id"]
-    seen, stop = set(), None
-    for r in h.orderBy(*order).limit(n).collect():
-        if len(seen | {r.left_id, r.right_id}) > budget:
-            stop = r._h
-            break
-        seen |= {r.left_id, r.right_id}
-    inside = lambda c: F.col(c).isin(*seen)
-    if stop is not None and len(seen) < budget:
-        more = h.where((F.col("_h") >= stop) & (inside("left_id") != inside("right_id") if seen else F.col("left_id") == F.col("right_id"))).orderBy(*order).limit(1).collect()
-        seen |= {x for r in more for x in (r.left_id, r.right_id)}
-    return h.where(inside("left_id") & inside("right_id")).orderBy(*order).limit(n).select("left_id", "right_id")
+    h = pairs.select("left_id", "right_id", hash_rank(F.concat_ws("/", "left_id", "right_id"), seed).alias("_h"))
+    ends = [F.least("left_id", "right_id").alias("_a"), F.greatest("left_id", "right_id").alias("_b")]
+    h = h.groupBy(*ends).agg(F.min(F.struct(*order)).alias("_x")).select("_x.*")
+    limit = F.lit(n if n > 0 else (1 << 62))
+    ranked = stored(numbered(h, [F.col(c) for c in order], "_k").drop("_h"), "ranked")
+    if budget <= 0:
+        return ranked.where(F.col("_k") <= limit).select("left_id", "right_id")
+    first = ranked.select(F.explode(F.array("left_id", "right_id")).alias("_e"), "_k").groupBy("_e").agg(F.min("_k").alias("_f"))
+    first = stored(first, "first")
+    for side in ("left", "right"):
+        ranked = ranked.join(first.select(F.col("_e").alias(f"{side}_id"), F.col("_f").alias(f"_{side}")), f"{side}_id")
+    itself = F.col("left_id") == F.col("right_id")
+    new = (F.col("_left") == F.col("_k")).cast("long") + ((F.col("_right") == F.col("_k")) & ~itself).cast("long")
+    seen = stored(running(ranked, [], [F.col("_k")], {"_seen": new}), "seen")
+    stop = seen.where(F.col("_seen") > budget).agg(F.min("_k").alias("k")).first().k
+    if stop is None:
+        return seen.where(F.col("_k") <= limit).select("left_id", "right_id")
+    known = [F.col(f"_{side}") < stop for side in ("left", "right")]
+    have = seen.where(F.col("_k") < stop).agg(F.coalesce(F.max("_seen"), F.lit(0)).alias("n")).first().n
+    last = None
+    if have < budget:  # by one
+        one = seen.where((F.col("_k") >= stop) & ((known[0] != known[1]) | (itself & ~known[0])))
+        last = one.orderBy("_k").select("_k", F.when(known[0], F.col("right_id")).otherwise(F.col("left_id")).alias("x")).first()
+    late = F.lit(False)
+    inside = known
+    if last is not None:
+        inside = [k | (F.col(f"{side}_id") == F.lit(last.x)) for k, side in zip(known, ("left", "right"), strict=True)]
+        late = (F.col("_k") < last._k) & ~(known[0] & known[1]) & (F.col("_k") >= stop)
+    taken = seen.where((F.col("_k") < stop) | (inside[0] & inside[1])).withColumn("_late", late)
+    return taken.orderBy("_late", "_k").limit(n).select("left_id", "right_id") if n > 0 else taken.select("left_id", "right_id")
 
 
 def fixed_sample(df: DataFrame, label: str, id_col: str, n: int, seed) -> DataFrame:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import spectra as V
 from ..functions import text as X
 from ..operators import graphs as G
+from ..operators import matrices as M2
 from ..operators import records as C
 from ..operators import relational as R
 from ..operators import sampling as P
@@ -196,33 +196,29 @@ def result_inventory(spark, sf_dir):
     return A.table(spark, sf_dir, "orders").select("o_orderkey", F.sha2(F.concat_ws("|", F.col("o_orderkey").cast("string"), "o_orderstatus", "o_orderpriority"), 256).alias("result_sha256"))
 
 
-def effective_rank(vectors: np.ndarray | None = None, *, count: int = 0, total: np.ndarray | None = None, gram: np.ndarray | None = None) -> float:
-    """exp of the entropy of the squared singular values of centred rows, from their sums and products alone."""
-    if vectors is not None:
-        count, total, gram = len(vectors), vectors.sum(0), vectors.T @ vectors
-    centred = gram - np.outer(total, total) / max(count, 1)
-    mass = np.maximum(np.linalg.eigvalsh(centred), 0)
-    if mass.max(initial=0) <= 1e-24:
-        return 0.0
-    mass = mass / mass.sum()
-    return float(np.exp(-(mass * np.log(np.maximum(mass, 1e-30))).sum()))
+_UNIT = "u AS (SELECT list_transform(e, lambda x: x / greatest(n, 1e-12::DOUBLE)) AS v FROM (SELECT e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM (SELECT list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings)))"
+
+
+def _units(spark, sf_dir):
+    e = A.table(spark, sf_dir, "embeddings").select(F.transform("embedding", lambda x: x.cast("double")).alias("v")).withColumn("n", V.norm(F.col("v")))
+    return e.select(F.transform("v", lambda x: x / F.greatest(F.col("n"), F.lit(1e-12))).alias("v"))
+
+
+@query(f"""WITH {_UNIT}, x AS (SELECT row_number() OVER () AS r, v FROM u), y AS (SELECT r, unnest(range(len(v))) AS i, unnest(v) AS x FROM x),
+g AS (SELECT a.i, b.i AS j, sum(a.x * b.x) AS g FROM y a JOIN y b USING (r) GROUP BY a.i, b.i), t AS (SELECT sum(x) AS t FROM y GROUP BY i)
+SELECT round(sum(g) FILTER (i = j), 5) AS trace, round(sum(g * g), 4) AS squared_norm, (SELECT round(sum(t * t), 4) FROM t) AS squared_total, (SELECT count(*) FROM u) AS codes FROM g""")
+def gram_norms(spark, sf_dir):
+    """What the Gram matrix of unit vectors and their totals sum to."""
+    c = M2.gram(_units(spark, sf_dir), "v")
+    g, inside = F.col("g"), F.col("j") >= 0
+    return c.agg(F.round(F.sum(F.when(inside & (F.col("i") == F.col("j")), g)), 5).alias("trace"), F.round(F.sum(F.when(inside, g * g)), 4).alias("squared_norm"), F.round(F.sum(F.when(~inside & (F.col("i") >= 0), g * g)), 4).alias("squared_total"), F.sum(F.when(F.col("i") < 0, g)).cast("long").alias("codes"))
 
 
 @query()
 def spectral_rank(spark, sf_dir):
-    """Effective rank of unit vectors: sums and products by dimension are aggregated, a matrix of their size is solved."""
-    e = A.table(spark, sf_dir, "embeddings").select(F.transform("embedding", lambda x: x.cast("double")).alias("v")).withColumn("n", V.norm(F.col("v")))
-    u = e.select(F.transform("v", lambda x: x / F.greatest(F.col("n"), F.lit(1e-12))).alias("v"))
-    i = u.select("v", F.posexplode("v").alias("i", "x"))
-    p = i.select("i", "x", F.posexplode("v").alias("j", "y")).groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("g"))
-    d = max(r.i for r in p.select("i").distinct().collect()) + 1  # dimensions
-    gram, total = np.zeros((d, d)), np.zeros(d)
-    for r in p.collect():  # one row for each pair of dimensions
-        gram[r.i, r.j] = r.g
-    for r in i.groupBy("i").agg(F.sum("x").alias("t")).collect():
-        total[r.i] = r.t
-    n = u.count()
-    return spark.createDataFrame([(n, d, round(effective_rank(count=n, total=total, gram=gram), 6))], "codes long, dimensions int, effective_rank double")
+    """Effective rank of unit vectors: a matrix of their length is summed and solved."""
+    n, d, rank = M2.spectral_rank(_units(spark, sf_dir), "v")
+    return spark.createDataFrame([(n, d, round(rank, 6))], "codes long, dimensions int, effective_rank double")
 
 
 @query(f"""{PSS_SQL}, h AS ({METRIC_SQL['heat_kernel'].replace('WITH ' + A.SQL_PAIRS + ',', 'WITH', 1)})

@@ -136,10 +136,12 @@ def method_lookup(spark, sf_dir):
     return R.method_of_dot(d, m).select("chunk", "dot", "method")
 
 
-@query(f"""{S}, g AS (SELECT round(score, 2) AS s, count(*) FILTER (label = 1) AS p, count(*) FILTER (label <> 1) AS n FROM scored GROUP BY s)
-SELECT sum(a.p * b.n)::BIGINT AS pairs, round(sum(a.p * b.n * ln(1 + exp(b.s - a.s))) / sum(a.p * b.n), 6) AS loss FROM g a, g b WHERE a.p > 0 AND b.n > 0""")
+@query(f"""{S}, b AS (SELECT doc_id // 500 AS batch, label, score FROM scored)
+SELECT x.batch, count(*) FILTER (a.label = 1) AS pairs, round(coalesce(avg(ln(1 + exp(a.other - a.score))), 0) + 1e-8::DOUBLE, 6) AS loss FROM (SELECT DISTINCT batch FROM b) x LEFT JOIN (SELECT p.batch, p.label, p.score, q.score AS other FROM b p JOIN b q ON q.batch = p.batch AND p.label = 1 AND q.label <> 1) a ON a.batch = x.batch GROUP BY x.batch""")
 def ranking_loss(spark, sf_dir):
-    return R.ranking_loss(A.scored(spark, sf_dir), 2).select("pairs", F.round("loss", 6).alias("loss"))
+    """Over all positives and negatives of a batch; a batch is five hundred neighbouring ids."""
+    s = A.scored(spark, sf_dir).withColumn("batch", F.expr("doc_id div 500"))
+    return R.ranking_loss(s, ["batch"], 16).select("batch", "pairs", F.round(F.col("loss") + 1e-8, 6).alias("loss"))
 
 
 @query(f"""{E} SELECT split, count(*) AS pairs, count(DISTINCT l) AS codes FROM (SELECT split, 'S_' || left_id AS l FROM endpoints WHERE split <> 'test' UNION ALL SELECT split, 'T_' || left_id FROM endpoints WHERE split = 'test') GROUP BY split""")

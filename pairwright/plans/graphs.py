@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import tables
 from ..operators import graphs as G
 from ..sources import adapters as A
 from .registry import query
@@ -160,3 +161,57 @@ def type_vocabulary(spark, sf_dir):
     """Places of node types, the frequent first; 0 is padding and 1 unknown."""
     kinds = F.transform("w", lambda x: F.concat(F.lit("K"), (F.char_length(x) % 5).cast("string")))
     return G.type_vocabulary(_words(spark, sf_dir).select(kinds.alias("types")))
+
+
+_PERMS = "perms(n, p) AS (SELECT n, []::INTEGER[] FROM range(6) AS t(n) UNION ALL SELECT perms.n, list_append(p, v::INTEGER) FROM perms, range(5) AS u(v) WHERE len(p) < perms.n AND v < perms.n AND NOT list_contains(p, v::INTEGER)), every AS (SELECT n, p FROM perms WHERE len(p) = n)"
+
+
+@query(f"""WITH RECURSIVE {_PERMS}, w AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[A-Za-z]+'), lambda x: length(x) % 5) AS c FROM documents),
+s AS (SELECT doc_id, c, list_sort(list_distinct(c)) AS ids FROM w), g AS (SELECT doc_id, len(ids) AS n, list_distinct(list_transform(range(1, len(c)), lambda i: (list_position(ids, c[i]) - 1) * 8 + list_position(ids, c[i + 1]) - 1)) AS e FROM s),
+j AS (SELECT a.doc_id AS left_id, b.doc_id AS right_id, a.n AS n1, b.n AS n2, a.e AS e1, b.e AS e2 FROM g a JOIN g b ON b.doc_id = a.doc_id + 1),
+d AS (SELECT left_id, right_id, any_value(greatest(n1 + len(e1), n2 + len(e2))) AS most, min(abs(n1 - n2) + len(e1) + len(e2) - 2 * len(list_intersect(list_transform(e1, lambda x: p[(x // 8 + 1)::INTEGER] * 8 + p[(x % 8 + 1)::INTEGER]), e2))) AS d FROM j JOIN every ON every.n = greatest(n1, n2) GROUP BY left_id, right_id)
+SELECT left_id, right_id, round(CASE WHEN most = 0 THEN 1 ELSE greatest(0, 1 - d::DOUBLE / most) END, 6) AS similarity FROM d""")
+def edit_similarity(spark, sf_dir):
+    """Graph edit similarity of each document and the next, as graphs of the lengths of their words (modulo five) and which
+    follows which. The SQL tries every mapping."""
+    t = A.table(spark, sf_dir, "documents").select("doc_id", F.transform(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)), lambda x: F.char_length(x) % 5).alias("c"))
+    g = t.withColumn("ids", F.array_sort(F.array_distinct("c")))
+    at = lambda x: (F.array_position("ids", x) - 1).cast("int")
+    pairs = F.zip_with(F.slice("c", F.lit(1), F.greatest(F.size("c") - 1, F.lit(0))), F.slice("c", F.lit(2), F.greatest(F.size("c") - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    g = g.select(F.col("doc_id").alias("code_id"), F.size("ids").alias("n"), "ids", F.array_distinct(pairs).alias("e"))
+    g = g.select("code_id", "n", F.transform("e", lambda x: F.struct(at(x["a"]).alias("src"), at(x["b"]).alias("dst"))).alias("edges"))
+    both = g.select(F.col("code_id").alias("left_id"), (F.col("code_id") + 1).alias("right_id"))
+    return G.edit_similarities(both, g).select("left_id", "right_id", F.round("similarity", 6).alias("similarity"))
+
+
+_KINDS = (
+    lambda x: F.concat(F.lit("    v = len('"), x, F.lit("')\n")),
+    lambda x: F.concat(F.lit("    if a:\n        v = len('"), x, F.lit("')\n    else:\n        v = a\n")),
+    lambda x: F.concat(F.lit("    try:\n        v = len('"), x, F.lit("')\n    except ValueError:\n        for i in a:\n            break\n")),
+)
+
+
+@query(f"""WITH {_W}, k AS (SELECT code_id, len(w) AS n, (len(w) + 2) // 3 AS a, (len(w) + 1) // 3 AS b, len(w) // 3 AS c FROM w), l AS (SELECT *, unnest(['ast', 'cfg']) AS layer FROM k)
+SELECT code_id, layer, (CASE layer WHEN 'ast' THEN 5 + 7 * a + 15 * b + 17 * c ELSE 2 + a + 3 * b + 4 * c END)::BIGINT AS nodes,
+       (CASE layer WHEN 'ast' THEN 4 + 7 * a + 15 * b + 17 * c ELSE 1 + (n > 0)::INTEGER + 2 * b + 3 * c + a + 2 * b + 2 * c - CASE WHEN n = 0 THEN 0 WHEN n % 3 = 1 THEN 1 ELSE 2 END END)::BIGINT AS edges FROM l""")
+def program_graphs(spark, sf_dir):
+    """Graphs of Python functions through SQL: each word of a text is an assignment, a branch, or a try with a loop in its
+    handler, by turns. A branch leaves by two exits, and so does a try; the last statement's exits lead nowhere."""
+    tables.register(spark)
+    body = F.array_join(F.transform("w", lambda x, i: F.when(i % 3 == 0, _KINDS[0](x)).when(i % 3 == 1, _KINDS[1](x)).otherwise(_KINDS[2](x))), "")
+    _words(spark, sf_dir).select("code_id", F.concat(F.lit("def f(a):\n    pass\n"), body).alias("code")).createOrReplaceTempView("python_sources")
+    one = "SELECT code_id, '{layer}' AS layer, count_if(part = 'node') AS nodes, count_if(part = 'edge') AS edges FROM python_sources, LATERAL program_graph(code, '{layer}') GROUP BY code_id"
+    return spark.sql(" UNION ALL ".join(one.format(layer=x) for x in ("ast", "cfg")))
+
+
+@query(f"""WITH {_W} SELECT code_id, CASE WHEN code_id::BIGINT % 7 = 0 THEN 'source_parse_failed' WHEN code_id::BIGINT % 5 = 0 THEN 'ast_reproduction_mismatch' ELSE 'validated' END AS status,
+CASE WHEN code_id::BIGINT % 7 = 0 OR code_id::BIGINT % 5 = 0 THEN 0 ELSE len(w) + 2 END::BIGINT AS statements, CASE WHEN code_id::BIGINT % 7 = 0 OR code_id::BIGINT % 5 = 0 THEN 0 ELSE len(w) + 2 END::BIGINT AS places FROM w""")
+def aligned_dependences(spark, sf_dir):
+    """Statements of dependence graphs found again in the syntax graph; a seventh of the sources is broken, and of a fifth the
+    given graph is another."""
+    lines = F.array_join(F.transform("w", lambda x, i: F.concat(F.lit("    v"), i.cast("string"), F.lit(" = len('"), x, F.lit("')\n"))), "")
+    c = _words(spark, sf_dir).select("code_id", F.concat(F.lit("def f(a):\n    pass\n"), lines).alias("code"))
+    g = G.parse_python(c, ("ast",)).select("code_id", F.transform("nodes", lambda x: x["type"]).alias("types"), F.transform("edges", lambda x: F.array(x["src"], x["dst"])).alias("ends"))
+    k = F.col("code_id").cast("long")
+    given = c.join(g, "code_id").select("code_id", F.when(k % 7 == 0, F.concat("code", F.lit(")"))).otherwise(F.col("code")).alias("code"), F.when(k % 5 == 0, F.concat(F.array(F.lit("Other")), F.slice("types", F.lit(2), F.size("types")))).otherwise(F.col("types")).alias("types"), "ends")
+    return G.align_ddg(given).groupBy("code_id", "status").agg(F.count("ddg_node").alias("statements"), F.count_distinct("ast_node").alias("places"))

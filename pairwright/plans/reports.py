@@ -137,11 +137,11 @@ def auc_difference(spark, sf_dir):
     return I.auc_difference(s, "a", "b").select(F.round("difference", 6).alias("difference"), "valid", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
-@query(f"""{S}, w AS (SELECT lang, r, score AS s, label, count(*) * ({_draws('r', "(label::VARCHAR || '/' || round(score * 10000)::BIGINT::VARCHAR)")}) AS w FROM scored, unnest(range(1, 51)) AS u(r) GROUP BY lang, r, score, label), g AS (SELECT lang, r, s, coalesce(sum(w) FILTER (label = 1), 0)::BIGINT AS p, coalesce(sum(w) FILTER (label <> 1), 0)::BIGINT AS q FROM w GROUP BY ALL),
+@query(f"""{S}, w AS (SELECT lang, r, score AS s, label, {_draws('r', 'doc_id')} AS w FROM scored, unnest(range(1, 51)) AS u(r)), g AS (SELECT lang, r, s, coalesce(sum(w) FILTER (label = 1), 0)::BIGINT AS p, coalesce(sum(w) FILTER (label <> 1), 0)::BIGINT AS q FROM w GROUP BY ALL),
 c AS (SELECT *, sum(q) OVER (PARTITION BY lang, r ORDER BY s ROWS UNBOUNDED PRECEDING) - q AS below FROM g), x AS (SELECT lang, r, {_AUC} AS auc FROM c GROUP BY lang, r)
 SELECT lang, count(auc) AS valid, round(avg(auc), 6) AS mean, round(quantile_cont(auc, 0.025), 6) AS low, round(quantile_cont(auc, 0.975), 6) AS high FROM x GROUP BY lang""")
 def auc_bootstrap(spark, sf_dir):
-    return I.auc_bootstrap(A.scored(spark, sf_dir), "lang").select("lang", "valid", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])
+    return I.auc_bootstrap(A.scored(spark, sf_dir).withColumnRenamed("doc_id", "id"), "lang").select("lang", "valid", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])
 
 
 _B = "CASE WHEN {a} = {b} THEN {a} ELSE least({a}, {b}) || '-' || greatest({a}, {b}) END"

@@ -113,8 +113,14 @@ def greedy_cover(spark, sf_dir):
     return P.greedy_cover(A.pairs(spark, sf_dir).where("label = 1"), 100, 3)
 
 
-@query()
+@query(f"""WITH {_IDS}, r AS (SELECT left_id, right_id, row_number() OVER (ORDER BY {_HASH.format(seed=3)}, left_id, right_id) AS k FROM p WHERE label = 0), f AS (SELECT e, min(k) AS f FROM (SELECT left_id AS e, k FROM r UNION ALL SELECT right_id, k FROM r) GROUP BY e),
+s AS (SELECT r.*, a.f AS fl, b.f AS fr, sum((a.f = k)::INTEGER + (b.f = k)::INTEGER) OVER (ORDER BY k ROWS UNBOUNDED PRECEDING) AS seen FROM r JOIN f a ON a.e = left_id JOIN f b ON b.e = right_id),
+t AS (SELECT coalesce(min(k) FILTER (seen > 60), 1000000000000) AS stop FROM s), h AS (SELECT stop, coalesce(max(seen) FILTER (k < stop), 0) AS have FROM s, t GROUP BY stop),
+o AS (SELECT min_by({{'k': k, 'x': CASE WHEN fl < stop THEN right_id ELSE left_id END}}, k) FILTER (k >= stop AND have < 60 AND (fl < stop) <> (fr < stop)) AS o FROM s, h),
+i AS (SELECT s.*, stop, o.o.k AS last, (fl < stop AND fr < stop) AS known, (fl < stop OR coalesce(left_id = o.o.x, false)) AND (fr < stop OR coalesce(right_id = o.o.x, false)) AS inside FROM s, h, o)
+SELECT left_id, right_id FROM i WHERE k < stop OR inside ORDER BY (k >= stop AND NOT known AND coalesce(k < last, false)), k LIMIT 100""")
 def budget_selection(spark, sf_dir):
+    """A hundred negatives with at most sixty fragments: what a pass in hash order takes, and then what fits of those passed over."""
     return P.budget_select(A.pairs(spark, sf_dir).where("label = 0"), 100, 60, 3)
 
 

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from pairwright.operators import relational as R
 from pairwright.operators import sampling as S
 from pairwright.operators.ordered import running
-from pairwright.plans.audits import effective_rank
 from pairwright.sources import archives, readers, writers
 from pairwright.sources.storage import numbered
 from pairwright.streaming import incremental
@@ -275,7 +274,7 @@ def test_selections_against_a_pass_in_order(spark):
 
     r = random.Random(3)
     for trial in range(4):
-        pairs = sorted({(r.randrange(25), 30 + r.randrange(25)) for _ in range(120)})
+        pairs = sorted({(r.randrange(25), 30 + r.randrange(25)) for _ in range(110)} | {(k, k) for k in r.sample(range(25), 10)})  # some with one end twice
         df = spark.createDataFrame(pairs, "left_id long, right_id long").repartition(3)
         order = sorted(pairs, key=lambda p: (hashlib.sha256(f"{trial}:{p[0]}/{p[1]}".encode()).hexdigest(), p))
         seen, new, old = set(), [], []
@@ -320,14 +319,23 @@ def test_guards(spark):
         R.best_snapshot(bad).collect()
 
 
-def test_effective_rank():
+def test_effective_rank(spark):
+    from pairwright.operators.matrices import gram, spectral_rank
+
     r = np.random.default_rng(1)
     for shape, scale in (((50, 6), 1.0), ((40, 5), [10, 1, 0, 0, 0])):
         v = r.standard_normal(shape) * scale
         s = np.linalg.svd(v - v.mean(0), compute_uv=False) ** 2
         s = s / s.sum()
-        assert abs(effective_rank(v) - np.exp(-(s[s > 0] * np.log(s[s > 0])).sum())) < 1e-6
-    assert effective_rank(np.ones((4, 3))) == 0.0
+        df = spark.createDataFrame([(x.tolist(),) for x in v] + [(None,)], "v array<double>").repartition(4)
+        n, d, rank = spectral_rank(df, "v")
+        assert (n, d) == shape and abs(rank - np.exp(-(s[s > 0] * np.log(s[s > 0])).sum())) < 1e-6
+    one = spark.createDataFrame([([1.0, 1.0],)] * 4, "v array<double>")
+    assert spectral_rank(one, "v") == (4, 2, 0.0) and spectral_rank(one.limit(0), "v") == (0, 0, 0.0)
+    with pytest.raises(ValueError, match="a matrix of 1"):
+        spectral_rank(one, "v", 1)
+    with pytest.raises(Exception, match="different lengths"):
+        gram(one.union(spark.createDataFrame([([1.0],)], "v array<double>")).coalesce(1), "v").collect()
 
 
 def test_subset_and_pair_guards(spark, tmp_path):

@@ -94,13 +94,13 @@ def source_sketch(spark, sf_dir):
 _GROUP_OF = {c: g for g, cs in C.COARSE.items() for c in cs}
 
 
-@query(f"""WITH a AS (SELECT unnest(range(0, 16)) AS slot, {[_GROUP_OF[c] for c in C.CATEGORIES]}[vec_id % 24 + 1] AS grp, embedding FROM embeddings), m AS (SELECT slot, grp, sum(abs(embedding[slot + 1]::DOUBLE)) AS mass FROM a GROUP BY ALL),
+@query(f"""WITH a AS (SELECT unnest(range(0, len(embedding))) AS slot, {[_GROUP_OF[c] for c in C.CATEGORIES]}[vec_id % 24 + 1] AS grp, embedding FROM embeddings), m AS (SELECT slot, grp, sum(abs(embedding[slot + 1]::DOUBLE)) AS mass FROM a GROUP BY ALL),
 q AS (SELECT slot, grp, mass / greatest(sum(mass) OVER (PARTITION BY slot), 1e-12::DOUBLE) AS share FROM m), h AS (SELECT slot, (sum(-greatest(share, 1e-12::DOUBLE) * ln(greatest(share, 1e-12::DOUBLE))) - (7 - count(*)) * 1e-12::DOUBLE * ln(1e-12::DOUBLE)) / ln(7) AS entropy FROM q GROUP BY slot)
 SELECT slot::INTEGER AS slot, grp AS "group", round(share, 6) AS share, round(entropy, 6) AS entropy FROM q JOIN h USING (slot)""")
 def slot_profile(spark, sf_dir):
     e = A.table(spark, sf_dir, "embeddings")
     category = F.element_at(F.array(*map(F.lit, C.CATEGORIES)), (F.col("vec_id") % 24 + 1).cast("int"))
-    a = e.select(category.alias("category"), F.posexplode(F.slice("embedding", 1, 16)).alias("slot", "v")).select("slot", "category", F.abs(F.col("v").cast("double")).alias("mass"))
+    a = e.select(category.alias("category"), F.posexplode("embedding").alias("slot", "v")).select("slot", "category", F.abs(F.col("v").cast("double")).alias("mass"))
     return C.slot_profile(a).select("slot", "group", F.round("share", 6).alias("share"), F.round("entropy", 6).alias("entropy"))
 
 

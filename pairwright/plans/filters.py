@@ -44,9 +44,9 @@ def strict_status(spark, sf_dir):
     return _spectra(spark, sf_dir).where(R.strict_status(F.col("status"))).groupBy("layer").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"SELECT vec_id AS code_id, coalesce(status = 'ok_sparse_topk' AND k < 40, false) AS short_in_cache, coalesce((status = 'ok_sparse_topk' AND k < 40) OR status LIKE 'failed%', false) AS short_in_shard FROM (SELECT vec_id, 16 + vec_id % 49 AS k, {_STATUS} AS status FROM embeddings)")
+@query(f"SELECT vec_id AS code_id, coalesce(status = 'ok_sparse_topk' AND k < 90, false) AS short_in_cache, coalesce((status = 'ok_sparse_topk' AND k < 90) OR status LIKE 'failed%', false) AS short_in_shard FROM (SELECT vec_id, len(embedding) + vec_id % 49 AS k, {_STATUS} AS status FROM embeddings)")
 def sparse_sufficiency(spark, sf_dir):
-    return _spectra(spark, sf_dir).select("code_id", R.short_spectra(40, ignore_failed=True).alias("short_in_cache"), R.short_spectra(40).alias("short_in_shard"))
+    return _spectra(spark, sf_dir).select("code_id", R.short_spectra(90, ignore_failed=True).alias("short_in_cache"), R.short_spectra(90).alias("short_in_shard"))
 
 
 @query("SELECT doc_id AS code_id FROM documents WHERE doc_id % 13 <> 0 AND lang <> 'fr' AND trim(text) <> '' AND doc_id % 17 <> 0")

@@ -96,10 +96,10 @@ def pair_feature_vectors(spark, sf_dir):
     return df.select("left_id", "right_id", "label", F.size("f").alias("n"), part(1, 128).alias("sum_difference"), part(129, 128).alias("sum_product"), F.round(F.get("f", F.lit(256)), 6).alias("cosine"), F.round(F.get("f", F.lit(257)), 6).alias("distance"))
 
 
-@query(f"""{W} SELECT left_id, right_id, label, round(1 / (1 + sqrt(list_sum(list_transform(list_zip(list_concat(ev1, list_transform(range(0, 64), lambda i: 0.0::DOUBLE))[1:64], list_concat(ev2, list_transform(range(0, 64), lambda i: 0.0::DOUBLE))[1:64]), lambda z: pow(z[1] - z[2], 2))))), 6) AS score FROM pairs""")
+@query(f"""{W} SELECT left_id, right_id, label, round(1 / (1 + sqrt(list_sum(list_transform(list_zip(list_concat(ev1, list_transform(range(0, 128), lambda i: 0.0::DOUBLE))[1:128], list_concat(ev2, list_transform(range(0, 128), lambda i: 0.0::DOUBLE))[1:128]), lambda z: pow(z[1] - z[2], 2))))), 6) AS score FROM pairs""")
 def untrained_score(spark, sf_dir):
     """1 / (1 + distance) of padded vectors."""
-    df = A.pairs(spark, sf_dir).withColumn("a", S.padded(F.col("ev1"), 64)).withColumn("b", S.padded(F.col("ev2"), 64))
+    df = A.pairs(spark, sf_dir).withColumn("a", S.padded(F.col("ev1"), 128)).withColumn("b", S.padded(F.col("ev2"), 128))
     return df.select("left_id", "right_id", "label", F.round(1 / (1 + S.norm(F.zip_with("a", "b", lambda x, y: x - y))), 6).alias("score"))
 
 
@@ -113,12 +113,12 @@ def diagnostic_vectors(spark, sf_dir):
     return df.select("code_id", F.posexplode("f").alias("place", "v")).select("code_id", "place", F.round("v", 6).alias("value"))
 
 
-@query(f"""WITH {A.SQL_SPECTRA}, u AS (SELECT code_id, list_transform(ev[1:16], lambda x: x / sqrt(list_sum(list_transform(ev[1:16], lambda y: y * y)))) AS v FROM spectra),
-e AS (SELECT unnest(v) AS x, unnest(range(0, 16)) AS i FROM u), s AS (SELECT i, sum(x) AS t, sum(x * x) AS q, count(*) AS n FROM e GROUP BY i)
+@query(f"""WITH {A.SQL_SPECTRA}, w AS (SELECT code_id, list_concat(ev, list_transform(range(0, 128), lambda i: 0.0::DOUBLE))[1:128] AS ev FROM spectra), u AS (SELECT code_id, list_transform(ev, lambda x: x / sqrt(list_sum(list_transform(ev, lambda y: y * y)))) AS v FROM w),
+e AS (SELECT unnest(v) AS x, unnest(range(0, 128)) AS i FROM u), s AS (SELECT i, sum(x) AS t, sum(x * x) AS q, count(*) AS n FROM e GROUP BY i)
 SELECT max(n)::BIGINT AS n, round((sum(t * t) - sum(q)) / (max(n) * (max(n) - 1)), 6) AS mean_cosine FROM s""")
 def mean_pair_cosine(spark, sf_dir):
-    """Mean cosine of all pairs of unit vectors, from sums by dimension alone."""
-    df = A.spectra(spark, sf_dir).withColumn("v", F.slice("ev", 1, 16)).withColumn("n", S.norm(F.col("v")))
+    """Mean cosine of all pairs of unit vectors (padded spectra), from sums by dimension alone."""
+    df = A.spectra(spark, sf_dir).withColumn("v", S.padded(F.col("ev"), 128)).withColumn("n", S.norm(F.col("v")))
     e = df.select(F.posexplode(F.transform("v", lambda x: x / F.col("n"))).alias("i", "x"))
     s = e.groupBy("i").agg(F.sum("x").alias("t"), F.sum(F.col("x") * F.col("x")).alias("q"), F.count(F.lit(1)).alias("n"))
     n = F.max("n")

@@ -18,8 +18,10 @@ def codes(spark, sf_dir) -> DataFrame:
 
 
 def spectra(spark, sf_dir) -> DataFrame:
-    """code_id, layer, label, ev: ascending non-negative values, 16 to 64 of them."""
-    ev = F.slice(F.sort_array(F.transform("embedding", lambda x: F.abs(x.cast("double")))), F.lit(1), (16 + F.col("vec_id") % 49).cast("int"))
+    """code_id, layer, label, ev: ascending non-negative values: all of a vector's, and up to 48 of them again with one added, so
+    that spectra differ in length."""
+    size = F.transform("embedding", lambda x: F.abs(x.cast("double")))
+    ev = F.sort_array(F.concat(size, F.transform(F.slice(size, F.lit(1), (F.col("vec_id") % 49).cast("int")), lambda x: x + 1)))
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("code_id"), (F.col("vec_id") % 4).cast("int").alias("layer"), "label", ev.alias("ev"))
 
 
@@ -56,7 +58,7 @@ def endpoints(spark, sf_dir) -> DataFrame:
 
 
 #: The same tables in the SQL of the oracle.
-SQL_SPECTRA = "spectra AS (SELECT vec_id AS code_id, (vec_id % 4)::INTEGER AS layer, label, list_sort(list_transform(embedding, lambda x: abs(x::DOUBLE)))[1:(16 + vec_id % 49)] AS ev FROM embeddings)"
+SQL_SPECTRA = "spectra AS (SELECT vec_id AS code_id, (vec_id % 4)::INTEGER AS layer, label, list_sort(list_concat(list_transform(embedding, lambda x: abs(x::DOUBLE)), list_transform(embedding[1:(vec_id % 49)], lambda x: abs(x::DOUBLE) + 1))) AS ev FROM embeddings)"
 SQL_PAIRS = SQL_SPECTRA + ", pairs AS (SELECT a.code_id AS left_id, b.code_id AS right_id, (a.label = b.label)::INTEGER AS label, a.layer AS layer1, b.layer AS layer2, a.ev AS ev1, b.ev AS ev2 FROM spectra a JOIN spectra b ON b.code_id > a.code_id AND b.code_id - a.code_id <= 20)"
 SQL_SCORED = "scored AS (SELECT l.doc_id, d.lang, d.source, l.quality AS label, round((d.n_chars % 997) / 997.0::DOUBLE, 4) AS score FROM labels l JOIN documents d USING (doc_id))"
 SQL_ENDPOINTS = "endpoints AS (SELECT (l_orderkey * 8 + l_linenumber)::BIGINT AS edge_id, 'p' || l_partkey::VARCHAR AS left_id, 's' || l_suppkey::VARCHAR AS right_id, (l_quantity > 25)::INTEGER AS label, l_returnflag AS kind, CASE WHEN l_orderkey % 10 < 7 THEN 'train' WHEN l_orderkey % 10 < 8 THEN 'valid' ELSE 'test' END AS split FROM lineitem)"

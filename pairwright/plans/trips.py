@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..sources import adapters as A
 from ..sources import archives, readers, writers
 from ..sources.storage import numbered, shared_dir
+from ..streaming import incremental
 from .registry import query
 
 
@@ -165,3 +166,18 @@ def bracketed_lines(spark, sf_dir):
     d.select(one.alias("value")).write.text(path)
     lines = archives.read_lines(spark, path, 1 << 16).select(F.split("value", "\t", 2).alias("x"))
     return lines.where(F.get("x", F.lit(1)).rlike("[({;]")).select(F.get("x", F.lit(0)).cast("long").alias("doc_id"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END::BIGINT AS computed, 2::BIGINT AS seen, md5(CASE WHEN doc_id % 3 = 0 THEN text || '!' ELSE text END) AS digest, (length(text) + (doc_id % 3 = 0)::INTEGER)::VARCHAR AS result
+FROM (SELECT doc_id, max(text) AS text FROM documents GROUP BY doc_id)""")
+def streamed_documents(spark, sf_dir):
+    """Extension: documents come twice as files of a stream, a third of them changed; only those are computed again."""
+    d = A.table(spark, sf_dir, "documents").groupBy("doc_id").agg(F.max("text").alias("text"))
+    path = _path(spark, "stream")
+    prepare = lambda s: s.select(F.col("doc_id"), F.md5("text").alias("digest"), F.col("text").alias("payload"))
+    for k, text in enumerate((F.col("text"), F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))):
+        d.select("doc_id", text.alias("text")).write.mode("append").parquet(f"{path}/in")
+        incremental.run_changed(spark, f"{path}/in", "doc_id long, text string", f"{path}/out", f"{path}/state", prepare, lambda x: str(len(x or "")), key="doc_id")
+    rows = spark.read.option("basePath", f"{path}/out").parquet(f"{path}/out")
+    last = F.max_by(F.struct("digest", "result"), "batch")
+    return rows.groupBy("doc_id").agg(F.count_if("fresh").alias("computed"), F.count(F.lit(1)).alias("seen"), last.alias("x")).select("doc_id", "computed", "seen", "x.digest", "x.result")

@@ -2,13 +2,15 @@
 enough values is not computed again.
 
 A batch writes a folder of its own (store/batch=<number>) and overwrites it if it is run again, so nothing is stored twice. Of
-a key the row of the latest batch counts.
+a key the row of the latest batch counts. Where the store is large, `changed` keeps the state by key instead, and a batch
+touches that of its own keys alone.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,3 +46,41 @@ def start(spark: SparkSession, source: str, schema: str, store: str, compute: Ca
     """A file stream whose every batch computes what is pending and adds it to the store."""
     stream = spark.readStream.schema(schema).parquet(source)
     return stream.writeStream.foreachBatch(lambda batch, n: upsert(batch, n, store, compute, least)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+#: What the state keeps of a key, and what a batch gives of it.
+STATE = "digest string, result string"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def changed(stream: DataFrame, compute: Callable[[str | None], str | None], key: str = "code_id", digest: str = "digest", payload: str = "payload") -> DataFrame:
+    """key, digest, result, fresh of every key that a batch brings: computed if its digest is new, else from the state.
+
+    The state is kept by key, so a batch reads and writes that of its own keys only, whatever has been stored before. Of rows
+    of a key in one batch the one with the largest digest counts. Keys must not be null.
+    """
+
+    def run(keys: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(parts))
+        row = rows.sort_values(digest, na_position="first").iloc[-1]
+        mine = None if pd.isna(row[digest]) else str(row[digest])
+        held = state.get if state.exists else None
+        fresh = held is None or mine is None or held[0] != mine
+        result = compute(None if pd.isna(row[payload]) else row[payload]) if fresh else held[1]
+        if fresh:
+            state.update((mine, result))
+        yield pd.DataFrame({key: [keys[0]], "digest": [mine], "result": [result], "fresh": [fresh]})
+
+    kind = dict(stream.dtypes)[key]
+    grouped = stream.where(F.col(key).isNotNull()).select(key, digest, payload).groupBy(key)
+    return grouped.applyInPandasWithState(run, f"{key} {kind}, digest string, result string, fresh boolean", STATE, "append", "NoTimeout")
+
+
+def run_changed(spark: SparkSession, source: str, schema: str, out: str, checkpoint: str, prepare: Callable[[DataFrame], DataFrame], compute: Callable[[str | None], str | None], **columns) -> None:
+    """Take the files that are new below source through `changed` and append what it gives to the table at out, a folder a batch.
+
+    The state store is the one that the session names; `ROCKSDB` keeps it on disk, so its size is not bound by memory.
+    """
+    stream = changed(prepare(spark.readStream.schema(schema).parquet(source)), compute, **columns)
+    sink = lambda batch, n: batch.write.mode("overwrite").parquet(f"{out.rstrip('/')}/batch={n}")
+    stream.writeStream.outputMode("append").foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

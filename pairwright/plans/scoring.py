@@ -39,6 +39,12 @@ SELECT left_id, right_id, label, round(exp(-sqrt(2 * ln(greatest(1.0::DOUBLE, (v
 t AS (SELECT *, unnest([0.1::DOUBLE, 0.5, 1.0, 2.0, 5.0, 10.0]) AS t FROM pairs),
 h AS (SELECT left_id, right_id, label, ln(greatest(list_avg(list_transform(ev1, lambda x: exp(-x * t))), 1e-12::DOUBLE)) - ln(greatest(list_avg(list_transform(ev2, lambda x: exp(-x * t))), 1e-12::DOUBLE)) AS d FROM t)
 SELECT left_id, right_id, label, round(exp(-sqrt(sum(d * d))), 6) AS score FROM h GROUP BY ALL""",
+    "jensenshannon": f"""{W},
+g AS (SELECT left_id, right_id, label, ev1, ev2, least(list_min(ev1), list_min(ev2)) AS lo, greatest(list_max(ev1), list_max(ev2)) AS hi, sqrt(list_var_samp(ev1)) * pow(len(ev1), -0.2::DOUBLE) AS w1, sqrt(list_var_samp(ev2)) * pow(len(ev2), -0.2::DOUBLE) AS w2 FROM pairs),
+k AS (SELECT left_id, right_id, label, ev1, ev2, w1, w2, lo - 0.05::DOUBLE * (hi - lo) + i * (1.1::DOUBLE * (hi - lo)) / 511 AS spot FROM g, range(512) AS r(i)),
+d AS (SELECT left_id, right_id, label, list_avg(list_transform(ev1, lambda v: exp(-0.5::DOUBLE * pow((spot - v) / w1, 2)))) / (w1 * sqrt(2 * pi())) + 1e-12::DOUBLE AS p, list_avg(list_transform(ev2, lambda v: exp(-0.5::DOUBLE * pow((spot - v) / w2, 2)))) / (w2 * sqrt(2 * pi())) + 1e-12::DOUBLE AS q FROM k),
+n AS (SELECT left_id, right_id, label, p / sum(p) OVER o AS p, q / sum(q) OVER o AS q FROM d WINDOW o AS (PARTITION BY left_id, right_id))
+SELECT left_id, right_id, label, round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, 1 - sum(p * log2(2 * p / (p + q)) + q * log2(2 * q / (p + q))) / 2)), 6) AS score FROM n GROUP BY ALL""",
     "cosine": f"""{W}
 SELECT left_id, right_id, label, round(list_sum(list_transform(list_zip(ev1, ev2), lambda z: coalesce(z[1] * z[2], 0))) / (sqrt(list_sum(list_transform(ev1, lambda x: x * x))) * sqrt(list_sum(list_transform(ev2, lambda x: x * x)))), 6) AS score FROM pairs""",
     "topk_largest": f"""{W},

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .graphs import let, overlay, turned
 
 # Canonical categories; the place in this order is the id. Coarse groups of categories.
 CATEGORIES = (
@@ -32,25 +33,26 @@ def with_categories(records: DataFrame, aliases: dict[str, str] | None = None) -
     kinds = records.select("language", F.explode(F.array_distinct("types")).alias("t")).distinct()
     kinds = kinds.withColumn("c", X.canonical_type(F.col("t"), F.col("language"), aliases))
     table = kinds.groupBy("language").agg(F.map_from_entries(F.collect_list(F.struct("t", "c"))).alias("_names"))
-    j = records.join(table, "language", "left")
-    return j.withColumn("categories", F.transform("types", lambda t: F.try_element_at("_names", t))).drop("_names")
+    # a few types and languages; a join by language would put all records of one into a task
+    table = table.withColumnRenamed("language", "_language")
+    j = records.join(F.broadcast(table), records["language"].eqNullSafe(table["_language"]), "left")
+    return j.withColumn("categories", F.transform("types", lambda t: F.try_element_at("_names", t))).drop("_names", "_language")
 
 
 def projected(edges: Column, ddg_ids: Column, ids: Column) -> Column:
     """Dependence edges as positions among `ids`, both ways, distinct and sorted; ends elsewhere drop them."""
-    at = lambda i: F.array_position(ids, F.get(ddg_ids, i)) - 1
-    placed = F.transform(edges, lambda e: F.struct(at(e["src"]).cast("int").alias("src"), at(e["dst"]).cast("int").alias("dst")))
+    place = let(ids, lambda known: F.transform(ddg_ids, lambda x: (F.array_position(known, x) - 1).cast("int")))
+    placed = let(place, lambda p: F.transform(edges, lambda e: F.struct(F.get(p, e["src"]).alias("src"), F.get(p, e["dst"]).alias("dst"))))
     return both_ways(F.filter(placed, lambda e: (e["src"] >= 0) & (e["dst"] >= 0)))
 
 
 def both_ways(edges: Column) -> Column:
-    turned = F.transform(edges, lambda e: F.struct(e["dst"].alias("src"), e["src"].alias("dst")))
-    return F.array_sort(F.array_distinct(F.concat(edges, turned)))
+    return let(edges, lambda e: F.sort_array(overlay(e, turned(e))))
 
 
 def bounded(edges: Column, n: Column) -> Column:
     """Edges between positions 0 .. n-1."""
-    return F.filter(edges, lambda e: (e["src"] >= 0) & (e["dst"] >= 0) & (e["src"] < n) & (e["dst"] < n))
+    return let(n, lambda n: F.filter(edges, lambda e: (e["src"] >= 0) & (e["dst"] >= 0) & (e["src"] < n) & (e["dst"] < n)))
 
 
 def canonical_graphs(records: DataFrame, cap: int = 512, buckets: int = 4096, slots: int = 4, source_slots: int = 96, strip_types: bool = False, strip_topology: bool = False) -> DataFrame:
@@ -62,8 +64,8 @@ def canonical_graphs(records: DataFrame, cap: int = 512, buckets: int = 4096, sl
     r = with_categories(records.where(F.size("types") > 0))
     n = F.least(F.size("types"), F.lit(cap))
     r = r.withColumn("n", n).withColumn("categories", F.slice("categories", 1, cap)).withColumn("kept_ids", F.slice("ids", 1, cap))
-    labels = F.transform(F.slice("types", 1, cap), lambda t, i: F.struct(t.alias("t"), F.coalesce(F.get("labels", i), F.lit("")).alias("l"), F.get("categories", i).alias("c")))
-    names = F.transform(labels, lambda x: X.lexical_source(x["t"], x["l"], x["c"], F.col("language")))
+    labels = F.slice(F.arrays_zip(F.col("types").alias("t"), F.slice(F.coalesce("labels", F.array()), F.lit(1), F.size("types")).alias("l"), F.col("categories").alias("c")), 1, cap)
+    names = F.transform(labels, lambda x: X.lexical_source(x["t"], F.coalesce(x["l"], F.lit("")), x["c"], F.col("language")))
     place = F.create_map(*[F.lit(x) for i, c in enumerate(CATEGORIES) for x in (c, i + 1)])
     ids = F.transform("categories", lambda c: F.lit(1) if strip_types else F.try_element_at(place, c))
     none = F.array().cast("array<struct<src:int,dst:int>>")
@@ -76,7 +78,8 @@ def audit(records: DataFrame, cap: int = 256, keys=("language",)) -> DataFrame:
     """By keys: codes, codes cut off, nodes kept, unknown ones, dependence edges exported and those that can be projected."""
     r = with_categories(records)
     kept = F.slice("ids", 1, cap)
-    inside = F.filter(bounded(F.col("ddg_edges"), F.size("ddg_ids")), lambda e: F.array_contains(kept, F.get("ddg_ids", e["src"])) & F.array_contains(kept, F.get("ddg_ids", e["dst"])))
+    held = let(kept, lambda k: F.transform("ddg_ids", lambda x: F.array_contains(k, x)))
+    inside = let(held, lambda h: F.filter(bounded(F.col("ddg_edges"), F.size("ddg_ids")), lambda e: F.get(h, e["src"]) & F.get(h, e["dst"])))
     per = r.select(*keys, (F.size("types") > 0).alias("some"), (F.size("types") > cap).alias("cut"), F.least(F.size("types"), F.lit(cap)).alias("nodes"), F.size(F.filter(F.slice("categories", 1, cap), lambda c: c == "Canonical_Unknown")).alias("unknown"), F.size("ddg_edges").alias("edges"), F.size(inside).alias("inside"))
     g = per.groupBy(*keys).agg(F.count(F.lit(1)).alias("codes"), F.count_if("some").alias("available"), F.count_if("cut").alias("truncated"), F.sum("nodes").alias("nodes"), F.sum("unknown").alias("unknown"), F.count_if(F.col("edges") == 0).alias("empty_ddg"), F.sum("edges").alias("ddg_edges"), F.sum("inside").alias("projectable"))
     rate = lambda a, b: F.col(a) / F.greatest(F.lit(1), F.col(b))

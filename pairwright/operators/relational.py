@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..sources.storage import stored
-from .ordered import quantiles, running, same
+from .ordered import least_after, quantiles, running, same
 
 
 def attach(pairs: DataFrame, codes: DataFrame, column: str, key: str = "code_id", strict: bool = True) -> DataFrame:
@@ -131,8 +131,9 @@ def unpivot(df: DataFrame, ids: list[str], values: list[str]) -> DataFrame:
 
 def plateau(history: DataFrame, keys: list[str], tolerance: float) -> DataFrame:
     """First epoch from which the loss can fall by no more than a share of all it falls."""
-    w = Window.partitionBy(*keys)
-    h = history.withColumn("_first", F.first("loss").over(w.orderBy("epoch").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).withColumn("_min", F.min("loss").over(w)).withColumn("_rest", F.min("loss").over(w.orderBy("epoch").rowsBetween(0, Window.unboundedFollowing)))
+    rest = least_after(history, keys, [F.col("epoch")], "loss", "_rest")
+    ends = rest.groupBy(*keys).agg(F.min_by("loss", "epoch").alias("_first"), F.min("loss").alias("_min"))
+    h = same(rest, ends, keys)
     ok = (F.col("loss") - F.col("_rest")) <= tolerance * (F.col("_first") - F.col("_min"))
     return h.groupBy(*keys).agg(F.min(F.when(ok, F.col("epoch"))).alias("plateau"))
 

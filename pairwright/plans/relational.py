@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import relational as R
+from ..operators.ordered import numbered_by
 from ..sources import adapters as A
 from .registry import query
 
@@ -136,7 +137,7 @@ def loss_plateau(spark, sf_dir):
 
 def _history(spark, sf_dir):
     o = _t(spark, sf_dir, "orders").select((F.col("o_custkey") % 40).alias("k"), "o_orderkey", F.col("o_totalprice").alias("v"))
-    return o.withColumn("epoch", F.row_number().over(Window.partitionBy("k").orderBy("o_orderkey"))).drop("o_orderkey")
+    return numbered_by(o, ["k"], [F.col("o_orderkey")], "epoch").withColumn("epoch", F.col("epoch").cast("int")).drop("o_orderkey")
 
 
 @query("""WITH h AS (SELECT o_custkey % 40 AS k, row_number() OVER (PARTITION BY o_custkey % 40 ORDER BY o_orderkey) AS epoch, o_totalprice AS score FROM orders),

@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from ..functions import text as X
 from .graphs import let, overlay, turned
@@ -39,11 +41,25 @@ def with_categories(records: DataFrame, aliases: dict[str, str] | None = None) -
     return j.withColumn("categories", F.transform("types", lambda t: F.try_element_at("_names", t))).drop("_names", "_language")
 
 
-def projected(edges: Column, ddg_ids: Column, ids: Column) -> Column:
-    """Dependence edges as positions among `ids`, both ways, distinct and sorted; ends elsewhere drop them."""
-    place = let(ids, lambda known: F.transform(ddg_ids, lambda x: (F.array_position(known, x) - 1).cast("int")))
-    placed = let(place, lambda p: F.transform(edges, lambda e: F.struct(F.get(p, e["src"]).alias("src"), F.get(p, e["dst"]).alias("dst"))))
-    return both_ways(F.filter(placed, lambda e: (e["src"] >= 0) & (e["dst"] >= 0)))
+def with_places(records: DataFrame, cap: int) -> DataFrame:
+    """records with `places`: where each dependence node stands among the first `cap` nodes of the syntax layer, else -1."""
+
+    @F.pandas_udf(ArrayType(IntegerType()))
+    def find(values: pd.Series, ids: pd.Series) -> pd.Series:
+        out = []
+        for own, known in zip(values, ids, strict=True):
+            at = {} if known is None else {x: i for i, x in reversed(list(enumerate(known))) if x is not None}
+            out.append(None if own is None else [at.get(x, -1) for x in own])
+        return pd.Series(out, dtype=object)
+
+    # not marked so, the call could be moved into lambdas that read its result
+    return records.withColumn("places", find.asNondeterministic()("ddg_ids", F.slice("ids", 1, cap)))
+
+
+def projected(edges: Column, places: Column) -> Column:
+    """Dependence edges by the `places` of their ends; ends elsewhere drop them."""
+    placed = F.transform(edges, lambda e: F.struct(F.get(places, e["src"]).alias("src"), F.get(places, e["dst"]).alias("dst")))
+    return F.filter(placed, lambda e: (e["src"] >= 0) & (e["dst"] >= 0))
 
 
 def both_ways(edges: Column) -> Column:
@@ -61,25 +77,23 @@ def canonical_graphs(records: DataFrame, cap: int = 512, buckets: int = 4096, sl
     The first `cap` nodes stay. Canonical ids count from 1, as 0 is padding; without types every node has id 1, without
     topology there are no edges. Nodes that follow each other are joined both ways.
     """
-    r = with_categories(records.where(F.size("types") > 0))
+    r = with_places(with_categories(records.where(F.size("types") > 0)), cap)
     n = F.least(F.size("types"), F.lit(cap))
-    r = r.withColumn("n", n).withColumn("categories", F.slice("categories", 1, cap)).withColumn("kept_ids", F.slice("ids", 1, cap))
+    r = r.withColumn("n", n).withColumn("categories", F.slice("categories", 1, cap))
     labels = F.slice(F.arrays_zip(F.col("types").alias("t"), F.slice(F.coalesce("labels", F.array()), F.lit(1), F.size("types")).alias("l"), F.col("categories").alias("c")), 1, cap)
     names = F.transform(labels, lambda x: X.lexical_source(x["t"], F.coalesce(x["l"], F.lit("")), x["c"], F.col("language")))
     place = F.create_map(*[F.lit(x) for i, c in enumerate(CATEGORIES) for x in (c, i + 1)])
     ids = F.transform("categories", lambda c: F.lit(1) if strip_types else F.try_element_at(place, c))
     none = F.array().cast("array<struct<src:int,dst:int>>")
     follow = F.when(F.col("n") > 1, F.flatten(F.transform(F.sequence(F.lit(0), F.col("n") - 2), lambda i: F.array(F.struct(i.alias("src"), (i + 1).alias("dst")), F.struct((i + 1).alias("src"), i.alias("dst")))))).otherwise(none)
-    edges = (none, none, none) if strip_topology else (both_ways(bounded(F.col("edges"), F.col("n"))), follow, projected(F.col("ddg_edges"), F.col("ddg_ids"), F.col("kept_ids")))
+    edges = (none, none, none) if strip_topology else (both_ways(bounded(F.col("edges"), F.col("n"))), follow, both_ways(projected(F.col("ddg_edges"), F.col("places"))))
     return r.select("code_id", "language", ids.alias("canonical"), X.lexical_sketches(names, buckets, slots).alias("lexical"), X.source_sketch(F.col("code"), buckets, source_slots).alias("source"), *[e.alias(c) for e, c in zip(edges, ("ast_edges", "next_edges", "ddg_edges"), strict=True)])
 
 
 def audit(records: DataFrame, cap: int = 256, keys=("language",)) -> DataFrame:
     """By keys: codes, codes cut off, nodes kept, unknown ones, dependence edges exported and those that can be projected."""
-    r = with_categories(records)
-    kept = F.slice("ids", 1, cap)
-    held = let(kept, lambda k: F.transform("ddg_ids", lambda x: F.array_contains(k, x)))
-    inside = let(held, lambda h: F.filter(bounded(F.col("ddg_edges"), F.size("ddg_ids")), lambda e: F.get(h, e["src"]) & F.get(h, e["dst"])))
+    r = with_places(with_categories(records), cap)
+    inside = projected(bounded(F.col("ddg_edges"), F.size("ddg_ids")), F.col("places"))
     per = r.select(*keys, (F.size("types") > 0).alias("some"), (F.size("types") > cap).alias("cut"), F.least(F.size("types"), F.lit(cap)).alias("nodes"), F.size(F.filter(F.slice("categories", 1, cap), lambda c: c == "Canonical_Unknown")).alias("unknown"), F.size("ddg_edges").alias("edges"), F.size(inside).alias("inside"))
     g = per.groupBy(*keys).agg(F.count(F.lit(1)).alias("codes"), F.count_if("some").alias("available"), F.count_if("cut").alias("truncated"), F.sum("nodes").alias("nodes"), F.sum("unknown").alias("unknown"), F.count_if(F.col("edges") == 0).alias("empty_ddg"), F.sum("edges").alias("ddg_edges"), F.sum("inside").alias("projectable"))
     rate = lambda a, b: F.col(a) / F.greatest(F.lit(1), F.col(b))

@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType
 
 HEAT_TIMES = (0.1, 0.5, 1.0, 2.0, 5.0, 10.0)
 EPSILON = 1e-12
@@ -240,14 +240,20 @@ def pair_features(a: Column, b: Column) -> Column:
 
 def with_diagnostics(df: DataFrame, a: str, out: str, bins: int = 32, sigma: float = 0.07, top: float = 2.0) -> DataFrame:
     """A smoothed density on a fixed grid (sums to 1) and 24 heat traces from 0.01 to 100."""
-    keep = df.columns
-    grid = F.array(*[F.lit(float(g)) for g in np.linspace(0.0, top, bins)])
-    times = F.array(*[F.lit(float(t)) for t in np.logspace(-2, 2, 24)])
-    raw = F.transform(grid, lambda g: total(F.transform(a, lambda x: F.exp(-0.5 * F.pow((x - g) / sigma, F.lit(2.0))))))
-    heat = F.transform(times, lambda t: mean(F.transform(a, lambda x: F.exp(-x * t))))
-    df = df.withColumn("_raw", raw).withColumn("_heat", heat)
-    df = df.withColumn("_mass", F.greatest(total(F.col("_raw")), F.lit(EPSILON)))
-    return df.select(*keep, F.concat(F.transform("_raw", lambda x: x / F.col("_mass")), "_heat").alias(out))
+    places, times = np.linspace(0.0, top, bins), np.logspace(-2, 2, 24)
+
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def run(spectra: pd.Series) -> pd.Series:
+        rows = []
+        for ev in spectra:
+            if ev is None or not len(ev):
+                rows.append(None if ev is None else [0.0] * bins + [None] * len(times))
+                continue
+            raw = np.exp(-0.5 * ((ev - places[:, None]) / sigma) ** 2).sum(1)
+            rows.append(np.concatenate([raw / max(raw.sum(), EPSILON), np.exp(-ev * times[:, None]).mean(1)]))
+        return pd.Series(rows, dtype=object)
+
+    return df.withColumn(out, run(F.col(a)))
 
 
 def register(spark) -> None:

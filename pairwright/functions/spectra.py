@@ -50,9 +50,8 @@ def finite(a: Column) -> Column:
 
 def strip_zeros(a: Column, digits: int | None = None) -> Column:
     """a without its trailing zeros (after rounding to `digits`, if given)."""
-    live = F.transform(F.reverse(a), lambda x: (F.round(x, digits) if digits is not None else x) != 0)
-    at = F.array_position(live, True)
-    return F.slice(a, F.lit(1), F.when(at == 0, 0).otherwise(F.size(a) - at + 1).cast("int"))
+    live = F.transform(a, lambda x, i: F.when((F.round(x, digits) if digits is not None else x) != 0, i + 1))
+    return F.slice(a, F.lit(1), F.coalesce(F.array_max(live), F.lit(0)))
 
 
 def prefix(a: Column, k: int | None) -> Column:
@@ -138,8 +137,8 @@ def with_topk_largest(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
     """1 / (1 + distance) of the largest values, as many as the shorter stripped spectrum has."""
     keep = df.columns
     for k, c in (("_a", a), ("_b", b)):
-        live = strip_zeros(F.col(c), 10)
-        df = df.withColumn(k, F.sort_array(F.when(F.size(live) == 0, F.array(F.lit(0.0))).otherwise(live)))
+        df = df.withColumn(k, strip_zeros(F.col(c), 10))
+        df = df.withColumn(k, F.sort_array(F.when(F.size(k) == 0, F.array(F.lit(0.0))).otherwise(F.col(k))))
     df = df.withColumn("_k", F.least(F.size("_a"), F.size("_b")))
     top = lambda k: F.slice(k, F.size(k) - F.col("_k") + 1, F.col("_k"))
     s = 1.0 / (1.0 + norm(F.zip_with(top("_a"), top("_b"), lambda x, y: x - y)))

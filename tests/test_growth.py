@@ -23,3 +23,16 @@ def test_diagnostics_are_one_pass_of_a_spectrum(spark):
     assert np.allclose(got[1], [*(np.array(raw) / sum(raw)), *(np.exp(-ev * t).mean() for t in np.logspace(-2, 2, 24))])
     assert got[2] == [0.0] * 32 + [None] * 24 and got[3] is None
     assert "transform(" not in plan(registry.queries()["diagnostic_vectors"](spark, SF)).split("ArrowEvalPython")[0]
+
+
+def test_pairs_send_a_fragment_to_two_blocks(spark):
+    p = A.pairs(spark, SF)
+    ids = [r.vec_id for r in A.table(spark, SF, "embeddings").select("vec_id").collect()]
+    assert {(r.left_id, r.right_id) for r in p.collect()} == {(a, b) for a in ids for b in ids if 0 < b - a <= A.SPAN}
+    assert "sequence" not in plan(p)  # twenty copies of each spectrum went through the join
+
+
+def test_trailing_zeros(spark):
+    df = spark.createDataFrame([([0.0, 1.0, 1e-12, 0.0],), ([0.0],), ([],), (None,)], "a array<double>")
+    assert [r.s for r in df.select(S.strip_zeros(F.col("a")).alias("s")).collect()] == [[0.0, 1.0, 1e-12], [], [], None]
+    assert df.select(S.strip_zeros(F.col("a"), 10).alias("s")).first().s == [0.0, 1.0]

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairwright.functions import spectra as S
+from pairwright.operators import learners as L
 from pairwright.plans import registry
 from pairwright.sources import adapters as A
 
@@ -36,3 +37,12 @@ def test_trailing_zeros(spark):
     df = spark.createDataFrame([([0.0, 1.0, 1e-12, 0.0],), ([0.0],), ([],), (None,)], "a array<double>")
     assert [r.s for r in df.select(S.strip_zeros(F.col("a")).alias("s")).collect()] == [[0.0, 1.0, 1e-12], [], [], None]
     assert df.select(S.strip_zeros(F.col("a"), 10).alias("s")).first().s == [0.0, 1.0]
+
+
+def test_forests_use_all_cores(spark):
+    from pyspark.ml.functions import array_to_vector
+
+    df = spark.range(200).select((F.col("id") % 2).cast("int").alias("label"), F.lit(1.0).alias("weight"), array_to_vector(F.array((F.col("id") % 2 + F.rand(1)))).alias("features")).coalesce(1)
+    scored = L.fit_forest(df, trees=3, depth=2)(df)
+    assert scored.rdd.getNumPartitions() >= 8 and scored.count() == 200
+    assert L.forest().getCacheNodeIds()  # else each pass walks every tree for every row

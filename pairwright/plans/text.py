@@ -49,9 +49,9 @@ def token_fingerprint_jaccard(spark, sf_dir):
 @query()
 def clone_type_infer(spark, sf_dir):
     """Type of neighbouring documents taken as fragments (lookahead has no counterpart in RE2)."""
-    t = A.table(spark, sf_dir, "documents").select("doc_id", "text")
-    b = t.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("other"))
-    return t.join(b, "doc_id").select("doc_id", X.clone_type(F.col("text"), F.col("other")).alias("clone_type"))
+    t = stored(A.table(spark, sf_dir, "documents").select("doc_id", X.clone_form(F.col("text")).alias("form")), "forms")  # once for both sides
+    b = t.select((F.col("doc_id") - 1).alias("doc_id"), F.col("form").alias("other"))
+    return t.join(b, "doc_id").select("doc_id", X.clone_type_of(F.col("form"), F.col("other")).alias("clone_type"))
 
 
 @query("""WITH l AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN ' Java ' WHEN 1 THEN 'py3' WHEN 2 THEN 'C++' WHEN 3 THEN 'semantic_c#' WHEN 4 THEN 'gnu++' ELSE 'cobol' END AS raw FROM documents),

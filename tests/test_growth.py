@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairwright.functions import spectra as S
+from pairwright.functions import text as X
 from pairwright.operators import learners as L
 from pairwright.plans import registry
 from pairwright.sources import adapters as A
@@ -46,3 +47,10 @@ def test_forests_use_all_cores(spark):
     scored = L.fit_forest(df, trees=3, depth=2)(df)
     assert scored.rdd.getNumPartitions() >= 8 and scored.count() == 200
     assert L.forest().getCacheNodeIds()  # else each pass walks every tree for every row
+
+
+def test_clone_forms_are_made_once_a_text(spark):
+    p = plan(registry.queries()["clone_type_infer"](spark, SF))
+    assert "regexp" not in p.lower()  # the join compares written forms
+    df = spark.createDataFrame([("int a; // x", "int b;"), (None, "a"), ("a = 1", "a = 1 # y"), ("(", "+ - *")], "a string, b string")
+    assert [r.k for r in df.select(X.clone_type(F.col("a"), F.col("b")).alias("k")).collect()] == [2, 4, 1, 4]

@@ -8,7 +8,10 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
@@ -118,10 +121,44 @@ def graph_statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     d = 2 * (F.coalesce("d", F.lit(0)) + 1.0)
     g = nodes.select("code_id", "place").join(ends, ["code_id", "place"], "left").groupBy("code_id").agg(F.count(F.lit(1)).alias("n"), F.avg(d).alias("mean"), F.stddev_pop(d).alias("sd"), F.max(d).alias("top"))
     g = g.join(e, "code_id", "left").withColumn("e", F.coalesce("e", F.lit(0)))
+    return _statistics(g)
+
+
+def _statistics(g: DataFrame) -> DataFrame:
     room = F.greatest(F.lit(1.0), F.col("n") * F.greatest(F.lit(1), F.col("n") - 1))
     return g.select("code_id", (F.log1p("n") / 10).alias("nodes"), (F.log1p("e") / 10).alias("edges"), F.least(F.lit(1.0), F.col("e") / room).alias("density"), (F.col("mean") / 20).alias("mean_degree"), (F.col("sd") / 20).alias("sd_degree"), (F.col("top") / 50).alias("top_degree"), (F.col("mean") / 40).alias("mean_in"), (F.col("mean") / 40).alias("mean_out"))
 
 
+def with_degrees(records: DataFrame) -> DataFrame:
+    """records with `degrees`: how many ends of edges each node has, loops counted twice. Edges stay in the row of their graph."""
+
+    @F.arrow_udf(ArrayType(IntegerType()))
+    def count(edges: pa.Array, n: pa.Array) -> pa.Array:
+        n = pc.fill_null(n, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        row = np.repeat(np.arange(len(n)), pc.fill_null(pc.list_value_length(edges), 0).to_numpy(zero_copy_only=False))
+        starts, ends = np.cumsum(n) - n, edges.flatten()
+        out = np.zeros(int(n.sum()), np.int32)
+        for end in ("src", "dst"):
+            out += np.bincount(ends.field(end).to_numpy(zero_copy_only=False) + starts[row], minlength=len(out)).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(np.append(starts, len(out)).astype(np.int32)), pa.array(out), type=pa.list_(pa.int32()))
+
+    return records.withColumn("degrees", count.asNondeterministic()("edges", F.size("ids")))
+
+
+def message_features_of_rows(records: DataFrame) -> DataFrame:
+    """The features of `message_features`, as an array for each graph that is a row with ids and edges by places."""
+    both = F.transform("degrees", lambda x, i: F.struct(F.lit(1.0).alias("one"), F.log1p(x + 1.0).alias("log_in"), F.log1p(x + 1.0).alias("log_out"), F.log1p(2 * (x + 1.0)).alias("log_degree"), F.coalesce(F.try_divide(i, F.col("last")), F.lit(0.0)).alias("position")))
+    return with_degrees(records).select("code_id", "degrees", (F.size("degrees") - 1).alias("last")).select("code_id", both.alias("features"))
+
+
+def graph_statistics_of_rows(records: DataFrame) -> DataFrame:
+    """The values of `graph_statistics` for graphs that are rows with ids and edges by places."""
+    total = lambda c, f: F.aggregate(c, F.lit(0.0), lambda s, x: s + f(x))
+    g = with_degrees(records).select("code_id", F.transform("degrees", lambda x: 2 * (x + 1.0)).alias("d"), F.size("edges").alias("e")).withColumn("n", F.size("d"))
+    g = g.withColumn("mean", total("d", lambda x: x) / F.col("n"))
+    return _statistics(g.select("code_id", "n", "e", "mean", F.sqrt(total("d", lambda x: (x - F.col("mean")) * (x - F.col("mean"))) / F.col("n")).alias("sd"), F.array_max("d").alias("top")))
+
+
 def slot_profile(assignments: DataFrame, groups: tuple[str, ...] = tuple(COARSE)) -> DataFrame:
     """slot, group, share of the slot's mass, and the slot's entropy over the number of groups (1 is even).
 

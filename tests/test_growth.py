@@ -1,12 +1,13 @@
 """Work that grows no faster than its input: steps that read, shuffle or hold more than they need."""
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from pairwright.functions import spectra as S
 from pairwright.functions import text as X
+from pairwright.operators import graphs as G
 from pairwright.operators import learners as L
+from pairwright.operators import records as C
 from pairwright.plans import registry
 from pairwright.sources import adapters as A
 
@@ -54,3 +55,29 @@ def test_clone_forms_are_made_once_a_text(spark):
     assert "regexp" not in p.lower()  # the join compares written forms
     df = spark.createDataFrame([("int a; // x", "int b;"), (None, "a"), ("a = 1", "a = 1 # y"), ("(", "+ - *")], "a string, b string")
     assert [r.k for r in df.select(X.clone_type(F.col("a"), F.col("b")).alias("k")).collect()] == [2, 4, 1, 4]
+
+
+def test_statistics_of_rows(spark):
+    """The same as from tables, for chains, loops, repeats and single nodes; nothing is shuffled."""
+    rows = [("a", ["x", "y", "z"], [(0, 1), (1, 2), (1, 2), (2, 2)]), ("b", ["x"], []), ("c", ["p", "q"], [(1, 0)])]
+    r = spark.createDataFrame(rows, "code_id string, ids array<string>, edges array<struct<src:int,dst:int>>")
+    nodes = r.select("code_id", F.posexplode("ids").alias("place", "id")).drop("id")
+    edges = r.select("code_id", F.inline("edges"))
+    close = lambda a, b: all(x[0] == y[0] and np.allclose(x[1:], y[1:]) for x, y in zip(sorted(map(tuple, a)), sorted(map(tuple, b)), strict=True))
+    assert close(C.graph_statistics_of_rows(r).collect(), C.graph_statistics(nodes, edges).collect())
+    got = C.message_features_of_rows(r).select("code_id", F.posexplode("features").alias("place", "f")).select("code_id", "place", "f.*")
+    key = lambda d: sorted((x.code_id, x.place, *[float(v) for v in x[2:]]) for x in d.collect())
+    assert [x[:2] for x in key(got)] == [x[:2] for x in key(C.message_features(nodes, edges))]
+    assert np.allclose([x[2:] for x in key(got)], [x[2:] for x in key(C.message_features(nodes, edges))])
+    for name in ("graph_statistics", "message_features", "merged_methods"):
+        assert "Exchange" not in plan(registry.queries()[name](spark, SF))
+
+
+def test_methods_merge_in_a_row(spark):
+    w = spark.createDataFrame([(1, "t", ["b", "a", "b", "c", "a"]), (2, "t", []), (3, "t", None), (4, "t", ["a"])], "code_id long, layer string, w array<string>").coalesce(1)
+    got = {r.code_id: (r.ids, r.methods) for r in G.merge_methods_of_rows(w, 2).collect()}
+    assert got == {"1": (["a", "b", "c"], [2, 1, 1]), "2": ([], []), "3": ([], []), "4": (["a"], [0])}
+
+
+def test_hardness_takes_texts_apart_once(spark):
+    assert "regexp" not in plan(registry.queries()["pair_hardness"](spark, SF)).lower()

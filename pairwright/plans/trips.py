@@ -19,8 +19,8 @@ def _path(spark, tag):
 
 @query("SELECT doc_id, lang, md5(text) AS digest FROM documents")
 def archived_documents(spark, sf_dir):
-    """Documents as Parquet members of two ZIP files, of which two columns of five are decoded."""
-    d = A.table(spark, sf_dir, "documents").repartition(2, "doc_id")
+    """Documents as Parquet members of ZIP files, one for each task that reads them, of which three columns of five are decoded."""
+    d = A.table(spark, sf_dir, "documents")
     path = _path(spark, "archive")
     archives.write_parquet_zips(d, path, "documents", 100)
     return archives.read_parquet_zip(spark, path, "^documents__", ["doc_id", "lang", "text"]).select("doc_id", "lang", F.md5("text").alias("digest"))
@@ -39,7 +39,7 @@ def latent_bundles(spark, sf_dir):
 @query("SELECT doc_id::VARCHAR AS doc_id, lang, md5(text) AS digest FROM documents WHERE lang <> 'en'")
 def dumped_snippets(spark, sf_dir):
     """Documents of other languages than English, from one table of custom-format database dumps."""
-    d = A.table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text").repartition(3, "doc_id")
+    d = A.table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
     path = _path(spark, "dump")
     archives.write_dumps(d, path, "snippet", "clones", entry_rows=50)
     return archives.read_dump(spark, path, "snippet", ["doc_id", "lang", "text"], "clones").where("lang <> 'en'").select("doc_id", "lang", F.md5("text").alias("digest"))

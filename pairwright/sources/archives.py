@@ -32,6 +32,28 @@ from .storage import stored
 SPLIT = 64 << 20
 #: Bytes that are read and handed on at a time.
 CHUNK = 1 << 20
+#: Bytes of small parts that one task reads, one after the other, and parts up to which each has a task of its own.
+PACK, APART = 4 << 20, 64
+
+
+@dataclass
+class Parts(InputPartition):
+    """Parts of archives or texts for one task."""
+
+    parts: list
+
+
+def together(parts: list[tuple[int, InputPartition]], room: int = PACK, apart: int = APART) -> list[InputPartition]:
+    """Parts (bytes, part) in their order, as many to a task as have `room`: beyond a few tasks they grow with bytes, not with parts."""
+    room = min(room, sum(size for size, _ in parts) / apart)
+    out, held = [], 0
+    for size, part in parts:
+        if not out or held + size > room or len(parts) <= apart:
+            out.append([])
+            held = 0
+        out[-1].append(part)
+        held += size
+    return [Parts(x) for x in out]
 
 
 def file_system(path: str) -> tuple[pafs.FileSystem, str]:
@@ -122,18 +144,20 @@ class _ZipReader(DataSourceReader):
         out = []
         for m in (m for f in self.files for m in members(f, self.pattern)):
             if self.kind != "parquet" or m.method != zipfile.ZIP_STORED or m.size <= self.split:
-                out.append(m)
+                out.append((m.packed, m))
                 continue
             fs, path = file_system(m.file)
             with fs.open_input_file(path) as raw:
                 n = pq.ParquetFile(m.open(raw)).num_row_groups
             step = max(1, n * self.split // m.size)
-            out += [Member(**{**m.__dict__, "groups": (a, min(n, a + step))}) for a in range(0, n, step)]
-        return out
+            out += [(self.split, Member(**{**m.__dict__, "groups": (a, min(n, a + step))})) for a in range(0, n, step)]
+        return together(out)
 
-    def read(self, partition: Member | None) -> Iterator[pa.RecordBatch]:
-        if partition is None:  # there are none
-            return
+    def read(self, partition: Parts | None) -> Iterator[pa.RecordBatch]:
+        for part in () if partition is None else partition.parts:  # None: there are none
+            yield from self._read(part)
+
+    def _read(self, partition: Member) -> Iterator[pa.RecordBatch]:
         fs, path = file_system(partition.file)
         with fs.open_input_file(path) as raw:
             content = partition.open(raw)
@@ -362,11 +386,19 @@ class _DumpReader(DataSourceReader):
         self.files, self.schema, self.table = json.loads(options["files"]), options["schema_name"], options["table"]
 
     def partitions(self):
-        return [b for f in self.files for b in dump_entries(f) if (b.schema, b.table) == (self.schema, self.table)]
-
-    def read(self, partition: Block | None) -> Iterator[pa.RecordBatch]:
-        if partition is None:
-            return
+        out = []
+        for f in self.files:
+            fs, path = file_system(f)
+            entries = sorted(dump_entries(f), key=lambda b: b.offset)
+            ends = [b.offset for b in entries[1:]] + [fs.get_file_info(path).size]
+            out += [(max(0, end - b.offset), b) for b, end in zip(entries, ends, strict=False) if (b.schema, b.table) == (self.schema, self.table)]
+        return together(out)
+
+    def read(self, partition: Parts | None) -> Iterator[pa.RecordBatch]:
+        for part in () if partition is None else partition.parts:
+            yield from self._read(part)
+
+    def _read(self, partition: Block) -> Iterator[pa.RecordBatch]:
         fs, path = file_system(partition.file)
         with fs.open_input_file(path) as raw:
             raw.seek(partition.offset)
@@ -497,12 +529,14 @@ class _TextReader(DataSourceReader):
             size = fs.get_file_info(path).size
             with fs.open_input_stream(path, compression=None) as raw:
                 packed = raw.read(2) == b"\x1f\x8b"
-            out += [Text(file, 0, size, True)] if packed else [Text(file, a, min(size, a + self.split), False) for a in range(0, size, self.split)]
-        return out
+            out += [(size, Text(file, 0, size, True))] if packed else [(self.split, Text(file, a, min(size, a + self.split), False)) for a in range(0, size, self.split)]
+        return together(out)
 
-    def read(self, partition: Text | None) -> Iterator[pa.RecordBatch]:
-        if partition is None:
-            return
+    def read(self, partition: Parts | None) -> Iterator[pa.RecordBatch]:
+        for part in () if partition is None else partition.parts:
+            yield from self._read(part)
+
+    def _read(self, partition: Text) -> Iterator[pa.RecordBatch]:
         fs, path = file_system(partition.file)
         with fs.open_input_file(path) as raw:
             for lines in _gzip_lines(raw) if partition.packed else _range_lines(raw, partition.start, partition.stop):
@@ -534,7 +568,10 @@ def _range_lines(raw, start: int, stop: int) -> Iterator[list[bytes]]:
     at = max(0, start - 1)
     raw.seek(at)
     rest, skip = b"", start > 0
-    while data := raw.read(CHUNK):
+    # no more than the range first; what its last line has beyond is looked for in steps that grow
+    step = min(CHUNK, stop - at)
+    while data := raw.read(step):
+        step = min(CHUNK, max(1 << 12, 2 * step if raw.tell() > stop else stop - raw.tell()))
         *lines, tail = (rest + data).split(b"\n")
         out = []
         for x in lines:

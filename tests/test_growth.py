@@ -10,6 +10,7 @@ from pairwright.operators import learners as L
 from pairwright.operators import records as C
 from pairwright.plans import registry
 from pairwright.sources import adapters as A
+from pairwright.sources import archives
 
 SF = "/root/testdata/sf0.001"
 
@@ -81,3 +82,47 @@ def test_methods_merge_in_a_row(spark):
 
 def test_hardness_takes_texts_apart_once(spark):
     assert "regexp" not in plan(registry.queries()["pair_hardness"](spark, SF)).lower()
+
+
+def test_small_parts_share_tasks(spark, tmp_path):
+    """Ten thousand parts of a kilobyte are few tasks, with every row once; few parts keep a task each."""
+    got = archives.together([(1 << 10, i) for i in range(10_000)])
+    assert len(got) <= 70 and [x for p in got for x in p.parts] == list(range(10_000))
+    assert [p.parts for p in archives.together([(5, 0), (1 << 30, 1), (5, 2)])] == [[0], [1], [2]] and archives.together([]) == []
+    df = spark.range(1000).select("id", F.repeat(F.lit("é\n"), F.col("id").cast("int") % 9).alias("s")).coalesce(1)
+    archives.write_parquet_zips(df, f"{tmp_path}/z", "rows", 2)
+    archives.write_dumps(df, f"{tmp_path}/d", "t", entry_rows=2)
+    for got in (archives.read_parquet_zip(spark, f"{tmp_path}/z", "^rows"), archives.read_dump(spark, f"{tmp_path}/d", "t", ["id", "s"])):
+        assert got.rdd.getNumPartitions() <= 130 and sorted((int(r.id), r.s) for r in got.collect()) == sorted(map(tuple, df.collect()))
+
+
+def test_ranges_read_little_more_than_themselves(tmp_path):
+    import io
+
+    class Counted(io.BytesIO):
+        n = 0
+
+        def read(self, k=-1):
+            out = super().read(k)
+            self.n += len(out)
+            return out
+
+    text = b"".join(b"%d %s\n" % (i, b"x" * (i % 300)) for i in range(20_000))
+    raw, got, step = Counted(text), [], 1 << 14
+    for a in range(0, len(text), step):
+        got += [x for lines in archives._range_lines(raw, a, min(len(text), a + step)) for x in lines]
+    assert got == text.split(b"\n")[:-1] and raw.n < 2 * len(text)
+
+
+def test_archives_are_written_where_rows_are_read(spark, monkeypatch):
+    from pairwright.plans import trips
+
+    for name in ("write_parquet_zips", "write_dumps"):
+        real = getattr(archives, name)
+        monkeypatch.setattr(archives, name, lambda df, *a, real=real, **k: (_unshuffled(df), real(df, *a, **k))[1])
+    assert trips.archived_documents(spark, SF).count() == A.table(spark, SF, "documents").count()
+    trips.dumped_snippets(spark, SF)
+
+
+def _unshuffled(df):
+    assert "Exchange" not in plan(df)

@@ -251,29 +251,36 @@ def code_disjoint_split(pairs: DataFrame, seed: int, trials: int, shares=(0.70,
     of q pairs a class is shared by largest remainder; the largest q that every split can fill counts, and the earliest of
     the best trials wins. From its pairs the quota is drawn by hash.
     """
-    ids = pairs.select(F.explode(F.array("left_id", "right_id")).alias("code")).distinct()
+    ids = stored(pairs.select(F.explode(F.array("left_id", "right_id")).alias("code")).distinct(), "codes")
     total = ids.count()
     if not total:
         raise ValueError("no pairs to split")
     ends = np.cumsum(_allocate(total, shares))
+    which = lambda k: F.coalesce(*[F.when(k <= int(e), i) for i, e in enumerate(ends[:-1])], F.lit(len(names) - 1))
+    at = None
+    for t in range(trials):
+        one = numbered(ids, [hash_rank(F.col("code"), seed + t), F.col("code")], "k").select("code", F.struct(F.lit(t).alias("t"), which(F.col("k")).alias("s")).alias("x"))
+        at = one if at is None else at.unionByName(one)
+    # a row for each code with its splits by trial, so pairs meet either end once and not once a trial
+    at = at.groupBy("code").agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["s"]).alias("_at"))
+    both = pairs.join(at.withColumnsRenamed({"code": "left_id", "_at": "_a"}), "left_id").join(at.withColumnsRenamed({"code": "right_id", "_at": "_b"}), "right_id")
+    # a pair's split by trial, null where its ends are in two
+    both = both.withColumn("_at", F.zip_with("_a", "_b", lambda x, y: F.when(x == y, x))).drop("_a", "_b")
+    both = stored(both.where(F.exists("_at", lambda x: x.isNotNull())), "trials")
+    cells = both.select("label", F.posexplode("_at").alias("t", "s")).where("s is not null").groupBy("t", "s", "label").count().collect()  # six cells a trial
     best = None
     for t in range(trials):
-        order = numbered(ids, [hash_rank(F.col("code"), seed + t), F.col("code")], "k")
-        which = F.lit(names[-1])
-        for name, end in list(zip(names, ends, strict=True))[-2::-1]:
-            which = F.when(F.col("k") <= int(end), name).otherwise(which)
-        at = order.select("code", which.alias("split"))
-        both = pairs.join(at.withColumnRenamed("code", "left_id"), "left_id").join(at.select(F.col("code").alias("right_id"), F.col("split").alias("s2")), "right_id").where("split = s2").drop("s2")
-        n = {(r.split, r.label): r["count"] for r in both.groupBy("split", "label").count().collect()}  # six cells
+        n = {(names[r.s], r.label): r["count"] for r in cells if r.t == t}
         low, high = 0, sum(min(n.get((s, 1), 0), n.get((s, 0), 0)) for s in names)
         while low < high:
             middle = (low + high + 1) // 2
             fits = all(q <= n.get((s, y), 0) for s, q in zip(names, _allocate(middle, shares), strict=True) for y in (0, 1))
             low, high = (middle, high) if fits else (low, middle - 1)
         if best is None or low > best[0]:
-            best = (low, both)
+            best = (low, t)
+    kept = both.withColumn("split", F.get(F.array(*map(F.lit, names)), F.get("_at", F.lit(best[1])))).where("split is not null").drop("_at")
     quota = pairs.sparkSession.createDataFrame([(s, y, int(q)) for s, q in zip(names, _allocate(best[0], shares), strict=True) for y in (0, 1)], "split string, label int, _w long")
-    r = _draw(best[1].withColumn("_id", F.concat_ws("/", "left_id", "right_id")), ["split", "label"], "_id", seed + 10_000, quota)
+    r = _draw(kept.withColumn("_id", F.concat_ws("/", "left_id", "right_id")), ["split", "label"], "_id", seed + 10_000, quota)
     return r.select("left_id", "right_id", "label", "split")
 
 

@@ -9,6 +9,7 @@ from ..functions import text as X
 from ..operators import relational as R
 from ..operators import sampling as P
 from ..sources import adapters as A
+from ..sources.storage import stored
 from .registry import query
 
 S = f"WITH {A.SQL_SCORED}"
@@ -194,7 +195,7 @@ def fixed_sample(spark, sf_dir):
 @query()
 def code_disjoint_split(spark, sf_dir):
     """Balanced pairs of splits that share no code: best of three hash assignments."""
-    return P.code_disjoint_split(A.endpoints(spark, sf_dir).groupBy("left_id", "right_id").agg(F.min("label").alias("label")), 5, 3)
+    return P.code_disjoint_split(stored(A.endpoints(spark, sf_dir).groupBy("left_id", "right_id").agg(F.min("label").alias("label")), "pairs"), 5, 3)
 
 
 @query(f"""{E}, u AS (SELECT DISTINCT split, left_id, right_id, min(label) OVER (PARTITION BY split, left_id, right_id) AS label FROM endpoints WHERE substr(left_id, 2)::BIGINT % 5 <> 0), m AS (SELECT split, least(count(*) FILTER (label = 1), count(*) FILTER (label = 0)) AS m FROM u GROUP BY split)

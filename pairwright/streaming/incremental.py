@@ -61,12 +61,16 @@ def changed(stream: DataFrame, compute: Callable[[str | None], str | None], key:
     """
 
     def run(keys: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(parts))
-        row = rows.sort_values(digest, na_position="first").iloc[-1]
-        mine = None if pd.isna(row[digest]) else str(row[digest])
+        best = None  # plain values: a frame's methods cost more than a row's work
+        for part in parts:
+            for one, text in zip(part[digest].tolist(), part[payload].tolist(), strict=True):
+                one = None if pd.isna(one) else one
+                if best is None or (one is not None and (best[0] is None or one >= best[0])):
+                    best = (one, None if pd.isna(text) else text)
+        mine, text = None if best[0] is None else str(best[0]), best[1]
         held = state.get if state.exists else None
         fresh = held is None or mine is None or held[0] != mine
-        result = compute(None if pd.isna(row[payload]) else row[payload]) if fresh else held[1]
+        result = compute(text) if fresh else held[1]
         if fresh:
             state.update((mine, result))
         yield pd.DataFrame({key: [keys[0]], "digest": [mine], "result": [result], "fresh": [fresh]})

@@ -8,6 +8,7 @@ from pairwright.functions import text as X
 from pairwright.operators import graphs as G
 from pairwright.operators import learners as L
 from pairwright.operators import records as C
+from pairwright.operators import sampling as P
 from pairwright.plans import registry
 from pairwright.sources import adapters as A
 from pairwright.sources import archives
@@ -126,3 +127,26 @@ def test_archives_are_written_where_rows_are_read(spark, monkeypatch):
 
 def _unshuffled(df):
     assert "Exchange" not in plan(df)
+
+
+def test_trials_meet_pairs_once(spark, monkeypatch):
+    tags, real = [], P.stored
+    monkeypatch.setattr(P, "stored", lambda df, tag: (tags.append(tag), real(df, tag))[1])
+    df = spark.range(400).select((F.col("id") % 20).alias("left_id"), (100 + F.col("id") % 19).alias("right_id"), (F.col("id") % 2).cast("int").alias("label"))
+    P.code_disjoint_split(df, 1, 3)
+    assert tags.count("trials") == 1
+
+
+def test_edit_distances_hold_a_pair_at_a_time(spark):
+    from pyspark.util import PythonEvalType
+
+    assert f", {PythonEvalType.SQL_SCALAR_ARROW_UDF}" in plan(registry.queries()["edit_similarity"](spark, SF))
+
+
+def test_long_labels(spark):
+    """A label that was matched character by character overflowed the stack."""
+    long = "x" * 300_000
+    dot = f'digraph "f" {{\n  "1" [label = "CALL, {long}" ]\n"a:b" [ label = <IF, <b>y</b><BR/>z> ]\n c.d[label="q\\"r, s"]\n  1 -> "a:b" [ label = "AST"]\na-b->c\n}}\n'
+    g = G.parse_dot(spark.createDataFrame([("k", "ast", dot)], "code_id string, layer string, dot string")).first()
+    assert [tuple(n) for n in g.nodes] == [("1", "CALL", f"CALL, {long}"), ("a:b", "IF", "IF, <b>y</b>"), ("c.d", 'q\\"r', 'q\\"r, s')]
+    assert [(e.src, e.dst) for e in g.edges] == [("1", "a:b"), ("a-b", "c")]

@@ -11,6 +11,9 @@ from pyspark.sql.types import DoubleType
 from ..sources.storage import stored
 from .ordered import least_after, quantiles, running, same
 
+#: Rows of the tables of a lookup that a task sorts.
+PART = 2_000_000
+
 
 def attach(pairs: DataFrame, codes: DataFrame, column: str, key: str = "code_id", strict: bool = True) -> DataFrame:
     """An attribute of both ends of a pair; a missing end is an error if strict."""
@@ -194,12 +197,19 @@ def prune_to_coverage(pairs: DataFrame, usable: DataFrame, key: str = "code_id")
     return kept, stats.withColumn("removed", F.col("before") - F.col("after"))
 
 
-def method_of_dot(dots: DataFrame, methods: DataFrame) -> DataFrame:
+def method_of_dot(dots: DataFrame, methods: DataFrame, part: int = PART) -> DataFrame:
     """dots(dot, chunk, first_node, ordinal, name) with the method they belong to: that of their first node, else the one at
-    their ordinal if the names agree. methods(chunk, node_id, place, full_name)."""
+    their ordinal if the names agree. methods(chunk, node_id, place, full_name).
+
+    Beyond `part` rows a shuffle partition the tables are dealt to more partitions, so what a task sorts doesn't grow with them.
+    """
     by_node = methods.select("chunk", F.col("node_id").alias("first_node"), F.col("full_name").alias("_n"))
     by_place = methods.select("chunk", F.col("place").alias("ordinal"), F.col("full_name").alias("_p"))
-    j = dots.join(by_node, ["chunk", "first_node"], "left").join(by_place, ["chunk", "ordinal"], "left")
+    n = -(-(dots.count() + methods.count()) // part)
+    more = n > int(dots.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = lambda df, key: df.repartition(n, "chunk", key) if more else df
+    j = dealt(dots, "first_node").join(dealt(by_node, "first_node"), ["chunk", "first_node"], "left")
+    j = dealt(j, "ordinal").join(dealt(by_place, "ordinal"), ["chunk", "ordinal"], "left")
     plain = lambda c: F.regexp_replace(F.trim(F.substring_index(c, ":", 1)), r"<duplicate>\d+$", "")
     full, name = plain(F.col("_p")), F.regexp_replace(F.trim("name"), r"<duplicate>\d+$", "")
     same = F.col("name").isNull() | ((name != "") & F.endswith(full, name))

@@ -8,6 +8,7 @@ from pairwright.functions import text as X
 from pairwright.operators import graphs as G
 from pairwright.operators import learners as L
 from pairwright.operators import records as C
+from pairwright.operators import relational as R
 from pairwright.operators import sampling as P
 from pairwright.plans import registry
 from pairwright.sources import adapters as A
@@ -150,3 +151,23 @@ def test_long_labels(spark):
     g = G.parse_dot(spark.createDataFrame([("k", "ast", dot)], "code_id string, layer string, dot string")).first()
     assert [tuple(n) for n in g.nodes] == [("1", "CALL", f"CALL, {long}"), ("a:b", "IF", "IF, <b>y</b>"), ("c.d", 'q\\"r', 'q\\"r, s')]
     assert [(e.src, e.dst) for e in g.edges] == [("1", "a:b"), ("a-b", "c")]
+
+
+def test_lookups_sort_no_more_as_tables_grow(spark):
+    """Dealt out or not, the same methods, for repeated and missing keys; a task gets about `part` rows."""
+    dots = [(k, c, f, o, n) for k, (c, f, o, n) in enumerate([(c, f, o, n) for c in range(60) for f in (None, 7, 100) for o in (0, 1, None) for n in (None, "f", "other")])]
+    methods = [(c, 100 * p, p, f"C.{'fg'[p % 2]}{'<duplicate>0' if c % 3 else ''}:int()") for c in range(0, 60, 2) for p in (0, 1, 1)]
+    want = []
+    for k, c, f, o, n in dots:
+        at = lambda i, v: [m[3] for m in methods if m[0] == c and m[i] == v] if v is not None else []  # noqa: B023, E731
+        for a in at(1, f) or [None]:
+            for b in at(2, o) or [None]:
+                want.append((k, a or (b if b and (n is None or b.split(":")[0].replace("<duplicate>0", "").endswith(n)) else None)))
+    d = spark.createDataFrame(dots, "dot long, chunk long, first_node long, ordinal int, name string")
+    m = spark.createDataFrame(methods, "chunk long, node_id long, place int, full_name string")
+    key = lambda rows: sorted(map(tuple, rows), key=str)
+    assert key(R.method_of_dot(d, m).select("dot", "method").collect()) == key(want)
+    got = R.method_of_dot(d, m, part=50)
+    assert plan(got).count("REPARTITION_BY_NUM") == 4 and "ENSURE_REQUIREMENTS" not in plan(got)  # no shuffle besides
+    assert key(got.select("dot", "method").collect()) == key(want)
+    assert got.rdd.getNumPartitions() == -(-(len(dots) + len(methods)) // 50) > 8

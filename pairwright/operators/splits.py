@@ -14,20 +14,43 @@ BITS = {"train": 1, "valid": 2, "test": 4}
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node of each component of edges (a, b).
+    """(node, root): the smallest node of each component of edges (a, b); a row without one of its ends is no edge.
 
-    Labels go to neighbours and then along labels, so a chain of n takes about log n rounds.
+    In each round nodes with edges form trees (`_trees`) of two nodes or more, and the edges between trees are the next round's.
+    So there are at most log n rounds, and all edges are shuffled in the first alone. Long integers as nodes sort and shuffle least.
     """
-    both = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    root = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("root")), "roots")
+    pair = stored(edges.select("a", "b").where("a is not null and b is not null"), "edges")
+    between, levels = pair.where("a <> b"), []
+    while not between.isEmpty():
+        levels.append(up := _trees(between))
+        half = between.join(up.select(F.col("node").alias("a"), "root"), "a").select(F.col("root").alias("a"), "b").distinct()
+        both = half.join(up.select(F.col("node").alias("b"), "root"), "b").where("a <> root")
+        between = stored(both.select(F.least("a", "root").alias("a"), F.greatest("a", "root").alias("b")).distinct(), "between")
+    loops = pair.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("root")).distinct()
+    if not levels:
+        return loops
+    top = levels.pop()
+    while levels:  # from the last round down, each round's nodes are joined once
+        top = levels.pop().join(top.select(F.col("node").alias("root"), F.col("root").alias("_top")), "root", "left").select("node", F.coalesce("_top", "root").alias("root"))
+    return top if loops.isEmpty() else top.unionByName(loops.join(top, "node", "left_anti"))
+
+
+def _trees(edges: DataFrame) -> DataFrame:
+    """(node, root) of the trees in which every node of edges (a, b) hangs below its least neighbour; the root is the smallest.
+
+    Every second node on the way up is no larger, so it ends in two nodes that point at each other, of which the smaller is the
+    root. Only nodes with others below them are followed on, in steps that double.
+    """
+    end = lambda a, b: F.struct(F.col(a).alias("node"), F.col(b).alias("up"))
+    tree = stored(edges.select(F.inline(F.array(end("a", "b"), end("b", "a")))).groupBy("node").agg(F.min("up").alias("up")), "trees")
+    inner = stored(tree.join(tree.select(F.col("up").alias("node")).distinct(), "node"), "inner")
     while True:
-        near = both.join(root, both.b == root.node).groupBy(F.col("a").alias("n")).agg(F.min("root").alias("near"))
-        step = root.join(near, root.node == near.n).select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
-        jump = root.select(F.col("node").alias("m"), F.col("root").alias("far"))
-        step = stored(step.join(jump, F.col("root") == F.col("m")).select("node", "old", F.least("root", "far").alias("root")), "roots")
-        root = step.select("node", "root")
-        if not step.where("old <> root").limit(1).count():
-            return root
+        over = inner.select(F.col("node").alias("up"), F.col("up").alias("_over"))
+        up = F.when(F.col("_over") == F.col("node"), F.least("node", "up")).otherwise(F.col("_over"))
+        step = stored(inner.join(over, "up").select("node", F.col("up").alias("_old"), up.alias("up")), "inner")
+        inner = step.select("node", "up")
+        if step.where("_old <> up").isEmpty():
+            return stored(tree.join(inner.select(F.col("node").alias("up"), F.col("up").alias("root")), "up").select("node", "root"), "trees")
 
 
 def split_of(fraction: Column) -> Column:

@@ -10,6 +10,7 @@ from pairwright.operators import learners as L
 from pairwright.operators import records as C
 from pairwright.operators import relational as R
 from pairwright.operators import sampling as P
+from pairwright.operators import splits as T
 from pairwright.plans import registry
 from pairwright.sources import adapters as A
 from pairwright.sources import archives
@@ -171,3 +172,43 @@ def test_lookups_sort_no_more_as_tables_grow(spark):
     assert plan(got).count("REPARTITION_BY_NUM") == 4 and "ENSURE_REQUIREMENTS" not in plan(got)  # no shuffle besides
     assert key(got.select("dot", "method").collect()) == key(want)
     assert got.rdd.getNumPartitions() == -(-(len(dots) + len(methods)) // 50) > 8
+
+
+def _roots(edges):
+    root = {x: x for e in edges if None not in e for x in e}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in edges:
+            if None not in (a, b) and root[a] != root[b]:
+                root[a] = root[b] = min(root[a], root[b])
+                changed = True
+    return root
+
+
+def test_components_of_odd_shapes(spark):
+    """Chains in shuffled order, hubs with larger and smaller names than their leaves, loops, repeats and missing ends."""
+    rng = np.random.default_rng(5)
+    names = [int(x) for x in rng.permutation(500)]
+    edges = list(zip(names[:120], names[1:121], strict=False)) + [(max(names[150:180]), x) for x in names[150:180]] + [(min(names[200:230]), x) for x in names[200:230]]
+    edges += [(int(a), int(b)) for a, b in rng.choice(names[250:400], (110, 2))] + [(names[400], names[400]), (names[401], names[402]), (names[402], names[401]), (names[401], names[401]), (names[403], None), (None, names[404]), (None, None)]
+    for rows, kind in ((edges, "long"), ([tuple(None if x is None else f"n{x}" for x in e) for e in edges], "string")):
+        got = T.components(spark.createDataFrame(rows, f"a {kind}, b {kind}")).collect()
+        assert len(got) == len({x.node for x in got}) and {x.node: x.root for x in got} == _roots(rows)
+    for rows, want in (([(7, 7), (9, 9)], {(7, 7), (9, 9)}), ([], set()), ([(3, None)], set())):
+        assert set(map(tuple, T.components(spark.createDataFrame(rows, "a long, b long")).collect())) == want
+
+
+def test_edges_of_a_component_are_written_once(spark, monkeypatch):
+    """Beyond the edges themselves, what is written follows the nodes; before, edges went both ways and met all labels each round."""
+    rows, real = [], T.stored
+
+    def counted(df, tag):
+        out = real(df, tag)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(T, "stored", counted)
+    dense = spark.range(90 * 90).select((F.col("id") % 90).alias("a"), (100 + F.expr("id div 90")).alias("b"))
+    assert {tuple(x) for x in T.components(dense).collect()} == {(x, 0) for x in [*range(90), *range(100, 190)]}
+    assert sorted(rows)[-1] == 8100 and sum(rows) < 8100 + 10 * 180
